@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -12,7 +14,7 @@ MAX_FIELDS = 50
 TOP_VALUES = 5
 VALUE_CHARACTERS = 60
 # Nesting levels that are opened; an object below the last one stays JSON text under its own name.
-NESTING = 8
+NESTING = 5
 # Fields of a report are broadcast up to this many rows.
 BROADCAST_FIELDS = 1000
 
@@ -21,50 +23,59 @@ def _entries(document: Column, prefix: Column | None = None) -> Column:
     """Members of a JSON object: name, text (raw for strings) and whether the value is an object.
 
     Member texts come from a string map, which keeps number texts.  A string that looks like an object
-    is told apart through VARIANT, which is only parsed for a text that starts like one.
+    needs ``"{`` (or an escape) in the document; only such documents are parsed again as VARIANT to tell
+    the two apart.
     """
     texts = F.map_entries(F.from_json(document, "map<string,string>"))
-    kinds = F.from_json(document, "map<string,variant>")
+    ambiguous = document.contains('"{') | document.contains("\\u007")
 
     def entry(e: Column) -> Column:
+        kinds = F.from_json(document, "map<string,variant>")
         kind = F.schema_of_variant(F.try_element_at(kinds, e["key"]))
-        nested = F.when(e["value"].startswith("{"), kind.startswith("OBJECT"))
         return F.struct(
             (e["key"] if prefix is None else F.concat(prefix, F.lit("."), e["key"])).alias("name"),
             F.coalesce(e["value"], F.lit("null")).alias("value"),
-            F.coalesce(nested, F.lit(False)).alias("nested"),
+            F.coalesce(
+                F.when(e["value"].startswith("{"), F.when(ambiguous, kind.startswith("OBJECT")).otherwise(True)),
+                F.lit(False),
+            ).alias("nested"),
         )
 
     return F.coalesce(F.transform(texts, entry), F.expr("array()"))
 
 
-def flattened(df: DataFrame, documents: list[str], extra: Column | None = None, keep: list[str] = ()) -> DataFrame:
-    """(name, value) of every leaf of the JSON object columns, names dotted; empty objects give nothing.
-
-    ``extra`` adds ready observations per row, ``keep`` carries columns along.
-    """
-    parts = [_entries(F.col(name)) for name in documents]
-    if extra is not None:
-        parts.append(
-            F.transform(extra, lambda e: F.struct(e["name"].alias("name"), e["value"].alias("value"), F.lit(False).alias("nested")))
-        )
-    rows = df.select(*keep, F.inline(F.concat(*parts)))
+def flatten_json(df: DataFrame, document: str, keep: Sequence[str] = ()) -> DataFrame:
+    """(name, value) of every leaf of a JSON object column, names dotted; empty objects give nothing."""
+    rows = df.select(*keep, _entries(F.col(document)).alias("__e"))
     for _ in range(NESTING - 1):
-        itself = F.array(F.struct("name", "value", F.lit(False).alias("nested")))
-        opened = F.when(F.col("nested"), _entries(F.col("value"), F.col("name"))).otherwise(itself)
-        rows = rows.select(*keep, F.inline(opened))
-    return rows.select(*keep, "name", "value")
+        opened = F.flatten(
+            F.transform("__e", lambda e: F.when(e["nested"], _entries(e["value"], e["name"])).otherwise(F.array(e)))
+        )
+        deeper = F.exists("__e", lambda e: e["nested"])
+        rows = rows.select(*keep, F.when(deeper, opened).otherwise(F.col("__e")).alias("__e"))
+    # The outer form keeps the optimizer from copying the nested expression into a non-empty filter.
+    return rows.select(*keep, F.inline_outer("__e")).filter(F.col("name").isNotNull()).select(*keep, "name", "value")
 
 
-def flatten_json(df: DataFrame, column: str, keep: list[str] = ()) -> DataFrame:
-    return flattened(df, [column], keep=list(keep))
+def attribute_observations(df: DataFrame) -> DataFrame:
+    """(name, value, n) over attributes and resource attributes.
+
+    Resources repeat on every row they sent; each distinct one is flattened once.
+    """
+    own = flatten_json(df, "attributes").withColumn("n", F.lit(1).cast("bigint"))
+    resources = df.groupBy("resource_attributes").agg(F.count("*").alias("n"))
+    return own.unionByName(flatten_json(resources, "resource_attributes", ["n"]).select("name", "value", "n"))
 
 
 def rank_fields(observations: DataFrame, fields: int = MAX_FIELDS, values: int = TOP_VALUES) -> DataFrame:
-    """Most frequent names with their most frequent values, cut to 60 characters before counting."""
+    """Most frequent names with their most frequent values, cut to 60 characters before counting.
+
+    Observations are (name, value) rows; a column ``n`` says how often each row was seen.
+    """
+    times = F.sum("n") if "n" in observations.columns else F.count("*")
     cut = F.substring("value", 1, VALUE_CHARACTERS).alias("value")
     counted = (
-        observations.filter(F.col("name") != "").select("name", cut).groupBy("name", "value").agg(F.count("*").alias("n"))
+        observations.filter(F.col("name") != "").groupBy("name", cut).agg(times.alias("n"))
     )
     totals = counted.groupBy("name").agg(F.sum("n").alias("count"))
     top = totals.orderBy(F.desc("count"), "name").limit(fields)
@@ -93,4 +104,4 @@ def trace_fields(
     elif any(value not in (None, "", False) for value in filters.values()):
         ids = spans.filter(traces.span_filter(**filters)).select("trace_id").distinct()
         spans = spans.join(ids, "trace_id", "left_semi")
-    return rank_fields(flattened(spans, ["attributes", "resource_attributes"]), fields)
+    return rank_fields(attribute_observations(spans), fields)

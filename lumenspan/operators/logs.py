@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lumenspan.functions.filters import log_filter
 from lumenspan.functions.records import severity_level
 from lumenspan.operators.correlate import newest_log_order
-from lumenspan.operators.fields import flattened, rank_fields
+from lumenspan.operators.fields import attribute_observations, rank_fields
 
 DEFAULT_LOGS = 200
 MAX_LOGS = 5000
@@ -58,22 +58,27 @@ def log_histogram(
     if predicate is not None:
         kept = kept.filter(predicate)
     time = "time_unix_nano"
+    low, high = F.lit(time_min), F.lit(time_max)
     if time_min is None or time_max is None:
         ends = kept.agg(F.struct(F.min(time).alias("lo"), F.max(time).alias("hi")).alias("b")).scalar()
-    low = ends["lo"] if time_min is None else F.lit(time_min)
-    high = F.greatest(ends["hi"] if time_max is None else F.lit(time_max), low + 1)
+        # The bounds travel with the rows, so that the plan contains the subquery once.
+        kept = kept.withColumn("__ends", ends)
+        low = F.col("__ends.lo") if time_min is None else low
+        high = F.col("__ends.hi") if time_max is None else high
+    low = low.cast("bigint")
     div = lambda a, b: F.call_function("div", a, b)
-    width = F.greatest(div(high - low, F.lit(buckets)), F.lit(1).cast("bigint"))
-    bucket = F.least(div(F.col(time) - low, width), F.lit(buckets - 1)).alias("bucket")
-    counted = kept.groupBy(bucket).agg(*level_counts())
+    width = F.greatest(div(F.greatest(high.cast("bigint"), low + 1) - low, F.lit(buckets)), F.lit(1).cast("bigint"))
+    bucket = F.least(div(F.col(time) - low, width), F.lit(buckets - 1).cast("bigint")).alias("bucket")
+    counted = kept.groupBy(bucket, low.alias("low"), width.alias("width")).agg(*level_counts())
     # At most one row per bucket is left, so the zero fill works on a single packed row.
     entry = F.struct("bucket", F.struct(*LEVEL_COLUMNS).alias("counts"))
-    packed = counted.agg(F.map_from_entries(F.collect_list(entry)).alias("found")).filter(F.size("found") > 0)
-    rows = packed.select("found", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))).alias("i"))
+    found = F.map_from_entries(F.collect_list(entry)).alias("found")
+    packed = counted.agg(found, F.first("low").alias("low"), F.first("width").alias("width"))
+    rows = packed.filter(F.size("found") > 0).select("found", "low", "width", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))).alias("i"))
     at = F.col("i").cast("bigint")
     counts = F.try_element_at("found", at)
     return rows.select(
-        (low + at * width).alias("time_unix_nano"),
+        (F.col("low") + at * F.col("width")).alias("time_unix_nano"),
         *(F.coalesce(counts[name], F.lit(0)).alias(name) for name in LEVEL_COLUMNS),
     )
 
@@ -95,13 +100,15 @@ def log_fields(logs: DataFrame, fields: int = 50, **filters) -> DataFrame:
     """Service, level, scope and all attribute keys of the matching logs with their top values."""
     kept = logs.filter(log_filter(**filters))
 
-    def synthetic(name: str, value: Column) -> Column:
-        return F.struct(F.lit(name).alias("name"), value.alias("value"))
-
-    builtin = F.array(
-        synthetic("service", F.col("service_name")),
-        synthetic("level", severity_level("severity_number")),
-        synthetic("scope", F.nullif(F.col("scope_name"), F.lit(""))),
+    # Few combinations of these columns exist; they are counted before they become observations.
+    builtin = kept.groupBy("service_name", severity_level("severity_number").alias("level"), "scope_name").agg(
+        F.count("*").alias("n")
+    )
+    named = F.array(
+        *(
+            F.struct(F.lit(name).alias("name"), F.col(column).alias("value"))
+            for name, column in (("service", "service_name"), ("level", "level"), ("scope", "scope_name"))
+        )
     )
-    observed = flattened(kept, ["attributes", "resource_attributes"], builtin).filter(F.col("value").isNotNull())
-    return rank_fields(observed, fields)
+    synthetic = builtin.select("n", F.inline(named)).filter((F.col("name") != "scope") | (F.col("value") != ""))
+    return rank_fields(attribute_observations(kept).unionByName(synthetic), fields)

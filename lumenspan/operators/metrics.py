@@ -62,28 +62,31 @@ def downsample(series: DataFrame, max_points: int = DEFAULT_POINTS) -> DataFrame
     return every_nth(series, SERIES, [TIME, "value"], limit)
 
 
-def _steps(series: DataFrame) -> DataFrame:
+def _steps(series: DataFrame, bounded: bool) -> DataFrame:
     """Consecutive points of different time: the last value before and the first value at each time.
 
     Points of equal time are ordered by value and never form a step among themselves, so each time is
     reduced to its smallest and largest value before anything is shuffled.
     """
     moments = series.groupBy(*SERIES, TIME).agg(F.min("value").alias("first"), F.max("value").alias("last"))
-    return with_previous(moments, SERIES, TIME, "last").filter(F.col("previous").isNotNull())
+    return with_previous(moments, SERIES, TIME, "last", bounded).filter(F.col("previous").isNotNull())
 
 
-def rate(series: DataFrame) -> DataFrame:
-    """Change per second between consecutive points; after a reset the new value is the change."""
+def rate(series: DataFrame, bounded: bool = False) -> DataFrame:
+    """Change per second between consecutive points; after a reset the new value is the change.
+
+    ``bounded`` is for downsampled series, whose length is limited.
+    """
     change = F.col("first") - F.col("previous")
     seconds = (F.col(TIME) - F.col("previous_time")) / 1e9
     grown = F.when(change < 0, F.col("first")).otherwise(change)
-    return _steps(series).select(*SERIES, TIME, (grown / seconds).alias("value"))
+    return _steps(series, bounded).select(*SERIES, TIME, (grown / seconds).alias("value"))
 
 
-def increase(series: DataFrame) -> DataFrame:
+def increase(series: DataFrame, bounded: bool = False) -> DataFrame:
     """Change between consecutive points; a reset counts as no change."""
     change = F.col("first") - F.col("previous")
-    return _steps(series).select(*SERIES, TIME, F.when(change < 0, 0.0).otherwise(change).alias("value"))
+    return _steps(series, bounded).select(*SERIES, TIME, F.when(change < 0, 0.0).otherwise(change).alias("value"))
 
 
 FUNCTIONS = {"rate": rate, "increase": increase}
@@ -103,21 +106,23 @@ def aggregate_series(
     if function not in AGGREGATES:
         return series
     buckets = _clamp(buckets, 2, 2000)
-    ends = series.agg(F.struct(F.min(TIME).alias("lo"), F.max(TIME).alias("hi")).alias("b")).scalar()
-    low = ends["lo"]
-    high = F.greatest(ends["hi"], low + 1)
     div = lambda a, b: F.call_function("div", a, b)
-    width = F.greatest(div(high - low, F.lit(buckets)), F.lit(1).cast("bigint"))
-    slot = F.least(div(F.col(TIME) - low, width), F.lit(buckets - 1)).alias("slot")
-    means = series.groupBy(slot, *SERIES).agg(F.avg("value").alias("value"))
+    ends = series.agg(F.struct(F.min(TIME).alias("lo"), F.max(TIME).alias("hi")).alias("b")).scalar()
+    # The bounds travel with the rows, so that the plan contains the subquery once.
+    ranged = series.withColumn("__ends", ends)
+    low = F.col("__ends.lo")
+    width = F.greatest(div(F.greatest(F.col("__ends.hi"), low + 1) - low, F.lit(buckets)), F.lit(1).cast("bigint"))
+    slot = F.least(div(F.col(TIME) - low, width), F.lit(buckets - 1))
+    middle = low + slot * width + div(width, F.lit(2))
+    means = ranged.groupBy(middle.alias(TIME), *SERIES).agg(F.avg("value").alias("value"))
     value = _without_nan(F.col("value")) if function in ("min", "max") else F.col("value")
-    folded = means.groupBy("slot").agg(AGGREGATES[function](value).alias("value"))
+    folded = means.groupBy(TIME).agg(AGGREGATES[function](value).alias("value"))
     count = (series if of is None else of).select(*SERIES).distinct().agg(F.count("*")).scalar()
     label = F.concat(F.lit(f'{{"aggregation":"{function}","series":'), count.cast("string"), F.lit("}"))
     return folded.select(
         F.lit(function).alias("service_name"),
         label.alias("attributes"),
-        (low + F.col("slot") * width + div(width, F.lit(2))).alias(TIME),
+        TIME,
         "value",
     )
 
@@ -134,7 +139,7 @@ def metric_query(
     selected = metric_series(points, name, **selection)
     series = downsample(selected, max_points)
     if function in FUNCTIONS:
-        series = FUNCTIONS[function](series)
+        series = FUNCTIONS[function](series, bounded=True)
     return aggregate_series(series, aggregation, of=selected)
 
 

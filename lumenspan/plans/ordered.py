@@ -16,23 +16,31 @@ SLICES = 4096
 
 def with_slice(df: DataFrame, time: str, slices: int = SLICES) -> DataFrame:
     """Add ``__slice``: the position of the row's time in the table's own range, 0..slices."""
-    bounds = df.agg(F.struct(F.min(time).alias("lo"), F.max(time).alias("hi")).alias("b")).scalar()
-    low = bounds["lo"]
-    width = F.greatest(_div(bounds["hi"] - low, F.lit(slices)), F.lit(1).cast("bigint"))
-    return df.withColumn("__slice", _div(F.col(time) - low, width))
+    ends = df.agg(F.struct(F.min(time).alias("lo"), F.max(time).alias("hi")).alias("b")).scalar()
+    # Held in one column, so that the plan contains the subquery once.
+    ranged = df.withColumn("__ends", ends)
+    low, high = F.col("__ends.lo"), F.col("__ends.hi")
+    width = F.greatest(_div(high - low, F.lit(slices)), F.lit(1).cast("bigint"))
+    return ranged.withColumn("__slice", _div(F.col(time) - low, width)).drop("__ends")
 
 
 def _div(a: Column, b: Column) -> Column:
     return F.call_function("div", a, b)
 
 
-def with_previous(df: DataFrame, keys: list[str], time: str, carried: str) -> DataFrame:
+def with_previous(df: DataFrame, keys: list[str], time: str, carried: str, bounded: bool = False) -> DataFrame:
     """Add ``previous_time`` and ``previous`` (the ``carried`` value) of the row before in each group.
 
-    Times are distinct within a group.
+    Times are distinct within a group.  ``bounded`` says that no group is larger than one task can sort.
     """
-    sliced = with_slice(df, time)
     entry = F.struct(F.col(time).alias("time"), F.col(carried).alias("value"))
+    if bounded:
+        before = F.lag(entry).over(W.partitionBy(*keys).orderBy(time))
+        plain = df.withColumn("__before", before)
+        return plain.select(
+            *df.columns, F.col("__before.time").alias("previous_time"), F.col("__before.value").alias("previous")
+        )
+    sliced = with_slice(df, time)
     last = sliced.groupBy(*keys, "__slice").agg(F.max(entry).alias("__last"))
     carry = F.lag("__last").over(W.partitionBy(*keys).orderBy("__slice"))
     borders = last.select(*keys, "__slice", carry.alias("__carry"))
@@ -53,7 +61,7 @@ def every_nth(df: DataFrame, keys: list[str], order: list[str], limit: int) -> D
     time = order[0]
     sliced = with_slice(df, time)
     copies = sliced.groupBy(*keys, "__slice", *order).agg(F.count("*").alias("__c"))
-    sizes = sliced.groupBy(*keys, "__slice").agg(F.count("*").alias("__n"))
+    sizes = copies.groupBy(*keys, "__slice").agg(F.sum("__c").alias("__n"))
     group = W.partitionBy(*keys)
     upto = F.sum("__n").over(group.orderBy("__slice").rowsBetween(W.unboundedPreceding, 0))
     offsets = sizes.select(

@@ -19,9 +19,16 @@ class Telemetry(NamedTuple):
     points: DataFrame
 
 
+def stored_schema(signal: str) -> T.StructType:
+    """Schema of a stored table, with its date partition."""
+    fields = {SPANS_DIR: SPANS, LOGS_DIR: LOGS, POINTS_DIR: POINTS}[signal].fields
+    return T.StructType([*fields, T.StructField("event_date", T.DateType())])
+
+
 def read_tables(spark: SparkSession, path: str) -> Telemetry:
     """Open the three stored tables below a folder."""
-    return Telemetry(*(spark.read.parquet(f"{path}/{name}") for name in (SPANS_DIR, LOGS_DIR, POINTS_DIR)))
+    signals = (SPANS_DIR, LOGS_DIR, POINTS_DIR)
+    return Telemetry(*(spark.read.schema(stored_schema(s)).parquet(f"{path}/{s}") for s in signals))
 
 
 def _default(field: T.StructField) -> Column:
