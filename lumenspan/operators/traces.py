@@ -53,7 +53,7 @@ def list_operations(spans: DataFrame, service: str | None = None) -> DataFrame:
     return spans.select("name").distinct().orderBy("name")
 
 
-def _summary_aggregates() -> list[Column]:
+def summary_aggregates() -> list[Column]:
     root = F.struct(
         (~is_root()).alias("is_child"), "start_time_unix_nano", "span_id", "name", "service_name"
     )
@@ -68,7 +68,7 @@ def _summary_aggregates() -> list[Column]:
     ]
 
 
-def _summary_columns(grouped: DataFrame) -> DataFrame:
+def summary_columns(grouped: DataFrame) -> DataFrame:
     return grouped.withColumns(
         {
             "root_name": F.col("__root.name"),
@@ -84,8 +84,8 @@ def _newest_first(summaries: DataFrame) -> DataFrame:
 
 def summarise(spans: DataFrame) -> DataFrame:
     """One row per trace, in no particular order."""
-    grouped = spans.groupBy("trace_id").agg(*_summary_aggregates())
-    return _summary_columns(grouped).select(*SUMMARY_COLUMNS)
+    grouped = spans.groupBy("trace_id").agg(*summary_aggregates())
+    return summary_columns(grouped).select(*SUMMARY_COLUMNS)
 
 
 def trace_summaries(spans: DataFrame) -> DataFrame:
@@ -129,8 +129,8 @@ def matching_traces(spans: DataFrame, condition: TraceCondition | None = None, *
     flags = TraceFlags(condition) if condition is not None else None
     candidate = F.count_if(span_filter(**filters)).alias("__candidates")
     columns = [] if flags is None else flags.columns
-    grouped = spans.groupBy("trace_id").agg(*_summary_aggregates(), candidate, *columns)
-    result = _summary_columns(grouped).filter(F.col("__candidates") > 0)
+    grouped = spans.groupBy("trace_id").agg(*summary_aggregates(), candidate, *columns)
+    result = summary_columns(grouped).filter(F.col("__candidates") > 0)
     if flags is not None:
         result = result.filter(flags.flag())
     return result.select(*SUMMARY_COLUMNS)

@@ -12,7 +12,7 @@ from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from lumenspan.operators.logs import level_counts
 from lumenspan.operators.metrics import SERIES, TIME, rate
-from lumenspan.operators.traces import _summary_aggregates, _summary_columns, is_error, is_root
+from lumenspan.operators.traces import summary_aggregates, summary_columns, is_error, is_root
 from lumenspan.schema import time_column
 from lumenspan.sinks.tables import PARTITION, with_date
 from lumenspan.sources.tables import LOGS_DIR, POINTS_DIR, SPANS_DIR
@@ -80,7 +80,7 @@ def session_traces(spans: DataFrame, gap: str = "30 seconds", delay: str = "1 mi
     """A summary per trace once no span has started for the gap."""
     timed = with_event_time(spans, delay)
     session = F.session_window(EVENT_TIME, gap).alias("session")
-    closed = _summary_columns(timed.groupBy("trace_id", session).agg(*_summary_aggregates()))
+    closed = summary_columns(timed.groupBy("trace_id", session).agg(*summary_aggregates()))
     return closed.select(
         "trace_id",
         "root_name",
