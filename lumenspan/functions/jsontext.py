@@ -42,8 +42,8 @@ def number_text(value: float | int) -> str:
 
 def quote_json(text: Column) -> Column:
     """A JSON string literal for the text."""
-    array = F.to_json(F.array(text))
-    return F.substring(array, F.lit(2), F.length(array) - 2)
+    # The literal itself starts and ends with a quote, so only the array brackets are trimmed.
+    return F.btrim(F.to_json(F.array(text)), F.lit("[]"))
 
 
 def _path(keys: list[str]) -> str:

@@ -29,7 +29,7 @@ spans AS (
   FROM orders
   UNION ALL
   SELECT CAST(l_orderkey AS VARCHAR),
-    'L' || l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey || '-' || CAST(l_quantity AS BIGINT),
+    'l' || l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey || '-' || CAST(l_quantity AS BIGINT),
     CAST(l_orderkey AS VARCHAR), 'line ' || l_linenumber, l_returnflag || l_linestatus,
     CASE l_linestatus WHEN 'O' THEN 'client' ELSE 'internal' END,
     epoch_us(l_shipdate) * 1000, epoch_us(l_shipdate) * 1000 + CAST(l_quantity AS BIGINT) * 1000000,

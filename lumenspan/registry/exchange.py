@@ -24,7 +24,7 @@ from lumenspan.registry.metrics import _RATE, _steps
 from lumenspan.sinks import otlp_export
 from lumenspan.sinks.tables import append_all, sweep_expired
 from lumenspan.sources import otlp_json, star_tables
-from lumenspan.sources.tables import SPANS_DIR, Telemetry, read_tables, stored_schema
+from lumenspan.sources.tables import LOGS_DIR, Telemetry, read_tables, stored_schema
 from lumenspan.streaming import live
 
 _SPAN_COLUMNS = [
@@ -241,14 +241,13 @@ def live_rate(spark, sf_dir):
     return live.read_rates(spark, path).withColumn("value", rounded("value", 9))
 
 
-@query("live_ingest", f"{WITH_SPANS} SELECT trace_id, span_id, duration_nanos, attributes FROM spans WHERE status_code = 1")
+@query("live_ingest", f"{WITH_LOGS} SELECT {', '.join(_LOG_COLUMNS)} FROM logs")
 def live_ingest(spark, sf_dir):
-    """A stream of export documents flattened into the span table."""
+    """A stream of export documents flattened into the log table."""
     path = work_dir(spark, "ingest")
-    good = spans_of(spark, sf_dir).filter(R.spans.field_cmp("status", "<=", 1) & ~R.spans.field_is("status", "0"))
-    otlp_export.write_documents(otlp_export.export_spans(good), f"{path}/documents")
-    documents = spark.readStream.schema(otlp_json.SPAN_DOCUMENTS).json(f"{path}/documents")
-    rows = otlp_json.flatten_spans(documents)
-    live.start_ingest(rows, path, SPANS_DIR, f"{path}/checkpoint", availableNow=True).awaitTermination()
-    stored = spark.read.schema(stored_schema(SPANS_DIR)).parquet(f"{path}/{SPANS_DIR}")
-    return stored.select("trace_id", "span_id", "duration_nanos", "attributes")
+    otlp_export.write_documents(otlp_export.export_logs(logs_of(spark, sf_dir)), f"{path}/documents")
+    documents = spark.readStream.schema(otlp_json.LOG_DOCUMENTS).json(f"{path}/documents")
+    rows = otlp_json.flatten_logs(documents)
+    live.start_ingest(rows, path, LOGS_DIR, f"{path}/checkpoint", availableNow=True).awaitTermination()
+    stored = spark.read.schema(stored_schema(LOGS_DIR)).parquet(f"{path}/{LOGS_DIR}")
+    return stored.select(*_LOG_COLUMNS)

@@ -92,7 +92,7 @@ def child_spans(lineitem: DataFrame) -> DataFrame:
         {
             "trace_id": _text("l_orderkey"),
             "span_id": F.concat(
-                F.lit("L"), F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", quantity)
+                F.lit("l"), F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", quantity)
             ),
             "parent_span_id": _text("l_orderkey"),
             "name": F.concat(F.lit("line "), _text("l_linenumber")),
