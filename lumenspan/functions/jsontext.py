@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -61,6 +62,19 @@ class JsonValue:
     text: Column
     type_name: Column
     numeric: Column | None = None
+    # A plain table column; looked-up text is costly and must not be computed once per mention.
+    simple: bool = False
+
+    def let(self, use: Callable[[JsonValue], Column]) -> Column:
+        """``use`` applied to this value with its text computed once.
+
+        The text is bound to a lambda variable: inside conditional branches the engine would otherwise
+        parse the document again at every mention.
+        """
+        if self.simple:
+            return use(self)
+        bound = F.transform(F.array(self.text), lambda t: use(replace(self, text=t, simple=True)))
+        return F.get(bound, 0)
 
     @property
     def present(self) -> Column:
@@ -87,55 +101,62 @@ class JsonValue:
 
 def plain(text: Column) -> JsonValue:
     """A table column seen as a value: always present, never nested."""
-    return JsonValue(F.coalesce(text.cast("string"), F.lit("")), F.lit("STRING"))
+    return JsonValue(F.coalesce(text.cast("string"), F.lit("")), F.lit("STRING"), simple=True)
 
 
 def plain_number(number: Column) -> JsonValue:
     """A numeric table column; comparisons read it without going through text."""
-    return JsonValue(F.coalesce(number.cast("string"), F.lit("")), F.lit("STRING"), number.cast("double"))
+    return JsonValue(F.coalesce(number.cast("string"), F.lit("")), F.lit("STRING"), number.cast("double"), simple=True)
 
 
 def body_value(body: Column, body_json: Column) -> JsonValue:
     """The log body, which may hold any JSON value."""
     nested = body_json.startswith("{") | body_json.startswith("[")
-    return JsonValue(body, F.when(nested, F.lit("OBJECT")).otherwise(F.lit("STRING")))
+    return JsonValue(body, F.when(nested, F.lit("OBJECT")).otherwise(F.lit("STRING")), simple=True)
+
+
+def _may_hold(document: Column, key: str) -> Column:
+    """False only where the key cannot be in the document: its quoted name, or an escape, is missing."""
+    return document.contains(f'"{key}"') | document.contains("\\u")
 
 
-def _text_at(document: Column, keys: list[str]) -> Column:
-    path = _path(keys)
+def _text_at(document: Column, keys: list[str]) -> list[Column]:
+    """Candidate texts of a path; documents without the last key are not parsed."""
+    path, held = _path(keys), _may_hold(document, keys[-1])
     # Only a document that spells "null" can hold a JSON null, so the VARIANT parse is rarely reached.
-    is_null = document.contains("null") & F.is_variant_null(
-        F.try_variant_get(F.try_parse_json(document), path, "variant")
-    )
-    return F.coalesce(F.get_json_object(document, path), F.when(is_null, F.lit("null")))
+    is_null = F.is_variant_null(F.try_variant_get(F.try_parse_json(document), path, "variant"))
+    return [
+        F.when(held, F.get_json_object(document, path)),
+        F.when(held & document.contains("null"), F.when(is_null, F.lit("null"))),
+    ]
 
 
-def _text_at_any_key(document: Column, key: str) -> Column:
+def _text_at_any_key(document: Column, key: str) -> list[Column]:
     entries = F.from_json(document, "map<string,string>")
-    text = F.try_element_at(entries, F.lit(key))
-    return F.coalesce(text, F.when(F.map_contains_key(entries, key), F.lit("null")))
+    return [F.try_element_at(entries, F.lit(key)), F.when(F.map_contains_key(entries, key), F.lit("null"))]
+
+
+def _literal_texts(document: Column, key: str) -> list[Column]:
+    return _text_at_any_key(document, key) if _UNSAFE_KEY.search(key) else _text_at(document, [key])
 
 
 def literal_lookup(document: Column | str, key: str) -> Column:
     """Text of a top-level key, dots taken literally."""
-    document = as_column(document)
-    if _UNSAFE_KEY.search(key):
-        return _text_at_any_key(document, key)
-    return _text_at(document, [key])
+    return F.coalesce(*_literal_texts(as_column(document), key))
 
 
 def lookup(document: Column | str, key: str) -> JsonValue:
     """A key taken literally, else as a dotted path into nested objects; the literal key wins."""
     document = as_column(document)
-    texts = [literal_lookup(document, key)]
+    texts = _literal_texts(document, key)
     parts = key.split(".")
     if _UNSAFE_KEY.search(key):
         entries = F.from_json(document, "map<string,variant>")
-        return JsonValue(texts[0], F.schema_of_variant(F.try_element_at(entries, F.lit(key))))
+        return JsonValue(F.coalesce(*texts), F.schema_of_variant(F.try_element_at(entries, F.lit(key))))
     variant = F.try_parse_json(document)
     variants = [F.try_variant_get(variant, _path([key]), "variant")]
     if len(parts) > 1 and all(parts):
-        texts.append(_text_at(document, parts))
+        texts.extend(_text_at(document, parts))
         variants.append(F.try_variant_get(variant, _path(parts), "variant"))
     return JsonValue(F.coalesce(*texts), F.schema_of_variant(F.coalesce(*variants)))
 

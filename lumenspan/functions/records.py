@@ -135,17 +135,20 @@ class RecordPredicates:
         self._values = values
         self._text = text
 
+    def _candidates(self, field: str | None) -> list[JsonValue]:
+        return [JsonValue(self._text(), F.lit("STRING"))] if field is None else self._values(field)
+
     def _haystacks(self, field: str | None) -> list[Column]:
-        return [self._text()] if field is None else [value.text for value in self._values(field)]
+        return [value.text for value in self._candidates(field)]
 
     def field_is(self, field: str, pattern: str) -> Column:
         """Whole-value, case-insensitive glob; containment where the value is an object or array."""
 
         def matches(value: JsonValue) -> Column:
             whole = _like(value.text, pattern)
-            return truth(F.when(value.is_container, _like(value.text, f"*{pattern}*")).otherwise(whole))
+            return F.when(value.is_container, _like(value.text, f"*{pattern}*")).otherwise(whole)
 
-        return any_of(matches(value) for value in self._values(field))
+        return any_of(truth(value.let(matches)) for value in self._values(field))
 
     def field_cmp(self, field: str, op: str, number: float | str) -> Column:
         """``> >= < <=`` where both sides are numbers, false everywhere else."""
@@ -156,9 +159,9 @@ class RecordPredicates:
         def holds(value: JsonValue) -> Column:
             left, right = value.comparable, F.lit(bound)
             result = {">": left > right, ">=": left >= right, "<": left < right, "<=": left <= right}[op]
-            return truth(result & ~F.isnan(left))
+            return result & ~F.isnan(left)
 
-        return any_of(holds(value) for value in self._values(field))
+        return any_of(truth(value.let(holds)) for value in self._values(field))
 
     def has_text(self, term: str) -> Column:
         """Case-insensitive substring (or contained glob) of the whole record."""
@@ -222,10 +225,11 @@ class RecordPredicates:
             numeric = F.when(unordered, F.lit(inclusive)).otherwise(ordered(value, F.lit(limit)))
             return F.when(value.isNotNull(), numeric).otherwise(as_text)
 
-        return any_of(
-            truth(hay.isNotNull() & side(hay, str(low), include_low, False) & side(hay, str(high), include_high, True))
-            for hay in self._haystacks(field)
-        )
+        def inside(value: JsonValue) -> Column:
+            lower = side(value.text, str(low), include_low, False)
+            return value.present & lower & side(value.text, str(high), include_high, True)
+
+        return any_of(truth(value.let(inside)) for value in self._candidates(field))
 
     @staticmethod
     def bool_of(

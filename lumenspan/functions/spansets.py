@@ -131,7 +131,7 @@ _test_numbers = itertools.count()
 
 def _condition(name: str, test: Callable[[JsonValue], Column]) -> Condition:
     if not is_trace_field(name):
-        return Condition(lambda known: test(_field_value(name, None)))
+        return Condition(lambda known: truth(_field_value(name, None).let(test)))
     number = next(_test_numbers)
     return Condition(
         lambda known: F.lit(known[number]),
@@ -286,7 +286,7 @@ class TraceFlags:
                 return truth(compare_number(a.op, number, expected) & number.isNotNull())
 
             return constant
-        number = F.when(matched, _field_value(a.field, None).number)
+        number = F.when(matched, _field_value(a.field, None).let(lambda value: value.number))
         if a.function in ("min", "max"):
             number = F.when(~F.isnan(number), number)
         function = {"avg": F.avg, "sum": F.sum, "min": F.min, "max": F.max}[a.function]

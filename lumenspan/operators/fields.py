@@ -79,16 +79,17 @@ def rank_fields(observations: DataFrame, fields: int = MAX_FIELDS, values: int =
     )
     totals = counted.groupBy("name").agg(F.sum("n").alias("count"))
     top = totals.orderBy(F.desc("count"), "name").limit(fields)
+    # An inner join with unique names, not a semi join: the optimizer would move a semi join below the
+    # aggregation and count everything a second time instead of reusing its shuffle.
+    small = F.broadcast(top) if fields <= BROADCAST_FIELDS else top
     # The values of one name may be nearly all distinct: the rank filter also runs before the shuffle.
     rank = F.row_number().over(W.partitionBy("name").orderBy(F.desc("n"), "value"))
-    small = F.broadcast(top) if fields <= BROADCAST_FIELDS else top
-    best = counted.join(small.select("name"), "name", "left_semi").withColumn("__rank", rank)
-    best = best.filter(F.col("__rank") <= values)
+    best = counted.join(small, "name").withColumn("__rank", rank).filter(F.col("__rank") <= values)
     entry = F.struct("__rank", F.struct("value", F.col("n").alias("count")).alias("top"))
-    listed = best.groupBy("name").agg(
+    listed = best.groupBy("name", "count").agg(
         F.transform(F.array_sort(F.collect_list(entry)), lambda e: e["top"]).alias("top_values")
     )
-    return listed.join(small, "name").select("name", "count", "top_values").orderBy(F.desc("count"), "name")
+    return listed.orderBy(F.desc("count"), "name")
 
 
 def trace_fields(

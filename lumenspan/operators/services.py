@@ -101,8 +101,10 @@ def service_graph_edges(spans: DataFrame) -> DataFrame:
 def filter_graph(nodes: DataFrame, edges: DataFrame, term: str) -> tuple[DataFrame, DataFrame]:
     """Matching nodes, and the edges that have both ends among them."""
     kept = nodes.filter(name_matches("service_name", term))
+    names = kept.select("service_name").distinct()
     for end in ("source", "target"):
-        edges = edges.join(kept.select(F.col("service_name").alias(end)), end, "left_semi")
+        # Inner joins with unique names stay above the aggregation that made the edges.
+        edges = edges.join(names.select(F.col("service_name").alias(end)), end)
     return kept, edges.select("source", "target", "calls", "errors", "avg_ms")
 
 

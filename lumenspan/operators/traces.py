@@ -227,9 +227,11 @@ def trace_completeness(spans: DataFrame) -> DataFrame:
         .groupBy("trace_id", "parent_span_id")
         .agg(F.count("*").alias("children"))
     )
-    known = spans.select("trace_id", F.col("span_id").alias("parent_span_id")).distinct()
+    known = spans.select("trace_id", F.col("span_id").alias("parent_span_id")).distinct().withColumn("__known", F.lit(True))
+    # Not an anti join: the optimizer would move that below the counting.
     orphans = (
-        children.join(known, ["trace_id", "parent_span_id"], "left_anti")
+        children.join(known, ["trace_id", "parent_span_id"], "left")
+        .filter(F.col("__known").isNull())
         .groupBy("trace_id")
         .agg(F.sum("children").alias("orphans"))
     )

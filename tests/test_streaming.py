@@ -63,7 +63,7 @@ def test_sessions_close_after_the_gap(spark, tmp_path, make_spans):
 
 
 def test_duplicates_across_batches(spark, tmp_path, make_spans):
-    spans = make_spans(("t", "a", "", "s", 0, 1), ("t", "b", "", "s", S, 2 * S))
+    spans = make_spans(("t", "a", "", "s", S, S), ("t", "b", "", "s", 2 * S, 2 * S))
     folder = str(tmp_path / "in")
     _files(spans, folder, [[0, 1], [1], [0, 1]])
     assert len(_run(live.deduplicated(_stream(spark, folder, SPANS)), tmp_path, spark)) == 2
