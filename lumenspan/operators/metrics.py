@@ -69,7 +69,7 @@ def _steps(series: DataFrame, bounded: bool) -> DataFrame:
     reduced to its smallest and largest value before anything is shuffled.
     """
     moments = series.groupBy(*SERIES, TIME).agg(F.min("value").alias("first"), F.max("value").alias("last"))
-    return with_previous(moments, SERIES, TIME, "last", bounded).filter(F.col("previous").isNotNull())
+    return with_previous(moments, SERIES, TIME, "last", None if bounded else series).filter(F.col("previous").isNotNull())
 
 
 def rate(series: DataFrame, bounded: bool = False) -> DataFrame:

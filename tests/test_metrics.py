@@ -93,6 +93,7 @@ def _brute_steps(points):
 def test_sliced_windows_against_brute_force(spark, monkeypatch):
     rng = random.Random(3)
     monkeypatch.setattr(ordered, "SLICES", 7)
+    monkeypatch.setattr(ordered, "BLOCK", 3)
     data = {}
     for service in ("hot", "cold", "single"):
         n = {"hot": 900, "cold": 40, "single": 1}[service]
