@@ -16,6 +16,8 @@ from lumenspan.functions.filters import all_of, any_of
 from lumenspan.functions.jsontext import JsonValue, body_value, lookup, number_of, parse_number, plain, plain_number, truth
 
 MAX_EDITS = 2
+# The pattern engine nests once per skipped token; beyond this slop phrases are matched on token arrays.
+PATTERN_SLOP = 64
 
 # Punctuation that JSON text leaves around a word.
 _EDGE_MARKS = '",{}[]:'
@@ -128,6 +130,34 @@ def phrase_pattern(words: Iterable[str], slop: int) -> str:
     return rf"(?U)(?:^|\s)(?>{first}){steps}"
 
 
+def _phrase_in_tokens(text: Column, words: list[str], slop: int) -> Column:
+    """The same rule as :func:`phrase_pattern` on an array of tokens, for any slop."""
+    split = F.filter(F.split(F.lower(text), r"(?U)\s+"), lambda token: token != "")
+    tokens = F.transform(split, lambda token: F.btrim(token, F.lit(_EDGE_MARKS)))
+    cleaned = [word.lower().strip(_EDGE_MARKS) for word in words]
+
+    def fits(token: Column, number: Column) -> Column:
+        result = F.lit(False)
+        for position, word in enumerate(cleaned):
+            result = F.when(number == position, _wildcard(token, word)).otherwise(result)
+        return result
+
+    def found(all_tokens: Column) -> Column:
+        def advance(at: Column, number: Column) -> Column:
+            near = F.slice(all_tokens, at + 1, F.lit(slop + 1))
+            step = F.array_position(F.transform(near, lambda token: fits(token, number)), True).cast("int")
+            return F.when((at > 0) & (step > 0), at + step).otherwise(0)
+
+        def from_start(position: Column) -> Column:
+            start = F.when(fits(F.element_at(all_tokens, position), F.lit(0)), position).otherwise(0)
+            rest = F.array(*map(F.lit, range(1, len(cleaned)))) if len(cleaned) > 1 else F.expr("array()").cast("array<int>")
+            return F.aggregate(rest, start, advance) > 0
+
+        return F.when(F.size(all_tokens) > 0, F.exists(F.sequence(F.lit(1), F.size(all_tokens)), from_start))
+
+    return F.get(F.transform(F.array(tokens), found), 0)
+
+
 class RecordPredicates:
     """Predicates over one kind of record."""
 
@@ -193,6 +223,8 @@ class RecordPredicates:
         haystacks = self._haystacks(field)
         if not words:
             return any_of(hay.isNotNull() for hay in haystacks)
+        if slop > PATTERN_SLOP:
+            return any_of(truth(_phrase_in_tokens(hay, words, slop)) for hay in haystacks)
         pattern = phrase_pattern(words, slop)
         return any_of(truth(F.lower(hay).rlike(pattern)) for hay in haystacks)
 
