@@ -42,7 +42,8 @@ def with_slice(df: DataFrame, time: str, source: DataFrame) -> DataFrame:
     first = upto(F.col("__cuts.blocks")) * BLOCK
     held = held.withColumn("__first", first)
     inside = upto(F.slice(F.col("__cuts.cuts"), F.col("__first") + 1, F.lit(BLOCK)))
-    return held.withColumn("__slice", F.col("__first") + inside).drop("__cuts", "__first")
+    # Never NULL, and declared so: a join would otherwise test the search below the aggregation again.
+    return held.withColumn("__slice", F.coalesce(F.col("__first") + inside, F.lit(0))).drop("__cuts", "__first")
 
 
 def with_previous(

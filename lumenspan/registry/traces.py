@@ -125,18 +125,25 @@ def trace_tree(spark, sf_dir):
     return _tree(spans_of(spark, sf_dir))
 
 
-# Lines of an order as a call chain: each calls the next, so trees get as deep as an order has lines.
-_CHAIN = """chain AS (SELECT s.* REPLACE (coalesce(lag(span_id) OVER (PARTITION BY trace_id
-  ORDER BY parent_span_id <> '', name, span_id), 'lost') AS parent_span_id) FROM spans s)"""
+# Lines of an order as a call chain: line n is called by the first span of line n - 1, so trees get as
+# deep as an order has lines, and a missing line number leaves orphans.
+_CHAIN = """callers AS (SELECT trace_id, name, min(span_id) AS caller FROM spans WHERE parent_span_id <> '' GROUP BY ALL),
+chain AS (SELECT s.* REPLACE (CASE WHEN s.parent_span_id = '' OR s.name = 'line 1' THEN s.parent_span_id
+    ELSE coalesce(c.caller, 'lost') END AS parent_span_id)
+  FROM spans s LEFT JOIN callers c ON c.trace_id = s.trace_id
+    AND c.name = 'line ' || (TRY_CAST(regexp_extract(s.name, '[0-9]+$') AS INTEGER) - 1))"""
 
 
 @query("trace_tree_chain", "WITH " + _TREE.format(spans=f"{_WITH}, {_CHAIN}", source="chain"))
 def trace_tree_chain(spark, sf_dir):
-    from pyspark.sql import Window as W
-
     spans = spans_of(spark, sf_dir)
-    order = W.partitionBy("trace_id").orderBy(F.col("parent_span_id") != "", "name", "span_id")
-    return _tree(spans.withColumn("parent_span_id", F.coalesce(F.lag("span_id").over(order), F.lit("lost"))))
+    callers = spans.filter(~traces.is_root()).groupBy("trace_id", "name").agg(F.min("span_id").alias("caller"))
+    number = F.regexp_extract("name", "[0-9]+$", 0).try_cast("int")
+    called = spans.withColumn("called_by", F.concat(F.lit("line "), (number - 1).cast("string")))
+    linked = called.join(callers.withColumnRenamed("name", "called_by"), ["trace_id", "called_by"], "left")
+    top = traces.is_root() | (F.col("name") == "line 1")
+    parent = F.when(top, F.col("parent_span_id")).otherwise(F.coalesce("caller", F.lit("lost")))
+    return _tree(linked.withColumn("parent_span_id", parent))
 
 
 _ERROR_COLUMNS = "trace_id, span_id, name, service_name, status_message, start_time_unix_nano, duration_nanos"
