@@ -167,10 +167,10 @@ def series_stats(series: DataFrame) -> DataFrame:
     )
 
 
-def series_points(series: DataFrame) -> DataFrame:
-    """Series as one row each, points as a sorted array.  For downsampled series, whose length is bounded."""
+def series_points(series: DataFrame, max_points: int = DEFAULT_POINTS) -> DataFrame:
+    """Series as one row each with a sorted array of points, downsampled so that the arrays are bounded."""
     points = F.array_sort(F.collect_list(F.struct(TIME, "value")))
-    return series.groupBy(*SERIES).agg(points.alias("points"))
+    return downsample(series, max_points).groupBy(*SERIES).agg(points.alias("points"))
 
 
 def find_exemplars(
