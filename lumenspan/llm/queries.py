@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenspan.llm import simhash
-from lumenspan.llm.base import documents, prepare
+from lumenspan.llm import quality, simhash
+from lumenspan.llm.base import WORD, documents, prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -28,3 +28,46 @@ def query(name: str, sql: str | None = None) -> Callable:
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_components(documents(spark, sf_dir), shingle=3)
     return found.select("doc_id", simhash.hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+CLOSING_SQL = quality.CLOSING.replace("'", "''")
+OP1_SQL = f"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{WORD}') AS ws FROM documents),
+windows AS (SELECT doc_id, i, array_to_string(list_slice(ws, i, i + 7), ' ') AS run
+  FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 6)) AS i FROM d)),
+repeated AS (SELECT doc_id, unnest(range(i, i + 8)) AS p
+  FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, run) AS n FROM windows) WHERE n > 1),
+repeats AS (SELECT doc_id, count(DISTINCT p) AS n_repeat_words FROM repeated GROUP BY doc_id),
+split AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS pos
+  FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM d)),
+counted AS (SELECT *, len(regexp_extract_all(line, '{WORD}')) AS n,
+  length(regexp_replace(line, '[\\x20\\x09-\\x0D]', '', 'g')) AS chars,
+  row_number() OVER (PARTITION BY doc_id, line ORDER BY pos) AS copy FROM split),
+judged AS (SELECT *, CASE WHEN n = 0 THEN NULL
+  WHEN len(regexp_extract_all(line, '{quality.BARS}')) >= 2 THEN 'navigation'
+  WHEN NOT regexp_matches(line, '{CLOSING_SQL}') THEN 'punctuation'
+  WHEN len(regexp_extract_all(line, '{quality.MARKS}')) > 0.25 * n THEN 'punctuation'
+  WHEN len(regexp_extract_all(line, '{quality.SYMBOLS}')) > 0.5 * n THEN 'punctuation'
+  WHEN n <= 12 AND regexp_matches(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '{quality.BOILERPLATE}') THEN 'boilerplate' END AS fault FROM counted),
+lines AS (SELECT doc_id, count(*) FILTER (n > 0 AND copy > 1) AS n_dup_lines,
+  CAST(coalesce(sum(chars) FILTER (fault IS NOT NULL), 0) AS BIGINT) AS lost_chars,
+  CAST(coalesce(sum(chars) FILTER (fault = 'punctuation'), 0) AS BIGINT) AS lost_punctuation,
+  CAST(coalesce(sum(chars) FILTER (fault = 'navigation'), 0) AS BIGINT) AS lost_navigation,
+  CAST(coalesce(sum(chars) FILTER (fault = 'boilerplate'), 0) AS BIGINT) AS lost_boilerplate
+  FROM judged GROUP BY doc_id),
+base AS (SELECT d.doc_id, len(ws) AS n_words, length(regexp_replace(text, '[\\x20\\x09-\\x0D]', '', 'g')) AS word_chars,
+  len(regexp_extract_all(text, '{quality.SYMBOLS}')) AS n_symbols, n_dup_lines,
+  coalesce(n_repeat_words, 0) AS n_repeat_words, lost_chars, lost_punctuation, lost_navigation, lost_boilerplate
+  FROM d JOIN lines USING (doc_id) LEFT JOIN repeats USING (doc_id))
+SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+  NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND lost_chars <= 0.3 * word_chars AS kept FROM base
+"""
+
+
+@query("op1_quality_rules", OP1_SQL)
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rated = quality.assess(documents(spark, sf_dir).select("doc_id", "text"))
+    columns = [part.split()[0] for part in quality.COLUMNS.split(", ")]
+    return rated.select("doc_id", *[F.col("quality")[c].alias(c) for c in columns if c != "cleaned"])
