@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenspan.llm import quality, simhash
+from lumenspan.llm import linededup, quality, simhash
 from lumenspan.llm.base import WORD, documents, prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -71,3 +71,34 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     rated = quality.assess(documents(spark, sf_dir).select("doc_id", "text"))
     columns = [part.split()[0] for part in quality.COLUMNS.split(", ")]
     return rated.select("doc_id", *[F.col("quality")[c].alias(c) for c in columns if c != "cleaned"])
+
+
+OP7_SQL = f"""
+WITH split AS (SELECT doc_id, unnest(lines) AS raw, generate_subscripts(lines, 1) - 1 AS pos
+  FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents WHERE text IS NOT NULL)),
+counted AS (SELECT *, regexp_replace(raw, '^[\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+$', '', 'g') AS line,
+  CAST(len(regexp_extract_all(raw, '{WORD}')) AS BIGINT) AS w FROM split),
+full_lines AS (SELECT *, CAST(sum(w) OVER (PARTITION BY doc_id ORDER BY pos) - w AS BIGINT) AS done FROM counted WHERE w > 0),
+runs AS (
+  SELECT doc_id, pos AS first, max(pos) OVER s AS last, array_to_string(list(line) OVER s, chr(10)) AS run, sum(w) OVER s AS total,
+    'forward' AS kind FROM full_lines WINDOW s AS (PARTITION BY doc_id ORDER BY done RANGE BETWEEN CURRENT ROW AND 49 FOLLOWING)
+  UNION ALL
+  SELECT doc_id, min(pos) OVER e, pos, array_to_string(list(line) OVER e, chr(10)), sum(w) OVER e, 'backward'
+    FROM full_lines WINDOW e AS (PARTITION BY doc_id ORDER BY done + w RANGE BETWEEN 49 PRECEDING AND CURRENT ROW)),
+later AS (SELECT doc_id, first, last FROM (
+  SELECT *, row_number() OVER (PARTITION BY kind, run ORDER BY doc_id, first) AS n FROM runs WHERE total >= 50) WHERE n > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(first, last + 1)) AS pos FROM later),
+marked AS (SELECT split.*, gone.pos IS NOT NULL AS out FROM split LEFT JOIN gone USING (doc_id, pos)),
+kept AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (out) AS n_removed,
+  coalesce(string_agg(raw, chr(10) ORDER BY pos) FILTER (NOT out), '') AS text FROM marked GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, kept.text
+FROM documents d LEFT JOIN kept USING (doc_id)
+"""
+
+
+@query("op7_line_dedup", OP7_SQL)
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text", F.size(F.split("text", "\n")).alias("n"))
+    found = linededup.dedup_lines(docs)
+    lines = F.greatest(F.coalesce("n", F.lit(0)), F.lit(0)).cast("bigint")
+    return found.select("doc_id", lines.alias("n_lines"), F.size("removed").cast("bigint").alias("n_removed"), "text")
