@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenspan.llm import linededup, quality, simhash
-from lumenspan.llm.base import WORD, documents, prepare
+from lumenspan.llm import decontamination, linededup, quality, simhash
+from lumenspan.llm.base import WORD, documents, prepare, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -102,3 +102,9 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = linededup.dedup_lines(docs)
     lines = F.greatest(F.coalesce("n", F.lit(0)), F.lit(0)).cast("bigint")
     return found.select("doc_id", lines.alias("n_lines"), F.size("removed").cast("bigint").alias("n_removed"), "text")
+
+
+@query("op5_decontamination")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.leaks(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "first_word", "n_compared", "n_equal", "best_window")
