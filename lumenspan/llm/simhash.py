@@ -75,7 +75,8 @@ def _bit(i: Column) -> Column:
 
 def close_links(prints: DataFrame) -> DataFrame:
     """(a, b) at one or two differing bits, enough of them to connect everything connected; prints: distinct ``fp``."""
-    step = prints.select("fp", F.explode(F.sequence(F.lit(0), F.lit(64))).alias("i"))
+    width = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    step = prints.repartition(width, "fp").select("fp", F.explode(F.sequence(F.lit(0), F.lit(64))).alias("i"))
     keys = step.select(
         F.when(F.col("i") < 64, F.col("fp").bitwiseXOR(_bit(F.col("i")))).otherwise(F.col("fp")).alias("key"),
         F.when(F.col("i") < 64, _bit(F.col("i"))).otherwise(F.lit(0).cast("bigint")).alias("flip"),
@@ -109,7 +110,8 @@ def near_components(docs: DataFrame, shingle: int = 3, doc_id: str = "doc_id", t
     firsts = members.groupBy("root").agg(F.min("least").alias("first"))
     linked = members.join(firsts, "root").select("fp", "first")
     classes = least.join(linked, "fp", "left").select("fp", F.coalesce("first", "least").alias("component_id"))
-    return rows.join(classes, "fp").select("doc_id", "fp", "component_id")
+    # Stored, so that the join reads two plain shuffles and Spark can split a fingerprint of very many copies.
+    return rows.join(stored(classes, "classes"), "fp").select("doc_id", "fp", "component_id")
 
 
 def hex_digits(fp: Column) -> Column:
