@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenspan.llm import decontamination, linededup, quality, simhash
+from lumenspan.llm import decontamination, licenses, linededup, quality, simhash
 from lumenspan.llm.base import WORD, documents, prepare, table
+from lumenspan.llm.license_rules import rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -108,3 +109,41 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.leaks(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "item_id", "first_word", "n_compared", "n_equal", "best_window")
+
+
+def _op9_sql() -> str:
+    quoted = lambda x: "'" + str(x).replace("'", "''") + "'"
+    values = ",\n".join(
+        f"({quoted(r.rule)}, {quoted(r.label)}, {r.priority}, {r.confidence}::DOUBLE, {quoted(r.keyword)}, {quoted(r.pattern)})" for r in rules()
+    )
+    phrases = " UNION ALL ".join(f"SELECT {quoted(p)} AS phrase, {quoted(x)} AS label" for p, x in licenses.PHRASES.items())
+    return rf"""
+WITH rules(rule, label, priority, confidence, keyword, pattern) AS (VALUES {values}),
+phrases AS ({phrases}),
+d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+w AS (SELECT doc_id, regexp_extract_all(text, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM d),
+places AS (SELECT doc_id, i - 1 AS place, label FROM (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM w) p
+  JOIN phrases ON ws[i] = string_split(phrase, ' ')[1]
+  AND list_slice(ws, i, i + len(string_split(phrase, ' ')) - 1) = string_split(phrase, ' ')),
+base AS (SELECT doc_id, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word, list(DISTINCT label) AS labels
+  FROM places GROUP BY doc_id),
+tried AS (SELECT doc_id, text, rules.* FROM d JOIN rules ON contains(text, keyword)),
+pieces AS (SELECT * EXCLUDE (text, keyword, pattern), regexp_extract_all(text, pattern) AS m, string_split_regex(text, pattern) AS b FROM tried),
+each AS (SELECT * EXCLUDE (m, b), unnest(range(1, len(m) + 1)) AS k, m, b FROM pieces WHERE len(m) > 0),
+placed AS (SELECT doc_id, rule, label, priority, confidence,
+  list_sum(list_transform(b[:k], lambda x: length(x))) + coalesce(list_sum(list_transform(m[:k - 1], lambda x: length(x))), 0) AS first,
+  list_sum(list_transform(b[:k], lambda x: length(x))) + list_sum(list_transform(m[:k], lambda x: length(x))) AS last FROM each),
+stay AS (SELECT * FROM placed i WHERE NOT EXISTS (SELECT 1 FROM placed j WHERE j.doc_id = i.doc_id AND j.first <= i.first
+  AND j.last >= i.last AND (j.priority > i.priority OR j.priority = i.priority AND j.last - j.first > i.last - i.first))),
+more AS (SELECT doc_id, list(DISTINCT label) AS labels, max(confidence) AS best FROM stay GROUP BY doc_id)
+SELECT w.doc_id, len(ws) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
+  coalesce(array_to_string(list_sort(base.labels), ','), '') AS base_labels,
+  coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(more.labels, [])))), ','), '') AS labels,
+  greatest(CASE WHEN n_base > 0 THEN {licenses.PHRASE_SCORE} ELSE 0 END, coalesce(best, 0))::DOUBLE AS score
+FROM w LEFT JOIN base USING (doc_id) LEFT JOIN more USING (doc_id)
+"""
+
+
+@query("op9_license_scan", _op9_sql())
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(documents(spark, sf_dir))
