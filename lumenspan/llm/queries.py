@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenspan.llm import decontamination, licenses, linededup, quality, simhash
+from lumenspan.llm import decontamination, licenses, linededup, mixing, quality, simhash
 from lumenspan.llm.base import WORD, documents, prepare, table
 from lumenspan.llm.license_rules import rules
 
@@ -147,3 +147,23 @@ FROM w LEFT JOIN base USING (doc_id) LEFT JOIN more USING (doc_id)
 @query("op9_license_scan", _op9_sql())
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(documents(spark, sf_dir))
+
+
+OP4_SQL = """
+WITH counts AS (SELECT source, count(*) AS n, sqrt(count(*)) AS weight FROM documents GROUP BY source),
+rates AS (SELECT source, weight / sum(weight) OVER () * sum(n) OVER () / n AS rate FROM counts),
+odds AS (SELECT source, k, rate, sum(exp(k * ln(rate) - rate - lgamma(k + 1))) OVER (PARTITION BY source ORDER BY k) AS upto
+  FROM (SELECT source, rate, unnest(range(0, CAST(ceil(rate + 12 * sqrt(rate) + 30) AS BIGINT) + 1)) AS k FROM rates)),
+limits AS (SELECT source, list(upto ORDER BY k) AS upto FROM odds GROUP BY source),
+drawn AS (SELECT d.*, len(list_filter(upto, lambda c: c <= u)) AS times FROM (
+  SELECT *, ('0x' || substr(md5('17:' || doc_id || ':1'), 1, 13))::BIGINT / 4503599627370496.0 AS u FROM documents) d
+  JOIN limits ON d.source IS NOT DISTINCT FROM limits.source),
+copies AS (SELECT *, CAST(unnest(range(0, times)) AS INTEGER) AS replica FROM drawn)
+SELECT doc_id, text, lang, source, n_chars, replica,
+  ('0x' || substr(md5('17:' || doc_id || ':' || replica || ':order'), 1, 13))::BIGINT AS shuffle_key FROM copies
+"""
+
+
+@query("op4_mix_sources", OP4_SQL)
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(documents(spark, sf_dir))
