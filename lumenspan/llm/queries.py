@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenspan.llm import decontamination, licenses, linededup, mixing, quality, simhash
+from lumenspan.llm import compression, decontamination, licenses, linededup, mixing, quality, simhash
 from lumenspan.llm.base import WORD, documents, prepare, table
 from lumenspan.llm.license_rules import rules
+from lumenspan.llm.training import learnable
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -167,3 +168,13 @@ SELECT doc_id, text, lang, source, n_chars, replica,
 @query("op4_mix_sources", OP4_SQL)
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir))
+
+
+@query("op10_compression_quality")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").where(learnable(F.col("doc_id"), 3, 1))
+    scored = compression.score(docs, compression.train(docs, labels))
+    return scored.select(
+        "doc_id", (~learnable(F.col("doc_id"), 3, 1)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )
