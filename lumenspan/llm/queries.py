@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenspan.llm import compression, decontamination, licenses, linededup, mixing, quality, simhash
+from lumenspan.llm import compression, decontamination, licenses, linededup, mixing, quality, simhash, toxicity
 from lumenspan.llm.base import WORD, documents, prepare, table
 from lumenspan.llm.license_rules import rules
 from lumenspan.llm.training import learnable
@@ -178,3 +178,12 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select(
         "doc_id", (~learnable(F.col("doc_id"), 3, 1)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
     )
+
+
+@query("op3_toxicity_pu")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    own = learnable(F.col("doc_id"), 4, 2)
+    model = toxicity.train(docs.where(own), table(spark, sf_dir, "labels").where(own))
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", (~own).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
