@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenspan.llm import compression, decontamination, licenses, linededup, mixing, quality, simhash, toxicity
+from lumenspan.llm import compression, decontamination, langid, licenses, linededup, mixing, quality, simhash, toxicity
 from lumenspan.llm.base import WORD, documents, prepare, table
 from lumenspan.llm.license_rules import rules
 from lumenspan.llm.training import learnable
@@ -187,3 +187,12 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = toxicity.train(docs.where(own), table(spark, sf_dir, "labels").where(own))
     scored = toxicity.score(docs, model)
     return scored.select("doc_id", (~own).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query("op6_cross_parsing_language")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    own = learnable(F.col("doc_id"), 3, 1)
+    model = langid.train(docs.where(own))
+    found = langid.predict(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", (~own).alias("held_out"), "language.lang_pred", "language.score")
