@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenspan.llm import compression, decontamination, langid, licenses, linededup, mixing, quality, simhash, toxicity
+from lumenspan.llm import compression, decontamination, langid, licenses, linededup, lm, mixing, quality, simhash, toxicity
 from lumenspan.llm.base import WORD, documents, prepare, table
 from lumenspan.llm.license_rules import rules
 from lumenspan.llm.training import learnable
@@ -196,3 +196,8 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = langid.train(docs.where(own))
     found = langid.predict(docs.select("doc_id", "text"), model)
     return found.select("doc_id", (~own).alias("held_out"), "language.lang_pred", "language.score")
+
+
+@query("op2_deleted_interpolation")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_documents(documents(spark, sf_dir))
