@@ -58,26 +58,24 @@ def detections(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
         F.split("text", F.col("r.pattern"), -1).alias("between"),
     ).where(F.size("matches") > 0)
     lengths = F.transform("matches", lambda m, k: F.struct(F.length(F.get("between", k)).alias("gap"), F.length(m).alias("size")))
-    each = found.select("doc_id", "content", "r", F.posexplode(lengths).alias("k", "n"))
-    each = each.dropDuplicates(["doc_id", "content", "r", "k"])
-    so_far = Window.partitionBy("doc_id", "content", "r.rule").orderBy("k")
-    last = F.sum(F.col("n.gap") + F.col("n.size")).over(so_far)
-    placed = each.select(
-        "doc_id", "content", F.col("r.rule").alias("rule"), F.col("r.label").alias("label"), F.col("r.priority").alias("priority"),
-        F.col("r.confidence").alias("confidence"), (last - F.col("n.size")).alias("first"), last.alias("last"),
-    )
+    rule = [F.col(f"r.{c}").alias(c) for c in ("rule", "label", "priority", "confidence")]
+    each = found.select("doc_id", "content", *rule, F.posexplode(lengths).alias("k", "n"))
+    # One exchange by document serves all that follows.
+    each = each.repartition("doc_id", "content").dropDuplicates(["doc_id", "content", "rule", "k"])
+    so_far = Window.partitionBy("doc_id", "content", "rule").orderBy("k")
+    placed = each.withColumn("last", F.sum(F.col("n.gap") + F.col("n.size")).over(so_far))
+    placed = placed.select("doc_id", "content", "rule", "label", "priority", "confidence", (F.col("last") - F.col("n.size")).alias("first"), "last")
     # Outer intervals come first; equal ones share a number.
     own = Window.partitionBy("doc_id", "content")
     ranked = placed.withColumn("o", F.dense_rank().over(own.orderBy(F.col("first"), F.col("last").desc())).cast("bigint"))
     upto, before = (own.orderBy("o").rangeBetween(Window.unboundedPreceding, end) for end in (0, -1))
     levels = sorted({r.priority for r in rules()})
-    reach = lambda p, frame: F.max(F.when(F.col("priority") == p, F.col("last"))).over(frame)
-    for p in levels:
-        ranked = ranked.withColumn(f"upto{p}", reach(p, upto)).withColumn(f"before{p}", reach(p, before))
+    reach = lambda p, frame: F.coalesce(F.max(F.when(F.col("priority") == p, F.col("last"))).over(frame), F.lit(-1))
+    ranked = ranked.select("*", *[reach(p, upto).alias(f"upto{p}") for p in levels], *[reach(p, before).alias(f"before{p}") for p in levels])
     covered = _any(
         [
-            (F.col("priority") < p) & (F.coalesce(f"upto{p}", F.lit(-1)) >= F.col("last"))
-            | (F.col("priority") == p) & (F.coalesce(f"before{p}", F.lit(-1)) >= F.col("last"))
+            (F.col("priority") < p) & (F.col(f"upto{p}") >= F.col("last"))
+            | (F.col("priority") == p) & (F.col(f"before{p}") >= F.col("last"))
             for p in levels
         ]
     )
