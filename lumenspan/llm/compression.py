@@ -18,6 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lumenspan.llm.base import fresh
 from lumenspan.llm.training import fit_logistic, sampled
 
 
@@ -110,7 +111,7 @@ def with_figures(docs: DataFrame, model: Model, name: str = "figures", text: str
         for batch in batches:
             yield pd.DataFrame([model.figures(t) for t in batch], columns=["lean", "ratio"])
 
-    return docs.withColumn(name, measure.asNondeterministic()(F.col(text)))
+    return docs.withColumn(fresh(docs, name), measure.asNondeterministic()(F.col(text)))
 
 
 def score(docs: DataFrame, model: Model, name: str = "score", text: str = "text") -> DataFrame:
@@ -121,4 +122,4 @@ def score(docs: DataFrame, model: Model, name: str = "score", text: str = "text"
         for batch in batches:
             yield pd.Series([model.score(t) for t in batch], dtype=float)
 
-    return docs.withColumn(name, rate.asNondeterministic()(F.col(text)))
+    return docs.withColumn(fresh(docs, name), rate.asNondeterministic()(F.col(text)))

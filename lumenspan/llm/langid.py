@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenspan.llm.base import pieces
+from lumenspan.llm.base import fresh, pieces
 
 BLOCK = 512
 UNKNOWN = "und"
@@ -193,4 +193,4 @@ def predict(docs: DataFrame, model: Model, name: str = "language", text: str = "
         for batch in batches:
             yield pd.DataFrame(model.predict(list(batch)), columns=["lang_pred", "score"])
 
-    return docs.withColumn(name, identify.asNondeterministic()(F.col(text)))
+    return docs.withColumn(fresh(docs, name), identify.asNondeterministic()(F.col(text)))

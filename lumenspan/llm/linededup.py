@@ -23,10 +23,10 @@ BLANKS = "[\\x20\\x09-\\x0D]+"
 
 
 def _lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """One row per line with a word: document key, position, hash of the trimmed line, words and words so far."""
+    """One row per line with a word: document key, number among those, hash of the trimmed line, words and words so far."""
     own = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("content"), F.split(text, "\n").alias("lines"))
-    each = own.select("doc_id", "content", F.posexplode("lines").alias("pos", "line"))
-    each = each.withColumn("w", F.regexp_count("line", F.lit(WORD)).cast("bigint")).where("w > 0")
+    each = own.select("doc_id", "content", F.posexplode(F.filter("lines", lambda x: x.rlike(WORD))).alias("pos", "line"))
+    each = each.withColumn("w", F.regexp_count("line", F.lit(WORD)).cast("bigint"))
     trimmed = F.regexp_replace("line", f"^{BLANKS}|{BLANKS}$", "")
     each = each.select("doc_id", "content", "pos", "w", F.xxhash64(trimmed).alias("h"))
     # Rows repeated as a whole are one document here.
@@ -44,7 +44,7 @@ def _windows(min_words: int) -> tuple[Window, Window]:
 
 
 def repeated_lines(docs: DataFrame, min_words: int = 50, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, content, pos) of every line to delete; content is the hash of the text, positions count from 0."""
+    """(doc_id, content, pos) of every line to delete: the hash of the text, and numbers from 0 of lines with words."""
     start, end = _windows(min_words)
     lines = stored(_lines(docs, doc_id, text), "lines")
     selected = lines.select(
@@ -72,6 +72,12 @@ def repeated_lines(docs: DataFrame, min_words: int = 50, doc_id: str = "doc_id",
     return spans.distinct()
 
 
+def _places(lines: Column, numbers: Column) -> Column:
+    """Positions among all lines of lines known by their numbers among those with words."""
+    worded = F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: lines[i].rlike(WORD))
+    return F.transform(numbers, lambda k: F.get(worded, k))
+
+
 def _kept(lines: Column, removed: Column) -> Column:
     places = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), removed)
     return F.array_join(F.transform(places, lambda i: lines[i]), "\n")
@@ -80,11 +86,13 @@ def _kept(lines: Column, removed: Column) -> Column:
 def dedup_lines(docs: DataFrame, min_words: int = 50, doc_id: str = "doc_id", text: str = "text", removed: str = "removed") -> DataFrame:
     """The documents with later repeated runs deleted from the text, and the sorted positions of removed lines.
 
-    The first occurrence stays.  Blank lines between removed lines stay, too.  A null text stays null and has
+    The first occurrence stays.  Blank lines always stay.  A null text stays null and has
     no lines; an empty one stays empty.  A null id sorts first.  Rows that repeat an id are told apart by
     their text; rows repeated as a whole count as one document and get the same result.  Other columns are
-    carried along unchanged, an empty table stays empty.
+    carried along unchanged, an empty table stays empty.  The added column gets underscores before its name
+    while the documents have such a column.
     """
+    removed = fresh(docs, removed)
     gone = repeated_lines(docs, min_words, doc_id, text)
     gone = gone.groupBy("doc_id", "content").agg(F.array_sort(F.collect_set("pos")).alias("gone"))
     gone = gone.select(F.col("doc_id").alias("_gone_id"), F.col("content").alias("_gone_content"), "gone")
@@ -92,6 +100,7 @@ def dedup_lines(docs: DataFrame, min_words: int = 50, doc_id: str = "doc_id", te
     gone = gone.withColumnRenamed("gone", places)
     keyed = docs.withColumn(own, F.xxhash64(text))
     both = keyed.join(gone, F.col(doc_id).eqNullSafe(F.col("_gone_id")) & (F.col(own) == F.col("_gone_content")), "left")
+    both = both.withColumn(places, F.when(F.col(places).isNotNull(), _places(F.split(text, "\n"), F.col(places))))
     kept = F.when(F.col(places).isNull(), F.col(text)).otherwise(_kept(F.split(text, "\n"), F.col(places)))
     none = F.array().cast("array<int>")
     columns = [kept.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns]

@@ -69,11 +69,10 @@ def mix(
     """Copies of the documents in shuffled order: their columns, the copy's number (from 0) and its sort key.
 
     Null sources are a source of their own, which only the weight None can name.  Rows with equal ids get
-    equal counts.  Texts are carried along whole, null ones too.  An empty table stays empty.  Names of the
-    two added columns that the table has already are an error.
+    equal counts.  Texts are carried along whole, null ones too.  An empty table stays empty.  The
+    added columns get underscores before their names while the documents have such a column.
     """
-    if {replica, order} & set(docs.columns):
-        raise ValueError(f"the documents have a column {replica} or {order}; name others")
+    replica, order = fresh(docs, replica), fresh(docs, order)
     table = rates(docs, weights, temperature, size, source)
     parts = F.greatest(F.ceil(F.col("rate") / RATE_STEP), F.lit(1)).cast("int")
     table = table.where("rate > 0").select(F.col("source").alias("_source"), parts.alias("_parts"), (F.col("rate") / parts).alias("_rate"))

@@ -122,7 +122,8 @@ def assess(docs: DataFrame, rules: Rules = Rules(), text: str = "text", name: st
     """All columns of the documents and a struct of COLUMNS under ``name``.
 
     A null text counts as an empty one: no words, base failed, not kept, cleaned text ''.  Lines without
-    words are never removed.  Rows are independent: repeated rows get equal results, an empty table none.
+    words are never removed.  Rows are independent: repeated rows get equal results, an empty table none.  The
+    struct's name gets underscores before it while the documents have such a column.
     """
     names = [part.split()[0] for part in COLUMNS.split(", ")]
 
@@ -131,7 +132,7 @@ def assess(docs: DataFrame, rules: Rules = Rules(), text: str = "text", name: st
         for batch in batches:
             yield pd.DataFrame([measure(t, rules) for t in batch], columns=names)
 
-    return docs.withColumn(name, rate.asNondeterministic()(F.col(text)))
+    return docs.withColumn(fresh(docs, name), rate.asNondeterministic()(F.col(text)))
 
 
 def clean(docs: DataFrame, rules: Rules = Rules(), text: str = "text") -> DataFrame:

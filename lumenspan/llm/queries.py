@@ -90,7 +90,7 @@ runs AS (
 later AS (SELECT doc_id, first, last FROM (
   SELECT *, row_number() OVER (PARTITION BY kind, run ORDER BY doc_id, first) AS n FROM runs WHERE total >= 50) WHERE n > 1),
 gone AS (SELECT DISTINCT doc_id, unnest(range(first, last + 1)) AS pos FROM later),
-marked AS (SELECT split.*, gone.pos IS NOT NULL AS out FROM split LEFT JOIN gone USING (doc_id, pos)),
+marked AS (SELECT counted.*, gone.pos IS NOT NULL AND w > 0 AS out FROM counted LEFT JOIN gone USING (doc_id, pos)),
 kept AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (out) AS n_removed,
   coalesce(string_agg(raw, chr(10) ORDER BY pos) FILTER (NOT out), '') AS text FROM marked GROUP BY doc_id)
 SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, kept.text

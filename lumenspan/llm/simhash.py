@@ -66,7 +66,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, lanes: int = 1, text: str =
         for batch in batches:
             yield pd.Series([_lanes(shingle_hashes(t, shingle), lanes) for t in batch])
 
-    return docs.withColumn(name, fingerprint.asNondeterministic()(F.col(text)))
+    return docs.withColumn(fresh(docs, name), fingerprint.asNondeterministic()(F.col(text)))
 
 
 def _bit(i: Column) -> Column:

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenspan.llm.base import APART, joined, pieces, word_hashes
+from lumenspan.llm.base import APART, fresh, joined, pieces, word_hashes
 from lumenspan.llm.training import sampled
 
 
@@ -131,4 +131,4 @@ def score(docs: DataFrame, model: Model, name: str = "score", text: str = "text"
         for batch in batches:
             yield pd.Series(model.scores(list(batch)), dtype=float)
 
-    return docs.withColumn(name, rate.asNondeterministic()(F.col(text)))
+    return docs.withColumn(fresh(docs, name), rate.asNondeterministic()(F.col(text)))
