@@ -107,10 +107,10 @@ LICENCES = [
 
 # Signatures that belong to no single name.
 ALONE = [
-    Rule("grant:permission", "mit", 2, 0.7, "permission is hereby", "free of charge", r"permission\s+is\s+hereby\s+granted,?\s+free\s+of\s+charge,?\s+to\s+any\s+person\s+obtaining\s+a\s+copy"),
-    Rule("grant:redistribution", "bsd", 2, 0.6, "redistribution and use", "redistribution and use", r"redistribution\s+and\s+use\s+in\s+source\s+and\s+binary\s+forms"),
-    Rule("grant:isc", "isc", 2, 0.6, "permission to use", "permission to use", r"permission\s+to\s+use,?\s+copy,?\s+modify,?\s+and(/or)?\s+distribute\s+this\s+software"),
-    Rule("grant:free-software", "gpl", 1, 0.5, "free software", "redistribute it", r"free\s+software[:;,]?\s+you\s+can\s+redistribute\s+it"),
+    Rule("text:mit", "mit", 2, 0.7, "permission is hereby", "free of charge", r"permission\s+is\s+hereby\s+granted,?\s+free\s+of\s+charge,?\s+to\s+any\s+person\s+obtaining\s+a\s+copy"),
+    Rule("text:bsd", "bsd", 2, 0.6, "redistribution and use", "redistribution and use", r"redistribution\s+and\s+use\s+in\s+source\s+and\s+binary\s+forms"),
+    Rule("text:isc", "isc", 2, 0.6, "permission to use", "permission to use", r"permission\s+to\s+use,?\s+copy,?\s+modify,?\s+and(/or)?\s+distribute\s+this\s+software"),
+    Rule("text:gpl", "gpl", 1, 0.5, "free software", "redistribute it", r"free\s+software[:;,]?\s+you\s+can\s+redistribute\s+it"),
     Rule("domain:dedication", "public-domain", 1, 0.5, "public domain", "public domain", r"(released|dedicated|placed)\s+(in|in)?to\s+the\s+public\s+domain"),
     Rule("rights:reserved", "all-rights-reserved", 1, 0.4, "rights reserved", "all rights reserved", r"all\s+rights\s+reserved"),
     Rule("rights:owner", "copyright", 1, 0.3, "copyright", "copyright", r"copyright\s+(\(c\)|©)?\s*[12][0-9]{3}"),
