@@ -34,9 +34,11 @@ from lumenspan.llm.base import joined, mix, pieces, remainder, stored, word_hash
 
 HELD_OUT, DELETED, KEPT = 0, 1, 2
 #: Characters of a batch; a longer document is a batch of its own.
-BATCH = 8_000_000
+BATCH = 6_000_000
 END, BEGIN = np.uint64(0xE4D0000000000001), np.uint64(0xB0500000000000B1)
 UNIGRAM, BIGRAM = 0, 1
+#: Key ranges per shuffle partition: a range's packets from all batches are in memory together.
+PARTS = 4
 #: Steps per factor of two in which probabilities are told apart for expectation-maximisation only.
 STEPS = 8
 NONE = -(10**6)
@@ -281,7 +283,7 @@ def score_documents(docs: DataFrame, divisor: int = 7, held_out: int = 2, delete
     role = remainder(F.col(doc_id), divisor)
     role = F.when(role == held_out, HELD_OUT).when(role == deleted, DELETED).otherwise(KEPT)
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"), role.cast("int").alias("role"))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = PARTS * int(spark.conf.get("spark.sql.shuffle.partitions"))
     packets = rows.mapInArrow(_packets(parts), PACKETS)
     totals = stored(packets.groupBy("kind", "part").applyInArrow(_totals, TOTALS), "totals")
     sizes = totals.where("batch = -1").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_tokens", "n_types", "n_deleted")]).first()
