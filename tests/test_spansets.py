@@ -1,107 +1,125 @@
+"""Span conditions over one parcel's trace of five spans, each family of conditions in a test of its own."""
+
 import pytest
 
 from lumenspan.functions import spansets as S
 from lumenspan.operators import traces
 
 MS = 1_000_000
+w, one, agg = S.where, S.span_set, S.aggregate
 
 
 @pytest.fixture(scope="module")
-def trace(make_spans):
-    resource = lambda service: {"service.name": service, "host.name": "a1"}
-    root = {
-        "name": "GET /",
-        "attributes": {"http.method": "GET", "http.status_code": 200},
-        "resource_attributes": resource("gateway"),
-    }
-    child = {
-        "name": "charge", "kind": "client", "status_code": 2,
-        "attributes": {"http.method": "POST", "http.status_code": 502, "retried": True, "note": None},
-        "resource_attributes": resource("payments"),
-    }
+def parcel(make_spans):
+    def span(number, parent, service, start, end, name, status=1, kind="internal", **attributes):
+        extra = {
+            "name": name, "status_code": status, "kind": kind, "attributes": attributes,
+            "resource_attributes": {"service.name": service, "site": {"hall": 3}},
+        }
+        return ("parcel-7", number, parent, service, start * MS, end * MS, extra)
+
     return make_spans(
-        ("t", "a", "", "gateway", 0, 400 * MS, root), ("t", "b", "a", "payments", 50 * MS, 350 * MS, child)
+        span("1", "", "depot", 0, 900, "accept parcel", kind="consumer", weight=2.5, fragile=True),
+        span("2", "1", "scale", 10, 70, "weigh", weight=2.5, unit="kg"),
+        span("3", "1", "printer", 80, 200, "print label", status=2, attempt=1, reason="paper jam"),
+        span("4", "1", "printer", 220, 300, "print label", attempt=2, reason=None),
+        span("5", "4", "archive", 240, 290, "store copy", status=0, kind="producer", **{"box.id": "B-12", "pages": "4"}),
     ).cache()
 
 
-w, one, agg = S.where, S.span_set, S.aggregate
-charge = w("name", "=", "charge")
-error = w("status", "=", "error")
-
-CASES = [
-    (one(w("span.http.method", "=", "POST")), True),
-    (one(w("resource.service.name", "=", "payments")), True),
-    (one(w(".http.method", "=", "GET")), True),
-    (one(w("resource.http.method", "=", "GET")), False),
-    (one(w("span.http.method", "=", "DELETE")), False),
-    (one(error), True),
-    (one(w("status", "!=", "ok")), True),
-    (one(w("status", "=", "ok")), False),
-    (one(w("kind", "=", "client")), True),
-    (one(w("rootName", "=", "GET /")), True),
-    (one(w("rootServiceName", "=", "gateway")), True),
-    (one(w("traceDuration", "=", 400 * MS)), True),
-    (one(w("duration", ">", 1000 * MS)), False),
-    (one(w("duration", "<", 10 * MS)), False),
-    (one(w(".http.status_code", ">", 502)), False),
-    (one(w(".http.status_code", ">=", 502)), True),
-    (one(S.matches("name", "^GET")), True),
-    (one(S.matches("name", "^POST", negate=True)), True),
-    (one(S.matches("missing", "x", negate=True)), False),
-    (one(S.exists("span.http.method")), True),
-    (one(S.exists("note")), True),
-    (one(S.exists("missing")), False),
-    (one(~S.exists("missing")), True),
-    (one(w("missing", "!=", 1)), False),
-    (one(~w("missing", "=", 1)), True),
-    (one(w("retried", "=", True)), True),
-    (one(w("retried", ">", 0)), True),
-    (one(w(".http.method", ">", "A")), False),
-    (one(), True),
-    (one(charge & error), True),
-    (one(w("name", "=", "GET /") & error), False),
-    (one(w("name", "=", "GET /")) & one(error), True),
-    (one(w("name", "=", "nope")) | one(error), True),
-    (one(None, agg("count", None, ">", 1)), True),
-    (one(None, agg("count", None, ">", 2)), False),
-    (one(None, agg("max", "duration", "=", 400 * MS)), True),
-    (one(None, agg("min", "duration", "=", 300 * MS)), True),
-    (one(None, agg("avg", "duration", "=", 350 * MS)), True),
-    (one(None, agg("sum", "duration", "=", 700 * MS)), True),
-    (one(error, agg("count", None, "=", 1), agg("max", "duration", "=", 300 * MS)), True),
-    (one(None, agg("count", None, "=", 2), agg("max", "duration", ">", 1000 * MS)), False),
-    (one(w("name", "=", "nope"), agg("count", None, "=", 0)), False),
-    (one(None, agg("avg", "missing", ">", 0)), False),
-    (one(None, agg("sum", "traceDuration", "=", 800 * MS)), True),
-    (one(charge & ~w("traceDuration", ">", 500 * MS)), True),
-    (one(w("traceDuration", ">", 500 * MS) | error), True),
-    (one(w("rootName", "=", "x") & error | w("traceDuration", ">", 500 * MS) & charge), False),
-    (one(w(".service.name", "=", "payments") & w("rootServiceName", "!=", "payments")), True),
-]
-
-
-def test_conditions(trace):
-    wrong = []
-    for number, (condition, expected) in enumerate(CASES):
-        if (traces.matching_traces(trace, condition).count() == 1) is not expected:
-            wrong.append(number)
-    assert not wrong
-
-
-def test_empty_trace(trace):
-    assert traces.matching_traces(trace.limit(0), S.span_set()).count() == 0
-
-
-def test_two_traces(make_spans):
+@pytest.fixture
+def matches(parcel):
+    def check(condition):
+        return traces.matching_traces(parcel, condition).count() == 1
+
+    return check
+
+
+YES_NO = {
+    "attribute_scopes": (
+        [w("span.unit", "=", "kg"), w("resource.site.hall", "=", 3), w("box.id", "=", "B-12"), w(".service.name", "=", "scale")],
+        [w("resource.unit", "=", "kg"), w("span.site.hall", "=", 3), w("unit", "=", "lb"), w("span.service.name", "=", "scale")],
+    ),
+    "numbers": (
+        [w("weight", ">=", 2.5), w("attempt", ">", 1), w("pages", "<", 5), w("attempt", "!=", 1), w("fragile", ">", 0)],
+        [w("weight", ">", 2.5), w("attempt", ">", 2), w("unit", "<", 100), w("unit", ">", "a"), w("absent", "<", 1)],
+    ),
+    "flags_and_nulls": (
+        [w("fragile", "=", True), S.exists("reason"), ~S.exists("colour"), ~w("colour", "=", "red")],
+        [w("fragile", "=", False), S.exists("colour"), w("colour", "!=", "red"), S.exists("span.hall")],
+    ),
+    "intrinsics": (
+        [w("status", "=", "error"), w("status", "=", "unset"), w("kind", "=", "producer"), w("duration", "=", 120 * MS), w("name", "=", "weigh")],
+        [w("kind", "=", "server"), w("duration", ">", 900 * MS), w("duration", "<", 50 * MS), w("name", "=", "label")],
+    ),
+    "patterns": (
+        [S.matches("name", "^print"), S.matches("name", "print", negate=True), S.matches("box.id", "[0-9]+$")],
+        [S.matches("name", "^label"), S.matches("name", "e|s", negate=True), S.matches("colour", ".", negate=True)],
+    ),
+    "whole_trace": (
+        [w("rootName", "=", "accept parcel"), w("rootServiceName", "!=", "printer"), w("traceDuration", "=", 900 * MS)],
+        [w("rootName", "=", "weigh"), w("rootServiceName", "=", "printer"), w("traceDuration", "<", 900 * MS)],
+    ),
+    "on_one_span": (
+        [w("name", "=", "print label") & w("status", "=", "error"), w("attempt", "=", 2) & ~w("status", "=", "error"), w("unit", "=", "lb") | w("pages", "=", 4)],
+        [w("attempt", "=", 2) & w("status", "=", "error"), w("unit", "=", "kg") & w("fragile", "=", True), ~S.exists("site.hall")],
+    ),
+    "span_and_trace": (
+        [w("attempt", "=", 1) & w("traceDuration", ">", 800 * MS), w("traceDuration", ">", 5000 * MS) | w("unit", "=", "kg")],
+        [w("attempt", "=", 1) & w("rootName", "=", "weigh"), w("rootName", "=", "weigh") & w("unit", "=", "kg") | w("traceDuration", ">", 950 * MS) & w("attempt", "=", 1)],
+    ),
+}
+
+
+@pytest.mark.parametrize("family", YES_NO)
+def test_conditions(matches, family):
+    yes, no = YES_NO[family]
+    assert [matches(one(c)) for c in yes] == [True] * len(yes)
+    assert [matches(one(c)) for c in no] == [False] * len(no)
+
+
+def test_sets_are_asked_of_different_spans(matches):
+    jam, weighed, lost = one(w("status", "=", "error")), one(w("unit", "=", "kg")), one(w("name", "=", "lost"))
+    assert matches(jam & weighed) and matches(lost | weighed) and matches((lost | jam) & weighed)
+    assert not matches(jam & lost) and not matches(one(w("status", "=", "error") & w("unit", "=", "kg")))
+    assert matches(one())
+
+
+@pytest.mark.parametrize(
+    ("function", "field", "value"),
+    [("count", None, 5), ("sum", "attempt", 3), ("max", "duration", 900 * MS), ("min", "duration", 50 * MS), ("avg", "weight", 2.5), ("sum", "traceDuration", 4500 * MS)],
+)
+def test_aggregates(matches, function, field, value):
+    assert matches(one(None, agg(function, field, "=", value)))
+    assert matches(one(None, agg(function, field, "<=", value)))
+    assert not matches(one(None, agg(function, field, ">", value)))
+    assert not matches(one(None, agg(function, field, "!=", value)))
+
+
+def test_aggregates_of_chosen_spans(matches):
+    label = w("name", "=", "print label")
+    assert matches(one(label, agg("count", None, "=", 2), agg("sum", "duration", "=", 200 * MS)))
+    assert not matches(one(label, agg("count", None, "=", 2), agg("sum", "duration", "=", 201 * MS)))
+    # A set needs a span, and an average needs a value.
+    assert not matches(one(w("name", "=", "lost"), agg("count", None, "=", 0)))
+    assert not matches(one(None, agg("avg", "colour", ">=", 0)))
+
+
+def test_no_spans_no_trace(parcel):
+    assert traces.matching_traces(parcel.limit(0), one()).count() == 0
+
+
+def test_search_among_traces(make_spans):
     spans = make_spans(
-        ("t-ok", "a", "", "gateway", 0, 5 * MS, {"name": "GET /", "attributes": {"http.method": "GET"}}),
-        ("t-bad", "b", "", "gateway", 0, 9 * MS, {"name": "GET /", "attributes": {"http.method": "GET"}}),
-        ("t-bad", "c", "b", "payments", 0, 300 * MS, {"name": "charge", "status_code": 2}),
+        ("calm", "1", "", "depot", 50, 90, {"attributes": {"lane": "north"}}),
+        ("busy", "2", "", "depot", 10, 20, {"attributes": {"lane": "north"}}),
+        ("busy", "3", "2", "belt", 12, 4012, {"status_code": 2, "attributes": {"lane": "south"}}),
+        ("lone", "4", "", "belt", 70, 75),
     )
-    ids = lambda c, **f: [r["trace_id"] for r in traces.search_traces(spans, c, **f).collect()]
-    assert ids(one(error)) == ["t-bad"]
-    assert ids(one(w("duration", ">", 100 * MS))) == ["t-bad"]
-    assert ids(one(charge) & one(w(".http.method", "=", "GET"))) == ["t-bad"]
-    assert ids(one(w("status", "=", "ok"))) == []
-    assert ids(None, service="payments") == ["t-bad"]
-    assert sorted(ids(None)) == ["t-bad", "t-ok"]
+    found = lambda c=None, **f: [r["trace_id"] for r in traces.search_traces(spans, c, **f).collect()]
+    assert found() == ["lone", "calm", "busy"]
+    assert found(one(w("lane", "=", "north"))) == ["calm", "busy"]
+    assert found(one(w("lane", "=", "north")) & one(w("lane", "=", "south"))) == ["busy"]
+    assert found(one(w("duration", ">=", 4000))) == ["busy"]
+    assert found(service="belt") == ["lone", "busy"]
+    assert found(one(w("status", "=", "ok"))) == []

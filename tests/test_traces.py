@@ -1,3 +1,6 @@
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
 from lumenspan.operators import correlate, services, traces
@@ -8,12 +11,15 @@ MS = 1_000_000
 
 def test_summaries(make_spans):
     spans = make_spans(
-        ("t1", "a", "", "svc-a", 100, 500), ("t1", "b", "a", "svc-b", 150, 400), ("t2", "c", "", "svc-a", 900, 950)
-    )
-    first, second = traces.trace_summaries(spans).collect()
-    assert first["trace_id"] == "t2"
-    assert (second["root_name"], second["span_count"], second["duration_nanos"]) == ("op-a", 2, 400)
-    assert second["services"] == ["svc-a", "svc-b"]
+        ("ferry", "2", "1", "ramp", 7, 30), ("ferry", "1", "", "harbour", 5, 45), ("ferry", "3", "2", "ramp", 20, 61),
+        ("tram", "9", "", "depot", 6, 8), ("bus", "4", "", "depot", 6, 7, {"status_code": 2}),
+    )
+    rows = traces.trace_summaries(spans).collect()
+    # Newest first; equal starts in the order of their ids.
+    assert [r["trace_id"] for r in rows] == ["bus", "tram", "ferry"]
+    ferry = rows[2]
+    assert (ferry["root_name"], ferry["span_count"], ferry["start_time_unix_nano"], ferry["duration_nanos"]) == ("op-1", 3, 5, 56)
+    assert ferry["services"] == ["harbour", "ramp"] and rows[0]["services"] == ["depot"]
 
 
 def test_partial_trace_uses_earliest_span(make_spans):
@@ -22,29 +28,44 @@ def test_partial_trace_uses_earliest_span(make_spans):
     assert (row["root_name"], row["start_time_unix_nano"], row["duration_nanos"]) == ("op-y", 20, 70)
 
 
-def test_service_filter_and_limit(make_spans):
-    rows = [(f"t{i}", f"s{i}", "", "even" if i % 2 == 0 else "odd", i * 10, i * 10 + 5) for i in range(10)]
-    found = traces.find_traces(make_spans(*rows), 3, service="even").collect()
-    assert [r["trace_id"] for r in found] == ["t8", "t6", "t4"]
+@pytest.mark.parametrize("limit", [1, 4, 100])
+def test_newest_of_a_service(make_spans, limit):
+    rng = random.Random(limit)
+    rows = [(f"trip-{i}", f"{i}", "", rng.choice(["north", "south", "east"]), rng.randrange(50), 60) for i in range(30)]
+    want = sorted((r for r in rows if r[3] == "south"), key=lambda r: (-r[4], r[0]))[:limit]
+    found = traces.find_traces(make_spans(*rows), limit, service="south").collect()
+    assert [(r["trace_id"], r["start_time_unix_nano"]) for r in found] == [(r[0], r[4]) for r in want]
 
 
-def test_round_trip_questions(make_spans):
-    spans = make_spans(
-        ("t1", "a", "", "svc-a", 100, 500, {"attributes": {"http.route": "/x"}}),
-        ("t1", "b", "a", "svc-b", 150, 400, {"status_code": 2}),
-        ("t2", "c", "", "svc-a", 900, 950, {"attributes": {"http.route": "/x"}}),
-    )
-    assert [r[0] for r in traces.list_services(spans).collect()] == ["svc-a", "svc-b"]
-    assert [r[0] for r in traces.list_operations(spans, "svc-b").collect()] == ["op-b"]
-    assert traces.list_operations(spans).count() == 3
-    assert traces.find_traces(spans, 1).first()["trace_id"] == "t2"
-    # The summary covers spans outside the filter.
-    failed = traces.find_traces(spans, errors_only=True).collect()
-    assert [(r["trace_id"], r["span_count"]) for r in failed] == [("t1", 2)]
-    assert traces.find_traces(spans, attribute="http.route=/x").count() == 2
-    assert [r["span_id"] for r in traces.get_trace(spans, "t1").collect()] == ["a", "b"]
-    assert traces.get_trace(spans, "none").count() == 0
-    assert [r[0] for r in traces.trace_ids(spans, 5).collect()] == ["t2", "t1"]
+@pytest.fixture(scope="module")
+def harbour(make_spans):
+    cargo = lambda **a: {"attributes": a}
+    return make_spans(
+        ("a", "11", "", "crane", 300, 350, cargo(load="coal", tons=40)), ("a", "12", "11", "scale", 310, 320, {"status_code": 2}),
+        ("b", "21", "", "crane", 100, 180, cargo(load="grain")), ("b", "22", "21", "scale", 120, 130), ("b", "23", "21", "customs", 140, 170),
+        ("c", "31", "", "pilot", 200, 900, cargo(load="coal")),
+    ).cache()
+
+
+def test_lists(harbour):
+    assert [r[0] for r in traces.list_services(harbour).collect()] == ["crane", "customs", "pilot", "scale"]
+    assert sorted(r[0] for r in traces.list_operations(harbour, "scale").collect()) == ["op-12", "op-22"]
+    assert traces.list_operations(harbour).count() == 6
+    assert [r[0] for r in traces.trace_ids(harbour, 2).collect()] == ["a", "c"]
+
+
+def test_finding_keeps_the_whole_trace(harbour):
+    found = lambda **f: [(r["trace_id"], r["span_count"]) for r in traces.find_traces(harbour, **f).collect()]
+    assert found(errors_only=True) == [("a", 2)]
+    assert found(service="customs") == [("b", 3)]
+    assert found(attribute="load=coal") == [("a", 2), ("c", 1)]
+    assert found(min_duration=100) == [("c", 1)]
+    assert found(attribute="load=wood") == []
+
+
+def test_getting_a_trace(harbour):
+    assert [r["span_id"] for r in traces.get_trace(harbour, "b").collect()] == ["21", "22", "23"]
+    assert traces.get_trace(harbour, "z").collect() == []
 
 
 def test_tree_depth_orphans_and_cycles(make_spans):
