@@ -45,9 +45,11 @@ from lumenspan.sources.tables import (  # noqa: E402
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
 ROWS = int(os.environ.get("BENCH_ROWS", "1000000"))
-START = 1_700_000_000_000_000_000
-ROUTES = ["/", "/cart", "/checkout", "/product", "/search"]
-SERVICES = [f"service-{i}" for i in range(8)]
+START = 1_710_000_000_000_000_000
+STOPS = ["central", "harbour", "museum", "airport", "stadium"]
+# Fixed proportions of the published benchmark: four spans a trace, eight services, one span in fifty failed,
+# one log in forty an error, 25 metrics.
+SERVICES = [f"line-{i}" for i in range(8)]
 
 
 def _pick(values: list[str], index):
@@ -57,7 +59,7 @@ def _pick(values: list[str], index):
 def generated(spark: SparkSession, rows: int) -> Telemetry:
     """rows spans, rows logs and twice as many points."""
     i = F.col("id")
-    service, route = _pick(SERVICES, i), _pick(ROUTES, i)
+    service, route = _pick(SERVICES, i), _pick(STOPS, i)
     resource = F.format_string('{"service.name":"%s"}', service)
     hexed = lambda column, width: F.lpad(F.lower(F.hex(column)), width, "0")
     trace = F.floor(i / 4)
@@ -68,21 +70,21 @@ def generated(spark: SparkSession, rows: int) -> Telemetry:
             "trace_id": hexed(trace, 32),
             "span_id": hexed(i, 16),
             "parent_span_id": F.when(i % 4 == 0, "").otherwise(hexed(trace * 4, 16)),
-            "name": F.concat(F.lit("GET "), route),
+            "name": F.concat(F.lit("depart "), route),
             "service_name": service,
             "kind": F.lit("server"),
             "start_time_unix_nano": START + i * 1_000_000,
             "end_time_unix_nano": START + i * 1_000_000 + 3_500_000,
             "status_code": F.when(failed, 2).otherwise(0),
             "attributes": F.format_string(
-                '{"http.method":"GET","http.route":"%s","http.status_code":%d,"mb.query.track":"track number %d"}',
-                route, F.when(failed, 500).otherwise(200), i,
+                '{"vehicle":"tram","stop.name":"%s","delay_s":%d,"seat.plan":"car %d of the evening"}',
+                route, F.when(failed, 600).otherwise(20), i,
             ),
             "resource_attributes": resource,
             "scope_name": F.lit("bench"),
         },
     )
-    body = F.format_string("http request %s handled in %dms", route, i % 900)
+    body = F.format_string("tram left %s after %d s", route, i % 900)
     records = logs_from_table(
         spark.range(rows),
         {
@@ -91,7 +93,7 @@ def generated(spark: SparkSession, rows: int) -> Telemetry:
             "severity_text": F.when(i % 40 == 0, F.lit("ERROR")).otherwise(F.lit("INFO")),
             "body": body,
             "body_json": F.concat(F.lit('"'), body, F.lit('"')),
-            "attributes": F.format_string('{"duration_ms":%d,"http.route":"%s"}', i % 900, route),
+            "attributes": F.format_string('{"waited_s":%d,"stop.name":"%s"}', i % 900, route),
             "resource_attributes": resource,
             "service_name": service,
             "trace_id": hexed(trace, 32),
@@ -100,11 +102,11 @@ def generated(spark: SparkSession, rows: int) -> Telemetry:
     points = points_from_table(
         spark.range(2 * rows),
         {
-            "name": F.concat(F.lit("metric."), (i % 25).cast("string")),
+            "name": F.concat(F.lit("tram.gauge."), (i % 25).cast("string")),
             "service_name": service,
             "time_unix_nano": START + i * 400_000,
             "value": (i % 100).cast("double"),
-            "attributes": F.format_string('{"instance":%d}', i % 4),
+            "attributes": F.format_string('{"car":%d}', i % 4),
             "resource_attributes": resource,
         },
     )
@@ -158,14 +160,14 @@ def stored_queries(spark: SparkSession, path: str) -> dict:
     hour = (START, START + 3_600 * 10**9)
     return {
         "find_traces_newest": lambda: traces.find_traces(t.spans, 20),
-        "find_traces_service_errors": lambda: traces.find_traces(t.spans, 20, service="service-4", errors_only=True),
-        "find_traces_attribute": lambda: traces.find_traces(t.spans, 20, attribute="http.route=/cart"),
-        "find_traces_substring": lambda: traces.find_traces(t.spans, 20, attribute="track number 77"),
+        "find_traces_service_errors": lambda: traces.find_traces(t.spans, 20, service="line-4", errors_only=True),
+        "find_traces_attribute": lambda: traces.find_traces(t.spans, 20, attribute="stop.name=harbour"),
+        "find_traces_substring": lambda: traces.find_traces(t.spans, 20, attribute="car 77 of"),
         "get_trace": lambda: traces.get_trace(t.spans, f"{ROWS // 8:032x}"),
         "query_logs_newest": lambda: logs.query_logs(t.logs, 300),
-        "query_logs_substring": lambda: logs.query_logs(t.logs, 300, search="/checkout handled in 77"),
+        "query_logs_substring": lambda: logs.query_logs(t.logs, 300, search="left museum after 77"),
         "query_logs_errors": lambda: logs.query_logs(t.logs, 300, min_severity=17),
-        "metric_series": lambda: metrics.downsample(metrics.metric_series(t.points, "metric.3")),
+        "metric_series": lambda: metrics.downsample(metrics.metric_series(t.points, "tram.gauge.3")),
         "list_services": lambda: traces.list_services(*t),
         "list_operations": lambda: traces.list_operations(t.spans),
         "stored_stats": lambda: services.storage_stats(*t),

@@ -56,7 +56,12 @@ def time_between(column: str, low: int | None, high: int | None) -> Column:
 
 def within(df: DataFrame, low: int | None, high: int | None) -> DataFrame:
     """Rows inside inclusive bounds.  On stored tables the date partitions are pruned as well."""
-    df = df.filter(time_between(time_column(df.columns), low, high))
+    return on_dates(df.filter(time_between(time_column(df.columns), low, high)), low, high)
+
+
+def on_dates(df: DataFrame, time_min: int | None = None, time_max: int | None = None, **_) -> DataFrame:
+    """The date partitions of a stored table that a window touches; other filters and other tables pass through."""
+    low, high = time_min, time_max
     if "event_date" in df.columns:
         if low is not None:
             df = df.filter(F.col("event_date") >= F.date_from_unix_date(F.lit(low // NANOS_PER_DAY)))

@@ -116,8 +116,8 @@ def body_value(body: Column, body_json: Column) -> JsonValue:
 
 
 def _may_hold(document: Column, key: str) -> Column:
-    """False only where the key cannot be in the document: its quoted name, or an escape, is missing."""
-    return document.contains(f'"{key}"') | document.contains("\\u")
+    """False only where the key cannot be in the document: its quoted name is missing, and any escape that might spell it."""
+    return document.contains(f'"{key}"') | document.contains("\\")
 
 
 def _text_at(document: Column, keys: list[str]) -> list[Column]:

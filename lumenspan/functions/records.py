@@ -14,14 +14,12 @@ from pyspark.sql import functions as F
 
 from lumenspan.functions.filters import all_of, any_of
 from lumenspan.functions.jsontext import JsonValue, body_value, lookup, number_of, parse_number, plain, plain_number, truth
+from lumenspan.plans.limits import at_least
 
-MAX_EDITS = 2
-# The pattern engine nests once per skipped token; beyond this slop phrases are matched on token arrays.
-PATTERN_SLOP = 64
+DEFAULT_EDITS = 2
 
 # Punctuation that JSON text leaves around a word.
 _EDGE_MARKS = '",{}[]:'
-_EDGE_CLASS = r'[",{}\[\]:]'
 
 
 def severity_level(severity: Column | str) -> Column:
@@ -108,30 +106,12 @@ def _wildcard(text: Column, pattern: str) -> Column:
     return F.lower(text).contains(F.lower(F.lit(pattern)))
 
 
-def _phrase_word(word: str) -> str:
-    """Pattern for one token that holds the word; edge punctuation of the token does not count."""
-    word = word.lower().strip(_EDGE_MARKS)
-    if not word.strip("*"):
-        return r"\S++"
-    if "*" not in word and "?" not in word:
-        return rf"\S*?{re.escape(word)}\S*+"
-    glob = "".join({"*": r"\S*?", "?": r"\S"}.get(c) or re.escape(c) for c in word)
-    return rf"{_EDGE_CLASS}*+{glob}(?<!{_EDGE_CLASS}){_EDGE_CLASS}*+(?!\S)"
-
-
-def phrase_pattern(words: Iterable[str], slop: int) -> str:
-    """Regular expression for words in order with at most ``slop`` tokens between neighbours.
+def _phrase_in_tokens(text: Column, words: list[str], slop: int) -> Column:
+    """Words in order with at most ``slop`` tokens between neighbours.
 
-    Each word takes the nearest token that fits and is not reconsidered (atomic groups); when a later
-    word is missing the search restarts at the next token that fits the first word.
+    Each word takes the nearest token that fits and is not reconsidered; when a later word is missing the
+    search restarts at the next token that fits the first word.
     """
-    first, *rest = [_phrase_word(word) for word in words]
-    steps = "".join(rf"(?>\s++(?:\S++\s++){{0,{slop}}}?{word})" for word in rest)
-    return rf"(?U)(?:^|\s)(?>{first}){steps}"
-
-
-def _phrase_in_tokens(text: Column, words: list[str], slop: int) -> Column:
-    """The same rule as :func:`phrase_pattern` on an array of tokens, for any slop."""
     split = F.filter(F.split(F.lower(text), r"(?U)\s+"), lambda token: token != "")
     tokens = F.transform(split, lambda token: F.btrim(token, F.lit(_EDGE_MARKS)))
     cleaned = [word.lower().strip(_EDGE_MARKS) for word in words]
@@ -203,9 +183,9 @@ class RecordPredicates:
         """Substring without wildcards; with ``*`` or ``?`` a glob over the whole value."""
         return any_of(truth(_wildcard(hay, text)) for hay in self._haystacks(field))
 
-    def fuzzy(self, word: str, distance: int = MAX_EDITS, field: str | None = None) -> Column:
-        """Any word within an edit distance; the distance is at most two."""
-        limit = min(distance, MAX_EDITS)
+    def fuzzy(self, word: str, distance: int = DEFAULT_EDITS, field: str | None = None) -> Column:
+        """Any word within an edit distance."""
+        limit = at_least("the distance", distance, 0)
         wanted = word.lower()
 
         def near(hay: Column) -> Column:
@@ -223,10 +203,7 @@ class RecordPredicates:
         haystacks = self._haystacks(field)
         if not words:
             return any_of(hay.isNotNull() for hay in haystacks)
-        if slop > PATTERN_SLOP:
-            return any_of(truth(_phrase_in_tokens(hay, words, slop)) for hay in haystacks)
-        pattern = phrase_pattern(words, slop)
-        return any_of(truth(F.lower(hay).rlike(pattern)) for hay in haystacks)
+        return any_of(truth(_phrase_in_tokens(hay, words, slop)) for hay in haystacks)
 
     def between(
         self,
@@ -279,4 +256,4 @@ spans = RecordPredicates(span_values, span_text)
 
 def fuzzy_distance(similarity: float) -> int:
     """Edit distance for an old-style similarity between 0 and 1."""
-    return 1 if similarity >= 0.8 else MAX_EDITS
+    return 1 if similarity >= 0.8 else DEFAULT_EDITS

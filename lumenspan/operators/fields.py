@@ -8,11 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lumenspan.functions.filters import on_dates
 from lumenspan.operators import traces
 
 MAX_FIELDS = 50
 TOP_VALUES = 5
-VALUE_CHARACTERS = 60
 # Nesting levels that are opened; an object below the last one stays JSON text under its own name.
 NESTING = 5
 # Fields of a report are broadcast up to this many rows.
@@ -67,13 +67,15 @@ def attribute_observations(df: DataFrame) -> DataFrame:
     return own.unionByName(flatten_json(resources, "resource_attributes", ["n"]).select("name", "value", "n"))
 
 
-def rank_fields(observations: DataFrame, fields: int = MAX_FIELDS, values: int = TOP_VALUES) -> DataFrame:
-    """Most frequent names with their most frequent values, cut to 60 characters before counting.
+def rank_fields(
+    observations: DataFrame, fields: int = MAX_FIELDS, values: int = TOP_VALUES, characters: int | None = None
+) -> DataFrame:
+    """Most frequent names with their most frequent values.
 
-    Observations are (name, value) rows; a column ``n`` says how often each row was seen.
+    Whole values are counted; with ``characters``, values that begin alike are counted as one.  Observations are (name, value) rows; a column ``n`` says how often each row was seen.
     """
     times = F.sum("n") if "n" in observations.columns else F.count("*")
-    cut = F.substring("value", 1, VALUE_CHARACTERS).alias("value")
+    cut = (F.col("value") if characters is None else F.substring("value", 1, characters)).alias("value")
     counted = (
         observations.filter(F.col("name") != "").groupBy("name", cut).agg(times.alias("n"))
     )
@@ -103,6 +105,6 @@ def trace_fields(
         ids = traces.candidate_traces(spans, sample_traces, **filters)
         spans = traces.spans_of(spans, ids, sample_traces)
     elif any(value not in (None, "", False) for value in filters.values()):
-        ids = spans.filter(traces.span_filter(**filters)).select("trace_id").distinct()
+        ids = on_dates(spans, **filters).filter(traces.span_filter(**filters)).select("trace_id").distinct()
         spans = spans.join(ids, "trace_id", "left_semi")
     return rank_fields(attribute_observations(spans), fields)

@@ -5,28 +5,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenspan.functions.filters import log_filter
+from lumenspan.functions.filters import log_filter, on_dates
 from lumenspan.functions.records import severity_level
 from lumenspan.operators.correlate import newest_log_order
 from lumenspan.operators.fields import attribute_observations, rank_fields
+from lumenspan.plans.limits import at_least, first_rows
 
 DEFAULT_LOGS = 200
-MAX_LOGS = 5000
-MIN_BUCKETS, MAX_BUCKETS = 5, 200
 
 # Severity ranges of the histogram; every other number counts as info.
 HISTOGRAM_LEVELS = {"trace": (1, 4), "debug": (5, 8), "warn": (13, 16), "error": (17, 20), "fatal": (21, 24)}
 LEVEL_COLUMNS = ["trace", "debug", "info", "warn", "error", "fatal"]
 
 
-def query_logs(logs: DataFrame, n: int = 0, **filters) -> DataFrame:
-    """Newest n logs (0 means 200) that pass the structured filters."""
-    return logs.filter(log_filter(**filters)).orderBy(*newest_log_order()).limit(n or DEFAULT_LOGS)
+def query_logs(logs: DataFrame, n: int | None = 0, **filters) -> DataFrame:
+    """Newest n logs (0 means 200, None all) that pass the structured filters."""
+    kept = on_dates(logs, **filters).filter(log_filter(**filters))
+    return first_rows(kept.orderBy(*newest_log_order()), n, DEFAULT_LOGS)
 
 
-def search_logs(logs: DataFrame, predicate: Column, n: int = DEFAULT_LOGS, **filters) -> DataFrame:
-    """Newest n (1..5000) logs of the whole window that pass the filters and the predicate."""
-    return query_logs(logs.filter(predicate), min(max(n, 1), MAX_LOGS), **filters)
+def search_logs(logs: DataFrame, predicate: Column, n: int | None = DEFAULT_LOGS, **filters) -> DataFrame:
+    """Newest n logs (None means all) of the whole window that pass the filters and the predicate."""
+    return query_logs(logs.filter(predicate), n, **filters)
 
 
 def level_counts() -> list[Column]:
@@ -50,11 +50,10 @@ def log_histogram(
 ) -> DataFrame:
     """Log counts per level in equal time buckets.
 
-    The range is the given window, else that of the data.  Buckets are clamped to 5..200, the last one
-    takes the remainder, empty ones are present, and no matching log means no rows.
+    The range is the given window, else that of the data.  The last bucket takes the remainder, empty ones are present, and no matching log means no rows.
     """
-    buckets = min(max(buckets, MIN_BUCKETS), MAX_BUCKETS)
-    kept = logs.filter(log_filter(time_min=time_min, time_max=time_max, **filters))
+    at_least("buckets", buckets)
+    kept = on_dates(logs, time_min=time_min, time_max=time_max).filter(log_filter(time_min=time_min, time_max=time_max, **filters))
     if predicate is not None:
         kept = kept.filter(predicate)
     time = "time_unix_nano"
@@ -98,7 +97,7 @@ def histogram_totals(histogram: DataFrame) -> DataFrame:
 
 def log_fields(logs: DataFrame, fields: int = 50, **filters) -> DataFrame:
     """Service, level, scope and all attribute keys of the matching logs with their top values."""
-    kept = logs.filter(log_filter(**filters))
+    kept = on_dates(logs, **filters).filter(log_filter(**filters))
 
     # Few combinations of these columns exist; they are counted before they become observations.
     builtin = kept.groupBy("service_name", severity_level("severity_number").alias("level"), "scope_name").agg(

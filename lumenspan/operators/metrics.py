@@ -9,23 +9,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenspan.functions.filters import time_between
+from lumenspan.functions.filters import on_dates, time_between
 from lumenspan.functions.jsontext import canonical
 from lumenspan.operators.correlate import exemplar_rows
+from lumenspan.plans.limits import at_least, first_rows
 from lumenspan.plans.ordered import every_nth, with_previous
 
 SERIES = ["service_name", "attributes"]
 TIME = "time_unix_nano"
-DEFAULT_POINTS, MIN_POINTS, MAX_POINTS = 500, 10, 10_000
-DEFAULT_EXEMPLARS, MAX_EXEMPLARS = 50, 500
+DEFAULT_POINTS = 500
+DEFAULT_EXEMPLARS = 50
 AGGREGATE_BUCKETS = 120
 AGGREGATES = {"sum": F.sum, "avg": F.avg, "min": F.min, "max": F.max}
 
 
-def _clamp(value: int, low: int, high: int) -> int:
-    return min(max(value, low), high)
-
-
 def list_metrics(points: DataFrame) -> DataFrame:
     """One row per metric name; description, unit and type come from its earliest point."""
     first = F.min(F.struct(TIME, "description", "unit", "metric_type"))
@@ -44,7 +41,8 @@ def metric_series(
     canonical_attributes: bool = False,
 ) -> DataFrame:
     """Points of a metric as series.  Stored attributes are canonical; other text can be made so here."""
-    kept = points.filter((F.col("name") == name) & time_between(TIME, time_min, time_max))
+    kept = on_dates(points, time_min=time_min, time_max=time_max)
+    kept = kept.filter((F.col("name") == name) & time_between(TIME, time_min, time_max))
     if service:
         kept = kept.filter(F.col("service_name") == service)
     key = canonical("attributes") if canonical_attributes else F.col("attributes")
@@ -58,7 +56,7 @@ def metric_series(
 
 def downsample(series: DataFrame, max_points: int = DEFAULT_POINTS) -> DataFrame:
     """At most max_points per series by a constant stride; shorter series keep every point."""
-    limit = _clamp(max_points or DEFAULT_POINTS, MIN_POINTS, MAX_POINTS)
+    limit = at_least("max_points", max_points)
     return every_nth(series, SERIES, [TIME, "value"], limit)
 
 
@@ -105,7 +103,7 @@ def aggregate_series(
     """
     if function not in AGGREGATES:
         return series
-    buckets = _clamp(buckets, 2, 2000)
+    at_least("buckets", buckets)
     div = lambda a, b: F.call_function("div", a, b)
     ends = series.agg(F.struct(F.min(TIME).alias("lo"), F.max(TIME).alias("hi")).alias("b")).scalar()
     # The bounds travel with the rows, so that the plan contains the subquery once.
@@ -174,9 +172,9 @@ def series_points(series: DataFrame, max_points: int = DEFAULT_POINTS) -> DataFr
 
 
 def find_exemplars(
-    points: DataFrame, trace_id: str, span_id: str | None = None, n: int = DEFAULT_EXEMPLARS
+    points: DataFrame, trace_id: str, span_id: str | None = None, n: int | None = DEFAULT_EXEMPLARS
 ) -> DataFrame:
-    """Newest n (1..500) exemplars of a trace, and of a span if given; blank or all-zero ids find nothing."""
+    """Newest n (None means all) exemplars of a trace, and of a span if given; blank or all-zero ids find nothing."""
     trace_id, span_id = trace_id.strip().lower(), (span_id or "").strip().lower()
     rows = exemplar_rows(points)
     if not trace_id.strip("0"):
@@ -185,4 +183,4 @@ def find_exemplars(
     if span_id:
         rows = rows.filter(F.lower("span_id") == span_id)
     order = [F.desc("time_unix_nano"), F.col("metric_name"), F.col("service_name"), F.col("span_id"), F.col("value")]
-    return rows.orderBy(*order).limit(_clamp(n, 1, MAX_EXEMPLARS))
+    return first_rows(rows.orderBy(*order), n, DEFAULT_EXEMPLARS)

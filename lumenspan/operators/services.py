@@ -57,7 +57,8 @@ def service_stats(
             "rate_per_sec": F.col("request_count") / seconds,
         }
     )
-    return rates.join(latency_percentiles(spans, approximate), "service_name", "left")
+    cuts = latency_percentiles(spans, approximate).withColumnRenamed("service_name", "__service")
+    return rates.join(cuts, F.col("service_name").eqNullSafe(F.col("__service")), "left").drop("__service")
 
 
 def unhealthy_first(stats: DataFrame) -> DataFrame:

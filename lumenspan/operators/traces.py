@@ -7,13 +7,13 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenspan.functions.filters import STATUS_ERROR, span_filter
+from lumenspan.functions.filters import STATUS_ERROR, on_dates, span_filter
 from lumenspan.functions.spansets import TraceCondition, TraceFlags
 from lumenspan.operators import correlate
 from lumenspan.plans.checkpoints import checkpoint_dir
+from lumenspan.plans.limits import first_rows
 
 DEFAULT_TRACES = 20
-MAX_TRACES = 500
 # Ids of a top-k are broadcast up to this many rows.
 BROADCAST_IDS = 10_000
 
@@ -93,26 +93,27 @@ def trace_summaries(spans: DataFrame) -> DataFrame:
     return _newest_first(summarise(spans))
 
 
-def candidate_traces(spans: DataFrame, k: int = 0, **filters) -> DataFrame:
-    """Newest k traces (0 means 20) with a span that satisfies all span filters, by its latest start."""
-    matching = spans.filter(span_filter(**filters))
+def candidate_traces(spans: DataFrame, k: int | None = 0, **filters) -> DataFrame:
+    """Newest k traces (0 means 20, None all) with a span that satisfies all span filters, by its latest start."""
+    matching = on_dates(spans, **filters).filter(span_filter(**filters))
     latest = matching.groupBy("trace_id").agg(F.max("start_time_unix_nano").alias("latest_start"))
-    return latest.orderBy(F.desc("latest_start"), "trace_id").limit(k or DEFAULT_TRACES)
+    return first_rows(latest.orderBy(F.desc("latest_start"), "trace_id"), k, DEFAULT_TRACES)
 
 
-def trace_ids(spans: DataFrame, k: int = 0, **filters) -> DataFrame:
+def trace_ids(spans: DataFrame, k: int | None = 0, **filters) -> DataFrame:
     return candidate_traces(spans, k, **filters).select("trace_id")
 
 
-def spans_of(spans: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """All spans of at most k traces."""
+def spans_of(spans: DataFrame, ids: DataFrame, k: int | None) -> DataFrame:
+    """All spans of the given traces; k is how many there are at most, if known."""
     ids = ids.select("trace_id")
-    return spans.join(F.broadcast(ids) if k <= BROADCAST_IDS else ids, "trace_id", "left_semi")
+    few = k is not None and k <= BROADCAST_IDS
+    return spans.join(F.broadcast(ids) if few else ids, "trace_id", "left_semi")
 
 
-def find_traces(spans: DataFrame, k: int = 0, **filters) -> DataFrame:
+def find_traces(spans: DataFrame, k: int | None = 0, **filters) -> DataFrame:
     """Summaries of the candidate traces over all of their spans, newest first."""
-    k = k or DEFAULT_TRACES
+    k = DEFAULT_TRACES if k == 0 else k
     return trace_summaries(spans_of(spans, candidate_traces(spans, k, **filters), k))
 
 
@@ -124,24 +125,25 @@ def get_trace(spans: DataFrame, trace_id: str) -> DataFrame:
 def matching_traces(spans: DataFrame, condition: TraceCondition | None = None, **filters) -> DataFrame:
     """Summaries of every trace that has a span passing the filters and satisfies the condition.
 
-    Filters, span sets and summary share one aggregation by trace.
+    Filters pick traces first, where they reach the scan and its date partitions; span sets and summary
+    share one aggregation of the traces that are left.
     """
     flags = TraceFlags(condition) if condition is not None else None
-    candidate = F.count_if(span_filter(**filters)).alias("__candidates")
+    if any(value not in (None, "", False) for value in filters.values()):
+        picked = on_dates(spans, **filters).filter(span_filter(**filters)).select("trace_id").distinct()
+        spans = spans.join(picked, "trace_id", "left_semi")
     columns = [] if flags is None else flags.columns
-    grouped = spans.groupBy("trace_id").agg(*summary_aggregates(), candidate, *columns)
-    result = summary_columns(grouped).filter(F.col("__candidates") > 0)
+    result = summary_columns(spans.groupBy("trace_id").agg(*summary_aggregates(), *columns))
     if flags is not None:
         result = result.filter(flags.flag())
     return result.select(*SUMMARY_COLUMNS)
 
 
 def search_traces(
-    spans: DataFrame, condition: TraceCondition | None = None, k: int = DEFAULT_TRACES, **filters
+    spans: DataFrame, condition: TraceCondition | None = None, k: int | None = DEFAULT_TRACES, **filters
 ) -> DataFrame:
-    """Newest k (1..500) matching traces of the whole table."""
-    k = min(max(k, 1), MAX_TRACES)
-    return _newest_first(matching_traces(spans, condition, **filters)).limit(k)
+    """Newest k matching traces of the whole table; None means all."""
+    return first_rows(_newest_first(matching_traces(spans, condition, **filters)), k, DEFAULT_TRACES)
 
 
 def error_spans(spans: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from lumenspan.functions import records as R
 from lumenspan.operators import metrics
 from lumenspan.plans.checkpoints import work_dir
 from lumenspan.registry.base import (
+    LOGS_SQL,
     POINTS_SQL,
     WITH_LOGS,
     WITH_POINTS,
@@ -22,9 +23,9 @@ from lumenspan.registry.base import (
 )
 from lumenspan.registry.metrics import _RATE, _steps
 from lumenspan.sinks import otlp_export
-from lumenspan.sinks.tables import append_all, sweep_expired
+from lumenspan.sinks.tables import append, append_all, sweep_expired
 from lumenspan.sources import otlp_json, star_tables
-from lumenspan.sources.tables import LOGS_DIR, Telemetry, read_tables, stored_schema
+from lumenspan.sources.tables import LOGS_DIR, POINTS_DIR, SPANS_DIR, Telemetry, read_table, read_tables, spans_from_table
 from lumenspan.streaming import live
 
 _SPAN_COLUMNS = [
@@ -249,5 +250,58 @@ def live_ingest(spark, sf_dir):
     documents = spark.readStream.schema(otlp_json.LOG_DOCUMENTS).json(f"{path}/documents")
     rows = otlp_json.flatten_logs(documents)
     live.start_ingest(rows, path, LOGS_DIR, f"{path}/checkpoint", availableNow=True).awaitTermination()
-    stored = spark.read.schema(stored_schema(LOGS_DIR)).parquet(f"{path}/{LOGS_DIR}")
-    return stored.select(*_LOG_COLUMNS)
+    return read_table(spark, path, LOGS_DIR).select(*_LOG_COLUMNS)
+
+
+_EVENT_SPANS = """event_spans AS (SELECT 'svc-' || (user_id % 8) AS service_name, epoch_us(ts) * 1000 AS start_time_unix_nano,
+  CAST(floor(greatest(value, 0)) AS BIGINT) * 1000 AS duration_nanos FROM events)"""
+
+
+def _event_spans(events):
+    start = F.unix_micros(F.col("ts").cast("timestamp")) * 1000
+    columns = {
+        "trace_id": F.col("user_id").cast("string"),
+        "span_id": F.col("event_id").cast("string"),
+        "name": "event_type",
+        "service_name": F.concat(F.lit("svc-"), (F.col("user_id") % 8).cast("string")),
+        "start_time_unix_nano": start,
+        "end_time_unix_nano": start + F.floor(F.greatest("value", F.lit(0.0))).cast("bigint") * 1000,
+    }
+    return spans_from_table(events, columns)
+
+
+def _shared_sql(signal: str, table: str, time: str, total: str) -> str:
+    return f"""SELECT '{signal}' AS signal, service_name, count(*) AS kept, CAST({total} AS BIGINT) AS total,
+      (SELECT count(*) FROM {table} WHERE {time} < {_CUTOFF}) AS swept FROM {table} WHERE {time} >= {_CUTOFF} GROUP BY ALL"""
+
+
+@query(
+    "shared_store",
+    with_sql(_EVENT_SPANS, LOGS_SQL, POINTS_SQL)
+    + " "
+    + " UNION ALL ".join(
+        [
+            _shared_sql("spans", "event_spans", "start_time_unix_nano", "sum(duration_nanos)"),
+            _shared_sql("logs", "logs", "time_unix_nano", "sum(severity_number)"),
+            _shared_sql("metric_points", "points", "time_unix_nano", "count(value)"),
+        ]
+    ),
+)
+def shared_store(spark, sf_dir):
+    """Spans, logs and points streamed into the tables that rows are appended to and swept from."""
+    path = work_dir(spark, "shared")
+    views = {SPANS_DIR: _event_spans, LOGS_DIR: star_tables.event_logs, POINTS_DIR: star_tables.event_points}
+    live_half, other_half = F.col("user_id") % 2 == 0, F.coalesce(F.col("user_id") % 2 != 0, F.lit(True))
+    for signal, view in views.items():
+        rows = view(_stream(spark, sf_dir, "events").filter(live_half))
+        live.start_ingest(rows, path, signal, f"{path}/checkpoints/{signal}", availableNow=True).awaitTermination()
+        append(view(events_of(spark, sf_dir).filter(other_half)), path, signal)
+    swept = sweep_expired(spark, path, _CUTOFF)
+    sums = {SPANS_DIR: F.sum("duration_nanos"), LOGS_DIR: F.sum("severity_number"), POINTS_DIR: F.count("value")}
+    parts = [
+        table.groupBy("service_name")
+        .agg(F.count("*").alias("kept"), sums[signal].cast("bigint").alias("total"))
+        .select(F.lit(signal).alias("signal"), "service_name", "kept", "total", F.lit(n).cast("bigint").alias("swept"))
+        for signal, table, n in zip(views, read_tables(spark, path), swept)
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])

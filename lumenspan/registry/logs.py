@@ -169,9 +169,14 @@ def phrase(spark, sf_dir):
     return _documents(spark, sf_dir, R.logs.phrase("THE with", 0, "body"))
 
 
-@query("proximity", _phrase_sql("body", "thean", "onre", 4))
+@query("proximity", _phrase_sql("body", "idiot", "the", 4))
 def proximity(spark, sf_dir):
-    return _documents(spark, sf_dir, R.logs.phrase(["thean", "onre"], 4, "body"))
+    return _documents(spark, sf_dir, R.logs.phrase(["idiot", "the"], 4, "body"))
+
+
+@query("proximity_wide", _phrase_sql("body", "idiot", "clown", 90))
+def proximity_wide(spark, sf_dir):
+    return _documents(spark, sf_dir, R.logs.phrase(["idiot", "clown"], 90, "body"))
 
 
 @query(
@@ -222,6 +227,11 @@ def thread_logs(spark, sf_dir):
     return found.select("time_unix_nano", "service_name", "trace_id", size)
 
 
+@query("search_logs_many", f"{WITH_LOGS} SELECT {_LIST} FROM logs WHERE body <> 'view' ORDER BY {_ORDER} LIMIT 6000")
+def search_logs_many(spark, sf_dir):
+    return logs.search_logs(logs_of(spark, sf_dir), ~R.logs.field_is("body", "view"), 6000).select(*_COLUMNS)
+
+
 # ---- histogram
 
 
@@ -246,7 +256,7 @@ def log_histogram(spark, sf_dir):
 
 _FIXED = _histogram_sql(
     f"time_unix_nano BETWEEN {WINDOW[0]} AND {WINDOW[1]} AND body <> 'view'",
-    200,
+    500,
     f"CAST({WINDOW[0]} AS BIGINT)",
     f"CAST({WINDOW[1]} AS BIGINT)",
 )
@@ -254,7 +264,6 @@ _FIXED = _histogram_sql(
 
 @query("log_histogram_window", _FIXED.replace("FROM kept),", "FROM (SELECT 1)),") + " SELECT * FROM histogram")
 def log_histogram_window(spark, sf_dir):
-    # 500 buckets are clamped to 200.
     return logs.log_histogram(
         logs_of(spark, sf_dir), 500, ~R.logs.field_is("body", "view"), time_min=WINDOW[0], time_max=WINDOW[1]
     )
@@ -275,7 +284,7 @@ def histogram_totals(spark, sf_dir):
 
 
 def _ranked_sql(observations: str, fields_kept: int = 50) -> str:
-    return f"""counted AS (SELECT name, left(value, 60) AS value, count(*) AS n FROM ({observations}) o GROUP BY 1, 2),
+    return f"""counted AS (SELECT name, value, count(*) AS n FROM ({observations}) o GROUP BY 1, 2),
 totals AS (SELECT name, CAST(sum(n) AS BIGINT) AS count FROM counted GROUP BY name ORDER BY count DESC, name LIMIT {fields_kept}),
 best AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY n DESC, value) AS r FROM counted)
 SELECT name, count, string_agg(value || '=' || n, '|' ORDER BY r) AS top_values

@@ -424,6 +424,15 @@ def search_traces(spark, sf_dir):
     return _summary(traces.search_traces(spans_of(spark, sf_dir), condition, service="1-URGENT"))
 
 
+@query(
+    "search_traces_many",
+    f"""{_ALL_SUMMARIES} SELECT * FROM summaries WHERE trace_id IN (SELECT trace_id FROM spans WHERE status_code = 2)
+    ORDER BY start_time_unix_nano DESC, trace_id LIMIT 1500""",
+)
+def search_traces_many(spark, sf_dir):
+    return _summary(traces.search_traces(spans_of(spark, sf_dir), S.span_set(S.where("status", "=", "error")), 1500))
+
+
 # ---- correlation
 
 

@@ -1,7 +1,13 @@
-"""Partitioned Parquet tables: append, retention and size bounds."""
+"""Partitioned Parquet tables: append, retention and size bounds.
+
+A table is a folder of dates, and a date a folder of parts.  Every append, every batch of a stream and every
+rewrite of a sweep has a part of its own, so none of them touches files of another: a repeated batch replaces
+its own part, and a sweep deletes only parts that it has read.
+"""
 
 from __future__ import annotations
 
+import uuid
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,9 +16,9 @@ from pyspark.sql import functions as F
 from lumenspan.functions.filters import NANOS_PER_DAY
 from lumenspan.plans.ranks import at_ranks
 from lumenspan.schema import time_column
-from lumenspan.sources.tables import LOGS_DIR, POINTS_DIR, SPANS_DIR, Telemetry, stored_schema
+from lumenspan.sources.tables import LOGS_DIR, POINTS_DIR, SPANS_DIR, Telemetry, read_parts
 
-PARTITION = "event_date"
+PARTITION, PART = "event_date", "part"
 
 # Order inside a partition, for row-group skipping on the usual lookups.
 CLUSTERING = {
@@ -20,8 +26,6 @@ CLUSTERING = {
     LOGS_DIR: ["time_unix_nano"],
     POINTS_DIR: ["name", "time_unix_nano"],
 }
-# Bounds of the three tables where none are given.
-DEFAULT_BOUNDS = {SPANS_DIR: 200_000, LOGS_DIR: 200_000, POINTS_DIR: 500_000}
 
 
 def with_date(df: DataFrame) -> DataFrame:
@@ -30,9 +34,11 @@ def with_date(df: DataFrame) -> DataFrame:
     return df.withColumn(PARTITION, F.date_from_unix_date(days))
 
 
-def append(df: DataFrame, path: str, signal: str, records_per_file: int = 5_000_000) -> None:
+def append(df: DataFrame, path: str, signal: str, records_per_file: int = 5_000_000, part: str | None = None) -> None:
     """Append rows to one of the stored tables; no rows add no partition.
 
+    With the name of a part, its rows of the same dates are replaced: writing a part again changes nothing.
+
     Rows are split by ranges of (date, clustering columns): a heavy date is shared by many tasks, and
     each task writes few dates.
     """
@@ -41,8 +47,12 @@ def append(df: DataFrame, path: str, signal: str, records_per_file: int = 5_000_
         start, end = F.col("start_time_unix_nano"), F.col("end_time_unix_nano")
         df = df.withColumn("duration_nanos", F.greatest(end - start, F.lit(0).cast("bigint")))
     rows = with_date(df).repartitionByRange(*order).sortWithinPartitions(*order)
-    writer = rows.write.mode("append").partitionBy(PARTITION).option("maxRecordsPerFile", records_per_file)
-    writer.parquet(f"{path}/{signal}")
+    _write_part(rows, f"{path}/{signal}", part or f"rows-{uuid.uuid4().hex}", records_per_file)
+
+
+def _write_part(rows: DataFrame, folder: str, part: str, records_per_file: int) -> None:
+    writer = rows.withColumn(PART, F.lit(part)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy(PARTITION, PART).option("maxRecordsPerFile", records_per_file).parquet(folder)
 
 
 def append_all(tables: Telemetry, path: str) -> None:
@@ -76,33 +86,38 @@ class Swept(NamedTuple):
 def sweep_expired(spark: SparkSession, path: str, cutoff: int) -> Swept:
     """Delete rows strictly before the cutoff from the three stored tables and return how many.
 
-    Whole dates before the cutoff are dropped as folders; only the date of the cutoff is rewritten.
+    Dates before that of the cutoff are counted from the files' row counts and dropped as folders.  Of the
+    cutoff's own date the parts that hold expired rows are read, their survivors are written as a new part,
+    and then those parts are deleted; parts appended meanwhile stay.
     """
     return Swept(*(_sweep(spark, f"{path}/{signal}", signal, cutoff) for signal in (SPANS_DIR, LOGS_DIR, POINTS_DIR)))
 
 
 def _sweep(spark: SparkSession, folder: str, signal: str, cutoff: int) -> int:
-    root = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    root = path(folder)
     files = root.getFileSystem(spark._jsc.hadoopConfiguration())
     if not files.exists(root):
         return 0
-    table = spark.read.schema(stored_schema(signal)).option("basePath", folder).parquet(folder)
+    table = read_parts(spark, folder, signal)
+    day = F.date_from_unix_date(F.lit(cutoff // NANOS_PER_DAY))
+    # No data column is read here, only row counts; one row per date.
+    old = table.filter(F.col(PARTITION) < day).groupBy(F.col(PARTITION).cast("string").alias("day")).count().collect()
     time = F.col(time_column(table.columns))
-    boundary = F.date_from_unix_date(F.lit(cutoff // NANOS_PER_DAY))
-    touched = table.filter(F.col(PARTITION) <= boundary)
-    counts = touched.groupBy(F.col(PARTITION).cast("string").alias("day")).agg(
-        F.count_if(time < cutoff).alias("expired"), F.count_if(time >= cutoff).alias("kept")
+    parts = table.filter(F.col(PARTITION) == day).groupBy(PART).agg(
+        F.count_if(time < cutoff).alias("expired"), F.count_if(time >= cutoff).alias("kept"), F.max(PARTITION).cast("string").alias("day")
     )
-    # One row per date up to the cutoff.
-    days = [row for row in counts.collect() if row["expired"]]
-    if any(row["kept"] for row in days):
-        survivors = table.filter((F.col(PARTITION) == boundary) & (time >= cutoff))
-        writer = survivors.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        writer.partitionBy(PARTITION).parquet(folder)
-    for row in days:
-        if not row["kept"]:
-            files.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{PARTITION}={row['day']}"), True)
-    return sum(row["expired"] for row in days)
+    # One row per part of one date.
+    touched = [row for row in parts.collect() if row["expired"]]
+    if any(row["kept"] for row in touched):
+        names = [row[PART] for row in touched]
+        survivors = table.filter((F.col(PARTITION) == day) & F.col(PART).isin(names) & (time >= cutoff)).drop(PART)
+        _write_part(survivors, folder, f"kept-{uuid.uuid4().hex}", 5_000_000)
+    for row in old:
+        files.delete(path(f"{folder}/{PARTITION}={row['day']}"), True)
+    for row in touched:
+        files.delete(path(f"{folder}/{PARTITION}={row['day']}/{PART}={row[PART]}"), True)
+    return sum(row["count"] for row in old) + sum(row["expired"] for row in touched)
 
 
 def keep_newest(df: DataFrame, n: int) -> DataFrame:

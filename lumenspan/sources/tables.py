@@ -25,10 +25,20 @@ def stored_schema(signal: str) -> T.StructType:
     return T.StructType([*fields, T.StructField("event_date", T.DateType())])
 
 
+def read_parts(spark: SparkSession, folder: str, signal: str) -> DataFrame:
+    """A stored table with the names of its parts."""
+    schema = T.StructType([*stored_schema(signal).fields, T.StructField("part", T.StringType())])
+    return spark.read.schema(schema).parquet(folder)
+
+
+def read_table(spark: SparkSession, path: str, signal: str) -> DataFrame:
+    """One stored table below a folder."""
+    return read_parts(spark, f"{path}/{signal}", signal).drop("part")
+
+
 def read_tables(spark: SparkSession, path: str) -> Telemetry:
     """Open the three stored tables below a folder."""
-    signals = (SPANS_DIR, LOGS_DIR, POINTS_DIR)
-    return Telemetry(*(spark.read.schema(stored_schema(s)).parquet(f"{path}/{s}") for s in signals))
+    return Telemetry(*(read_table(spark, path, signal) for signal in (SPANS_DIR, LOGS_DIR, POINTS_DIR)))
 
 
 def _default(field: T.StructField) -> Column:

@@ -6,6 +6,8 @@ nanosecond time; with a watermark a window is emitted once it can no longer chan
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
@@ -14,7 +16,7 @@ from lumenspan.operators.logs import level_counts
 from lumenspan.operators.metrics import SERIES, TIME, rate
 from lumenspan.operators.traces import summary_aggregates, summary_columns, is_error, is_root
 from lumenspan.schema import time_column
-from lumenspan.sinks.tables import PARTITION, with_date
+from lumenspan.sinks.tables import append
 from lumenspan.sources.tables import LOGS_DIR, POINTS_DIR, SPANS_DIR
 
 EVENT_TIME = "event_time"
@@ -28,14 +30,23 @@ def with_event_time(df: DataFrame, delay: str | None = None) -> DataFrame:
 
 
 def start_ingest(rows: DataFrame, path: str, signal: str, checkpoint: str, **trigger) -> StreamingQuery:
-    """Write flattened rows of a document stream into a stored table.
+    """Write flattened rows of a document stream into a stored table, clustered like appended rows.
 
-    ``signal`` is the table folder; ``trigger`` are arguments of ``DataStreamWriter.trigger``.
+    Every batch is a part of the table, named after the checkpoint and the batch, and replaced if the batch is
+    repeated; appends and sweeps of the same table may run beside it.  ``signal`` is the table folder,
+    ``checkpoint`` a folder outside the table, ``trigger`` are arguments of ``DataStreamWriter.trigger``.
     """
     if signal not in (SPANS_DIR, LOGS_DIR, POINTS_DIR):
         raise ValueError(f"no such table: {signal}")
-    writer = with_date(rows).writeStream.format("parquet").partitionBy(PARTITION).outputMode("append")
-    return _started(writer.option("path", f"{path}/{signal}"), checkpoint, trigger)
+    stream = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
+
+    def step(batch: DataFrame, number: int) -> None:
+        # Range partitioning samples the batch before it writes it.
+        batch.persist()
+        append(batch, path, signal, part=f"stream-{stream}-{number}")
+        batch.unpersist()
+
+    return _started(rows.writeStream.foreachBatch(step), checkpoint, trigger)
 
 
 def _started(writer: DataStreamWriter, checkpoint: str, trigger: dict) -> StreamingQuery:

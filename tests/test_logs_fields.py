@@ -34,7 +34,10 @@ def test_histogram_of_data_range(make_logs):
         {"time_unix_nano": 2000, "severity_number": 17},
         {"time_unix_nano": 500_000, "severity_number": 17},
     )
-    rows = logs.log_histogram(df, 1).collect()
+    with pytest.raises(ValueError):
+        logs.log_histogram(df, 0)
+    assert len(logs.log_histogram(df, 1).collect()) == 1 and len(logs.log_histogram(df, 300).collect()) == 300
+    rows = logs.log_histogram(df, 5).collect()
     assert len(rows) == 5
     assert (sum(r["error"] for r in rows), sum(r["info"] for r in rows)) == (2, 1)
     assert rows[0]["time_unix_nano"] == 1000 and rows[-1]["error"] == 1
@@ -57,10 +60,11 @@ def test_histogram_full_window(spark, make_logs):
     assert logs.histogram_totals(logs.log_histogram(odd, 5)).first()["total"] == 6000
 
 
-@pytest.mark.parametrize("value", ["x" * 59 + "é" * 5])
-def test_value_cut_by_characters(spark, value):
-    row = fields.rank_fields(spark.createDataFrame([("f", value)], "name string, value string")).first()
-    assert len(row["top_values"][0]["value"]) == 60
+@pytest.mark.parametrize(("characters", "want"), [(None, [("pine" * 20 + "é", 1), ("pine" * 20 + "ü", 1)]), (80, [("pine" * 20, 2)]), (4, [("pine", 2)])])
+def test_whole_values_are_counted_unless_cut(spark, characters, want):
+    seen = spark.createDataFrame([("tree", "pine" * 20 + end) for end in "éü"], "name string, value string")
+    row = fields.rank_fields(seen, characters=characters).first()
+    assert [(v["value"], v["count"]) for v in row["top_values"]] == want
 
 
 def test_rank_fields(spark):

@@ -78,7 +78,7 @@ def test_exemplars(make_points):
     )
     find = lambda *a, **k: metrics.find_exemplars(points, *a, **k).count()
     assert (find("aaa111"), find("AAA111", "S2"), find("unknown"), find("0000"), find(" ")) == (2, 1, 0, 0, 0)
-    assert metrics.find_exemplars(points, "aaa111", n=0).count() == 1
+    assert metrics.find_exemplars(points, "aaa111", n=1).count() == 1 and find("aaa111", n=None) == find("aaa111", n=0) == 2
 
 
 def _brute_steps(points):
