@@ -23,10 +23,10 @@ BLANKS = "[\\x20\\x09-\\x0D]+"
 
 
 def _lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """One row per line with a word: document key, number among those, hash of the trimmed line, words and words so far."""
+    """One row per line with a word: document key, position, hash of the trimmed line, words and words so far."""
     own = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("content"), F.split(text, "\n").alias("lines"))
-    each = own.select("doc_id", "content", F.posexplode(F.filter("lines", lambda x: x.rlike(WORD))).alias("pos", "line"))
-    each = each.withColumn("w", F.regexp_count("line", F.lit(WORD)).cast("bigint"))
+    each = own.select("doc_id", "content", F.posexplode("lines").alias("pos", "line"))
+    each = each.withColumn("w", F.regexp_count("line", F.lit(WORD)).cast("bigint")).where("w > 0")
     trimmed = F.regexp_replace("line", f"^{BLANKS}|{BLANKS}$", "")
     each = each.select("doc_id", "content", "pos", "w", F.xxhash64(trimmed).alias("h"))
     # Rows repeated as a whole are one document here.
@@ -44,7 +44,10 @@ def _windows(min_words: int) -> tuple[Window, Window]:
 
 
 def repeated_lines(docs: DataFrame, min_words: int = 50, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, content, pos) of every line to delete: the hash of the text, and numbers from 0 of lines with words."""
+    """(doc_id, content, pos): what runs to delete cover, blank lines between their lines included.
+
+    content is the hash of the text, positions count from 0.
+    """
     start, end = _windows(min_words)
     lines = stored(_lines(docs, doc_id, text), "lines")
     selected = lines.select(
@@ -72,15 +75,15 @@ def repeated_lines(docs: DataFrame, min_words: int = 50, doc_id: str = "doc_id",
     return spans.distinct()
 
 
-def _places(lines: Column, numbers: Column) -> Column:
-    """Positions among all lines of lines known by their numbers among those with words."""
-    worded = F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: lines[i].rlike(WORD))
-    return F.transform(numbers, lambda k: F.get(worded, k))
+def _worded(lines: Column, places: Column) -> Column:
+    """The places without those of blank lines."""
+    blank = F.filter(F.transform(lines, lambda x, i: F.when(~x.rlike(WORD), i)), lambda i: i.isNotNull())
+    return F.array_except(places, blank)
 
 
 def _kept(lines: Column, removed: Column) -> Column:
     places = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), removed)
-    return F.array_join(F.transform(places, lambda i: lines[i]), "\n")
+    return F.array_join(F.transform(places, lambda i: F.get(lines, i)), "\n")
 
 
 def dedup_lines(docs: DataFrame, min_words: int = 50, doc_id: str = "doc_id", text: str = "text", removed: str = "removed") -> DataFrame:
@@ -96,12 +99,15 @@ def dedup_lines(docs: DataFrame, min_words: int = 50, doc_id: str = "doc_id", te
     gone = repeated_lines(docs, min_words, doc_id, text)
     gone = gone.groupBy("doc_id", "content").agg(F.array_sort(F.collect_set("pos")).alias("gone"))
     gone = gone.select(F.col("doc_id").alias("_gone_id"), F.col("content").alias("_gone_content"), "gone")
-    own, places = fresh(docs, "own"), fresh(docs, "places")
+    own, places, lines = fresh(docs, "own"), fresh(docs, "places"), fresh(docs, "lines")
     gone = gone.withColumnRenamed("gone", places)
-    keyed = docs.withColumn(own, F.xxhash64(text))
+    # The lines travel in place of the text, so that no expression splits it again for each of its lines.
+    others = [F.col(f"`{c}`") for c in docs.columns if c != text]
+    keyed = docs.select(*others, F.split(text, "\n").alias(lines), F.xxhash64(text).alias(own))
     both = keyed.join(gone, F.col(doc_id).eqNullSafe(F.col("_gone_id")) & (F.col(own) == F.col("_gone_content")), "left")
-    both = both.withColumn(places, F.when(F.col(places).isNotNull(), _places(F.split(text, "\n"), F.col(places))))
-    kept = F.when(F.col(places).isNull(), F.col(text)).otherwise(_kept(F.split(text, "\n"), F.col(places)))
+    both = both.withColumn(places, F.when(F.col(places).isNotNull(), _worded(F.col(lines), F.col(places))))
+    whole = F.array_join(lines, "\n")
+    kept = F.when(F.col(places).isNull(), whole).otherwise(_kept(F.col(lines), F.col(places)))
     none = F.array().cast("array<int>")
     columns = [kept.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns]
     return both.select(*columns, F.coalesce(F.col(places), none).alias(removed))
