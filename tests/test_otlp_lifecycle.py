@@ -230,3 +230,9 @@ def test_windows_prune_dates(spark, tmp_path, make_logs, make_spans, make_points
         text = plan._jdf.queryExecution().executedPlan().toString()
         assert "PartitionFilters: [isnotnull(event_date" in text
     assert logs.query_logs(records, **window).count() == 2 and traces.find_traces(spans, **window).count() == 2
+
+
+def test_rejected_documents(spark):
+    texts = ['{"resourceSpans":[]}', "{}", "", "  ", '{"resourceSpans":[', "[1]", "7", None, "nonsense"]
+    lines = spark.createDataFrame([(t,) for t in texts], "value string")
+    assert sorted(r.value for r in otlp_json.rejected_documents(lines).collect()) == sorted(['{"resourceSpans":[', "[1]", "7", "nonsense"])
