@@ -1,4 +1,4 @@
-"""SimHash fingerprints and multi-index hashing.
+"""SimHash fingerprints, multi-index hashing, and near copies by their shingle sets.
 
 A fingerprint has 64 bits per lane.  Lane 0 counts the bits of every shingle's XXH64 (seed 42); further lanes
 scramble that hash again.  Two searches are offered:
@@ -8,14 +8,13 @@ scramble that hash again.  Two searches are offered:
   keys.  Two fingerprints within two bits always meet in a key, and all members of a key lie within two bits
   of each other, so a key holds at most 65 different fingerprints however many documents there are.  Its
   members are one bit mask, combined before the shuffle; the complete distances are checked afterwards.
-* ``similar_links``: for larger distances.  Every segment's ball of radius one is enumerated; a bucket links
-  its members with its leader only, after the complete distance is checked.  The work is one row per key
-  whatever the size of a bucket.
+* ``keep_one``: documents that share 0.8 of their shingles, about 31 of 192 fingerprint bits, for which no
+  number of segments is both whole and selective.  Minima of the scrambled shingle hashes in bands tell which
+  pairs meet, and the distinct shingles of every such pair are counted.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -118,52 +117,115 @@ def hex_digits(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def distance_for(similarity: float, bits: int) -> int:
-    """Differing bits expected at this share of common shingles, and half a standard deviation more."""
-    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return math.floor(bits * share + math.sqrt(bits * share * (1 - share)) / 2)
+#: Bands of the near-copy search and minima in each: two sets that share 0.8 miss every band in 4 of 10^8 cases.
+BANDS = 56
+ROWS = 6
+_FACTORS = np.random.Generator(np.random.PCG64(20240918)).integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+PART = 1 << 11
 
 
-def similar_links(prints: DataFrame, max_distance: int, lanes: int, width: int) -> DataFrame:
-    """(a, b) of fingerprint rows (``id``, ``lanes``) within the distance that meet in a segment's ball.
+def shingle_set(text: str | None, k: int) -> np.ndarray:
+    """The distinct hashes of shingle_hashes, ascending."""
+    return np.unique(shingle_hashes(text, k))
 
-    Every lane is cut into segments of ``width`` bits; fingerprints within two bits in any segment share a
-    key.  A bucket elects the member with the least scrambled id as leader, another one for each segment.
+
+def band_keys(hashes: np.ndarray) -> np.ndarray:
+    """A key for each band: the band's number and its least scrambled hashes; none for an empty set."""
+    if not len(hashes):
+        return np.zeros(0, np.int64)
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    with np.errstate(over="ignore"):
+        for i in range(0, len(hashes), PART):
+            np.minimum(least, (_FACTORS[:, None] * hashes[None, i : i + PART]).min(1), out=least)
+        key = np.arange(1, BANDS + 1, dtype=np.uint64)
+        for part in least.reshape(BANDS, ROWS).T:
+            key = mix(key * np.uint64(31) + part)
+    return key.view(np.int64)
+
+
+def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
+    """(doc_id, content, id, size, keys): hash of the text, hash and size of its shingle set, its band keys."""
+
+    @F.pandas_udf("id bigint, size int, keys array<bigint>")
+    def signature(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            sets = [shingle_set(t, shingle) for t in batch]
+            ids = [int(np.uint64(xxhash.xxh64_intdigest(s.tobytes(), SEED)).view(np.int64)) for s in sets]
+            yield pd.DataFrame({"id": ids, "size": [len(s) for s in sets], "keys": [band_keys(s) for s in sets]})
+
+    marked = docs.select("doc_id", F.xxhash64("text").alias("content"), signature.asNondeterministic()(F.col("text")).alias("s"))
+    return marked.select("doc_id", "content", "s.*")
+
+
+def _alike(a: Column, b: Column, similarity: float) -> Column:
+    """The sizes of two sets allow this similarity."""
+    return F.least(a, b) / F.greatest(a, b) >= similarity
+
+
+def leader_pairs(keys: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): every member of a key (``id``, ``size``, ``key``) and the key's member of the least id."""
+    leaders = keys.groupBy("key").agg(F.min(F.struct("id", "size")).alias("leader"))
+    pairs = keys.join(leaders, "key").where((F.col("id") != F.col("leader.id")) & _alike(F.col("size"), F.col("leader.size"), similarity))
+    return pairs.select(F.col("id").alias("a"), F.col("leader.id").alias("b")).distinct()
+
+
+def open_pairs(keys: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): every two members of a key that links so far leave in different components.
+
+    A key's commonest component is not paired with itself, so a family of very many linked copies costs one row
+    for each copy and each member that is not of the family.
     """
-    slots = [(lane, shift) for lane in range(lanes) for shift in range(0, 64 - width + 1, width)]
-    mask = (1 << width) - 1
-    cut = [F.shiftrightunsigned(F.col("lanes")[lane], shift).bitwiseAND(F.lit(mask)) for lane, shift in slots]
-    flips = F.array(F.lit(0).cast("bigint"), *[F.lit(1 << i).cast("bigint") for i in range(width)])
-    parts = prints.select("id", F.posexplode(F.array(*cut)).alias("s", "v"))
-    key = F.col("v").bitwiseXOR(F.col("f")).bitwiseOR(F.shiftleft(F.col("s").cast("bigint"), 48))
-    keys = parts.select("id", "s", "v", F.explode(flips).alias("f")).select("id", key.alias("key"), F.xxhash64("id", "s").alias("rank"))
-    leaders = keys.groupBy("key").agg(F.min(F.struct("rank", "id")).alias("leader"), F.count("*").alias("n")).where("n > 1")
-    pairs = keys.select("id", "key").join(leaders.select("key", F.col("leader.id").alias("b")), "key")
-    pairs = pairs.where("id <> b").select(F.greatest("id", "b").alias("a"), F.least("id", "b").alias("b")).distinct()
-    left = prints.select(F.col("id").alias("a"), F.col("lanes").alias("left"))
-    right = prints.select(F.col("id").alias("b"), F.col("lanes").alias("right"))
+    rooted = keys.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    sizes = rooted.groupBy("key", "root").count().groupBy("key").agg(F.max_by("root", F.struct("count", "root")).alias("main"), F.count("*").alias("n"))
+    mixed = stored(rooted.join(sizes.where("n > 1").drop("n"), "key"), "mixed")
+    rest = mixed.where("root <> main").select("key", F.col("id").alias("o_id"), F.col("root").alias("o_root"), F.col("size").alias("o_size"))
+    pairs = rest.join(mixed, "key").where((F.col("root") != F.col("o_root")) & _alike(F.col("size"), F.col("o_size"), similarity))
+    return pairs.select(F.greatest("id", "o_id").alias("a"), F.least("id", "o_id").alias("b")).distinct()
+
+
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs whose sets (``id``, ``hashes``) share this much of their union."""
+    left = sets.select(F.col("id").alias("a"), F.col("hashes").alias("left"))
+    right = sets.select(F.col("id").alias("b"), F.col("hashes").alias("right"))
     both = pairs.join(left, "a").join(right, "b")
-    distance = sum((F.bit_count(F.col("left")[i].bitwiseXOR(F.col("right")[i])) for i in range(lanes)), F.lit(0))
-    return both.where(distance <= max_distance).select("a", "b")
+    common = F.size(F.array_intersect("left", "right"))
+    return both.where(common / (F.size("left") + F.size("right") - common) >= similarity).select("a", "b")
 
 
 def keep_one(
-    docs: DataFrame, shingle: int = 5, similarity: float = 0.8, lanes: int = 3, width: int = 28,
-    doc_id: str = "doc_id", text: str = "text",
+    docs: DataFrame, shingle: int = 5, similarity: float = 0.8, doc_id: str = "doc_id", text: str = "text",
 ) -> DataFrame:
     """The documents without near copies: the row with the least id of each group stays, all columns unchanged.
 
-    Groups are connected by links of fingerprints whose distance stands for at least this share of common
-    five-word shingles.  Exact copies always fall together.  Texts without words are one group.  Rows that
-    repeat an id are told apart by their text; equal rows count as one document, of which one stays.
+    Groups are connected by pairs that share at least this much of the union of their distinct shingles, counted
+    on the sets themselves; minima in bands only tell which pairs are counted.  Every member of a key meets the
+    key's leader first, then whoever those links leave in another component.  Equal sets always fall together.
+    Texts without words are one group.  Rows that repeat an id are told apart by their text; equal rows count as
+    one document, of which one stays.
     """
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    rows = fingerprints(rows, shingle, lanes).select("doc_id", F.xxhash64("text").alias("content"), F.col("fingerprint").alias("lanes"))
-    rows = stored(rows, "fingerprints")
-    prints = rows.groupBy(F.xxhash64("lanes").alias("id")).agg(F.first("lanes").alias("lanes"), F.min(F.struct("doc_id", "content")).alias("least"))
+    own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    rows = stored(shingle_sets(own, shingle), "shingles")
+    prints = rows.groupBy("id").agg(F.first("size").alias("size"), F.first("keys").alias("keys"), F.min(F.struct("doc_id", "content")).alias("least"))
     prints = stored(prints, "prints")
-    limit = distance_for(similarity, 64 * lanes)
-    roots = components(similar_links(prints.select("id", "lanes"), limit, lanes, width)).withColumnRenamed("node", "id")
+    keys = prints.select("id", "size", F.explode("keys").alias("key"))
+    shared = keys.groupBy("key").count().where("count > 1").select("key")
+    keys = stored(keys.join(shared, "key"), "keys")
+
+    @F.pandas_udf("array<bigint>")
+    def hashes(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield pd.Series([shingle_set(t, shingle).view(np.int64) for t in batch])
+
+    met = prints.join(keys.select("id").distinct(), "id", "left_semi").select("id", "least.*")
+    met = met.select("id", F.col("doc_id").alias("_met_id"), F.col("content").alias("_met_content"))
+    texts = own.withColumn("content", F.xxhash64("text")).join(
+        met, F.col("doc_id").eqNullSafe(F.col("_met_id")) & (F.col("content") == F.col("_met_content"))
+    )
+    sets = texts.select("id", hashes.asNondeterministic()(F.col("text")).alias("hashes")).dropDuplicates(["id"])
+    sets = stored(sets, "sets")
+    links = stored(verified(leader_pairs(keys, similarity), sets, similarity), "led")
+    more = verified(open_pairs(keys, components(links), similarity), sets, similarity)
+    roots = components(links.unionByName(more)).withColumnRenamed("node", "id")
     classes = prints.select("id", "least").join(roots, "id", "left").select(F.coalesce("root", "id").alias("root"), "least")
     stay = classes.groupBy("root").agg(F.min("least").alias("least")).select("least.*")
     stay = stay.select(F.col("doc_id").alias("_stay_id"), F.col("content").alias("_stay_content"))

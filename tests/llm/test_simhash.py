@@ -101,3 +101,25 @@ def test_components_of_chains_and_stars(spark, n):
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     want = {i: 0 for i in range(n + 1)} | ({1000 + i: 1000 for i in range(n)} if n > 1 else {})
     assert got == want
+
+
+def jaccard(a, b):
+    a, b = ({tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in (a, b))
+    return len(a & b) / len(a | b)
+
+
+def test_keep_one_against_every_pair(make_docs):
+    rng = random.Random(23)
+    rows = []
+    for f in range(40):
+        base = [f"f{f}w{rng.randrange(500)}" for _ in range(120)]
+        for _ in range(8):
+            words = list(base)
+            for at in rng.sample(range(120), rng.randrange(5)):
+                words[at] = f"c{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(words)))
+    near = [jaccard(a, b) for i, a in rows for j, b in rows[:i] if i // 8 == j // 8]
+    assert sum(0.8 <= x < 0.9 for x in near) > 50 and sum(0.65 <= x < 0.8 for x in near) > 50
+    want = groups(range(len(rows)), [(i, j) for i, a in rows for j, b in rows[:i] if i // 8 == j // 8 and jaccard(a, b) >= 0.8])
+    kept = [r.doc_id for r in simhash.keep_one(make_docs(*rows)).select("doc_id").collect()]
+    assert sorted(kept) == sorted(set(want.values()))
