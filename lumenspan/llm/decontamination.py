@@ -4,10 +4,11 @@ A seed is a fixed mask over a run of words: the words at its ones are hashed, th
 so a passage with single words replaced still shares seeds with its original.  Seeds of the test items are
 joined with seeds of the documents; every hit gives a diagonal (document position minus item position), and
 the words along it are compared: a leak is a window of ``window`` item words of which at least ``share`` are
-equal.  Items shorter than a mask use one whole-item seed, and items shorter than the window are compared
-over their whole length; items of fewer than three words are never looked for.
+equal.  Items shorter than the window are compared over their whole length; items of fewer than three words are
+never looked for.  The masks depend on how many words are compared and how many of them may differ: wherever
+those are, one of the masks meets equal words only, so no passage that the comparison accepts is missed.
 
-Every mask begins with two ones, so a document position matters only if its pair of words occurs in some
+Where every mask begins with two ones, a document position matters only if its pair of words occurs in some
 item.  A constant of fixed size with a flag per hashed pair tells that before seeds are hashed or exploded;
 it only spares work, also when it fills up.  The seeds are broadcast while they are counted to be few, and joined by a
 shuffle beyond that.
@@ -17,14 +18,23 @@ Only DataFrame functions are used.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenspan.llm.base import alnum_words, fresh, stored
 
-#: Fixed masks of span 12 and weight 8; each begins with two ones.
-MASKS = ("110110101011", "111001011011", "110101110011")
-SPAN = 12
+#: Fixed masks for 12 and more words, of span 6 and weight 5; each begins with two ones.
+MASKS = ("111011", "111101", "111110")
+SPAN = 6
+#: Masks, and by the number of words that may differ the fewest compared words for which they miss nothing.
+FAMILIES = (
+    (MASKS, {2: 12, 3: 15, 4: 20}),
+    (("11101", "1111"), {2: 10}),
+    (("1111", "11011"), {1: 6}),
+    (("111", "1101"), {1: 5}),
+)
 MIN_ITEM = 3
 #: Seeds that may be broadcast: at 24 bytes each under 50 MB.
 BROADCAST_SEEDS = 2_000_000
@@ -35,14 +45,24 @@ def _hashes(text: str) -> Column:
     return F.transform(alnum_words(F.lower(text)), lambda w: F.xxhash64(w))
 
 
+def masks_for(need: int, share: float) -> tuple[str, ...]:
+    """Masks of which one meets equal words only in every passage of ``need`` words that the share accepts."""
+    differ = need - math.ceil(share * need)
+    for masks, least in FAMILIES:
+        if need >= least.get(differ, need + 1):
+            return masks
+    # So many words in a row are equal wherever the others are.
+    return ("1" * max(1, math.ceil((need - differ) / (differ + 1))),)
+
+
 def _seed(words: Column, i: Column, mask: str) -> Column:
     return F.xxhash64(F.lit(mask), *[F.get(words, i + k) for k, bit in enumerate(mask) if bit == "1"])
 
 
-def _seeds(words: Column, i: Column, masks: list[str]) -> Column:
-    """The seeds that fit behind position i."""
+def _seeds(words: Column, i: Column, masks: dict[str, Column]) -> Column:
+    """The seeds that fit behind position i, of the masks whose condition holds."""
     size = F.size(words)
-    return F.array_compact(F.array(*[F.when(i + len(m) <= size, _seed(words, i, m)) for m in masks]))
+    return F.array_compact(F.array(*[F.when(test & (i + len(m) <= size), _seed(words, i, m)) for m, test in masks.items()]))
 
 
 def _flags(items: DataFrame) -> Column:
@@ -59,7 +79,7 @@ def _slot(words: Column, i: Column) -> Column:
 
 
 def leaks(
-    docs: DataFrame, items: DataFrame, window: int = 20, share: float = 0.8, masks: tuple[str, ...] = MASKS,
+    docs: DataFrame, items: DataFrame, window: int = 20, share: float = 0.8, masks: tuple[str, ...] | None = None,
     doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text",
 ) -> DataFrame:
     """One row per document and item of which it holds a passage: the best diagonal's overlap.
@@ -68,15 +88,21 @@ def leaks(
     the document, counted from 0), n_compared and n_equal words along the diagonal, best_window (most equal
     words in a window).  Null and empty texts hold nothing.  Items that repeat an id are told apart by text
     and reported once, by their best overlap; documents repeated as a whole are one.  A null id is a value
-    like any other.  Other columns of either table are not read; empty tables give no rows.
+    like any other.  Other columns of either table are not read; empty tables give no rows.  Masks that are
+    given replace those that miss nothing.
     """
     items = items.select(F.col(item_id).alias("item_id"), _hashes(text).alias("words")).where(F.size("words") >= MIN_ITEM)
     items = stored(items.distinct().select("item_id", F.xxhash64("words").alias("item"), "words"), "items")
-    short = [r[0] for r in items.where(F.size("words") < SPAN).select(F.size("words")).distinct().collect()]  # at most SPAN
-    masks = [*masks, *("1" * n for n in sorted(short))]
-    position = F.explode(F.sequence(F.lit(0), F.size("words") - MIN_ITEM)).alias("q")
-    seeds = items.select("item", "words", position).select(
-        "item", "q", F.explode(_seeds(F.col("words"), F.col("q"), masks)).alias("seed")
+    need = F.least(F.size("words"), F.lit(window))
+    users: dict[str, list[int]] = {}
+    for row in items.select(need.alias("need")).distinct().orderBy("need").collect():  # at most window
+        for m in masks or masks_for(row["need"], share):
+            users.setdefault(m, []).append(row["need"])
+    shortest = min(map(len, users), default=MIN_ITEM)
+    position = F.explode(F.sequence(F.lit(0), F.size("words") - shortest)).alias("q")
+    own = {m: need.isin(needs) for m, needs in users.items()}
+    seeds = items.where(F.size("words") >= shortest).select("item", "words", position).select(
+        "item", "q", F.explode(_seeds(F.col("words"), F.col("q"), own)).alias("seed")
     )
     seeds = stored(seeds, "seeds")
     if seeds.count() <= BROADCAST_SEEDS:
@@ -86,9 +112,11 @@ def leaks(
     words = words.where(F.size("words") >= MIN_ITEM)
     flags = _flags(items)
     known = lambda i: F.substring(flags, _slot(F.col("words"), i) + 1, F.lit(1)) == F.lit(b"\x01")
-    places = F.filter(F.sequence(F.lit(0), F.size("words") - MIN_ITEM), known)
+    places = F.sequence(F.lit(0), F.greatest(F.size("words") - shortest, F.lit(0)))
+    if all(m.startswith("11") for m in users):
+        places = F.filter(places, known)
     gated = words.select("doc_id", "content", "words", F.explode(places).alias("p"))
-    probes = gated.select("doc_id", "content", "p", F.explode(_seeds(F.col("words"), F.col("p"), masks)).alias("seed"))
+    probes = gated.select("doc_id", "content", "p", F.explode(_seeds(F.col("words"), F.col("p"), dict.fromkeys(users, F.lit(True)))).alias("seed"))
     hits = probes.join(seeds, "seed").select("doc_id", "content", "item", (F.col("p") - F.col("q")).alias("diagonal"))
     hits = stored(hits.distinct(), "hits")
     hit_docs = hits.select(F.col("doc_id").alias("h_id"), F.col("content").alias("h_content")).distinct()

@@ -1,3 +1,5 @@
+import itertools
+import math
 import random
 
 import pytest
@@ -48,3 +50,38 @@ def test_without_broadcast(make_docs, items, monkeypatch):
     monkeypatch.setattr(decontamination, "BROADCAST_SEEDS", -1)
     found = decontamination.leaks(make_docs((1, "a b " + " ".join(ITEM)), (2, "c d e f g")), items).collect()
     assert [(r.doc_id, r.item_id) for r in found] == [(1, 0)]
+
+
+@pytest.mark.parametrize("need", range(3, 21))
+def test_masks_meet_every_passage(need):
+    masks = decontamination.masks_for(need, 0.8)
+    for wrong in itertools.combinations(range(need), need - math.ceil(0.8 * need)):
+        assert any(
+            all(bit == "0" or at + i not in wrong for i, bit in enumerate(m)) for m in masks for at in range(need - len(m) + 1)
+        )
+
+
+@pytest.mark.parametrize("lengths", [(7, 9, 11), (12, 15, 16, 20, 40)])
+def test_against_every_diagonal(make_docs, spark, lengths):
+    rng = random.Random(17)
+    word = lambda: f"w{rng.randrange(3000)}"
+    passages = {n: [word() for _ in range(n)] for n in lengths}
+    texts = {}
+    for n, words in passages.items():
+        for wrong in [*range(n // 4 + 1)] * 8:
+            copy = list(words)
+            for at in rng.sample(range(n), wrong):
+                copy[at] = "other"
+            texts[len(texts)] = [word() for _ in range(rng.randrange(9))] + copy + [word() for _ in range(rng.randrange(9))]
+    want = set()
+    for d, text in texts.items():
+        for n, words in passages.items():
+            need = min(n, 20)
+            for shift in range(-n, len(text)):
+                equal = [0 <= q + shift < len(text) and text[q + shift] == w for q, w in enumerate(words)]
+                inside = [i for i in range(n - need + 1) if 0 <= i + shift and i + need + shift <= len(text)]
+                if any(sum(equal[i : i + need]) >= math.ceil(0.8 * need) for i in inside):
+                    want.add((d, n))
+    items = spark.createDataFrame([(n, " ".join(w)) for n, w in passages.items()], "item_id long, text string")
+    found = decontamination.leaks(make_docs(*[(d, " ".join(t)) for d, t in texts.items()]), items).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == want and len(want) > 30
