@@ -13,7 +13,7 @@ from typing import NamedTuple
 class Licence(NamedTuple):
     label: str
     keyword: str
-    """Part of every match of ``name``."""
+    """Part of every match of ``name`` once each run of white space in it is one space."""
     name: str
     tag: str
     """Pattern of the short identifier."""
@@ -149,10 +149,10 @@ def rules() -> list[Rule]:
 
 
 def gate(keyword: str) -> str:
-    """The coarse substring that a document must hold before the keyword is looked for."""
+    """The coarse words that a document must hold before the keyword is looked for."""
     if keyword in ("cc", "cc0"):
         return keyword
-    return next((g for g in ("cecill", "wtfpl", "bsd", "unlicense", "zero-clause", "public domain", "independent jpeg", "historical permission") if g in keyword), "licen")
+    return next((g for g in ("cecill", "wtfpl", "bsd", "unlicense", "zero-clause", "no attribution", "public domain", "independent jpeg", "historical permission") if g in keyword), "licen")
 
 
 def rules_json() -> str:

@@ -1,6 +1,7 @@
 """Licence scans by ordered signature rules.
 
-A rule is tried on a document only if the document holds the rule's keyword.  Every match is an interval of
+A rule is tried on a document only if the document holds the rule's keyword, with any white space between its
+words as patterns have it.  Every match is an interval of
 the text.  An interval falls if another one contains it and has a higher priority, or the same priority and
 more text; equal intervals of equal priority both stay.  What is left gives the labels and the score, the
 highest confidence.  Apart from the rules, three plain phrases are looked for as consecutive words.
@@ -48,8 +49,10 @@ def detections(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     every = F.from_json(F.lit(rules_json()), _RULE)
     gates = sorted({r.gate for r in rules()})
     low = _keyed(docs, doc_id, text).withColumn("low", F.lower("text"))
-    gated = low.where(_any([F.contains("low", F.lit(g)) for g in gates])).select("doc_id", "content", fold(F.col("text")).alias("text"))
-    tried = F.filter(every, lambda r: F.contains("text", r["keyword"]))
+    gated = low.where(_any([_all_words(F.col("low"), g) for g in gates])).select("doc_id", "content", fold(F.col("text")).alias("text"))
+    # As the element of an array the squeezed text is made once, not for every rule.
+    squeezed = F.array(F.regexp_replace("text", r"\s+", " "))
+    tried = F.flatten(F.transform(squeezed, lambda t: F.filter(every, lambda r: F.contains(t, r["keyword"]))))
     work = gated.select("doc_id", "content", "text", F.explode(tried).alias("r"))
     # The text around the k-th match is the k-th piece of the split, so lengths alone give the places.
     found = work.select(

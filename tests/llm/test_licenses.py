@@ -54,3 +54,23 @@ def test_awkward_rows(make_docs, awkward):
     assert sum(r.labels == "mit" for r in got) == 3
     assert {r.n_words for r in got if r.doc_id in (2, 3, 4)} == {0}
     assert licenses.scan(make_docs(*rows).limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("gap", ["\n", "  ", " \t\n    "])
+def test_names_with_any_white_space(make_docs, gap):
+    names = [
+        "GNU General Public License, version 3", "licensed under the Mozilla Public License 2.0", "GNU Affero General Public License",
+        "SIL Open Font License 1.1", "All rights reserved", "MIT No Attribution", "Creative Commons Attribution 4.0",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy", "Redistribution and use in source and binary forms",
+        "Permission to use, copy, modify, and distribute this software", "free software; you can redistribute it",
+        "released to the public domain", "Historical Permission Notice and Disclaimer", "Independent JPEG Group",
+    ]
+    texts = {i: f"x {name.replace(' ', gap)} y" for i, name in enumerate(names)}
+    got = {}
+    for r in licenses.detections(make_docs(*texts.items())).collect():
+        got.setdefault(r.doc_id, set()).add((r.rule, r["first"], r["last"]))
+    for i, text in texts.items():
+        every = [(m.start(), m.end(), r) for r in rules() for m in re.finditer(r.pattern, text.lower())]
+        beats = lambda a, b: a[2].priority > b[2].priority or a[2].priority == b[2].priority and a[1] - a[0] > b[1] - b[0]
+        stay = {(b[2].rule, b[0], b[1]) for b in every if not any(a[0] <= b[0] and a[1] >= b[1] and beats(a, b) for a in every)}
+        assert stay and got.get(i, set()) == stay
