@@ -26,10 +26,8 @@ from lumenspan.llm.base import fresh, pieces
 
 BLOCK = 512
 UNKNOWN = "und"
-#: Letters told apart; rarer ones share the last code and match nothing.
-LETTERS = 62
-OTHER = LETTERS + 1
-WIDTH = LETTERS + 2
+#: Entries of all languages' full tables together, four bytes each; beyond that transitions are kept sorted.
+DENSE = 1 << 26
 _APART = re.compile(r"[\W\d_]+")
 
 
@@ -39,8 +37,8 @@ def letters_of(text: str | None) -> str:
     return folded if any(map(str.isalpha, folded)) else ""
 
 
-def suffix_automaton(codes: list[int]) -> np.ndarray:
-    """Transitions (state, code) -> state of the smallest automaton of all substrings; -1 where there is none."""
+def suffix_automaton(codes: list[int]) -> list[dict[int, int]]:
+    """Transitions code -> state of every state of the smallest automaton of all substrings."""
     step: list[dict[int, int]] = [{}]
     link, length, last = [-1], [0], 0
     for c in codes:
@@ -66,11 +64,23 @@ def suffix_automaton(codes: list[int]) -> np.ndarray:
                     p = link[p]
                 link[q] = link[new] = clone
         last = new
-    table = np.full((len(step), WIDTH), -1, np.int32)
-    for state, out in enumerate(step):
-        for c, to in out.items():
-            table[state, c] = to
-    return table
+    return step
+
+
+class Sparse:
+    """The answers of a full table from sorted transitions, for alphabets and languages too many for one."""
+
+    def __init__(self, step: list[dict[int, int]], first: np.ndarray):
+        self.width, self.first = len(first), first
+        pairs = sorted((state * self.width + c, to) for state, out in enumerate(step) for c, to in out.items())
+        self.keys = np.array([k for k, _ in pairs] + [np.iinfo(np.int64).max], np.int64)
+        self.to = np.array([to for _, to in pairs] + [0], np.int64)
+
+    def __getitem__(self, at: np.ndarray) -> np.ndarray:
+        place = np.searchsorted(self.keys, at)
+        # At the root no phrase is open that could end.
+        other = (self.first[at % self.width] << 1) + (at >= self.width)
+        return np.where(self.keys[place] == at, self.to[place] << 1, other)
 
 
 @dataclass(frozen=True)
@@ -85,30 +95,44 @@ class Model:
     def __getstate__(self) -> dict:
         return {"languages": self.languages, "samples": self.samples, "letters": self.letters, "_built": {}}
 
+    @property
+    def width(self) -> int:
+        """Codes: the space, every letter, and one for letters that no sample has, which match nothing."""
+        return len(self.letters) + 2
+
     def codes(self, text: str) -> np.ndarray:
         if "map" not in self._built:
-            table = np.full(sys.maxunicode + 1, OTHER, np.uint8)
+            table = np.full(sys.maxunicode + 1, self.width - 1, np.int32)
             table[ord(" ")] = 0
             table[[ord(c) for c in self.letters]] = np.arange(1, len(self.letters) + 1)
             self._built["map"] = table
         return self._built["map"][np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
 
-    def tables(self) -> list[np.ndarray]:
-        """Per language: (next state << 1) + 1 where a phrase ends before the character, flat by state and code."""
+    def tables(self) -> list[np.ndarray | Sparse]:
+        """Per language: (next state << 1) + 1 where a phrase ends before the character, by state and code."""
         key = ("tables", self.languages, hash(self.samples), self.letters)
         if key not in _PROCESS:
             _PROCESS.clear()
-            _PROCESS[key] = [self._table(sample) for sample in self.samples]
+            # An automaton has fewer than two states a character.
+            dense = sum(2 * len(sample) + 2 for sample in self.samples) * self.width <= DENSE
+            _PROCESS[key] = [self._table(sample, dense) for sample in self.samples]
         return _PROCESS[key]
 
-    def _table(self, sample: str) -> np.ndarray:
-        step = suffix_automaton([int(c) for c in self.codes(sample) if c != OTHER])
+    def _table(self, sample: str, dense: bool) -> np.ndarray | Sparse:
+        step = suffix_automaton([int(c) for c in self.codes(sample) if c != self.width - 1])
         # A character that the sample lacks is a phrase of its own: a state from which everything starts anew.
         alone = len(step)
-        first = np.where(step[0] >= 0, step[0], alone)
-        table = np.vstack([np.where(step >= 0, step << 1, (first << 1) + 1), (first << 1) + 1])
+        first = np.full(self.width, alone, np.int64)
+        for c, to in step[0].items():
+            first[c] = to
+        if not dense:
+            return Sparse(step, first)
+        table = np.tile((first << 1) + 1, (alone + 1, 1)).astype(np.int32)
+        for state, out in enumerate(step):
+            for c, to in out.items():
+                table[state, c] = to << 1
         table[0] = first << 1
-        return table.astype(np.int32).ravel()
+        return table.ravel()
 
     def phrases(self, texts: list[str]) -> np.ndarray:
         """(text, language) numbers of phrases, for texts of letters_of."""
@@ -124,17 +148,17 @@ class Model:
         sizes = np.array([len(b) for b in blocks])
         order = np.argsort(-sizes, kind="stable")
         sizes = sizes[order]
-        lanes = np.zeros((len(blocks), BLOCK), np.uint8)
+        lanes = np.zeros((len(blocks), BLOCK), np.int32)
         for row, at in enumerate(order):
             lanes[row, : sizes[row]] = blocks[at]
         lanes = np.ascontiguousarray(lanes.T)
         alive = np.searchsorted(-sizes, -np.arange(BLOCK), side="left")
         for k, table in enumerate(self.tables()):
-            at = np.zeros(len(blocks), np.int32)
+            at = np.zeros(len(blocks), np.int64)
             ended = np.zeros(len(blocks), np.int32)
             for j in range(int(sizes[0])):
                 n = alive[j]
-                to = table[at[:n] * WIDTH + lanes[j, :n]]
+                to = table[at[:n] * self.width + lanes[j, :n]]
                 ended[:n] += to & 1
                 at[:n] = to >> 1
             # The phrase that is open at the end of a block is one more.
@@ -160,19 +184,20 @@ _PROCESS: dict = {}
 
 
 def train(
-    docs: DataFrame, windows: int = 256, window: int = 256, max_languages: int = 64, lang: str = "lang",
+    docs: DataFrame, windows: int = 256, window: int = 256, max_languages: int | None = None, lang: str = "lang",
     doc_id: str = "doc_id", text: str = "text",
 ) -> Model:
     """Learn from the rows given (leave held-out ones out beforehand).
 
     Of every language, ``windows`` documents chosen by hash give ``window`` characters each, at a place that
-    the hash chooses.  At most ``max_languages`` languages, the commonest, are learned; rows without language
-    or text are not used.
+    the hash chooses.  Every language and every letter of its sample is learned; ``max_languages`` keeps the
+    commonest languages only.  Rows without language or text are not used.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
     rows = rows.where("lang is not null and text is not null")
-    found = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
-    languages = sorted(r["lang"] for r in found)
+    found = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang")
+    found = found if max_languages is None else found.limit(max_languages)
+    languages = sorted(r["lang"] for r in found.collect())
     parts: dict[str, list[str]] = {}
     for name in languages:
         own = rows.where(F.col("lang") == name)
@@ -180,8 +205,7 @@ def train(
         picked = own.select(F.xxhash64("doc_id", F.lit(4)).alias("rank"), F.substring("text", start, F.lit(window)).alias("part"))
         parts[name] = [letters_of(r["part"]) for r in picked.orderBy("rank", "part").limit(windows).collect()]
     samples = tuple(" ".join(p for p in parts[name] if p) for name in languages)
-    all_text = "".join(samples)
-    letters = sorted({c for c in all_text if c != " "}, key=lambda c: (-all_text.count(c), c))[:LETTERS]
+    letters = sorted(set().union(*samples) - {" "})
     return Model(tuple(languages), samples, "".join(letters))
 
 

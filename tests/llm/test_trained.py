@@ -93,3 +93,26 @@ def test_awkward_rows_and_few_labels(make_docs, awkward, labelled):
             got = score(docs, model).collect()
             assert len(got) == len(awkward) and all(0 <= r._score <= 1 for r in got)
         assert score(docs.limit(0), model).collect() == []
+
+
+def test_every_script_and_language_is_learned(make_docs):
+    rng = random.Random(9)
+    starts = [ord("a"), 0x3B1, 0x430, 0x561, 0x10D0, 0x4E00]
+    words = {f"{k:02}": ["".join(chr(starts[k % 6] + rng.randrange(20)) for _ in range(4)) for _ in range(12)] for k in range(70)}
+    rows = [(i, prose(rng, words[lang], 40), lang) for i, lang in enumerate(sorted(words) * 2)]
+    docs = make_docs(*rows, clashing=False).withColumn("lang", F.col("source"))
+    model = langid.train(docs.where("doc_id < 70"), windows=4, window=200)
+    assert len(model.languages) == 70 and len(model.letters) > 100
+    assert all(r.language.lang_pred == r.lang for r in langid.predict(docs.where("doc_id >= 70"), model).collect())
+
+
+def test_sorted_transitions_parse_alike(monkeypatch):
+    rng = random.Random(4)
+    samples = tuple(prose(rng, words).replace(".", "") for words in (ENGLISH, FRENCH, ["слово", "это"]))
+    texts = [prose(rng, ENGLISH + FRENCH + ["это", "z"]).replace(".", "") for _ in range(9)]
+    letters = "".join(sorted(set("".join(samples)) - {" "}))
+    dense = langid.Model(("a", "b", "c"), samples, letters).phrases(texts)
+    langid._PROCESS.clear()
+    monkeypatch.setattr(langid, "DENSE", 0)
+    assert (langid.Model(("a", "b", "c"), samples, letters).phrases(texts) == dense).all()
+    langid._PROCESS.clear()
