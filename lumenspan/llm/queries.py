@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenspan.llm import compression, decontamination, langid, licenses, linededup, lm, mixing, quality, simhash, toxicity
+from lumenspan.llm import (
+    compression, decontamination, filter_audit, langid, lexical, licenses, linededup, lm, mixing, pages, quality, simhash, toxicity,
+)
 from lumenspan.llm.base import WORD, documents, prepare, table
 from lumenspan.llm.license_rules import rules
 from lumenspan.llm.training import learnable
@@ -201,3 +203,65 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_deleted_interpolation")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score_documents(documents(spark, sf_dir))
+
+
+@query("op11_page_differencing")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pages.main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", "main.*")
+    return found.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"), "n_lines", "n_shared", "n_compared")
+
+
+TERMS = "[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
+OP12_SQL = f"""
+WITH folded AS (SELECT row_number() OVER () AS row, doc_id,
+  regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{TERMS}') AS ts FROM documents),
+d AS (SELECT *, len(ts) AS n FROM folded WHERE len(ts) > 0),
+whole AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM d),
+tf AS (SELECT row, doc_id, n, term, count(*) AS tf FROM (SELECT row, doc_id, n, unnest(ts) AS term FROM d) GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+items AS (SELECT item_id, text AS item, term, count(*) AS times FROM (SELECT item_id, text,
+  unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{TERMS}')) AS term
+  FROM (SELECT DISTINCT item_id, text FROM benchmark)) GROUP BY ALL),
+scores AS (SELECT item_id, item, row, doc_id, CAST(sum(times
+    * CAST(floor(1000 * ln((2.0::DOUBLE * docs + 2) / (2.0::DOUBLE * df + 1))) AS BIGINT)
+    * ((1000000000 * tf) // (1000 * tf + 8 * (25 + ((75 * n * docs) // terms))))) AS BIGINT) AS score
+  FROM items JOIN df USING (term) JOIN tf USING (term), whole GROUP BY ALL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id, item ORDER BY score DESC, doc_id NULLS LAST, row) AS rank FROM scores WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
+
+
+@query("op12_reversed_search", OP12_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.rank(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
+OP13_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{WORD}') AS ws FROM documents),
+marked AS (SELECT doc_id, part, [len(ws) < 50, 100 * len(list_distinct(ws)) < 65 * len(ws),
+  100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 5 * length(text), regexp_matches(text, '[#$%&*|]'),
+  coalesce(doc_id > min(doc_id) OVER (PARTITION BY text), false)] AS fails FROM d),
+known AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+counts AS (SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic
+  FROM marked LEFT JOIN known USING (doc_id) GROUP BY part, fails),
+f AS (SELECT unnest(range(1, 6)) AS f),
+orders AS (SELECT [a.f, b.f, c.f, d.f, e.f] AS fs FROM f a, f b, f c, f d, f e WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5),
+walked AS (SELECT part, fs, step, n, good, toxic, fails, fails[fs[step]] AS fail,
+  len(list_filter(fs[:step - 1], lambda x: fails[x])) > 0 AS gone,
+  len(list_filter(fails, lambda x: x)) = 1 AS single FROM counts, orders, (SELECT unnest(range(1, 6)) AS step)),
+steps AS (SELECT part, array_to_string(list_transform(fs, lambda x: substr('ABCDE', x, 1)), '') AS filter_order, CAST(step AS INTEGER) AS step,
+  substr('ABCDE', fs[step], 1) AS name,
+  coalesce(sum(n) FILTER (NOT fail AND NOT gone), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (fail AND NOT gone), 0)::BIGINT AS removed,
+  coalesce(sum(n) FILTER (fail AND gone), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (fail AND single), 0)::BIGINT AS unique_fails,
+  coalesce(sum(good) FILTER (fail AND NOT gone), 0)::BIGINT AS good_lost, coalesce(sum(toxic) FILTER (fail AND NOT gone), 0)::BIGINT AS toxic_lost
+  FROM walked GROUP BY part, fs, step)
+SELECT *, CAST(sum(removed) OVER (PARTITION BY part, name) AS BIGINT) AS shapley FROM steps
+"""
+
+
+@query("op13_filter_paths", OP13_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = filter_audit.audit(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+    return found.select(
+        "part", "filter_order", "step", "name", "kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost", "shapley"
+    )
