@@ -229,17 +229,15 @@ _BY_NAME = "named AS (SELECT name || ' ' || service_name AS service_name, attrib
 
 @query(
     "live_rate",
-    f"""{with_sql(POINTS_SQL, _BY_NAME)}, {_steps('named', _RATE)}
-    SELECT service_name, attributes, time_unix_nano, round(value, 9) AS value FROM stepped""",
+    f"""{with_sql(POINTS_SQL, _BY_NAME)}, {_CLOSED.format(t='time_unix_nano', d=_HOUR, s='named')}, {_steps('named', _RATE)}
+    SELECT service_name, attributes, time_unix_nano, round(value, 9) AS value FROM stepped, closed WHERE time_unix_nano <= mark""",
 )
 def live_rate(spark, sf_dir):
     points = star_tables.event_points(_stream(spark, sf_dir, "events"))
     series = points.select(
         F.concat_ws(" ", "name", "service_name").alias("service_name"), "attributes", metrics.TIME, "value"
     )
-    path = work_dir(spark, "live-rate")
-    live.live_rate(series, path, f"{path}/checkpoint", availableNow=True).awaitTermination()
-    return live.read_rates(spark, path).withColumn("value", rounded("value", 9))
+    return _collected(spark, live.live_rate(series, "1 hour"), "live-rate").withColumn("value", rounded("value", 9))
 
 
 @query("live_ingest", f"{WITH_LOGS} SELECT {', '.join(_LOG_COLUMNS)} FROM logs")

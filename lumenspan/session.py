@@ -17,6 +17,8 @@ RUNTIME_CONF = {
     # Trace and field aggregates keep sets and structs in their buffers.  The default threshold of 128
     # groups would turn nearly every such partial aggregate into a sort.
     "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "65536",
+    # Keyed state with timers needs this store; it also keeps large state off the heap.
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     # Retention replaces single date partitions.
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
 }

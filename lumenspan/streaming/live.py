@@ -8,12 +8,13 @@ from __future__ import annotations
 
 import hashlib
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
+from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from lumenspan.operators.logs import level_counts
-from lumenspan.operators.metrics import SERIES, TIME, rate
+from lumenspan.operators.metrics import SERIES, TIME
 from lumenspan.operators.traces import summary_aggregates, summary_columns, is_error, is_root
 from lumenspan.schema import time_column
 from lumenspan.sinks.tables import append
@@ -114,52 +115,57 @@ def live_tail(logs: DataFrame, predicate: Column) -> DataFrame:
     return logs.filter(predicate)
 
 
-def live_rate(series: DataFrame, path: str, checkpoint: str, ttl_seconds: float | None = None, **trigger) -> StreamingQuery:
-    """Counter rates across micro-batches, written as Parquet below ``path``.
-
-    The last point of every series is kept as a table per batch and joined in front of the next batch,
-    so a batch runs the same split-window plan as the batch operator.  Points that are not newer than
-    the last one of their series are late and dropped.  Both writes go to a folder named after the
-    batch: a repeated batch replaces its own output.  ``ttl_seconds`` forgets series that were silent
-    for longer than that before the newest point.
+def _steps(ttl_ms: int | None) -> StatefulProcessor:
+    """Rates of one series; keeps its last moment, and forgets it once the watermark is ``ttl_ms`` past it."""
+
+    # Made in a function, so that it travels as a whole: not every worker that reads it can import this module.
+    class Steps(StatefulProcessor):
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.handle = handle
+            self.last = handle.getValueState("last", "time long, value double, known boolean")
+
+        def handleInputRows(self, key, rows, timerValues):
+            moments = pd.concat(list(rows)).sort_values(TIME)
+            before = self.last.get()
+            out = []
+            for time, first, last, known in zip(*(moments[c].tolist() for c in (TIME, "first", "last", "known")), strict=True):
+                if before is not None and before[2]:
+                    change = first - before[1]
+                    grown = first if change < 0 else change
+                    out.append((*key, time, grown / ((time - before[0]) / 1e9), known))
+                before = (time, last, known)
+            self.last.update(before)
+            if ttl_ms is not None:
+                self.handle.registerTimer(before[0] // 10**6 + ttl_ms)
+            # NaN would come back as a missing value.
+            steps = pd.DataFrame(out, columns=[*SERIES, TIME, "value", "known"])
+            yield steps.assign(nan=steps["value"].isna(), value=steps["value"].fillna(0.0))
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+            before = self.last.get()
+            if before is not None and before[0] // 10**6 + ttl_ms <= expiredTimerInfo.getExpiryTimeInMs():
+                self.last.clear()
+            return iter(())
+
+        def close(self) -> None:
+            pass
+
+    return Steps()
+
+
+def live_rate(series: DataFrame, delay: str = "1 minute", ttl_seconds: float | None = None) -> DataFrame:
+    """Counter rates of a stream of points, as ``operators.metrics.rate`` gives them for a table.
+
+    Points may come up to ``delay`` late and in any order: those of equal time are merged first, however they are
+    split over batches, and a time takes part once the watermark has passed it.  A series then only keeps its last
+    moment as state.  ``ttl_seconds`` forgets a series when the watermark is that far past its last point.
     """
-    columns = [*SERIES, TIME, "value"]
-
-    def step(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        points = batch.select(*columns)
-        last = _last_points(spark, f"{path}/last", number)
-        if last is not None:
-            seen = last.select(*SERIES, F.col(TIME).alias("__seen"))
-            joined = points.join(seen, SERIES, "left")
-            fresh = joined.filter(F.col("__seen").isNull() | (F.col(TIME) > F.col("__seen"))).select(*columns)
-            points = fresh.unionByName(last.select(*columns))
-        rates = rate(points)
-        rates.write.mode("overwrite").parquet(f"{path}/rates/batch={number}")
-        newest = points.groupBy(*SERIES).agg(F.max(F.struct(TIME, "value")).alias("p"))
-        kept = newest.select(*SERIES, f"p.{TIME}", "p.value")
-        if ttl_seconds is not None:
-            latest = kept.agg(F.max(TIME)).scalar()
-            kept = kept.filter(F.col(TIME) >= latest - F.lit(int(ttl_seconds * 1e9)))
-        kept.write.mode("overwrite").parquet(f"{path}/last/batch={number}")
-
-    return _started(series.writeStream.foreachBatch(step), checkpoint, trigger)
-
-
-def _last_points(spark: SparkSession, folder: str, number: int) -> DataFrame | None:
-    """Last points written by the newest batch before this one."""
-    root = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not files.exists(root):
-        return None
-    done = []
-    for entry in files.listStatus(root):
-        name = entry.getPath().getName()
-        complete = files.exists(spark._jvm.org.apache.hadoop.fs.Path(entry.getPath(), "_SUCCESS"))
-        if name.startswith("batch=") and complete and int(name[6:]) < number:
-            done.append(int(name[6:]))
-    return spark.read.parquet(f"{folder}/batch={max(done)}") if done else None
-
-
-def read_rates(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(f"{path}/rates").select(*SERIES, TIME, "value")
+    timed = with_event_time(series.select(*SERIES, TIME, "value"), delay)
+    # Missing values are told by a flag: Pandas would take them for NaN.
+    least, most = (F.coalesce(f("value"), F.lit(0.0)) for f in (F.min, F.max))
+    moments = timed.groupBy(*SERIES, TIME, EVENT_TIME).agg(least.alias("first"), most.alias("last"), (F.count("value") > 0).alias("known"))
+    ttl_ms = None if ttl_seconds is None else int(ttl_seconds * 1000)
+    columns = f"service_name string, attributes string, {TIME} bigint, value double, known boolean, nan boolean"
+    steps = moments.groupBy(*SERIES).transformWithStateInPandas(_steps(ttl_ms), columns, "Append", "EventTime")
+    value = F.when(F.col("known"), F.when(F.col("nan"), F.lit(float("nan"))).otherwise(F.col("value")))
+    return steps.select(*SERIES, TIME, value.alias("value"))

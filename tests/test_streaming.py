@@ -1,3 +1,7 @@
+import random
+
+import pytest
+
 from lumenspan.functions import records as R
 from lumenspan.operators import metrics
 from lumenspan.schema import LOGS, SPANS
@@ -29,22 +33,47 @@ def _run(stream, tmp_path, spark):
 SERIES = "service_name string, attributes string, time_unix_nano bigint, value double"
 
 
-def test_rate_across_batches_equals_batch(spark, tmp_path):
-    points = [("a", "{}", t * S, float(v)) for t, v in enumerate([1, 4, 9, 2, 5, 5, 30])]
-    points += [("b", "{}", t * S, float(v)) for t, v in enumerate([7, 3, 8])]
+def _text_rows(rows):
+    return sorted(tuple(str(v) for v in row) for row in rows)
+
+
+@pytest.mark.parametrize("parts", [1, 5])
+def test_rate_of_late_and_split_points_equals_batch(spark, tmp_path, parts):
+    """Points out of order, moments split over batches, resets, missing and NaN values."""
+    rng = random.Random(parts)
+    odd = [None, float("nan")]
+    points = [
+        (name, "{}", t * S + 7, rng.choice(odd) if rng.random() < 0.1 else float(rng.randrange(40)))
+        for name in ("a", "b", "long silence") for t in rng.choices(range(1000, 1200), k=90 if name != "long silence" else 4)
+    ]
+    points.sort(key=lambda p: p[2] + rng.random() * 50 * S)
     df = spark.createDataFrame(points, SERIES)
-    folder, out = str(tmp_path / "in"), str(tmp_path / "rates")
-    stream = lambda: _stream(spark, folder, df.schema)
-    for part in ([0, 1, 7], [2, 3, 8, 9], [4, 5, 6]):
+    folder, step = str(tmp_path / "in"), -(-len(points) // parts)
+    _files(df, folder, [range(k, min(k + step, len(points))) for k in range(0, len(points), step)])
+    # A far point moves the watermark past everything else.
+    spark.createDataFrame([("end", "{}", 9_000 * S, 0.0)], df.schema).coalesce(1).write.mode("append").parquet(folder)
+    got = _run(live.live_rate(_stream(spark, folder, df.schema), "60 seconds"), tmp_path, spark)
+    assert _text_rows(got) == _text_rows(metrics.rate(df).select(*metrics.SERIES, metrics.TIME, "value").collect())
+
+
+def test_rate_of_a_restarted_stream_and_beyond_its_delay(spark, tmp_path):
+    points = [("a", "{}", t * S, float(v)) for t, v in [(100, 1), (101, 4), (102, 9), (200, 2), (300, 5), (103, 50)]]
+    df = spark.createDataFrame(points, SERIES)
+    folder = str(tmp_path / "in")
+    for part in ([0, 1, 2], [3], [4], [5]):
         _files(df, folder, [part])
-        live.live_rate(stream(), out, str(tmp_path / "cp"), availableNow=True).awaitTermination()
-    got = sorted(map(tuple, live.read_rates(spark, out).collect()))
-    assert got == sorted(map(tuple, metrics.rate(df).select(*metrics.SERIES, metrics.TIME, "value").collect()))
-    # A late point changes nothing.
-    late = spark.createDataFrame([("a", "{}", 3 * S + 1, 99.0)], df.schema)
-    late.write.mode("append").parquet(folder)
-    live.live_rate(stream(), out, str(tmp_path / "cp"), availableNow=True).awaitTermination()
-    assert sorted(map(tuple, live.read_rates(spark, out).collect())) == got
+        got = _run(live.live_rate(_stream(spark, folder, df.schema), "10 seconds"), tmp_path, spark)
+    # The point of second 103 came when the watermark was at 290; that of second 300 waits for a later one.
+    assert sorted((r.time_unix_nano // S, r.value) for r in got) == [(101, 3.0), (102, 5.0), (200, 2 / 98)]
+
+
+def test_rate_forgets_silent_series(spark, tmp_path):
+    points = [("a", "{}", t * S, float(t)) for t in (100, 110, 400, 410, 900)] + [("b", "{}", t * S, float(t)) for t in (100, 150, 200, 250, 300, 350, 400)]
+    df = spark.createDataFrame(sorted(points, key=lambda p: p[2]), SERIES)
+    folder = str(tmp_path / "in")
+    _files(df, folder, [[k] for k in range(len(points))])
+    got = _run(live.live_rate(_stream(spark, folder, df.schema), "1 second", ttl_seconds=120), tmp_path, spark)
+    assert sorted((r.service_name, r.time_unix_nano // S) for r in got) == [("a", 110), ("a", 410), *(("b", t) for t in (150, 200, 250, 300, 350, 400))]
 
 
 def test_sessions_close_after_the_gap(spark, tmp_path, make_spans):
