@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenspan.llm.base import fresh, stored
-from lumenspan.llm.html_lines import common_lines, page_lines
+from lumenspan.llm.html_lines import Line, common_lines, page_lines
 
 #: Pages that share more than this part of their characters are copies.
 COPY = 0.5
@@ -34,20 +34,36 @@ def _hashed(text: str) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"))).view(np.int64))
 
 
+def kept_lines(html: str | None) -> tuple[list[Line], list[tuple[int, Line, bool]]]:
+    """All lines of a page; and position, line and firmness of those that markup leaves as text.
+
+    Lines of a declared article are firm unless they are mostly links: neighbours do not decide about them.
+    """
+    read = page_lines(html)
+    declared = any(x.article and not x.rejected for x in read)
+    return read, [(i, x, declared and not x.linked) for i, x in enumerate(read) if not x.rejected and x.article >= declared]
+
+
 def _hashes(pages: DataFrame) -> DataFrame:
-    """(host, path, query, key, lines, sizes) of each distinct page (url, html) that has a host."""
+    """(host, path, query, key, lines, sizes, loose) of each distinct page (url, html) that has a host.
+
+    ``loose`` are the positions of lines that neighbours decide about.
+    """
 
-    @F.pandas_udf("lines array<bigint>, sizes array<int>")
+    @F.pandas_udf("lines array<bigint>, sizes array<int>, loose array<int>")
     def lines(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            read = [page_lines(html) for html in batch]
-            yield pd.DataFrame({"lines": [[_hashed(x.text) for x in p] for p in read], "sizes": [[len(x.text) for x in p] for p in read]})
+            out = []
+            for html in batch:
+                read, kept = kept_lines(html)
+                out.append(([_hashed(x.text) for x in read], [len(x.text) for x in read], [i for i, _, firm in kept if not firm]))
+            yield pd.DataFrame(dict(zip(("lines", "sizes", "loose"), zip(*out, strict=True), strict=True)) if out else {"lines": [], "sizes": [], "loose": []})
 
     host = F.lower(F.regexp_extract("url", _HOST, 1))
     path, query = F.regexp_extract("url", _PATH, 1), F.regexp_extract("url", r"\?([^#]*)", 1)
     own = pages.select(host.alias("host"), path.alias("path"), query.alias("query"), F.xxhash64("url", "html").alias("key"), "html")
     read = own.where("host <> ''").withColumn("read", lines.asNondeterministic()(F.col("html")))
-    return read.select(*ORDER, "read.lines", "read.sizes")
+    return read.select(*ORDER, "read.*")
 
 
 def neighbours(rows: DataFrame) -> DataFrame:
@@ -66,42 +82,39 @@ def neighbours(rows: DataFrame) -> DataFrame:
     beside = ends.select("range", F.lag("last").over(across).alias("left"), F.lead("first").over(across).alias("right"))
     placed = ordered.withColumn("before", F.lag(page).over(inside)).withColumn("after", F.lead(page).over(inside)).join(beside, "range", "left")
     of_host = lambda near, border: F.when(F.coalesce(F.col(f"{near}.host"), F.col(f"{border}.host")) == F.col("host"), F.coalesce(near, border))
-    return placed.select("key", "lines", "sizes", of_host("before", "left").alias("before"), of_host("after", "right").alias("after"))
+    return placed.select("key", "lines", "sizes", "loose", of_host("before", "left").alias("before"), of_host("after", "right").alias("after"))
 
 
-def shared_places(lines: list[int], sizes: list[int], others: list[tuple[list[int], list[int]]]) -> tuple[list[int], int]:
-    """Positions of lines shared with any of the other pages, and how many of those are no copies."""
+def shared_places(lines: list[int], sizes: list[int], others: list[tuple[list[int], list[int]]]) -> set[int]:
+    """Positions of lines shared with any of the other pages that is no copy."""
     found: set[int] = set()
-    compared = 0
     for their_lines, their_sizes in others:
         common = common_lines(lines, their_lines)
-        same = sum(sizes[i] for i in common)
-        if same <= COPY * max(1, min(sum(sizes), sum(their_sizes))):
-            compared += 1
+        if sum(sizes[i] for i in common) <= COPY * max(1, min(sum(sizes), sum(their_sizes))):
             found.update(common)
-    return sorted(found), compared
+    return found
 
 
 def shared_lines(pages: DataFrame) -> DataFrame:
-    """(key, compared, shared): per distinct page the number of pages it was compared with and the shared lines."""
+    """(key, gone): positions of the lines to delete, of each distinct page that has any."""
 
-    @F.pandas_udf("shared array<int>, compared int")
-    def shared(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("array<int>")
+    def gone(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
         for columns in batches:
-            rows = []
-            for lines, sizes, *near in zip(*columns, strict=True):
-                rows.append(shared_places(list(lines), list(sizes), [(list(a), list(b)) for a, b in (near[:2], near[2:]) if a is not None]))
-            yield pd.DataFrame({"shared": [r[0] for r in rows], "compared": [r[1] for r in rows]})
+            out = []
+            for lines, sizes, loose, *near in zip(*columns, strict=True):
+                others = [(list(a), list(b)) for a, b in (near[:2], near[2:]) if a is not None]
+                out.append(sorted(shared_places(list(lines), list(sizes), others) & set(loose)) if len(loose) else [])
+            yield pd.Series(out)
 
-    once = _hashes(pages).dropDuplicates(["key"])
-    near = neighbours(once)
-    told = near.withColumn("s", shared.asNondeterministic()("lines", "sizes", "before.lines", "before.sizes", "after.lines", "after.sizes"))
-    return told.select("key", "s.compared", "s.shared")
+    near = neighbours(_hashes(pages).dropDuplicates(["key"]))
+    told = near.select("key", gone.asNondeterministic()("lines", "sizes", "loose", "before.lines", "before.sizes", "after.lines", "after.sizes").alias("gone"))
+    return told.where(F.size("gone") > 0)
 
 
 def main_text(pages: DataFrame, url: str = "url", html: str = "html", name: str = "main") -> DataFrame:
-    """The pages with a column (text, n_lines, n_shared, n_compared): main text, lines of the page, lines deleted
-    because a neighbouring page has them too, and neighbouring pages compared.
+    """The pages with a column (text, n_lines, n_shared): main text, lines of the page, and lines deleted because a
+    neighbouring page has them too.
 
     Lines that markup rejects are never text.  On a page that declares an article, its lines are the text, but for
     shared ones that are mostly links; on other pages, all lines that are not shared.  Lines are joined by one
@@ -112,32 +125,29 @@ def main_text(pages: DataFrame, url: str = "url", html: str = "html", name: str
     """
     name, own, other, told = (fresh(pages, c) for c in (name, "page_key", "other_key", "verdict"))
 
-    @F.pandas_udf("lines array<struct<text: string, at: int, firm: boolean>>, n int")
+    @F.pandas_udf("lines array<struct<text: string, at: int>>, n int")
     def lines(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out, counts = [], []
-            for page in batch:
-                read = page_lines(page)
-                declared = any(x.article and not x.rejected for x in read)
-                kept = [(i, x) for i, x in enumerate(read) if not x.rejected and x.article >= declared]
-                out.append([{"text": x.text, "at": i, "firm": declared and not x.linked} for i, x in kept])
+            for html in batch:
+                read, kept = kept_lines(html)
+                out.append([{"text": x.text, "at": i} for i, x, _ in kept])
                 counts.append(len(read))
             yield pd.DataFrame({"lines": out, "n": counts})
 
     source = pages.select(F.col(f"`{url}`").alias("url"), F.col(f"`{html}`").alias("html"))
-    verdicts = stored(shared_lines(source).where("compared > 0"), "shared-lines")
-    verdicts = verdicts.select(F.col("key").alias(other), F.struct("compared", "shared").alias(told))
+    # Only pages that lose a line are looked for: few where pages declare their articles.
+    verdicts = stored(shared_lines(source), "shared-lines").select(F.col("key").alias(other), F.col("gone").alias(told))
     carried = [F.col(f"`{c}`") for c in pages.columns]
     page = F.xxhash64(f"`{url}`", f"`{html}`")
     both = pages.select(*carried, page.alias(own), lines.asNondeterministic()(F.col(f"`{html}`")).alias(name))
     both = both.join(verdicts, F.col(own) == F.col(other), "left")
-    gone = lambda x: ~x["firm"] & F.coalesce(F.array_contains(F.col(told)["shared"], x["at"]), F.lit(False))
+    gone = lambda x: F.coalesce(F.array_contains(F.col(told), x["at"]), F.lit(False))
     left = F.filter(F.col(name)["lines"], lambda x: ~gone(x))
     text = F.array_join(F.transform(left, lambda x: x["text"]), " ")
     figures = F.struct(
         text.alias("text"),
         F.col(name)["n"].cast("bigint").alias("n_lines"),
         (F.size(F.col(name)["lines"]) - F.size(left)).cast("bigint").alias("n_shared"),
-        F.coalesce(F.col(told)["compared"], F.lit(0)).cast("bigint").alias("n_compared"),
     )
     return both.select(*carried, figures.alias(name))

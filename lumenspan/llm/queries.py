@@ -208,7 +208,7 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op11_page_differencing")
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pages.main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", "main.*")
-    return found.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"), "n_lines", "n_shared", "n_compared")
+    return found.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"), "n_lines", "n_shared")
 
 
 TERMS = "[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"

@@ -3,7 +3,7 @@ import random
 import pytest
 
 from lumenspan.llm import html_lines, pages
-from lumenspan.llm.html_lines import common_lines, page_lines
+from lumenspan.llm.html_lines import common_lines
 
 
 def table_length(a, b):
@@ -27,9 +27,7 @@ def test_common_lines_are_a_longest_common_subsequence(monkeypatch, bits):
 
 
 def kept(html):
-    lines = page_lines(html)
-    declared = any(x.article and not x.rejected for x in lines)
-    return [x.text for x in lines if not x.rejected and x.article >= declared]
+    return [line.text for _, line, _ in pages.kept_lines(html)[1]]
 
 
 @pytest.mark.parametrize(
@@ -75,13 +73,14 @@ def test_frames_of_a_host_go_and_texts_stay(spark):
     df = spark.createDataFrame(docs, "page_id long, url string, html string, want string").repartition(13)
     got = pages.main_text(df).select("page_id", "want", "main.*").collect()
     assert len(got) == len(docs) and all(r.text == r.want for r in got)
-    assert {r.n_shared for r in got if r.n_compared} == {5} and sum(not r.n_compared for r in got) == 1
+    assert sorted(r.n_shared for r in got) == [0] + [5] * 85
 
 
 def test_neighbours_are_those_of_the_whole_order(spark):
     rng = random.Random(4)
-    rows = [(rng.choice("aaaab"), f"/{rng.randrange(99)}/{rng.randrange(9)}", "", i, [i], [1]) for i in range(400)]
-    df = spark.createDataFrame(rows, "host string, path string, query string, key long, lines array<long>, sizes array<int>").repartition(7)
+    rows = [(rng.choice("aaaab"), f"/{rng.randrange(99)}/{rng.randrange(9)}", "", i, [i], [1], [0]) for i in range(400)]
+    schema = "host string, path string, query string, key long, lines array<long>, sizes array<int>, loose array<int>"
+    df = spark.createDataFrame(rows, schema).repartition(7)
     order = sorted(rows)
     want = {}
     for i, row in enumerate(order):
@@ -91,6 +90,12 @@ def test_neighbours_are_those_of_the_whole_order(spark):
     assert {r.key: [x and x["lines"][0] for x in (r.before, r.after)] for r in got} == want
 
 
+def test_link_lines_of_articles_go_if_shared(spark):
+    html = "<article><p>own text {i}</p><p><a href=x>More like this</a></p><p>Shared words</p></article>"
+    df = spark.createDataFrame([(f"http://h.example/{i}", html.format(i="x" * (50 + i))) for i in range(3)], "url string, html string")
+    assert {r.main.text.split(" ", 3)[3] for r in pages.main_text(df).collect()} == {"Shared words"}
+
+
 def test_copies_say_nothing_about_frames(spark):
     rows = site("c.example", 6, 3, repeat=(2,))
     df = spark.createDataFrame([(f"//c.example/{i}", html) for _, i, html, _ in rows], "url string, html string")
