@@ -13,8 +13,6 @@ from lumenspan.operators import traces
 
 MAX_FIELDS = 50
 TOP_VALUES = 5
-# Nesting levels that are opened; an object below the last one stays JSON text under its own name.
-NESTING = 5
 # Fields of a report are broadcast up to this many rows.
 BROADCAST_FIELDS = 1000
 
@@ -45,14 +43,18 @@ def _entries(document: Column, prefix: Column | None = None) -> Column:
 
 
 def flatten_json(df: DataFrame, document: str, keep: Sequence[str] = ()) -> DataFrame:
-    """(name, value) of every leaf of a JSON object column, names dotted; empty objects give nothing."""
-    rows = df.select(*keep, _entries(F.col(document)).alias("__e"))
-    for _ in range(NESTING - 1):
-        opened = F.flatten(
-            F.transform("__e", lambda e: F.when(e["nested"], _entries(e["value"], e["name"])).otherwise(F.array(e)))
-        )
-        deeper = F.exists("__e", lambda e: e["nested"])
-        rows = rows.select(*keep, F.when(deeper, opened).otherwise(F.col("__e")).alias("__e"))
+    """(name, value) of every leaf of a JSON object column of any depth, names dotted; empty objects give nothing."""
+    nested = lambda e: e["nested"]
+
+    def opened(entries: Column) -> Column:
+        return F.flatten(F.transform(entries, lambda e: F.when(e["nested"], _entries(e["value"], e["name"])).otherwise(F.array(e))))
+
+    # One turn for each object inside the row's own document, which is more than its levels; a turn that finds no
+    # object leaves the entries as they are.
+    inner = F.greatest(F.regexp_count(F.col(document), F.lit("\\{")) - 1, F.lit(0))
+    turns = F.array_repeat(F.lit(0), F.coalesce(inner, F.lit(0)))
+    leaves = F.aggregate(turns, _entries(F.col(document)), lambda s, _: F.when(F.exists(s, nested), opened(s)).otherwise(s))
+    rows = df.select(*keep, leaves.alias("__e"))
     # The outer form keeps the optimizer from copying the nested expression into a non-empty filter.
     return rows.select(*keep, F.inline_outer("__e")).filter(F.col("name").isNotNull()).select(*keep, "name", "value")
 

@@ -81,12 +81,83 @@ def traces_as_docs(spark, sf_dir):
     return otlp_json.flatten_spans(typed).select("trace_id", "span_id", "name", "status_code")
 
 
-@query("export_roundtrip", f"{WITH_SPANS} SELECT trace_id, span_id, name, attributes FROM spans WHERE status_code = 2")
+_LEVELS = "repeat('{{\"n\":[', CAST(1 + {key} % 5 AS INT)) || {leaf} || repeat(']}}', CAST(1 + {key} % 5 AS INT))"
+_DEEP = _LEVELS.format(key="o_orderkey", leaf="o_custkey")
+
+
+@query(
+    "otlp_deep_values",
+    f"""SELECT o_orderkey + 1 AS time_unix_nano, {_DEEP} AS body_json, {_DEEP} AS body,
+      '{{"deep":' || {_DEEP} || ',"half":' || o_custkey || '.5,"none":null,"text":"' || o_orderstatus || '{{["}}' AS attributes FROM orders""",
+)
+def otlp_deep_values(spark, sf_dir):
+    """Log documents whose values have two to ten levels, flattened, exported and flattened again."""
+    number = F.col("o_custkey").cast("string")
+    opening = F.lit('{"kvlistValue":{"values":[{"key":"n","value":{"arrayValue":{"values":[')
+    levels = (F.lit(1) + F.col("o_orderkey") % 5).cast("int")
+    deep = F.concat(F.repeat(opening, levels), F.lit('{"intValue":"'), number, F.lit('"}'), F.repeat(F.lit("]}}}]}}"), levels))
+    pair = lambda key, *value: F.concat(F.lit(f'{{"key":"{key}","value":'), *value, F.lit("}"))
+    pairs = F.concat_ws(
+        ",",
+        pair("text", F.lit('{"stringValue":"'), F.col("o_orderstatus"), F.lit('{["}')),
+        pair("none", F.lit("{}")),
+        pair("half", F.lit('{"doubleValue":'), number, F.lit(".5}")),
+        pair("deep", deep),
+    )
+    time = (F.col("o_orderkey") + 1).cast("string")
+    record = F.concat(F.lit('{"timeUnixNano":"'), time, F.lit('","body":'), deep, F.lit(',"attributes":['), pairs, F.lit("]}"))
+    text = F.concat(F.lit('{"resourceLogs":[{"scopeLogs":[{"logRecords":['), record, F.lit("]}]}]}"))
+    documents = star_tables.table(spark, sf_dir, "orders").select(text.alias("value"))
+    read = lambda lines: otlp_json.flatten_logs(otlp_json.parse_documents(lines, otlp_json.LOG_DOCUMENTS))
+    return read(otlp_export.export_logs(read(documents))).select("time_unix_nano", "body_json", "body", "attributes")
+
+
+@query(
+    "otlp_metric_types",
+    """WITH o AS (SELECT *, CAST(floor(o_totalprice) AS BIGINT) AS price, o_orderkey % 2 = 0 AS even FROM orders)
+    SELECT 'total' AS name, 'sum' AS metric_type, o_orderkey AS time_unix_nano, CAST(price AS DOUBLE) AS value, 0 AS count,
+      '{"is_monotonic":' || even || ',"temporality":2}' AS extra, o_custkey || '/s' || o_orderkey || '/' || CAST(price AS DOUBLE) AS exemplars FROM o
+    UNION ALL SELECT 'sizes', 'histogram', o_orderkey, CAST(price AS DOUBLE), 3,
+      '{"bucket_counts":[1,2],"explicit_bounds":[' || CAST(o_custkey AS DOUBLE) || '],"max":2.5,"min":null,"temporality":1}', '' FROM o
+    UNION ALL SELECT 'spread', 'exponential_histogram', o_orderkey, CAST(price AS DOUBLE), o_custkey,
+      '{"max":null,"min":0.5,"scale":' || (o_orderkey % 5) || ',"zero_count":' || (o_orderkey % 3) || '}', '' FROM o
+    UNION ALL SELECT 'latency', 'summary', o_orderkey, 0.0, 0,
+      '{"quantiles":[{"quantile":0.5,"value":' || CAST(price AS DOUBLE) || '}]}', '' FROM o
+    UNION ALL SELECT 'level', 'gauge', o_orderkey, CAST(price AS DOUBLE), 0, '{}', '' FROM o""",
+)
+def otlp_metric_types(spark, sf_dir):
+    """One document per order with a point of every metric type; the sum has an exemplar of a span and one of none."""
+    price, key = F.floor("o_totalprice").cast("bigint").cast("string"), F.col("o_orderkey").cast("string")
+    customer = F.col("o_custkey").cast("string")
+    time = ["\"timeUnixNano\":\"", key, "\""]
+    exemplars = [
+        ',"exemplars":[{"traceId":"', customer, '","spanId":"S', key, '","value":{"asInt":"', price, '"}},{"traceId":"","asDouble":1}]'
+    ]
+    metrics = [
+        ['{"name":"total","sum":{"aggregationTemporality":2,"isMonotonic":', (F.col("o_orderkey") % 2 == 0).cast("string"),
+         ',"dataPoints":[{', *time, ',"asInt":"', price, '"', *exemplars, "}]}}"],
+        ['{"name":"sizes","histogram":{"aggregationTemporality":1,"dataPoints":[{', *time, ',"count":"3","sum":', price,
+         ',"max":2.5,"bucketCounts":["1","2"],"explicitBounds":[', customer, "]}]}}"],
+        ['{"name":"spread","exponentialHistogram":{"dataPoints":[{', *time, ',"count":"', customer, '","sum":', price, ',"min":0.5,"scale":',
+         (F.col("o_orderkey") % 5).cast("string"), ',"zeroCount":"', (F.col("o_orderkey") % 3).cast("string"), '"}]}}'],
+        ['{"name":"latency","summary":{"dataPoints":[{', *time, ',"quantileValues":[{"quantile":0.5,"value":', price, "}]}]}}"],
+        ['{"name":"level","gauge":{"dataPoints":[{', *time, ',"asDouble":', price, "}]}}"],
+    ]
+    text = lambda parts: F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
+    body = F.concat_ws(",", *map(text, metrics))
+    documents = star_tables.table(spark, sf_dir, "orders").select(
+        F.concat(F.lit('{"resourceMetrics":[{"scopeMetrics":[{"metrics":['), body, F.lit("]}]}]}")).alias("value")
+    )
+    points = otlp_json.flatten_metrics(otlp_json.parse_documents(documents, otlp_json.METRIC_DOCUMENTS))
+    linked = F.transform("exemplars", lambda e: F.concat_ws("/", e["trace_id"], e["span_id"], e["value"].cast("string")))
+    return points.select("name", "metric_type", "time_unix_nano", "value", "count", "extra", F.array_join(linked, " ").alias("exemplars"))
+
+
+@query("export_roundtrip", f"{WITH_SPANS} SELECT trace_id, span_id, name, attributes FROM spans")
 def export_roundtrip(spark, sf_dir):
     """Export documents written to files and read back as JSON files."""
     path = work_dir(spark, "documents")
-    errors = spans_of(spark, sf_dir).filter(R.spans.field_is("status", "2"))
-    otlp_export.write_documents(otlp_export.export_spans(errors), path)
+    otlp_export.write_documents(otlp_export.export_spans(spans_of(spark, sf_dir)), path)
     documents = spark.read.schema(otlp_json.SPAN_DOCUMENTS).json(path)
     return otlp_json.flatten_spans(documents).select("trace_id", "span_id", "name", "attributes")
 
@@ -180,12 +251,14 @@ _DAY = 24 * _HOUR
     SELECT w AS time_unix_nano, service_name, count(*) AS span_count,
       CAST(greatest(count(*) FILTER (WHERE kind = 'server' OR parent_span_id = ''), 1) AS BIGINT) AS request_count,
       count(*) FILTER (WHERE status_code = 2) AS error_count,
-      round(CAST(count(*) FILTER (WHERE status_code = 2) AS DOUBLE) / count(*), 6) AS error_rate
+      round(CAST(count(*) FILTER (WHERE status_code = 2) AS DOUBLE) / count(*), 6) AS error_rate,
+      {', '.join(f"round(list_sort(list(duration_nanos))[CAST(ceil({p} * count(*)) AS INTEGER)] / 1e6, 6) AS p{int(p * 100)}_ms" for p in (0.5, 0.95, 0.99))}
     FROM windows, closed WHERE w + {30 * _DAY} <= mark GROUP BY w, service_name""",
 )
 def live_red(spark, sf_dir):
     red = _collected(spark, live.live_red(_span_stream(spark, sf_dir), "30 days", "10 days", "1 day"), "live-red")
-    return red.select("time_unix_nano", "service_name", "span_count", "request_count", "error_count", rounded("error_rate"))
+    figures = (rounded(c) for c in ("error_rate", "p50_ms", "p95_ms", "p99_ms"))
+    return red.select("time_unix_nano", "service_name", "span_count", "request_count", "error_count", *figures)
 
 
 _GAP = 241 * _HOUR
@@ -198,6 +271,7 @@ _GAP = 241 * _HOUR
       FROM spans WINDOW w AS (PARTITION BY trace_id ORDER BY start_time_unix_nano)),
     numbered AS (SELECT *, sum(fresh) OVER (PARTITION BY trace_id ORDER BY start_time_unix_nano) AS session FROM marked)
     SELECT trace_id, arg_min(name, (parent_span_id <> '', start_time_unix_nano, span_id)) AS root_name,
+      arg_min(service_name, (parent_span_id <> '', start_time_unix_nano, span_id)) AS root_service,
       min(start_time_unix_nano) AS start_time_unix_nano,
       max(end_time_unix_nano) - min(start_time_unix_nano) AS duration_nanos, count(*) AS span_count,
       count(*) FILTER (WHERE status_code = 2) AS error_count,
@@ -206,7 +280,7 @@ _GAP = 241 * _HOUR
 )
 def session_traces(spark, sf_dir):
     closed = live.session_traces(_span_stream(spark, sf_dir), "241 hours", "1 day")
-    return _collected(spark, closed, "sessions").drop("root_service").withColumn("services", joined("services"))
+    return _collected(spark, closed, "sessions").withColumn("services", joined("services"))
 
 
 @query("dedup", f"{WITH_SPANS} SELECT trace_id, span_id, name FROM spans WHERE parent_span_id <> ''")

@@ -325,6 +325,22 @@ def flatten_json(spark, sf_dir):
     return fields.flatten_json(spans_of(spark, sf_dir), "attributes", ["trace_id", "span_id"])
 
 
+@query(
+    "flatten_json_deep",
+    """SELECT l_orderkey AS id, l_linenumber AS line, repeat('n.', CAST(l_orderkey % 10 AS INT)) || 'flag' AS name, l_returnflag || '{' AS value FROM lineitem
+    UNION ALL SELECT l_orderkey, l_linenumber, repeat('n.', CAST(l_orderkey % 10 AS INT)) || 'half', l_linenumber || '.5' FROM lineitem
+    UNION ALL SELECT l_orderkey, l_linenumber, 'top', '[{"a":1}]' FROM lineitem WHERE l_orderkey % 10 > 0""",
+)
+def flatten_json_deep(spark, sf_dir):
+    """Objects of one to ten levels, the depth differing by row."""
+    levels = (F.col("l_orderkey") % 10).cast("int")
+    inner = F.concat(F.lit('{"flag":"'), "l_returnflag", F.lit('{","half":'), F.col("l_linenumber").cast("string"), F.lit('.5,"none":{}}'))
+    first = F.concat(F.lit('{"top":[{"a":1}],"n":'), F.repeat(F.lit('{"n":'), levels - 1), inner, F.repeat(F.lit("}"), levels))
+    lines = star_tables.table(spark, sf_dir, "lineitem")
+    documents = lines.select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("line"), F.when(levels > 0, first).otherwise(inner).alias("doc"))
+    return fields.flatten_json(documents, "doc", ["id", "line"])
+
+
 @query("trace_fields", f"{WITH_SPANS}, {_ranked_sql((_LEAVES + _RESOURCE_LEAVES).format('spans'))}")
 def trace_fields(spark, sf_dir):
     return _listed(fields.trace_fields(spans_of(spark, sf_dir)))

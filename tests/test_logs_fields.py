@@ -1,63 +1,65 @@
+import json
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from lumenspan.functions import records as R
 from lumenspan.operators import fields, logs
 
-MS = 1_000_000
-
 
-def test_query_and_search(make_logs):
+def test_newest_severe_and_matching_logs(make_logs):
+    """A day of a ferry terminal: every seventh record is a warning, every eleventh an error."""
+    severities = [13 if i % 7 == 0 else 17 if i % 11 == 0 else 5 for i in range(1, 78)]
     df = make_logs(
-        {"time_unix_nano": 1, "body": "hello world"},
-        {"time_unix_nano": 2, "severity_number": 17, "severity_text": "ERROR", "body": "kaboom"},
+        *[
+            {"time_unix_nano": i, "severity_number": n, "body": f"berth {i % 4} " + ("Delayed" if n > 9 else "clear"), "attributes": {"ship": {"id": i % 5}}}
+            for i, n in enumerate(severities, 1)
+        ]
     )
-    assert [r["body"] for r in logs.query_logs(df, min_severity=13).collect()] == ["kaboom"]
-    assert logs.query_logs(df, search="HELLO").count() == 1
-    assert [r["body"] for r in logs.query_logs(df, 1).collect()] == ["kaboom"]
-    http = make_logs(
-        {"attributes": {"http.method": "GET", "code": 200}},
-        {"attributes": {"http.method": "POST", "code": 500}, "severity_number": 17},
-        {"attributes": {"http.method": "POST", "code": 201}},
-    )
-    wanted = R.logs.field_is("http.method", "POST") & R.logs.field_cmp("code", ">=", 500)
-    assert logs.search_logs(http, wanted).count() == 1
-    get = logs.log_histogram(http, 5, R.logs.field_is("http.method", "GET"))
-    assert logs.histogram_totals(get).first()["total"] == 1
-    names = {r["name"] for r in logs.log_fields(http).collect()}
-    assert {"http.method", "level", "service", "code"} <= names and "scope" not in names
+    errors = [i for i, n in enumerate(severities, 1) if n == 17]
+    assert [r["time_unix_nano"] for r in logs.query_logs(df, min_severity=17).collect()] == errors[::-1]
+    assert [r["time_unix_nano"] for r in logs.query_logs(df, 3).collect()] == [77, 76, 75]
+    assert logs.query_logs(df, None, search="dELAYed").count() == sum(n > 9 for n in severities)
+    third = R.logs.field_is("ship.id", "3") & ~R.logs.field_is("level", "debug")
+    assert logs.search_logs(df, third).count() == sum(n > 9 and i % 5 == 3 for i, n in enumerate(severities, 1))
+    assert logs.histogram_totals(logs.log_histogram(df, 4, third)).first()["total"] == logs.search_logs(df, third).count()
+    fields_of = {r["name"]: r["count"] for r in logs.log_fields(df).collect()}
+    assert fields_of["ship.id"] == fields_of["level"] == 77 and "scope" not in fields_of
+
 
+def _bars(rows):
+    return [(r["time_unix_nano"], r["debug"], r["error"]) for r in rows.collect()]
 
-def test_histogram_of_data_range(make_logs):
+
+def test_histogram_spans_the_data_or_the_window(make_logs):
+    """Debug records at 100, 110, ..., 190 and errors at 100 and 190."""
     df = make_logs(
-        {"time_unix_nano": 1000},
-        {"time_unix_nano": 2000, "severity_number": 17},
-        {"time_unix_nano": 500_000, "severity_number": 17},
+        *[{"time_unix_nano": 100 + 10 * i, "severity_number": 6} for i in range(10)],
+        *[{"time_unix_nano": t, "severity_number": 20} for t in (100, 190)],
     )
+    data = _bars(logs.log_histogram(df, 3))
+    assert len(data) == 3 and data[0][0] == 100 and sum(b for _, b, _ in data) == 10 and [e for *_, e in data] == [1, 0, 1]
+    window = _bars(logs.log_histogram(df, 4, time_min=120, time_max=160))
+    assert (window[0][0], sum(b for _, b, _ in window), sum(e for *_, e in window)) == (120, 5, 0)
+    moment = logs.log_histogram(df.filter("time_unix_nano = 190"), 4)
+    assert [(b, e) for _, b, e in _bars(moment)] == [(1, 1), (0, 0), (0, 0), (0, 0)]
+    for nothing in (df.limit(0), df.filter("severity_number > 24")):
+        assert logs.log_histogram(nothing, 4).count() == 0
+    assert logs.log_histogram(df, 4, time_min=500, time_max=600).count() == 0
     with pytest.raises(ValueError):
-        logs.log_histogram(df, 0)
-    assert len(logs.log_histogram(df, 1).collect()) == 1 and len(logs.log_histogram(df, 300).collect()) == 300
-    rows = logs.log_histogram(df, 5).collect()
-    assert len(rows) == 5
-    assert (sum(r["error"] for r in rows), sum(r["info"] for r in rows)) == (2, 1)
-    assert rows[0]["time_unix_nano"] == 1000 and rows[-1]["error"] == 1
-    assert logs.log_histogram(df.limit(0), 5).count() == 0
-    assert logs.log_histogram(df, 5, time_min=10**9, time_max=2 * 10**9).count() == 0
-    one = logs.log_histogram(df.filter("time_unix_nano = 1000"), 5).collect()
-    assert [r["info"] for r in one] == [1, 0, 0, 0, 0]
-
-
-def test_histogram_full_window(spark, make_logs):
-    empty = make_logs({}).limit(0)
-    many = spark.range(6000).select(((F.col("id") + 1000) * MS).alias("time_unix_nano"), F.lit(9).alias("severity_number"))
-    df = empty.unionByName(many, allowMissingColumns=True)
-    rows = logs.log_histogram(df, 10, time_min=1000 * MS, time_max=7000 * MS).collect()
-    assert [r["info"] for r in rows] == [600] * 10
-    rows = logs.log_histogram(df, 7, time_min=1000 * MS, time_max=4500 * MS)
-    assert logs.histogram_totals(rows).first()["total"] == 3501
-    # Whatever has no level of its own counts as info.
-    odd = df.withColumn("severity_number", F.lit(0))
-    assert logs.histogram_totals(logs.log_histogram(odd, 5)).first()["total"] == 6000
+        logs.log_histogram(df, -1)
+
+
+def test_histogram_of_many_rows_and_numbers_without_a_level(spark, make_logs):
+    """Row i has time 7 i and severity i mod 26: those of 0 and 25 have no level of their own and count as info."""
+    rows = spark.range(5200).select((F.col("id") * 7).alias("time_unix_nano"), (F.col("id") % 26).cast("int").alias("severity_number"))
+    df = make_logs({}).limit(0).unionByName(rows, allowMissingColumns=True)
+    bars = logs.log_histogram(df, 5200, time_min=0, time_max=7 * 5200).collect()
+    assert len(bars) == 5200 and {sum(r[level] for level in ("trace", "debug", "info", "warn", "error", "fatal")) for r in bars} == {1}
+    few = logs.log_histogram(df, 9)
+    assert list(few.agg(*(F.sum(c) for c in ("trace", "debug", "info", "warn", "error", "fatal"))).first()) == [800, 800, 1200, 800, 800, 800]
+    assert logs.histogram_totals(few).first()["total"] == 5200
 
 
 @pytest.mark.parametrize(("characters", "want"), [(None, [("pine" * 20 + "é", 1), ("pine" * 20 + "ü", 1)]), (80, [("pine" * 20, 2)]), (4, [("pine", 2)])])
@@ -101,13 +103,42 @@ def test_flatten_json(make_logs):
     }
 
 
-def test_trace_fields(make_spans):
-    resource = {"resource_attributes": {"host.name": "app-1"}}
+def _walk(value, prefix=""):
+    for name, member in value.items():
+        if isinstance(member, dict):
+            yield from _walk(member, f"{prefix}{name}.")
+        else:
+            yield prefix + name, member if isinstance(member, str) else json.dumps(member, separators=(",", ":"))
+
+
+def test_objects_of_any_depth_are_opened(spark):
+    rng = random.Random(8)
+    leaf = [1, 1.5, "x{", '{"no":1}', None, True, [1, {"z": 2}]]
+
+    def make(depth):
+        return {rng.choice(["a", "b", "c.d", "e"]): rng.choice(leaf) if depth == 0 or rng.random() < 0.4 else make(depth - 1) for _ in range(rng.randrange(4))}
+
+    chain = {"leaf": 1}
+    for level in range(25):
+        chain = {f"k{level}": chain}
+    documents = [make(rng.choice([0, 1, 2, 9])) for _ in range(200)] + [chain]
+    df = spark.createDataFrame([(i, json.dumps(d, separators=(",", ":"))) for i, d in enumerate(documents)] + [(-1, None)], "i int, d string")
+    found = sorted(map(tuple, fields.flatten_json(df, "d", ["i"]).collect()))
+    assert found == sorted((i, n, v) for i, d in enumerate(documents) for n, v in _walk(d))
+
+
+def test_fields_of_chosen_traces(make_spans):
+    """Three traces of a lighthouse, a buoy and both; each span names its lamp, buoys their chain, too."""
+    lamp = lambda n: {"attributes": {"lamp": {"watts": n}}, "resource_attributes": {"sea": "north"}}
+    chain = {"attributes": {"lamp": {"watts": 5}, "chain.m": 40}}
     spans = make_spans(
-        ("t", "a", "", "s", 0, 1, {"attributes": {"http.method": "GET", "http.route": "/x"}, **resource}),
-        ("u", "b", "", "other", 5, 6, {"attributes": {"only.here": 1}}),
-    )
-    rows = {r["name"]: r["count"] for r in fields.trace_fields(spans).collect()}
-    assert rows == {"http.method": 1, "http.route": 1, "host.name": 1, "only.here": 1}
-    assert {r["name"] for r in fields.trace_fields(spans, service="other").collect()} == {"only.here"}
-    assert {r["name"] for r in fields.trace_fields(spans, sample_traces=1).collect()} == {"only.here"}
+        ("far", "1", "", "lighthouse", 10, 20, lamp(1000)), ("far", "2", "1", "lighthouse", 11, 12, lamp(1000)),
+        ("near", "3", "", "buoy", 30, 31, chain),
+        ("both", "4", "", "lighthouse", 50, 60, lamp(800)), ("both", "5", "4", "buoy", 51, 52, chain),
+    )
+    counts = lambda **how: {r["name"]: r["count"] for r in fields.trace_fields(spans, **how).collect()}
+    assert counts() == {"lamp.watts": 5, "sea": 3, "chain.m": 2}
+    assert counts(service="buoy") == {"lamp.watts": 3, "chain.m": 2, "sea": 1}
+    assert counts(sample_traces=1) == {"lamp.watts": 2, "chain.m": 1, "sea": 1}
+    (top, *_), = (r["top_values"] for r in fields.trace_fields(spans, 1).collect())
+    assert (top["value"], top["count"]) in {("1000", 2), ("5", 2)}

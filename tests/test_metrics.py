@@ -35,12 +35,14 @@ def test_series_and_catalog(make_points):
     assert key == '{"a":2,"b":1}'
 
 
-def test_rate_increase_and_unknown(spark):
-    counter = _series(spark, (0, 100), (S, 160), (2 * S, 10), (4 * S, 30))
-    for bounded in (False, True):
-        assert _values(metrics.rate(counter, bounded)) == [60.0, 10.0, 10.0]
-        assert _values(metrics.increase(counter.filter(f"time_unix_nano < {3 * S}"), bounded)) == [60.0, 0.0]
-    assert metrics.aggregate_series(counter, "none") is counter
+def test_steps_of_a_counter_that_restarts_twice(spark):
+    """A turnstile: 7 people in 2 s, restart at 3, 5 more in 5 s, restart at nothing, 9 in 3 s."""
+    counter = _series(spark, (10 * S, 40), (12 * S, 47), (13 * S, 3), (18 * S, 8), (20 * S, 0), (23 * S, 9))
+    for bounded in (True, False):
+        assert _values(metrics.rate(counter, bounded)) == [3.5, 3.0, 1.0, 0.0, 3.0]
+        assert _values(metrics.increase(counter, bounded)) == [7.0, 0.0, 5.0, 0.0, 9.0]
+    assert metrics.rate(counter.limit(1)).count() == 0
+    assert metrics.aggregate_series(counter, "median of medians") is counter
 
 
 def test_points_of_equal_time(spark):
@@ -49,15 +51,20 @@ def test_points_of_equal_time(spark):
     assert _values(metrics.increase(series)) == [0.0, 1.0]
 
 
-def test_sum_of_series(spark):
-    both = _series(spark, (0, 1), (1000, 2), service="a").unionByName(_series(spark, (0, 10), (1000, 20), service="b"))
-    rows = metrics.aggregate_series(both, "sum", 2).orderBy("time_unix_nano").collect()
-    assert [r["value"] for r in rows] == [11.0, 22.0]
-    assert rows[0]["attributes"] == '{"aggregation":"sum","series":2}' and rows[0]["service_name"] == "sum"
-    assert [r["time_unix_nano"] for r in rows] == [250, 750]
-    assert metrics.aggregate_series(both.limit(0), "sum").count() == 0
-    nan = both.unionByName(_series(spark, (1000, float("nan")), service="c"))
-    assert _values(metrics.aggregate_series(nan, "max", 2)) == [10.0, 20.0]
+def test_series_are_averaged_in_slots_and_then_folded(spark):
+    """Two tanks over [0, 900]: three slots of 300, the south tank silent in the middle one."""
+    north = _series(spark, (0, 3), (100, 5), (350, 8), (400, 10), (900, 1), service="north")
+    south = _series(spark, (50, 20), (899, 6), service="south")
+    both = north.unionByName(south)
+    folded = {f: metrics.aggregate_series(both, f, 3).orderBy("time_unix_nano").collect() for f in ("sum", "avg", "min", "max")}
+    assert {f: [r["value"] for r in rows] for f, rows in folded.items()} == {
+        "sum": [24.0, 9.0, 7.0], "avg": [12.0, 9.0, 3.5], "min": [4.0, 9.0, 1.0], "max": [20.0, 9.0, 6.0],
+    }
+    assert {(r["service_name"], r["attributes"]) for r in folded["min"]} == {("min", '{"aggregation":"min","series":2}')}
+    assert [r["time_unix_nano"] for r in folded["avg"]] == [150, 450, 750]
+    assert metrics.aggregate_series(both.filter("value > 99"), "max").count() == 0
+    broken = both.unionByName(_series(spark, (450, float("nan")), service="west"))
+    assert _values(metrics.aggregate_series(broken, "max", 3)) == [20.0, 9.0, 6.0]
 
 
 def test_stats(spark):
@@ -66,19 +73,18 @@ def test_stats(spark):
     assert (row["min_value"], row["max_value"], row["avg_value"], row["latest_unix_nano"]) == (2.0, 8.0, 5.0, 9)
 
 
-def test_exemplars(make_points):
-    def point(name, trace, span):
-        return {"name": name, "exemplars": [(trace, span, 1, 1.0)]}
-
+def test_exemplars_of_a_trace_or_span(make_points):
+    """Points of two pumps; the second carries exemplars of two traces, one of them twice."""
     points = make_points(
-        point("http.server.duration", "aaa111", "s1"),
-        point("db.client.duration", "AAA111", "s2"),
-        point("other", "bbb222", "s9"),
-        {"name": "none"},
+        {"name": "pump.one", "exemplars": [("c0ffee", "0a", 5, 0.5)]},
+        {"name": "pump.two", "exemplars": [("c0ffee", "0b", 7, 1.5), ("decade", "0a", 6, 2.5), ("c0ffee", "0c", 9, 3.5)]},
+        {"name": "pump.idle"},
     )
-    find = lambda *a, **k: metrics.find_exemplars(points, *a, **k).count()
-    assert (find("aaa111"), find("AAA111", "S2"), find("unknown"), find("0000"), find(" ")) == (2, 1, 0, 0, 0)
-    assert metrics.find_exemplars(points, "aaa111", n=1).count() == 1 and find("aaa111", n=None) == find("aaa111", n=0) == 2
+    found = lambda *a, **k: sorted(r["value"] for r in metrics.find_exemplars(points, *a, **k).collect())
+    assert found("C0FFEE") == found("c0ffee", n=0) == found("c0ffee", n=None) == [0.5, 1.5, 3.5]
+    assert found("c0ffee", "0B") == [1.5] and found("decade", "0a") == [2.5] and found("decade", "0b") == []
+    assert len(found("c0ffee", n=2)) == 2
+    assert found("beef") == found("") == found("000") == []
 
 
 def _brute_steps(points):

@@ -103,31 +103,37 @@ def test_completeness(make_spans):
     assert (rows["t2"]["orphan_count"], rows["t2"]["root_missing"]) == (2, True)
 
 
-def _red_spans(make_spans):
+def _market(make_spans):
+    """Two orders at a stall: the first asks the scale three times (one failure), the second once and then the till."""
     return make_spans(
-        ("t1", "a", "", "gateway", 1000, 1000 + 10 * MS),
-        ("t1", "b", "a", "db", 2000, 2000 + 4 * MS, {"status_code": 2, "kind": "client"}),
-        ("t2", "c", "", "gateway", 9000, 9000 + 20 * MS),
-        ("t2", "d", "c", "db", 9500, 9500 + 2 * MS, {"kind": "client"}),
+        ("o1", "s1", "", "stall", 5, 5 + 30 * MS),
+        ("o1", "w1", "s1", "scale", 10, 10 + 1 * MS, {"kind": "client"}),
+        ("o1", "w2", "s1", "scale", 20, 20 + 2 * MS, {"kind": "client", "status_code": 2}),
+        ("o1", "w3", "s1", "scale", 30, 30 + 6 * MS, {"kind": "client"}),
+        ("o2", "s2", "", "stall", 100, 100 + 50 * MS),
+        ("o2", "w4", "s2", "scale", 110, 110 + 7 * MS, {"kind": "client"}),
+        ("o2", "p1", "w4", "till", 120, 120 + 3 * MS, {"kind": "internal"}),
     )
 
 
-def test_red_and_graph(make_spans):
-    spans = _red_spans(make_spans)
+def test_market_statistics_and_graph(make_spans):
+    spans = _market(make_spans)
     stats = {r["service_name"]: r for r in services.service_stats(spans).collect()}
-    assert (stats["db"]["span_count"], stats["db"]["error_count"], stats["db"]["request_count"]) == (2, 1, 1)
-    assert stats["db"]["error_rate"] == 0.5 and stats["gateway"]["rate_per_sec"] == 2.0
-    # Nearest rank with half rounded up: of two durations the median is the larger.
-    assert stats["gateway"]["p50_ms"] == 20.0
-    assert [r["service_name"] for r in services.unhealthy_first(services.service_stats(spans)).collect()] == ["db", "gateway"]
-    edge = services.service_graph_edges(spans).collect()
-    assert [(r["source"], r["target"], r["calls"], r["errors"], r["avg_ms"]) for r in edge] == [("gateway", "db", 2, 1, 3.0)]
-    nodes, edges = services.filter_graph(services.service_graph_nodes(spans), services.service_graph_edges(spans), "gate")
-    assert nodes.count() == 1 and edges.count() == 0
-    approximate = services.service_stats(spans, approximate=True)
-    assert approximate.filter("service_name = 'db'").first()["p95_ms"] == 4.0
-    sampled = services.service_stats(spans, sample_traces=1)
-    assert {r["span_count"] for r in sampled.collect()} == {1}
+    assert {n: (r["span_count"], r["request_count"], r["error_count"]) for n, r in stats.items()} == {
+        "stall": (2, 2, 0), "scale": (4, 1, 1), "till": (1, 1, 0),
+    }
+    assert stats["scale"]["error_rate"] == 0.25
+    # Index round(3 p) of 1, 2, 6, 7: halves go up.
+    assert (stats["scale"]["p50_ms"], stats["scale"]["p95_ms"]) == (6.0, 7.0)
+    assert services.unhealthy_first(services.service_stats(spans)).first()["service_name"] == "scale"
+    edges = services.service_graph_edges(spans)
+    found = {(r["source"], r["target"]): (r["calls"], r["errors"], r["avg_ms"]) for r in edges.collect()}
+    assert found == {("stall", "scale"): (4, 1, 4.0), ("scale", "till"): (1, 0, 3.0)}
+    near = services.filter_graph(services.service_graph_nodes(spans), edges, "TILL")
+    assert [df.count() for df in near] == [1, 0]
+    assert services.service_stats(spans, approximate=True).filter("service_name = 'stall'").first()["p99_ms"] == 50.0
+    newest = services.service_stats(spans, sample_traces=1).collect()
+    assert {r["service_name"]: r["span_count"] for r in newest} == {"stall": 1, "scale": 1, "till": 1}
 
 
 def test_graph_edges_with_resent_parent_and_hot_parent(make_spans):
@@ -138,31 +144,29 @@ def test_graph_edges_with_resent_parent_and_hot_parent(make_spans):
 
 
 def test_investigate_and_correlation(make_spans, make_logs, make_points):
-    spans = _red_spans(make_spans)
+    spans = _market(make_spans)
     logs = make_logs(
-        *[{"trace_id": "t1", "span_id": "b", "time_unix_nano": i, "body": f"n{i}"} for i in range(5)],
-        {"trace_id": "t2", "span_id": "none", "time_unix_nano": 9},
+        *[{"trace_id": "o1", "span_id": "w2", "time_unix_nano": i, "body": f"n{i}"} for i in range(5)],
+        {"trace_id": "o2", "span_id": "none", "time_unix_nano": 9},
         {"trace_id": "", "span_id": "", "time_unix_nano": 10},
     )
     exemplar = lambda trace, span, time: [(trace, span, time, 1.0)]
-    points = make_points(
-        {"name": "m1", "exemplars": exemplar("T1", "a", 1)}, {"name": "m2", "exemplars": exemplar("t9", "a", 2)}
-    )
-    bundle = traces.investigate(spans, logs, points, ["t1", "absent"], logs_per_trace=3)
+    points = make_points({"name": "m1", "exemplars": exemplar("O1", "s1", 1)}, {"name": "m2", "exemplars": exemplar("o9", "s1", 2)})
+    bundle = traces.investigate(spans, logs, points, ["o1", "absent"], logs_per_trace=3)
     status = {r["trace_id"]: (r["found"], r["span_count"], r["error_count"]) for r in bundle.status.collect()}
-    assert status == {"t1": (True, 2, 1), "absent": (False, 0, 0)}
+    assert status == {"o1": (True, 4, 1), "absent": (False, 0, 0)}
     assert sorted(r["body"] for r in bundle.logs.collect()) == ["n2", "n3", "n4"]
     assert [r["metric_name"] for r in bundle.exemplars.collect()] == ["m1"]
     assert bundle.errors.count() == 1
 
     linked = correlate.traces_of_logs(logs, spans)
     assert linked.count() == 7
-    assert linked.filter(F.col("span_service") == "db").count() == 5
+    assert linked.filter(F.col("span_service") == "scale").count() == 5
     ids = spans.filter("status_code = 2")
     assert correlate.logs_of_traces(logs, ids).count() == 5
-    assert [r["body"] for r in correlate.logs_of_traces(logs, ids, "b", 2).collect()] == ["n4", "n3"]
+    assert [r["body"] for r in correlate.logs_of_traces(logs, ids, "w2", 2).collect()] == ["n4", "n3"]
     assert [r["metric_name"] for r in correlate.metrics_of_traces(points, ids).collect()] == ["m1"]
     own = correlate.service_signals(Telemetry(spans, logs, points), "svc", 5)
     assert [df.count() for df in own] == [0, 7, 2]
     stats = services.storage_stats(spans, logs, points).first()
-    assert tuple(stats) == (4, 7, 2, 3)
+    assert tuple(stats) == (7, 7, 2, 4)
