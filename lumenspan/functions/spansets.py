@@ -11,11 +11,12 @@ Fields: ``name``, ``duration``, ``status``, ``kind``; ``rootName``, ``rootServic
 from __future__ import annotations
 
 import itertools
+import operator
 from collections.abc import Callable
 from dataclasses import dataclass, field
-from functools import partial
+from functools import partial, reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenspan.functions.jsontext import JsonValue, lookup, number_text, parse_number, plain, plain_number, truth
@@ -97,51 +98,89 @@ def _holds(op: str, value: Literal, actual: JsonValue) -> Column:
     return truth(F.when(actual.present, either))
 
 
+Trace = Callable[[str], Column]
+
+
 @dataclass(frozen=True)
 class Condition:
     """A condition on one span.
 
-    ``span`` builds the Column from the answers of the trace-level tests in ``trace_tests``.  Those
-    depend on the whole trace, so they are answered after the spans have been grouped.
+    ``build`` combines the answers of numbered tests.  ``span_tests`` look at the span itself; ``trace_tests`` look
+    at its whole trace, through a function that reads a column of the trace aggregate.
     """
 
-    span: Callable[[dict[int, bool]], Column]
-    trace_tests: dict[int, Callable[[Callable[[str], Column]], Column]] = field(default_factory=dict)
+    build: Callable[[Callable[[int], Answer]], Answer]
+    span_tests: dict[int, Callable[[], Column]] = field(default_factory=dict)
+    trace_tests: dict[int, Callable[[Trace], Column]] = field(default_factory=dict)
 
-    def _merged(self, other: Condition) -> dict:
-        return {**self.trace_tests, **other.trace_tests}
+    def _merged(self, other: Condition) -> tuple[dict, dict]:
+        return {**self.span_tests, **other.span_tests}, {**self.trace_tests, **other.trace_tests}
 
     def __and__(self, other: Condition) -> Condition:
-        return Condition(lambda known: self.span(known) & other.span(known), self._merged(other))
+        return Condition(lambda answer: self.build(answer) & other.build(answer), *self._merged(other))
 
     def __or__(self, other: Condition) -> Condition:
-        return Condition(lambda known: self.span(known) | other.span(known), self._merged(other))
+        return Condition(lambda answer: self.build(answer) | other.build(answer), *self._merged(other))
 
     def __invert__(self) -> Condition:
-        return Condition(lambda known: ~self.span(known), self.trace_tests)
+        return Condition(lambda answer: ~self.build(answer), self.span_tests, self.trace_tests)
+
+    def possible(self) -> Column:
+        """Whether the span can satisfy the condition, whatever its trace answers."""
+
+        def answer(number: int) -> Answer:
+            if number in self.trace_tests:
+                return Answer(F.lit(True), F.lit(True))
+            test = self.span_tests[number]()
+            return Answer(test, ~test)
+
+        return self.build(answer).can_hold
+
+    def holds(self, known: Callable[[int], Column]) -> Column:
+        """The condition with every test answered."""
+
+        def answer(number: int) -> Answer:
+            column = known(number)
+            return Answer(column, ~column)
+
+        return self.build(answer).can_hold
+
+
+@dataclass(frozen=True)
+class Answer:
+    """Whether a condition can hold and whether it can fail; both where it depends on something still unknown."""
+
+    can_hold: Column
+    can_fail: Column
+
+    def __and__(self, other: Answer) -> Answer:
+        return Answer(self.can_hold & other.can_hold, self.can_fail | other.can_fail)
 
-    def outcomes(self) -> list[dict[int, bool]]:
-        """Every combination of answers to the trace-level tests."""
-        keys = list(self.trace_tests)
-        return [dict(zip(keys, answers)) for answers in itertools.product((False, True), repeat=len(keys))]
+    def __or__(self, other: Answer) -> Answer:
+        return Answer(self.can_hold | other.can_hold, self.can_fail & other.can_fail)
+
+    def __invert__(self) -> Answer:
+        return Answer(self.can_fail, self.can_hold)
 
 
 _test_numbers = itertools.count()
 
 
+def _span_test(test: Callable[[], Column]) -> Condition:
+    number = next(_test_numbers)
+    return Condition(lambda answer: answer(number), {number: test})
+
+
 def _condition(name: str, test: Callable[[JsonValue], Column]) -> Condition:
     if not is_trace_field(name):
-        return Condition(lambda known: truth(_field_value(name, None).let(test)))
+        return _span_test(lambda: truth(_field_value(name, None).let(test)))
     number = next(_test_numbers)
-    return Condition(
-        lambda known: F.lit(known[number]),
-        {number: lambda trace: test(_field_value(name, trace))},
-    )
+    return Condition(lambda answer: answer(number), {}, {number: lambda trace: truth(test(_field_value(name, trace)))})
 
 
 def column(condition: Column) -> Condition:
     """Any two-valued Column over the spans as a condition."""
-    return Condition(lambda known: truth(condition))
+    return _span_test(lambda: truth(condition))
 
 
 def where(name: str, op: str, value: Literal) -> Condition:
@@ -212,7 +251,7 @@ TraceCondition = SpanSet | Combined
 
 def span_set(condition: Condition | None = None, *aggregates: Aggregate) -> SpanSet:
     """Without a condition every span of the trace belongs to the set."""
-    return SpanSet(condition or Condition(lambda known: F.lit(True)), aggregates)
+    return SpanSet(condition or column(F.lit(True)), aggregates)
 
 
 def any_span(condition: Column) -> SpanSet:
@@ -220,75 +259,137 @@ def any_span(condition: Column) -> SpanSet:
     return span_set(column(condition))
 
 
+#: Answers of span tests that one mask column holds.
+MASK_BITS = 62
+AGGREGATES = {"avg": F.avg, "sum": F.sum, "min": F.min, "max": F.max}
+
+
+def _sets(condition: TraceCondition) -> list[SpanSet]:
+    return [condition] if isinstance(condition, SpanSet) else _sets(condition.left) + _sets(condition.right)
+
+
+def _number(a: Aggregate) -> Column | None:
+    """The numbers an aggregate takes from spans; None if it needs no more than their count."""
+    if a.function == "count" or is_trace_field(a.field) or _literal_number(a.value) is None:
+        return None
+    number = _field_value(a.field, None).let(lambda value: value.number)
+    return F.when(~F.isnan(number), number) if a.function in ("min", "max") else number
+
+
+def _checked(a: Aggregate, count: Column, taken: Column | None, trace: Trace) -> Column:
+    """Whether an aggregate holds, from the count of the set's spans and what was taken from them."""
+    expected = _literal_number(a.value)
+    if expected is None:
+        return F.lit(False)
+    if a.function == "count":
+        return compare_number(a.op, count.cast("double"), expected)
+    if is_trace_field(a.field):
+        # The same value on every span of the trace.
+        taken = _field_value(a.field, trace).number
+        taken = taken * count if a.function == "sum" else taken
+    return truth(compare_number(a.op, taken, expected) & taken.isNotNull())
+
+
 class TraceFlags:
-    """Grouped columns that decide a trace condition with one aggregate over the spans.
+    """The traces that satisfy a condition.
 
-    ``columns`` go into the ``agg`` next to the trace context; ``flag`` then combines them.  A condition
-    with trace-level tests is counted once per combination of their answers and the right count is
-    picked after grouping, so no span has to wait for, or be joined with, its trace.
+    Every span set needs a span, so only spans that can belong to a set leave their task.  Without tests of the
+    whole trace, one aggregate over them decides.  With such tests, the answers of a set's span tests are the bits
+    of a mask: spans are counted per trace and masks first, and the tests of the trace, answered once, decide
+    afterwards which of its masks belong to the set.
     """
 
-    def __init__(self, condition: TraceCondition, prefix: str = "__set"):
-        self._prefix = prefix
-        self.columns: list[Column] = []
-        self._build = self._plan(condition)
-
-    def flag(self, trace: Callable[[str], Column] = F.col) -> Column:
-        return self._build(trace)
-
-    def _add(self, expression: Column) -> str:
-        name = f"{self._prefix}{len(self.columns)}"
-        self.columns.append(expression.alias(name))
-        return name
-
-    def _plan(self, condition: TraceCondition) -> Callable[[Callable[[str], Column]], Column]:
-        if isinstance(condition, SpanSet):
-            return self._plan_set(condition)
-        left, right = self._plan(condition.left), self._plan(condition.right)
-        if condition.op == "and":
-            return lambda trace: left(trace) & right(trace)
-        return lambda trace: left(trace) | right(trace)
-
-    def _plan_set(self, target: SpanSet) -> Callable[[Callable[[str], Column]], Column]:
-        variants = []
-        for known in target.condition.outcomes():
-            matched = target.condition.span(known)
-            count = self._add(F.count_if(matched))
-            checks = [self._plan_aggregate(a, matched, count) for a in target.aggregates]
-            variants.append((known, count, checks))
-
-        def decide(trace: Callable[[str], Column]) -> Column:
-            answers = {n: test(trace) for n, test in target.condition.trace_tests.items()}
-            result = F.lit(False)
-            for known, count, checks in variants:
-                applies = F.lit(True)
-                for number, answer in known.items():
-                    applies = applies & (answers[number] if answer else ~answers[number])
-                holds = F.col(count) > 0
-                for check in checks:
-                    holds = holds & check(trace)
-                result = result | (applies & holds)
-            return result
-
-        return decide
-
-    def _plan_aggregate(self, a: Aggregate, matched: Column, count: str) -> Callable:
-        expected = _literal_number(a.value)
-        if expected is None:
-            return lambda trace: F.lit(False)
-        if a.function == "count":
-            return lambda trace: compare_number(a.op, F.col(count).cast("double"), expected)
-        if is_trace_field(a.field):
-            # The same value on every span of the trace.
-            def constant(trace: Callable[[str], Column]) -> Column:
-                number = _field_value(a.field, trace).number
-                number = number * F.col(count) if a.function == "sum" else number
-                return truth(compare_number(a.op, number, expected) & number.isNotNull())
-
-            return constant
-        number = F.when(matched, _field_value(a.field, None).let(lambda value: value.number))
-        if a.function in ("min", "max"):
-            number = F.when(~F.isnan(number), number)
-        function = {"avg": F.avg, "sum": F.sum, "min": F.min, "max": F.max}[a.function]
-        name = self._add(function(number))
-        return lambda trace: truth(compare_number(a.op, F.col(name), expected) & F.col(name).isNotNull())
+    def __init__(self, condition: TraceCondition):
+        self.condition, self.sets = condition, _sets(condition)
+        constant = any(a.function != "count" and is_trace_field(a.field) for s in self.sets for a in s.aggregates)
+        self.needs_trace = constant or any(s.condition.trace_tests for s in self.sets)
+
+    def matching(self, spans: DataFrame, context: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        """(trace_id) of matching traces; ``context`` gives the columns of a trace for the traces of given ids."""
+        return self._by_masks(spans, context) if self.needs_trace else self._at_once(spans)
+
+    def _decided(self, holds: list[Column]) -> Column:
+        order = iter(holds)
+
+        def of(condition: TraceCondition) -> Column:
+            if isinstance(condition, SpanSet):
+                return next(order)
+            left, right = of(condition.left), of(condition.right)
+            return left & right if condition.op == "and" else left | right
+
+        return of(self.condition)
+
+    def _numbers(self) -> dict[str, tuple[int, Aggregate, Column]]:
+        """By column name: set, aggregate and the numbers it takes."""
+        return {
+            f"__n{i}_{j}": (i, a, number)
+            for i, s in enumerate(self.sets) for j, a in enumerate(s.aggregates) if (number := _number(a)) is not None
+        }
+
+    def _at_once(self, spans: DataFrame) -> DataFrame:
+        inside = {f"__in{i}": s.condition.possible() for i, s in enumerate(self.sets)}
+        numbers = self._numbers()
+        columns = [c.alias(n) for n, c in inside.items()] + [F.when(inside[f"__in{i}"], c).alias(n) for n, (i, _, c) in numbers.items()]
+        rows = spans.select("trace_id", *columns).filter(reduce(operator.or_, map(F.col, inside)))
+        counts = [F.count_if(F.col(n)).alias(n) for n in inside]
+        grouped = rows.groupBy("trace_id").agg(*counts, *(AGGREGATES[a.function](n).alias(n) for n, (_, a, _) in numbers.items()))
+        holds = []
+        for i, s in enumerate(self.sets):
+            count = F.col(f"__in{i}")
+            checks = [_checked(a, count, F.col(f"__n{i}_{j}") if f"__n{i}_{j}" in numbers else None, F.col) for j, a in enumerate(s.aggregates)]
+            holds.append(reduce(operator.and_, checks, count > 0))
+        return grouped.filter(self._decided(holds)).select("trace_id")
+
+    def _by_masks(self, spans: DataFrame, context: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        masks, places = {}, {}
+        for i, s in enumerate(self.sets):
+            for k, (number, test) in enumerate(s.condition.span_tests.items()):
+                name = f"__m{i}_{k // MASK_BITS}"
+                places[i, number] = name, 1 << k % MASK_BITS
+                bit = F.when(test(), F.lit(1 << k % MASK_BITS)).otherwise(F.lit(0)).cast("bigint")
+                masks[name] = masks[name].bitwiseOR(bit) if name in masks else bit
+            masks.setdefault(f"__m{i}_0", F.lit(0).cast("bigint"))
+        numbers = self._numbers()
+        rows = spans.filter(reduce(operator.or_, (s.condition.possible() for s in self.sets)))
+        rows = rows.select("trace_id", *(c.alias(n) for n, c in masks.items()), *(c.alias(n) for n, (_, _, c) in numbers.items()))
+        taken = [
+            F.struct(F.sum(n).alias("sum"), F.count(n).alias("count"), F.min(n).alias("min"), F.max(n).alias("max")).alias(n) for n in numbers
+        ]
+        counted = rows.groupBy("trace_id", *masks).agg(F.count("*").alias("__n"), *taken)
+        # At most one entry for each combination of answers.
+        listed = counted.groupBy("trace_id").agg(F.collect_list(F.struct(*masks, "__n", *numbers)).alias("__masks"))
+        traces = context(listed.select("trace_id")).join(listed, "trace_id")
+        holds = [self._set_holds(i, s, places, numbers) for i, s in enumerate(self.sets)]
+        return traces.filter(self._decided(holds)).select("trace_id")
+
+    def _set_holds(self, i: int, s: SpanSet, places: dict, numbers: dict) -> Column:
+        answers = {n: test(F.col) for n, test in s.condition.trace_tests.items()}
+
+        def inside(entry: Column) -> Column:
+            def known(number: int) -> Column:
+                if number in answers:
+                    return answers[number]
+                name, bit = places[i, number]
+                return entry[name].bitwiseAND(F.lit(bit)) != 0
+
+            return s.condition.holds(known)
+
+        own = F.filter("__masks", inside)
+        total = lambda part: F.aggregate(own, F.lit(0).cast("bigint"), lambda a, e: a + part(e))
+        count = total(lambda e: e["__n"])
+        checks = []
+        for j, a in enumerate(s.aggregates):
+            name = f"__n{i}_{j}"
+            checks.append(_checked(a, count, _merged(own, name, a.function) if name in numbers else None, F.col))
+        return reduce(operator.and_, checks, count > 0)
+
+
+def _merged(entries: Column, name: str, function: str) -> Column:
+    """An aggregate over the entries of several masks."""
+    if function in ("min", "max"):
+        ends = F.transform(entries, lambda e: e[name][function])
+        return F.array_min(ends) if function == "min" else F.array_max(ends)
+    known = F.filter(entries, lambda e: e[name]["count"] > 0)
+    total = F.aggregate(known, F.lit(0.0), lambda a, e: a + e[name]["sum"])
+    count = F.aggregate(known, F.lit(0).cast("bigint"), lambda a, e: a + e[name]["count"])
+    return F.when(count > 0, total / count if function == "avg" else total)

@@ -24,17 +24,30 @@ def logs_of_traces(logs: DataFrame, traces: DataFrame, span_id: str | None = Non
     return matched if n is None else matched.orderBy(*newest_log_order()).limit(n)
 
 
+#: Shares into which the logs of a trace are split to be ranked.
+SHARES = 64
+
+
 def newest_per_trace(logs: DataFrame, n: int) -> DataFrame:
-    """Newest n logs of each trace.  The rank filter is also applied before the shuffle."""
+    """Newest n logs of each trace.
+
+    A trace with very many logs is ranked in shares first, also before the shuffle, so that at most n logs of each
+    share meet.
+    """
+    share = F.pmod(F.xxhash64("time_unix_nano", "span_id", "body", "attributes"), F.lit(SHARES))
+    near = F.row_number().over(W.partitionBy("trace_id", "__share").orderBy(*newest_log_order()))
+    split = logs.withColumn("__share", share).withColumn("__near", near).filter(F.col("__near") <= n)
     rank = F.row_number().over(W.partitionBy("trace_id").orderBy(*newest_log_order()))
-    return logs.withColumn("__rank", rank).filter(F.col("__rank") <= n).drop("__rank")
+    return split.withColumn("__rank", rank).filter(F.col("__rank") <= n).drop("__share", "__near", "__rank")
 
 
 def traces_of_logs(logs: DataFrame, spans: DataFrame) -> DataFrame:
     """Each log with the span it belongs to, where one was received."""
-    first = F.min(F.struct("start_time_unix_nano", "name", "service_name", "duration_nanos", "status_code"))
-    owners = spans.groupBy("trace_id", "span_id").agg(first.alias("span"))
     linked = logs.filter((F.col("trace_id") != "") & (F.col("span_id") != ""))
+    # Only spans that a log names are grouped.
+    named = spans.join(linked.select("trace_id", "span_id").distinct(), ["trace_id", "span_id"], "left_semi")
+    first = F.min(F.struct("start_time_unix_nano", "name", "service_name", "duration_nanos", "status_code"))
+    owners = named.groupBy("trace_id", "span_id").agg(first.alias("span"))
     loose = logs.filter((F.col("trace_id") == "") | (F.col("span_id") == ""))
     joined = linked.join(owners, ["trace_id", "span_id"], "left").select(*logs.columns, "span")
     # Logs without ids cannot match; they skip the join instead of meeting on one empty key.

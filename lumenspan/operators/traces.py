@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from lumenspan.functions.filters import STATUS_ERROR, on_dates, span_filter
 from lumenspan.functions.spansets import TraceCondition, TraceFlags
 from lumenspan.operators import correlate
-from lumenspan.plans.checkpoints import checkpoint_dir
+from lumenspan.plans.checkpoints import stored
 from lumenspan.plans.limits import first_rows
+from lumenspan.plans.ordered import with_next
 
 DEFAULT_TRACES = 20
 # Ids of a top-k are broadcast up to this many rows.
@@ -122,28 +123,45 @@ def get_trace(spans: DataFrame, trace_id: str) -> DataFrame:
     return spans.filter(F.col("trace_id") == trace_id).orderBy("start_time_unix_nano", "span_id")
 
 
-def matching_traces(spans: DataFrame, condition: TraceCondition | None = None, **filters) -> DataFrame:
-    """Summaries of every trace that has a span passing the filters and satisfies the condition.
+def _context(spans: DataFrame) -> DataFrame:
+    """What conditions can ask of a whole trace: its root and duration."""
+    root, start, end, *_ = summary_aggregates()
+    return summary_columns(spans.groupBy("trace_id").agg(root, start, end)).select("trace_id", "root_name", "root_service", "duration_nanos")
+
 
-    Filters pick traces first, where they reach the scan and its date partitions; span sets and summary
-    share one aggregation of the traces that are left.
+def _spans_of_matching(spans: DataFrame, condition: TraceCondition | None, **filters) -> DataFrame:
+    """All spans of the traces that have a span passing the filters and satisfy the condition.
+
+    Filters pick traces first, where they reach the scan and its date partitions.  Of the rest, only spans that can
+    belong to a span set are grouped.
     """
-    flags = TraceFlags(condition) if condition is not None else None
     if any(value not in (None, "", False) for value in filters.values()):
         picked = on_dates(spans, **filters).filter(span_filter(**filters)).select("trace_id").distinct()
         spans = spans.join(picked, "trace_id", "left_semi")
-    columns = [] if flags is None else flags.columns
-    result = summary_columns(spans.groupBy("trace_id").agg(*summary_aggregates(), *columns))
-    if flags is not None:
-        result = result.filter(flags.flag())
-    return result.select(*SUMMARY_COLUMNS)
+    if condition is None:
+        return spans
+    found = TraceFlags(condition).matching(spans, lambda ids: _context(spans.join(ids, "trace_id", "left_semi")))
+    return spans.join(found, "trace_id", "left_semi")
+
+
+def matching_traces(spans: DataFrame, condition: TraceCondition | None = None, **filters) -> DataFrame:
+    """Summaries of every trace that has a span passing the filters and satisfies the condition."""
+    return summarise(_spans_of_matching(spans, condition, **filters))
 
 
 def search_traces(
     spans: DataFrame, condition: TraceCondition | None = None, k: int | None = DEFAULT_TRACES, **filters
 ) -> DataFrame:
-    """Newest k matching traces of the whole table; None means all."""
-    return first_rows(_newest_first(matching_traces(spans, condition, **filters)), k, DEFAULT_TRACES)
+    """Newest k matching traces of the whole table; None means all.
+
+    Of all matching traces only the start is looked for; the newest k are summarised.
+    """
+    own = _spans_of_matching(spans, condition, **filters)
+    if k is None:
+        return trace_summaries(own)
+    k = k or DEFAULT_TRACES
+    starts = own.groupBy("trace_id").agg(F.min("start_time_unix_nano").alias("start_time_unix_nano"))
+    return trace_summaries(spans_of(spans, first_rows(_newest_first(starts), k, DEFAULT_TRACES), k))
 
 
 def error_spans(spans: DataFrame) -> DataFrame:
@@ -152,54 +170,75 @@ def error_spans(spans: DataFrame) -> DataFrame:
     )
 
 
-def span_paths(spans: DataFrame) -> DataFrame:
-    """(trace_id, span_id) with the path of (start, span_id) pairs from the top of its tree.
+ENTER, LEAVE = 0, 1
 
-    Every round replaces the known ancestor by that ancestor's ancestor, so a tree of depth d needs
-    log2(d) rounds.  Each round is written to the checkpoint folder.  Spans on a parent cycle keep a
-    NULL path.
+
+def _tour(spans: DataFrame) -> DataFrame:
+    """Steps of a walk around every tree: (trace_id, span_id, step), the step after it, spans entered and levels climbed.
+
+    A span with children is entered and left, one without is a single step.  Tops (roots, and spans whose parent was
+    not received) are children of the trace, in order of start.  Spans sent twice are one node, their earliest copy.
     """
-    spark = spans.sparkSession
-    checkpoint_dir(spark)
-    # A span sent twice is one node of the tree: its earliest copy.
     node = F.struct(F.col("start_time_unix_nano").alias("start"), F.col("parent_span_id").alias("parent"))
-    nodes = spans.groupBy("trace_id", "span_id").agg(F.min(node).alias("n"))
-    is_top = (F.col("n.parent") == "") | (F.col("n.parent") == F.col("span_id"))
-    state = nodes.select(
-        "trace_id",
-        "span_id",
-        F.when(~is_top, F.col("n.parent")).alias("ancestor"),
-        F.array(F.struct(F.col("n.start").alias("start"), "span_id")).alias("path"),
+    nodes = spans.groupBy("trace_id", "span_id").agg(F.min(node).alias("n")).select("trace_id", "span_id", "n.start", "n.parent")
+    known = nodes.select("trace_id", F.col("span_id").alias("parent"), F.lit(True).alias("received"))
+    below = F.coalesce("received", F.lit(False)) & (F.col("parent") != F.col("span_id"))
+    placed = nodes.join(known, ["trace_id", "parent"], "left").select("trace_id", "span_id", "start", F.when(below, F.col("parent")).otherwise("").alias("parent"))
+    siblings = with_next(placed, ["trace_id", "parent"], ["start", "span_id"], "span_id", "sibling")
+    siblings = stored(siblings, "siblings")
+    eldest = siblings.filter(F.col("parent") != "").groupBy("trace_id", F.col("parent").alias("span_id"))
+    eldest = eldest.agg(F.min_by("span_id", F.struct("start", "span_id")).alias("child"))
+    families = siblings.join(eldest, ["trace_id", "span_id"], "left")
+    step = lambda span, kind: F.struct(span.alias("span"), F.lit(kind).alias("step"))
+    onwards = F.when(F.col("sibling").isNotNull(), step(F.col("sibling"), ENTER)).when(F.col("parent") != "", step(F.col("parent"), LEAVE))
+    row = lambda kind, then, entered, climbed: F.struct(
+        F.lit(kind).alias("step"), then.alias("then"), F.lit(entered).cast("bigint").alias("entered"), F.lit(climbed).cast("bigint").alias("climbed")
     )
-    remaining = None
-    while True:
-        above = state.select(
-            "trace_id",
-            F.col("span_id").alias("ancestor"),
-            F.col("ancestor").alias("next"),
-            F.col("path").alias("prefix"),
-        )
-        open_rows = state.filter(F.col("ancestor").isNotNull())
-        # A missing ancestor was not received: the span is the top of what is left of the tree.
-        climbed = open_rows.join(above, ["trace_id", "ancestor"], "left").select(
-            "trace_id",
-            "span_id",
-            F.col("next").alias("ancestor"),
-            F.coalesce(F.concat("prefix", "path"), "path").alias("path"),
-        )
-        state = state.filter(F.col("ancestor").isNull()).unionByName(climbed).checkpoint()
-        left = state.filter(F.col("ancestor").isNotNull()).count()
-        # A round that finishes no span has only cycles left.
-        if left == 0 or left == remaining:
+    both = F.array(row(ENTER, step(F.col("child"), ENTER), 1, -1), row(LEAVE, onwards, 0, 1))
+    steps = F.when(F.col("child").isNotNull(), both).otherwise(F.array(row(ENTER, onwards, 1, 0)))
+    return families.select("trace_id", "span_id", F.explode(steps).alias("s")).select("trace_id", "span_id", "s.*")
+
+
+def span_positions(spans: DataFrame) -> DataFrame:
+    """(trace_id, span_id, depth, position): level in the tree and place in pre-order, both from 0.
+
+    The steps of the walk around a trace's trees are a list.  Every round doubles how far each step looks ahead, so
+    n spans need log2(2 n) rounds; steps that have reached the end are written once and only looked up afterwards.
+    What lies behind a step tells how many spans were entered before it and how many are still open.  Spans on, or
+    below, a parent cycle never reach an end: they keep NULLs.
+    """
+    open_steps = stored(_tour(spans), "tour")
+    done = stored(open_steps.filter(F.col("then").isNull()), "toured")
+    open_steps = open_steps.filter(F.col("then").isNotNull())
+    left = open_steps.count()
+    while left:
+        ahead = open_steps.unionByName(done).select(
+            "trace_id", F.col("span_id").alias("at_span"), F.col("step").alias("at_step"),
+            F.col("then").alias("next"), F.col("entered").alias("more"), F.col("climbed").alias("higher"),
+        )
+        looked = open_steps.withColumns({"at_span": F.col("then.span"), "at_step": F.col("then.step")})
+        looked = looked.join(ahead, ["trace_id", "at_span", "at_step"]).select(
+            "trace_id", "span_id", "step", F.col("next").alias("then"),
+            (F.col("entered") + F.col("more")).alias("entered"), (F.col("climbed") + F.col("higher")).alias("climbed"),
+        )
+        looked = stored(looked, "tour")
+        done = done.unionByName(looked.filter(F.col("then").isNull()))
+        open_steps = looked.filter(F.col("then").isNotNull())
+        remaining, left = left, open_steps.count()
+        # A round that finishes no step has only cycles left.
+        if left == remaining:
             break
-        remaining = left
-    return state.select("trace_id", "span_id", F.when(F.col("ancestor").isNull(), F.col("path")).alias("path"))
+    entries = done.filter(F.col("step") == ENTER)
+    totals = entries.groupBy("trace_id").agg(F.max("entered").alias("spans"))
+    placed = entries.join(totals, "trace_id")
+    return placed.select("trace_id", "span_id", F.col("climbed").alias("depth"), (F.col("spans") - F.col("entered")).alias("position"))
 
 
-def trace_tree(spans: DataFrame) -> DataFrame:
-    """Every span with its depth and place in its tree, in pre-order per trace.
+def trace_tree(spans: DataFrame, ordered: bool = False) -> DataFrame:
+    """Every span with its depth and its ``position`` in the pre-order of its trace, sorted by it if ``ordered``.
 
-    Roots and orphans have depth 0, siblings are ordered by start, offsets are relative to the trace.
+    Roots and orphans have depth 0, siblings are ordered by start, offsets are relative to the trace.  Spans on, or
+    below, a parent cycle have neither depth nor position.
     """
     bounds = spans.groupBy("trace_id").agg(
         F.min("start_time_unix_nano").alias("__first"), F.max("end_time_unix_nano").alias("__last")
@@ -208,17 +247,18 @@ def trace_tree(spans: DataFrame) -> DataFrame:
         "trace_id", "span_id", "parent_span_id", "name", "service_name", "status_code", "status_message",
         "start_time_unix_nano", "duration_nanos",
     )
-    placed = rows.join(span_paths(spans), ["trace_id", "span_id"]).join(bounds, "trace_id")
+    placed = rows.join(span_positions(spans), ["trace_id", "span_id"], "left").join(bounds, "trace_id")
     total = F.greatest(F.col("__last") - F.col("__first"), F.lit(1))
     offset = F.col("start_time_unix_nano") - F.col("__first")
-    return placed.select(
+    tree = placed.select(
         *rows.columns,
-        (F.size("path") - 1).alias("depth"),
+        "depth",
         offset.alias("offset_nanos"),
         (offset / total).alias("offset_share"),
         (F.col("duration_nanos") / total).alias("width_share"),
-        "path",
-    ).orderBy("trace_id", F.asc_nulls_last("path"), "duration_nanos")
+        "position",
+    )
+    return tree.orderBy("trace_id", F.asc_nulls_last("position"), "span_id", "duration_nanos") if ordered else tree
 
 
 def trace_completeness(spans: DataFrame) -> DataFrame:
@@ -254,15 +294,22 @@ class Investigation(NamedTuple):
 
 
 def investigate(
-    spans: DataFrame, logs: DataFrame, points: DataFrame, ids: list[str], logs_per_trace: int = 100
+    spans: DataFrame, logs: DataFrame, points: DataFrame, ids: list[str] | DataFrame, logs_per_trace: int = 100
 ) -> Investigation:
-    """Everything known about the given traces.
+    """Everything known about the given traces: texts, or a table with ``trace_id``.
 
     ``status`` has one row per requested id; ``found`` is false where no span was received.
     """
-    chosen = F.col("trace_id").isin(*ids)
-    own = spans.filter(chosen)
-    wanted = spans.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, ids))).alias("trace_id"))
+    if isinstance(ids, DataFrame):
+        wanted = ids.select("trace_id").distinct()
+        chosen = lambda df: df.join(wanted, "trace_id", "left_semi").select(*df.columns)
+        folded = wanted.select(F.lower("trace_id").alias("trace_id"))
+        exemplars = correlate.metrics_of_traces(points, folded)
+    else:
+        wanted = spans.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, ids))).alias("trace_id"))
+        chosen = lambda df: df.filter(F.col("trace_id").isin(*ids))
+        exemplars = correlate.exemplar_rows(points).filter(F.lower("trace_id").isin(*(i.lower() for i in ids)))
+    own = chosen(spans)
     status = wanted.join(summarise(own), "trace_id", "left").select(
         "trace_id",
         F.col("span_count").isNotNull().alias("found"),
@@ -274,6 +321,6 @@ def investigate(
         status=status,
         spans=own.orderBy("trace_id", "start_time_unix_nano", "span_id"),
         errors=error_spans(own),
-        logs=correlate.newest_per_trace(logs.filter(chosen), logs_per_trace),
-        exemplars=correlate.exemplar_rows(points).filter(F.lower("trace_id").isin(*(i.lower() for i in ids))),
+        logs=correlate.newest_per_trace(chosen(logs), logs_per_trace),
+        exemplars=exemplars,
     )

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lumenspan.plans.checkpoints import stored
+
 SLICES = 1024
 # Distinct times looked at per slice to place the cuts.
 SAMPLE_PER_SLICE = 16
@@ -97,3 +99,22 @@ def every_nth(df: DataFrame, keys: list[str], order: list[str], limit: int) -> D
     kept = _div(first + F.col("__c") - 1, stride) - _div(first - 1 + stride, stride) + 1
     repeated = F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("__kept")))
     return placed.withColumn("__kept", kept).filter("__kept > 0").select(*keys, *order, repeated).drop("col")
+
+
+def with_next(df: DataFrame, keys: list[str], order: list[str], carried: str, name: str = "next") -> DataFrame:
+    """Add the ``carried`` value of the following row of the same group, by ``order``; null after the last.
+
+    The whole order is cut into ranges, each a window of its own, so a group of any size is many ranges; the first
+    row of a range travels to the range before it.  The rows are written once.
+    """
+    whole = [*keys, *order]
+    ranged = df.repartitionByRange(*whole).sortWithinPartitions(*whole).withColumn("__range", F.spark_partition_id())
+    ranged = stored(ranged, "ranges")
+    row = F.struct(F.struct(*keys).alias("group"), F.col(carried).alias("value"))
+    inside = F.lead(row).over(W.partitionBy("__range").orderBy(*whole))
+    firsts = ranged.groupBy("__range").agg(F.min_by(row, F.struct(*whole)).alias("__first"))
+    # One row for each range: as many as there were tasks.
+    borders = firsts.select("__range", F.lead("__first").over(W.orderBy("__range")).alias("__border"))
+    placed = ranged.withColumn("__inside", inside).join(borders, "__range")
+    after = F.coalesce("__inside", "__border")
+    return placed.select(*df.columns, F.when(after["group"] == F.struct(*keys), after["value"]).alias(name))

@@ -97,23 +97,22 @@ _TREE = """RECURSIVE {spans},
 nodes AS (SELECT trace_id, span_id, min(parent_span_id) AS parent_span_id, min(start_time_unix_nano) AS s
   FROM {source} GROUP BY trace_id, span_id),
 walk AS (
-  SELECT trace_id, span_id, 0 AS depth, s || '/' || span_id AS path FROM nodes n
+  SELECT trace_id, span_id, 0 AS depth, [{{'s': s, 'id': span_id}}] AS path FROM nodes n
   WHERE NOT EXISTS (SELECT 1 FROM nodes p WHERE p.trace_id = n.trace_id AND p.span_id = n.parent_span_id)
   UNION ALL
-  SELECT n.trace_id, n.span_id, w.depth + 1, w.path || '>' || n.s || '/' || n.span_id
+  SELECT n.trace_id, n.span_id, w.depth + 1, list_append(w.path, {{'s': n.s, 'id': n.span_id}})
   FROM walk w JOIN nodes n ON n.trace_id = w.trace_id AND n.parent_span_id = w.span_id),
 bounds AS (SELECT trace_id, min(start_time_unix_nano) AS lo, max(end_time_unix_nano) AS hi FROM {source} GROUP BY trace_id)
 SELECT x.trace_id, x.span_id, CAST(w.depth AS BIGINT) AS depth, x.start_time_unix_nano - b.lo AS offset_nanos,
   round(CAST(x.start_time_unix_nano - b.lo AS DOUBLE) / greatest(b.hi - b.lo, 1), 6) AS offset_share,
-  round(CAST(x.duration_nanos AS DOUBLE) / greatest(b.hi - b.lo, 1), 6) AS width_share, w.path
-FROM {source} x JOIN walk w USING (trace_id, span_id) JOIN bounds b USING (trace_id)"""
+  round(CAST(x.duration_nanos AS DOUBLE) / greatest(b.hi - b.lo, 1), 6) AS width_share, w.position
+FROM {source} x JOIN (SELECT *, row_number() OVER (PARTITION BY trace_id ORDER BY path) - 1 AS position FROM walk) w USING (trace_id, span_id) JOIN bounds b USING (trace_id)"""
 
 
 def _tree(spans):
-    path = F.array_join(F.transform("path", lambda p: F.concat_ws("/", p["start"].cast("string"), p["span_id"])), ">")
     return traces.trace_tree(spans).select(
         "trace_id", "span_id", F.col("depth").cast("bigint").alias("depth"), "offset_nanos",
-        rounded("offset_share"), rounded("width_share"), path.alias("path"),
+        rounded("offset_share"), rounded("width_share"), "position",
     )
 
 

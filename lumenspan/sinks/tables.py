@@ -1,8 +1,8 @@
 """Partitioned Parquet tables: append, retention and size bounds.
 
-A table is a folder of dates, and a date a folder of parts.  Every append, every batch of a stream and every
-rewrite of a sweep has a part of its own, so none of them touches files of another: a repeated batch replaces
-its own part, and a sweep deletes only parts that it has read.
+A table is a folder of dates, and a date a folder of parts.  Every append and every batch of a stream has a part
+of its own, so none of them touches files of another: a repeated batch replaces its own part, and a sweep removes
+only what it has counted.
 """
 
 from __future__ import annotations
@@ -16,10 +16,9 @@ from pyspark.sql import functions as F
 from lumenspan.functions.filters import NANOS_PER_DAY
 from lumenspan.plans.ranks import at_ranks
 from lumenspan.schema import time_column
+from lumenspan.sources.retention import PART, PARTITION, Store, folder_name
 from lumenspan.sources.tables import LOGS_DIR, POINTS_DIR, SPANS_DIR, Telemetry, read_parts
 
-PARTITION, PART = "event_date", "part"
-
 # Order inside a partition, for row-group skipping on the usual lookups.
 CLUSTERING = {
     SPANS_DIR: ["trace_id", "start_time_unix_nano"],
@@ -52,6 +51,9 @@ def append(df: DataFrame, path: str, signal: str, records_per_file: int = 5_000_
 
 def _write_part(rows: DataFrame, folder: str, part: str, records_per_file: int) -> None:
     writer = rows.withColumn(PART, F.lit(part)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    if "trace_id" in rows.columns:
+        # Row groups whose range of ids holds one that none of their rows has are skipped, too.
+        writer = writer.option("parquet.bloom.filter.enabled#trace_id", "true").option("parquet.bloom.filter.adaptive.enabled", "true")
     writer.partitionBy(PARTITION, PART).option("maxRecordsPerFile", records_per_file).parquet(folder)
 
 
@@ -84,40 +86,42 @@ class Swept(NamedTuple):
 
 
 def sweep_expired(spark: SparkSession, path: str, cutoff: int) -> Swept:
-    """Delete rows strictly before the cutoff from the three stored tables and return how many.
+    """Remove rows strictly before the cutoff from the three stored tables and return how many.
 
-    Dates before that of the cutoff are counted from the files' row counts and dropped as folders.  Of the
-    cutoff's own date the parts that hold expired rows are read, their survivors are written as a new part,
-    and then those parts are deleted; parts appended meanwhile stay.
+    Rows of dates before that of the cutoff are counted from the files' row counts, those of the cutoff's own date by
+    their times.  One small file then tells readers which folders are gone and which are cut at the cutoff; only
+    after that are the folders deleted.  A sweep that is cut short before has changed nothing, one that is cut short
+    after leaves only folders that nobody reads, which the next sweep deletes.  Rows of a folder that is cut lie in
+    its files until the date has passed, unseen.  Rows that arrive meanwhile stay, old ones until the next sweep.
     """
     return Swept(*(_sweep(spark, f"{path}/{signal}", signal, cutoff) for signal in (SPANS_DIR, LOGS_DIR, POINTS_DIR)))
 
 
 def _sweep(spark: SparkSession, folder: str, signal: str, cutoff: int) -> int:
-    path = spark._jvm.org.apache.hadoop.fs.Path
-    root = path(folder)
-    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not files.exists(root):
+    store = Store(spark, folder)
+    if not store.exists():
         return 0
-    table = read_parts(spark, folder, signal)
+    kept = store.retention()
+    table = read_parts(spark, folder, signal, kept)
     day = F.date_from_unix_date(F.lit(cutoff // NANOS_PER_DAY))
-    # No data column is read here, only row counts; one row per date.
-    old = table.filter(F.col(PARTITION) < day).groupBy(F.col(PARTITION).cast("string").alias("day")).count().collect()
     time = F.col(time_column(table.columns))
-    parts = table.filter(F.col(PARTITION) == day).groupBy(PART).agg(
-        F.count_if(time < cutoff).alias("expired"), F.count_if(time >= cutoff).alias("kept"), F.max(PARTITION).cast("string").alias("day")
-    )
-    # One row per part of one date.
-    touched = [row for row in parts.collect() if row["expired"]]
-    if any(row["kept"] for row in touched):
-        names = [row[PART] for row in touched]
-        survivors = table.filter((F.col(PARTITION) == day) & F.col(PART).isin(names) & (time >= cutoff)).drop(PART)
-        _write_part(survivors, folder, f"kept-{uuid.uuid4().hex}", 5_000_000)
-    for row in old:
-        files.delete(path(f"{folder}/{PARTITION}={row['day']}"), True)
-    for row in touched:
-        files.delete(path(f"{folder}/{PARTITION}={row['day']}/{PART}={row[PART]}"), True)
-    return sum(row["count"] for row in old) + sum(row["expired"] for row in touched)
+    date = F.col(PARTITION).cast("string").alias("day")
+    # One row for each part of a date.  Whole dates need no data column, only row counts.
+    old = table.filter(F.col(PARTITION) < day).groupBy(date, PART).agg(F.count("*").alias("expired"), F.lit(0).alias("kept"))
+    own = table.filter(F.col(PARTITION) == day).groupBy(date, PART)
+    own = own.agg(F.count_if(time < cutoff).alias("expired"), F.count_if(time >= cutoff).alias("kept"))
+    found = [row for row in old.unionByName(own).collect() if row["expired"]]
+    emptied = {folder_name(row["day"], row[PART]) for row in found if not row["kept"]}
+    cut = {folder_name(row["day"], row[PART]): cutoff for row in found if row["kept"]}
+    gone = kept.gone | emptied
+    if found:
+        trimmed = {name: at for name, at in (kept.trimmed | cut).items() if name not in gone}
+        kept = store.commit(kept, gone, trimmed)
+    if gone:
+        for name in sorted(gone):
+            store.delete(name)
+        store.commit(kept, frozenset(), kept.trimmed)
+    return sum(row["expired"] for row in found)
 
 
 def keep_newest(df: DataFrame, n: int) -> DataFrame:

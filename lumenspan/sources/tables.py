@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lumenspan.schema import DEFAULTS, LOGS, POINTS, SPANS
+from lumenspan.schema import DEFAULTS, LOGS, POINTS, SPANS, time_column
+from lumenspan.sources.retention import PART, PARTITION, Retention, Store
 
 SPANS_DIR, LOGS_DIR, POINTS_DIR = "spans", "logs", "metric_points"
 
@@ -22,18 +23,19 @@ class Telemetry(NamedTuple):
 def stored_schema(signal: str) -> T.StructType:
     """Schema of a stored table, with its date partition."""
     fields = {SPANS_DIR: SPANS, LOGS_DIR: LOGS, POINTS_DIR: POINTS}[signal].fields
-    return T.StructType([*fields, T.StructField("event_date", T.DateType())])
+    return T.StructType([*fields, T.StructField(PARTITION, T.DateType())])
 
 
-def read_parts(spark: SparkSession, folder: str, signal: str) -> DataFrame:
-    """A stored table with the names of its parts."""
-    schema = T.StructType([*stored_schema(signal).fields, T.StructField("part", T.StringType())])
-    return spark.read.schema(schema).parquet(folder)
+def read_parts(spark: SparkSession, folder: str, signal: str, kept: Retention | None = None) -> DataFrame:
+    """A stored table with the names of its parts, without what sweeps have removed."""
+    schema = T.StructType([*stored_schema(signal).fields, T.StructField(PART, T.StringType())])
+    kept = Store(spark, folder).retention() if kept is None else kept
+    return kept.live(spark.read.schema(schema).parquet(folder), time_column(schema.fieldNames()))
 
 
 def read_table(spark: SparkSession, path: str, signal: str) -> DataFrame:
     """One stored table below a folder."""
-    return read_parts(spark, f"{path}/{signal}", signal).drop("part")
+    return read_parts(spark, f"{path}/{signal}", signal).drop(PART)
 
 
 def read_tables(spark: SparkSession, path: str) -> Telemetry:

@@ -1,5 +1,6 @@
 import json
 import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -7,7 +8,7 @@ from pyspark.sql import functions as F
 from lumenspan.operators import fields, logs, metrics, traces
 from lumenspan.sinks import otlp_export, tables
 from lumenspan.sinks.tables import append, append_all, expired_counts, keep_newest, retention_cutoff, sweep_expired
-from lumenspan.sources import otlp_json
+from lumenspan.sources import otlp_json, retention
 from lumenspan.sources.tables import Telemetry, logs_from_table, read_table, read_tables, spans_from_table
 
 
@@ -176,14 +177,22 @@ def test_export_bounds_documents(spark, make_spans):
     lines = otlp_export.export_spans(spans, records=10)
     sizes = [sum(len(s["spans"]) for r in json.loads(x["value"])["resourceSpans"] for s in r["scopeSpans"]) for x in lines.collect()]
     assert sum(sizes) == 31 and max(sizes) <= 10
-    docs = otlp_export.traces_as_docs(spans, ["t", "u", "absent"], records=12)
-    found = {}
-    for row in docs.collect():
-        for r in json.loads(row["value"])["resourceSpans"]:
-            for span in r["scopeSpans"][0]["spans"]:
-                assert span["traceId"] == row["trace_id"]
-                found.setdefault(row["trace_id"], []).append(span["spanId"])
-    assert len(found["t"]) == 30 and found["u"] == ["ff"]
+
+
+def test_documents_of_a_trace_are_numbered(spark, make_spans):
+    """Thirty spans in parts of twelve, cut by their order of start however the rows are spread."""
+    rows = [("t", f"{i:04x}", "", "svc", i // 2, i + 1, {"resource_attributes": {"r": i % 2}}) for i in range(30)]
+    spans = make_spans(*rows, ("u", "ff", "", "svc", 1, 2))
+    seen = []
+    for partitions, ids in ((1, ["t", "u", "absent"]), (9, spark.createDataFrame([("u",), ("t",), ("t",)], "trace_id string"))):
+        docs = otlp_export.traces_as_docs(spans.repartition(partitions), ids, records=12).collect()
+        found = {}
+        for row in docs:
+            held = [s["spanId"] for r in json.loads(row["value"])["resourceSpans"] for s in r["scopeSpans"][0]["spans"]]
+            found[row["trace_id"], row["part"], row["parts"]] = sorted(held)
+        seen.append(found)
+    cut = [[f"{i:04x}" for i in range(30)][k : k + 12] for k in (0, 12, 24)]
+    assert seen[0] == seen[1] == {("t", 0, 3): cut[0], ("t", 1, 3): cut[1], ("t", 2, 3): cut[2], ("u", 0, 1): ["ff"]}
 
 
 def test_rows_from_any_table(spark):
@@ -236,21 +245,84 @@ def test_a_repeated_part_changes_nothing(spark, tmp_path, make_logs):
     assert "part" not in read_table(spark, path, "logs").columns
 
 
+def _times(spark, path):
+    return sorted(r["time_unix_nano"] for r in read_table(spark, path, "logs").collect())
+
+
+def _folders(path):
+    return sorted(str(p.relative_to(path)) for p in Path(path).glob("logs/event_date=*/part=*"))
+
+
 def test_rows_appended_during_a_sweep_survive(spark, tmp_path, make_logs, monkeypatch):
     path = str(tmp_path / "busy")
     append(make_logs({"time_unix_nano": DAY + 5}, {"time_unix_nano": DAY + 50}, {"time_unix_nano": 1}), path, "logs")
-    write = tables._write_part
-
-    def late(rows, folder, part, records):
-        append_part = make_logs({"time_unix_nano": DAY + 7, "body": "late"})
-        if part.startswith("kept-"):
-            write(tables.with_date(append_part), folder, "other-writer", records)
-        write(rows, folder, part, records)
-
-    monkeypatch.setattr(tables, "_write_part", late)
-    assert tables.sweep_expired(spark, path, DAY + 10).logs == 2
-    left = sorted(r["time_unix_nano"] for r in read_table(spark, path, "logs").collect())
-    assert left == [DAY + 7, DAY + 50]
+    commit = retention.Store.commit
+
+    def late(store, *how):
+        append(make_logs({"time_unix_nano": DAY + 7}, {"time_unix_nano": 2}), path, "logs", part="late")
+        monkeypatch.setattr(retention.Store, "commit", commit)
+        return commit(store, *how)
+
+    monkeypatch.setattr(retention.Store, "commit", late)
+    assert sweep_expired(spark, path, DAY + 10).logs == 2
+    assert _times(spark, path) == [2, DAY + 7, DAY + 50]
+    assert sweep_expired(spark, path, DAY + 10).logs == 2 and _times(spark, path) == [DAY + 50]
+
+
+@pytest.mark.parametrize("step", ["commit", "delete"])
+def test_a_sweep_that_is_cut_short(spark, tmp_path, make_logs, monkeypatch, step):
+    """Before its commit nothing has changed for readers, after it everything has; another sweep tidies up."""
+    path = str(tmp_path / "cut")
+    for part in range(3):
+        append(make_logs(*[{"time_unix_nano": day * DAY + part} for day in range(4)]), path, "logs")
+    before, folders = _times(spark, path), _folders(path)
+    with monkeypatch.context() as patched:
+        patched.setattr(retention.Store, step, lambda *a: (_ for _ in ()).throw(OSError("lost")))
+        with pytest.raises(OSError):
+            sweep_expired(spark, path, 2 * DAY + 1)
+    want = [t for t in before if t >= 2 * DAY + 1]
+    assert _times(spark, path) == (before if step == "commit" else want) and _folders(path) == folders
+    assert sweep_expired(spark, path, 2 * DAY + 1).logs == (7 if step == "commit" else 0)
+    # Cutoffs may also move back: what is gone stays gone.
+    assert sweep_expired(spark, path, DAY).logs == 0
+    assert _times(spark, path) == want
+    assert len(_folders(path)) == 5  # two parts of the cutoff's date and three of the last
+    assert sweep_expired(spark, path, 3 * DAY + 1).logs == 3 and len(_folders(path)) == 2
+    append(make_logs({"time_unix_nano": 5}), path, "logs")
+    assert _times(spark, path) == [5, 3 * DAY + 1, 3 * DAY + 2]
+
+
+def test_sweeps_at_the_same_time(spark, tmp_path, make_logs):
+    path = str(tmp_path / "two")
+    append(make_logs({"time_unix_nano": 5}), path, "logs")
+    store = retention.Store(spark, f"{path}/logs")
+    first = store.retention()
+    store.commit(first, frozenset(), {})
+    with pytest.raises(RuntimeError, match="another sweep"):
+        store.commit(first, frozenset(), {})
+    assert _times(spark, path) == [5]
+
+
+def test_an_absent_trace_skips_row_groups(spark, tmp_path, make_spans):
+    """The id lies between those of the table, so only its bloom filter can tell that it is not there."""
+    path = str(tmp_path / "bloom")
+    append(make_spans(*[(f"{i:08d}", f"s{k}", "", "svc", i, i + 1) for i in range(0, 4000, 2) for k in range(2)]), path, "spans")
+    spans = read_table(spark, path, "spans")
+
+    def scanned(trace_id):
+        found = traces.get_trace(spans, trace_id)
+        rows = found.collect()
+        (leaf,) = [found._jdf.queryExecution().executedPlan().collectLeaves().apply(0)]
+        return len(rows), leaf.metrics().get("numOutputRows").get().value()
+
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # plans whose scans can be looked at
+    try:
+        held, read = scanned("00002000")
+        assert held == 2 and read > 0
+        assert scanned("00002001") == (0, 0)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
 
 
 def test_windows_prune_dates(spark, tmp_path, make_logs, make_spans, make_points):

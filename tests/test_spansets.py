@@ -1,5 +1,9 @@
 """Span conditions over one parcel's trace of five spans, each family of conditions in a test of its own."""
 
+import operator
+import re
+from functools import reduce
+
 import pytest
 
 from lumenspan.functions import spansets as S
@@ -123,3 +127,29 @@ def test_search_among_traces(make_spans):
     assert found(one(w("duration", ">=", 4000))) == ["busy"]
     assert found(service="belt") == ["lone", "busy"]
     assert found(one(w("status", "=", "ok"))) == []
+
+
+def test_many_alternatives_on_the_whole_trace(make_spans):
+    """Twelve alternatives of root and step: columns grow with the tests, not with the answers' combinations."""
+    rows = []
+    for i in range(14):
+        rows += [(f"t{i}", f"r{i}", "", "root", 10 * i, 10 * i + 5, {"name": f"root {i}"})]
+        rows += [(f"t{i}", f"s{i}.{k}", f"r{i}", "step", 10 * i + 1, 10 * i + 2, {"name": f"step {(i + k) % 14}", "attributes": {"w": k}}) for k in range(3)]
+    spans = make_spans(*rows)
+    alternatives = [w("rootName", "=", f"root {i}") & w("name", "=", f"step {i + 1 if i % 2 else i + 5}") for i in range(12)]
+    either = reduce(operator.or_, alternatives)
+    found = traces.search_traces(spans, one(either), None)
+    # The step after the own one is there, the fifth one is not.
+    assert sorted(r["trace_id"] for r in found.collect()) == sorted(f"t{i}" for i in range(12) if i % 2)
+    widest = max(len(re.findall(r"\w+\(", line)) for line in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Aggregate [" in line)
+    assert widest <= 24
+    roots = reduce(operator.or_, (w("rootName", "=", f"root {i}") for i in range(12)))
+    for function, value, want in (("count", 4, 12), ("sum", 3, 12), ("max", 2, 12), ("min", 0, 12), ("avg", 1, 12), ("avg", 2, 0)):
+        assert traces.matching_traces(spans, one(roots, agg(function, "w", "=", value))).count() == want
+
+
+def test_masks_hold_more_tests_than_one_column(make_spans):
+    spans = make_spans(("t", "a", "", "s", 0, 9, {"name": "n99"}), ("u", "b", "", "s", 0, 9, {"name": "n7"}), ("v", "c", "", "s", 0, 9, {"name": "other"}))
+    many = reduce(operator.or_, (w("name", "=", f"n{i}") for i in range(100)))
+    got = traces.matching_traces(spans, one(many & w("rootName", "!=", "n7")))
+    assert [r["trace_id"] for r in got.collect()] == ["t"]

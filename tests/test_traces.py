@@ -80,7 +80,7 @@ def test_tree_depth_orphans_and_cycles(make_spans):
         ("t", "x", "y", "s", 1, 2),
         ("t", "y", "x", "s", 1, 2),
     )
-    rows = traces.trace_tree(spans).collect()
+    rows = traces.trace_tree(spans, ordered=True).collect()
     found = [(r["span_id"], r["depth"]) for r in rows]
     assert found[:7] == [("a", 0), ("b2", 1), ("b", 1), ("c", 2), ("o", 0), ("o1", 1), ("me", 0)]
     # Spans on a cycle have no top; they are kept without a place.
@@ -88,10 +88,41 @@ def test_tree_depth_orphans_and_cycles(make_spans):
     assert rows[0]["width_share"] == 1.0 and rows[3]["offset_nanos"] == 200
 
 
-def test_deep_chain(make_spans):
-    spans = make_spans(*[("t", f"s{i}", f"s{i - 1}" if i else "", "s", i, 1000) for i in range(40)])
-    rows = traces.trace_tree(spans).collect()
-    assert [(r["span_id"], r["depth"]) for r in rows] == [(f"s{i}", i) for i in range(40)]
+def test_chain_of_ten_thousand(spark, make_spans):
+    """Span i starts at i and is called by span i - 1; a cycle and what hangs below it end the search, too."""
+    chain = spark.range(10_000).select(
+        F.lit("t").alias("trace_id"), F.concat(F.lit("s"), "id").alias("span_id"), F.col("id").alias("start_time_unix_nano"),
+        F.when(F.col("id") > 0, F.concat(F.lit("s"), F.col("id") - 1)).otherwise("").alias("parent_span_id"),
+        F.lit(20_000).cast("bigint").alias("end_time_unix_nano"),
+    )
+    ring = make_spans(("u", "x", "z", "s", 1, 2), ("u", "y", "x", "s", 1, 2), ("u", "z", "y", "s", 1, 2), ("u", "below", "y", "s", 3, 4), ("u", "top", "", "s", 0, 9))
+    tree = traces.trace_tree(ring.unionByName(chain, allowMissingColumns=True))
+    assert tree.filter("trace_id = 't'").filter("depth = position and depth = start_time_unix_nano").count() == 10_000
+    assert {r["span_id"]: (r["depth"], r["position"]) for r in tree.filter("trace_id = 'u'").collect()} == {
+        "top": (0, 0), "x": (None, None), "y": (None, None), "z": (None, None), "below": (None, None),
+    }
+
+
+def test_positions_against_a_walk(make_spans):
+    rng = random.Random(5)
+    rows, want = [], {}
+    for trace in range(12):
+        parents = {f"{trace}.{i}": "" if rng.random() < 0.1 else f"{trace}.{rng.randrange(i)}" if i else "" for i in range(rng.randrange(1, 60))}
+        parents |= {f"{trace}.orphan{i}": "lost" for i in range(trace % 3)}
+        starts = {span: rng.randrange(30) for span in parents}
+        rows += [(f"t{trace}", span, parent, "s", starts[span], 99) for span, parent in parents.items()]
+        order = []
+
+        def walk(parent, depth):
+            for span in sorted((x for x, p in parents.items() if (p if p in parents else "") == parent), key=lambda x: (starts[x], x)):
+                order.append((span, depth))
+                walk(span, depth + 1)
+
+        walk("", 0)
+        want |= {(f"t{trace}", span): (depth, at) for at, (span, depth) in enumerate(order)}
+    rng.shuffle(rows)
+    found = traces.span_positions(make_spans(*rows, *rows[:20])).collect()
+    assert {(r["trace_id"], r["span_id"]): (r["depth"], r["position"]) for r in found} == want and len(found) == len(want)
 
 
 def test_completeness(make_spans):
@@ -158,6 +189,11 @@ def test_investigate_and_correlation(make_spans, make_logs, make_points):
     assert sorted(r["body"] for r in bundle.logs.collect()) == ["n2", "n3", "n4"]
     assert [r["metric_name"] for r in bundle.exemplars.collect()] == ["m1"]
     assert bundle.errors.count() == 1
+    table = spans.filter("service_name = 'scale'").select("trace_id")
+    again = traces.investigate(spans, logs, points, table, logs_per_trace=3)
+    assert {r["trace_id"]: r["span_count"] for r in again.status.collect()} == {"o1": 4, "o2": 3}
+    assert sorted(r["body"] for r in again.logs.filter("trace_id = 'o1'").collect()) == ["n2", "n3", "n4"]
+    assert [r["metric_name"] for r in again.exemplars.collect()] == ["m1"]
 
     linked = correlate.traces_of_logs(logs, spans)
     assert linked.count() == 7
@@ -170,3 +206,11 @@ def test_investigate_and_correlation(make_spans, make_logs, make_points):
     assert [df.count() for df in own] == [0, 7, 2]
     stats = services.storage_stats(spans, logs, points).first()
     assert tuple(stats) == (7, 7, 2, 4)
+
+
+def test_newest_logs_of_a_trace_with_very_many(spark, make_logs):
+    rows = spark.range(30_000).select(F.lit("hot").alias("trace_id"), ((F.col("id") * 7919) % 30_000).alias("time_unix_nano"), F.col("id").cast("string").alias("body"))
+    logs = make_logs({"trace_id": "one", "time_unix_nano": 3}).unionByName(rows, allowMissingColumns=True)
+    kept = correlate.newest_per_trace(logs, 5000)
+    assert kept.columns == logs.columns
+    assert kept.groupBy("trace_id").agg(F.count("*"), F.min("time_unix_nano")).orderBy("trace_id").collect() == [("hot", 5000, 25_000), ("one", 1, 3)]
