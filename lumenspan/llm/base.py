@@ -64,7 +64,35 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     folder = work_dir(spark, label)
     df.write.parquet(folder)
-    return spark.read.schema(df.schema).parquet(folder)
+    out = spark.read.schema(df.schema).parquet(folder)
+    out.stored_in = folder
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Remove what ``stored`` wrote, once nothing that still runs reads it."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df.stored_in)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: A key with more than this share of the rows is frequent: there are fewer than a thousand of them.
+FREQUENT = 0.001
+
+
+def looked_up(rows: DataFrame, table: DataFrame, key: str, how: str = "left") -> DataFrame:
+    """Rows joined with a table that has each value of the key column at most once; both are read twice.
+
+    All rows of a very frequent key would meet in one task.  Frequent keys are found in one pass of bounded
+    memory (a superset of those with over a thousandth of the rows); their entries, so at most about a thousand,
+    are broadcast, and the rows of all other keys are joined by a shuffle.
+    """
+    found = rows.where(F.col(key).isNotNull()).stat.freqItems([key], FREQUENT).first()[0]
+    if not found:
+        return rows.join(table, key, how)
+    often = F.coalesce(F.col(key).isin(found), F.lit(False))
+    hot = rows.where(often).join(F.broadcast(table.where(F.col(key).isin(found))), key, how)
+    return hot.unionByName(rows.where(~often).join(table, key, how))
 
 
 SPACE = np.zeros(256, bool)

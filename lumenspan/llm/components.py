@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenspan.llm.base import stored
+from lumenspan.llm.base import discard, stored
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -25,8 +25,8 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """(node, root) for every node of the links (a, b); root is the least node that can be reached.
 
-    Null ends and links from a node to itself are ignored.  Each round is written to the shared work folder;
-    the least values are combined before the shuffle, and a node with very many links is a skewed join that
+    Null ends and links from a node to itself are ignored.  Each round is written to the shared work folder,
+    from which the round before is then removed; the least values are combined before the shuffle, and a node with very many links is a skewed join that
     Spark splits.  Rounds grow with the logarithm of the longest chain.
     """
     ordered = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct()
@@ -36,5 +36,6 @@ def components(links: DataFrame) -> DataFrame:
         if state == seen or not state[0]:
             roots = edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots)
-        seen = state
+        seen, before = state, edges
         edges = stored(_small_star(_large_star(edges)), "links")
+        discard(before)

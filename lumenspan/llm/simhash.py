@@ -1,16 +1,20 @@
-"""SimHash fingerprints, multi-index hashing, and near copies by their shingle sets.
-
-A fingerprint has 64 bits per lane.  Lane 0 counts the bits of every shingle's XXH64 (seed 42); further lanes
-scramble that hash again.  Two searches are offered:
-
-* ``close_links``: all pairs of 64-bit fingerprints at two or fewer differing bits.  The Hamming ball of
-  radius one is enumerated inside either half of the fingerprint (the other half stays), which makes 65 table
-  keys.  Two fingerprints within two bits always meet in a key, and all members of a key lie within two bits
-  of each other, so a key holds at most 65 different fingerprints however many documents there are.  Its
-  members are one bit mask, combined before the shuffle; the complete distances are checked afterwards.
-* ``keep_one``: documents that share 0.8 of their shingles, about 31 of 192 fingerprint bits, for which no
-  number of segments is both whole and selective.  Minima of the scrambled shingle hashes in bands tell which
-  pairs meet, and the distinct shingles of every such pair are counted.
+"""SimHash near-dedup by multi-index hashing.
+
+A fingerprint has 64 bits: the majority of the bits of all shingles' XXH64 (seed 42).  Two fingerprints link at
+two or fewer differing bits; documents of linked fingerprints form components.
+
+The search keeps one table per segment, a segment being one half of the fingerprint.  Two bits over two segments
+leave at most one in either half, or none in one of them: so the second table is asked for the segment itself, the
+first one for every value of its Hamming ball of radius one.  What a table holds under a value is fetched and the
+complete distances are checked.  A value that more than ``BUCKET`` fingerprints share is not fetched member by
+member: there the ball is enumerated in the other segment, too.  All that meet under such a key are within one bit
+of it, so within two of each other, and at most 65 different ones can; each is linked to the least of them.  Links
+so grow in proportion to the distinct fingerprints whatever they have in common.
+
+Two bits find copies with few changes.  At a similarity of 0.8 about ten bits differ, for which no number of
+segments is both whole and selective, so ``keep_one`` widens the search: sets of shingles that share a band of
+minima are compared with representatives of the band, never with each other, and link if they share 0.8 of their
+union.
 """
 
 from __future__ import annotations
@@ -23,11 +27,24 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenspan.llm.base import fresh, mix, stored
+from lumenspan.llm.base import fresh, looked_up, mix, stored
 from lumenspan.llm.components import components
 
 SEED = 42
 CHUNK = 1 << 16
+#: Bits of a segment.
+HALF = 32
+#: Members of a table entry up to which they are fetched one by one.
+BUCKET = 8
+#: Distinct fingerprints for each task that enumerates their probes.
+PER_TASK = 1 << 14
+#: Bands of the wider search and minima in each: two sets that share 0.8 miss every band in 4 of 10^8 cases.
+BANDS = 56
+ROWS = 6
+#: Orders in which a band's representative is the least; each band uses one of them.
+ORDERS = 8
+_FACTORS = np.random.Generator(np.random.PCG64(20240918)).integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+PART = 1 << 11
 
 
 def shingle_hashes(text: str | None, k: int) -> np.ndarray:
@@ -49,48 +66,55 @@ def majority(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * counts > len(hashes)).view(np.int64)[0])
 
 
-def _lanes(hashes: np.ndarray, lanes: int) -> list[int]:
-    out = []
-    for _ in range(lanes):
-        out.append(majority(hashes))
-        hashes = mix(hashes + np.uint64(1))
-    return out
-
-
-def fingerprints(docs: DataFrame, shingle: int = 3, lanes: int = 1, text: str = "text", name: str = "fingerprint") -> DataFrame:
-    """The documents with an array column of ``lanes`` signed 64-bit words; texts without words have zeros."""
+def fingerprints(docs: DataFrame, shingle: int = 3, text: str = "text", name: str = "fingerprint") -> DataFrame:
+    """The documents with a signed 64-bit fingerprint; that of a text without words is zero."""
 
-    @F.pandas_udf("array<bigint>")
+    @F.pandas_udf("bigint")
     def fingerprint(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            yield pd.Series([_lanes(shingle_hashes(t, shingle), lanes) for t in batch])
+            yield pd.Series([majority(shingle_hashes(t, shingle)) for t in batch], dtype="int64")
+
+    return docs.withColumn(fresh(docs, name), fingerprint.asNondeterministic()(F.col(f"`{text}`")))
+
 
-    return docs.withColumn(fresh(docs, name), fingerprint.asNondeterministic()(F.col(text)))
+def _segment(fp: Column, number: int) -> Column:
+    """The lower (0) or upper (1) half of the fingerprint, as an unsigned number."""
+    return F.call_function("shiftrightunsigned", fp, F.lit(HALF)) if number else fp.bitwiseAND(F.lit((1 << HALF) - 1))
 
 
-def _bit(i: Column) -> Column:
-    return F.call_function("shiftleft", F.lit(1).cast("bigint"), i)
+def _flips(number: int) -> Column:
+    """Zero and every bit of the segment, in place: what the ball of radius one adds to a fingerprint."""
+    bits = (1 << i for i in range(HALF * number, HALF * number + HALF))
+    return F.array(*(F.lit(x - (1 << 64) if x >> 63 else x).cast("bigint") for x in (0, *bits)))
 
 
 def close_links(prints: DataFrame) -> DataFrame:
     """(a, b) at one or two differing bits, enough of them to connect everything connected; prints: distinct ``fp``."""
-    width = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    step = prints.repartition(width, "fp").select("fp", F.explode(F.sequence(F.lit(0), F.lit(64))).alias("i"))
-    keys = step.select(
-        F.when(F.col("i") < 64, F.col("fp").bitwiseXOR(_bit(F.col("i")))).otherwise(F.col("fp")).alias("key"),
-        F.when(F.col("i") < 64, _bit(F.col("i"))).otherwise(F.lit(0).cast("bigint")).alias("flip"),
-        (F.col("i") == 64).alias("centre"),
-    )
-    buckets = keys.groupBy("key").agg(F.bit_or("flip").alias("flips"), F.max("centre").alias("centre"))
-    shared = buckets.where(F.bit_count("flips") + F.col("centre").cast("int") > 1)
-    flipped = F.transform(
-        F.filter(F.sequence(F.lit(0), F.lit(63)), lambda i: F.col("flips").bitwiseAND(_bit(i)) != 0),
-        lambda i: F.col("key").bitwiseXOR(_bit(i)),
-    )
-    members = F.when(F.col("centre"), F.array_append(flipped, F.col("key"))).otherwise(flipped)
-    pairs = shared.select(members.alias("members")).select(F.explode("members").alias("a"), F.array_min("members").alias("b"))
+    fp = F.col("fp")
+    entries = [F.struct(F.lit(s).alias("segment"), _segment(fp, s).alias("value")) for s in (0, 1)]
+    table = prints.select("fp", F.explode(F.array(*entries)).alias("e")).select("e.*", "fp")
+    sizes = table.groupBy("segment", "value").agg(F.count("*").alias("n"))
+    # In the first segment the whole ball, in the second one the value itself.
+    ball = F.transform(_flips(0), lambda x: F.struct(F.lit(0).alias("segment"), _segment(fp.bitwiseXOR(x), 0).alias("value"), x.alias("flip")))
+    own = F.struct(F.lit(1).alias("segment"), _segment(fp, 1).alias("value"), F.lit(0).cast("bigint").alias("flip"))
+    tasks = max(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")), prints.count() // PER_TASK)
+    probes = prints.repartition(tasks).select("fp", F.explode(F.array_append(ball, own)).alias("p")).select("fp", "p.*")
+    # Most values of a ball are in no table; a fingerprint alone in its own entry has nothing to fetch.
+    hits = probes.join(sizes, ["segment", "value"]).where((F.col("flip") != 0) | (F.col("n") > min(1, BUCKET)))
+    hits = stored(hits, "hits")
+
+    fetched = hits.where(F.col("n") <= BUCKET).join(table.withColumnRenamed("fp", "other"), ["segment", "value"])
+    fetched = fetched.select(F.greatest("fp", "other").alias("a"), F.least("fp", "other").alias("b"))
+
+    # Members of a large entry enumerate the ball of the other segment; a probe from outside stands for its entry's value.
+    other = F.when(F.col("segment") == 0, _flips(1)).otherwise(_flips(0))
+    around = F.when(F.col("flip") == 0, F.transform(other, lambda x: fp.bitwiseXOR(x))).otherwise(F.array(fp.bitwiseXOR(F.col("flip"))))
+    keys = hits.where(F.col("n") > BUCKET).select("fp", F.explode(around).alias("key"))
+    met = keys.groupBy("key").agg(F.array_sort(F.collect_set("fp")).alias("members")).where(F.size("members") > 1)
+    linked = met.select(F.explode("members").alias("a"), F.col("members")[0].alias("b"))
+
     distance = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
-    return pairs.where((F.col("a") != F.col("b")) & (distance <= 2))
+    return fetched.unionByName(linked).where((F.col("a") != F.col("b")) & (distance <= 2)).distinct()
 
 
 def near_components(docs: DataFrame, shingle: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -100,35 +124,22 @@ def near_components(docs: DataFrame, shingle: int = 3, doc_id: str = "doc_id", t
     Texts that are null or without words have fingerprint zero and link like any other.  Repeated rows stay
     repeated.  An empty table gives an empty result.  Further columns of the documents are not read.
     """
-    narrow = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    marked = fingerprints(narrow, shingle).select("doc_id", F.col("fingerprint")[0].alias("fp"))
+    narrow = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    marked = fingerprints(narrow, shingle).select("doc_id", F.col("fingerprint").alias("fp"))
     rows = stored(marked, "fingerprints")
-    least = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    least = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "prints")
     roots = components(close_links(least.select("fp")))
     members = least.join(roots.withColumnRenamed("node", "fp"), "fp")
     firsts = members.groupBy("root").agg(F.min("least").alias("first"))
     linked = members.join(firsts, "root").select("fp", "first")
     classes = least.join(linked, "fp", "left").select("fp", F.coalesce("first", "least").alias("component_id"))
-    # Stored, so that the join reads two plain shuffles and Spark can split a fingerprint of very many copies.
-    return rows.join(stored(classes, "classes"), "fp").select("doc_id", "fp", "component_id")
+    return looked_up(rows, stored(classes, "classes"), "fp").select("doc_id", "fp", "component_id")
 
 
 def hex_digits(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-#: Bands of the near-copy search and minima in each: two sets that share 0.8 miss every band in 4 of 10^8 cases.
-BANDS = 56
-ROWS = 6
-_FACTORS = np.random.Generator(np.random.PCG64(20240918)).integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-PART = 1 << 11
-
-
-def shingle_set(text: str | None, k: int) -> np.ndarray:
-    """The distinct hashes of shingle_hashes, ascending."""
-    return np.unique(shingle_hashes(text, k))
-
-
 def band_keys(hashes: np.ndarray) -> np.ndarray:
     """A key for each band: the band's number and its least scrambled hashes; none for an empty set."""
     if not len(hashes):
@@ -144,43 +155,45 @@ def band_keys(hashes: np.ndarray) -> np.ndarray:
 
 
 def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, content, id, size, keys): hash of the text, hash and size of its shingle set, its band keys."""
+    """(doc_id, content, fp, id, size, keys): fingerprint, hash and size of the shingle set, its band keys."""
 
-    @F.pandas_udf("id bigint, size int, keys array<bigint>")
+    @F.pandas_udf("fp bigint, id bigint, size int, keys array<bigint>")
     def signature(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            sets = [shingle_set(t, shingle) for t in batch]
+            hashes = [shingle_hashes(t, shingle) for t in batch]
+            sets = [np.unique(h) for h in hashes]
             ids = [int(np.uint64(xxhash.xxh64_intdigest(s.tobytes(), SEED)).view(np.int64)) for s in sets]
-            yield pd.DataFrame({"id": ids, "size": [len(s) for s in sets], "keys": [band_keys(s) for s in sets]})
+            yield pd.DataFrame({
+                "fp": [majority(h) for h in hashes], "id": ids, "size": [len(s) for s in sets], "keys": [band_keys(s) for s in sets],
+            })
 
-    marked = docs.select("doc_id", F.xxhash64("text").alias("content"), signature.asNondeterministic()(F.col("text")).alias("s"))
+    marked = docs.select("doc_id", "content", signature.asNondeterministic()(F.col("text")).alias("s"))
     return marked.select("doc_id", "content", "s.*")
 
 
-def _alike(a: Column, b: Column, similarity: float) -> Column:
-    """The sizes of two sets allow this similarity."""
-    return F.least(a, b) / F.greatest(a, b) >= similarity
-
-
-def leader_pairs(keys: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): every member of a key (``id``, ``size``, ``key``) and the key's member of the least id."""
-    leaders = keys.groupBy("key").agg(F.min(F.struct("id", "size")).alias("leader"))
-    pairs = keys.join(leaders, "key").where((F.col("id") != F.col("leader.id")) & _alike(F.col("size"), F.col("leader.size"), similarity))
-    return pairs.select(F.col("id").alias("a"), F.col("leader.id").alias("b")).distinct()
+def print_links(sets: DataFrame) -> DataFrame:
+    """(a, b) between sets (``id``) whose fingerprints (``fp``) are within two bits; equal ones link to the least id."""
+    spans = stored(sets.groupBy("fp").agg(F.min("id").alias("least"), F.max("id").alias("most")), "prints")
+    equal = sets.join(spans.where("least < most"), "fp").select(F.col("id").alias("a"), F.col("least").alias("b"))
+    named = lambda end: spans.select(F.col("fp").alias(end), F.col("least").alias(f"{end}_id"))
+    close = close_links(spans.select("fp")).join(named("a"), "a").join(named("b"), "b")
+    return close.select(F.col("a_id").alias("a"), F.col("b_id").alias("b")).unionByName(equal)
 
 
-def open_pairs(keys: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): every two members of a key that links so far leave in different components.
+def representative_pairs(sets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): every set (``id``, ``size``, ``keys``) and the representatives of its bands, where sizes allow the similarity.
 
-    A key's commonest component is not paired with itself, so a family of very many linked copies costs one row
-    for each copy and each member that is not of the family.
+    A band's representative is its least member in one of a few orders: few different ones, so that a family of
+    copies has few pairs, but several, so that copies meet although another set comes before both in an order.
     """
-    rooted = keys.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    sizes = rooted.groupBy("key", "root").count().groupBy("key").agg(F.max_by("root", F.struct("count", "root")).alias("main"), F.count("*").alias("n"))
-    mixed = stored(rooted.join(sizes.where("n > 1").drop("n"), "key"), "mixed")
-    rest = mixed.where("root <> main").select("key", F.col("id").alias("o_id"), F.col("root").alias("o_root"), F.col("size").alias("o_size"))
-    pairs = rest.join(mixed, "key").where((F.col("root") != F.col("o_root")) & _alike(F.col("size"), F.col("o_size"), similarity))
-    return pairs.select(F.greatest("id", "o_id").alias("a"), F.least("id", "o_id").alias("b")).distinct()
+    keys = sets.select("id", "size", F.explode("keys").alias("key"))
+    rank = F.xxhash64("id", F.pmod("key", F.lit(ORDERS)))
+    first = F.struct(rank.alias("rank"), "id", "size")
+    heads = keys.groupBy("key").agg(F.min(first).alias("head"), F.count("*").alias("n")).where("n > 1").select("key", "head.id", "head.size")
+    heads = heads.withColumnsRenamed({"id": "h_id", "size": "h_size"})
+    alike = F.least("size", "h_size") / F.greatest("size", "h_size") >= similarity
+    pairs = keys.join(heads, "key").where((F.col("id") != F.col("h_id")) & alike)
+    return pairs.select(F.greatest("id", "h_id").alias("a"), F.least("id", "h_id").alias("b")).distinct()
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -192,45 +205,44 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return both.where(common / (F.size("left") + F.size("right") - common) >= similarity).select("a", "b")
 
 
-def keep_one(
-    docs: DataFrame, shingle: int = 5, similarity: float = 0.8, doc_id: str = "doc_id", text: str = "text",
-) -> DataFrame:
+def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents without near copies: the row with the least id of each group stays, all columns unchanged.
 
-    Groups are connected by pairs that share at least this much of the union of their distinct shingles, counted
-    on the sets themselves; minima in bands only tell which pairs are counted.  Every member of a key meets the
-    key's leader first, then whoever those links leave in another component.  Equal sets always fall together.
-    Texts without words are one group.  Rows that repeat an id are told apart by their text; equal rows count as
-    one document, of which one stays.
+    Two documents link if their fingerprints are within two bits, or if one of them represents a band that both
+    are in and they share at least ``similarity`` of the union of their distinct shingles.  Groups are the
+    components of these links; equal sets always fall together.  Texts that are null or without words are one
+    group.  A null id is less than any other.  Rows that repeat an id are told apart by their text, of which that
+    with the least hash comes first; rows that repeat both count as one document, of which one stays.  An empty
+    table stays empty.
     """
-    own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    own = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"), F.xxhash64(f"`{text}`").alias("content"))
     rows = stored(shingle_sets(own, shingle), "shingles")
-    prints = rows.groupBy("id").agg(F.first("size").alias("size"), F.first("keys").alias("keys"), F.min(F.struct("doc_id", "content")).alias("least"))
-    prints = stored(prints, "prints")
-    keys = prints.select("id", "size", F.explode("keys").alias("key"))
-    shared = keys.groupBy("key").count().where("count > 1").select("key")
-    keys = stored(keys.join(shared, "key"), "keys")
+    place = F.struct("doc_id", "content")
+    sets = rows.groupBy("id").agg(F.first("size").alias("size"), F.first("keys").alias("keys"), F.min(place).alias("least"))
+    sets = stored(sets, "sets")
+    pairs = stored(representative_pairs(sets, similarity), "pairs")
 
     @F.pandas_udf("array<bigint>")
     def hashes(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            yield pd.Series([shingle_set(t, shingle).view(np.int64) for t in batch])
-
-    met = prints.join(keys.select("id").distinct(), "id", "left_semi").select("id", "least.*")
-    met = met.select("id", F.col("doc_id").alias("_met_id"), F.col("content").alias("_met_content"))
-    texts = own.withColumn("content", F.xxhash64("text")).join(
-        met, F.col("doc_id").eqNullSafe(F.col("_met_id")) & (F.col("content") == F.col("_met_content"))
-    )
-    sets = texts.select("id", hashes.asNondeterministic()(F.col("text")).alias("hashes")).dropDuplicates(["id"])
-    sets = stored(sets, "sets")
-    links = stored(verified(leader_pairs(keys, similarity), sets, similarity), "led")
-    more = verified(open_pairs(keys, components(links), similarity), sets, similarity)
-    roots = components(links.unionByName(more)).withColumnRenamed("node", "id")
-    classes = prints.select("id", "least").join(roots, "id", "left").select(F.coalesce("root", "id").alias("root"), "least")
-    stay = classes.groupBy("root").agg(F.min("least").alias("least")).select("least.*")
-    stay = stay.select(F.col("doc_id").alias("_stay_id"), F.col("content").alias("_stay_content"))
-    content = fresh(docs, "content")
-    chosen = docs.withColumn(content, F.xxhash64(text)).join(
-        stay, F.col(doc_id).eqNullSafe(F.col("_stay_id")) & (F.col(content) == F.col("_stay_content")), "left_semi"
-    )
-    return chosen.dropDuplicates([doc_id, content]).drop(content)
+            yield pd.Series([np.unique(shingle_hashes(t, shingle)).view(np.int64) for t in batch])
+
+    met = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    met = sets.join(met, "id", "left_semi").select("id", F.col("least.doc_id").alias("m_id"), F.col("least.content").alias("m_content"))
+    texts = own.join(met, F.col("doc_id").eqNullSafe(F.col("m_id")) & (F.col("content") == F.col("m_content")))
+    whole = stored(texts.select("id", hashes.asNondeterministic()(F.col("text")).alias("hashes")).dropDuplicates(["id"]), "hashes")
+    links = print_links(rows.select("id", "fp").distinct()).unionByName(verified(pairs, whole, similarity))
+    roots = components(links).withColumnRenamed("node", "id")
+    classes = sets.select("id", "least").join(roots, "id", "left").select("id", F.coalesce("root", "id").alias("root"), "least")
+    firsts = classes.groupBy("root").agg(F.min("least").alias("stay"))
+    stays = stored(classes.join(firsts, "root").select("id", "stay"), "stays")
+    # Only what goes, or is there twice, is looked for in the documents; their texts move no further than that asks.
+    found = looked_up(rows.select("doc_id", "content", "id"), stays, "id").groupBy("doc_id", "content")
+    told = found.agg(F.count("*").alias("n"), F.max(place == F.col("stay")).alias("stays"))
+    told = stored(told.where("not stays or n > 1"), "told")
+    key, other, flag, again = (fresh(docs, c) for c in ("content", "told_id", "told_stays", "told_content"))
+    told = told.select(F.col("doc_id").alias(other), F.col("content").alias(again), F.col("stays").alias(flag))
+    keyed = docs.withColumn(key, F.xxhash64(f"`{text}`"))
+    same = F.col(f"`{doc_id}`").eqNullSafe(F.col(other)) & (F.col(key) == F.col(again))
+    once = keyed.join(told.where(flag), same, "left_semi").dropDuplicates([doc_id, key])
+    return keyed.join(told, same, "left_anti").unionByName(once).drop(key)

@@ -4,7 +4,10 @@ import numpy as np
 import pytest
 import xxhash
 
+from pyspark.sql import functions as F
+
 from lumenspan.llm import simhash
+from lumenspan.llm.base import looked_up
 from lumenspan.llm.components import components
 
 
@@ -120,6 +123,66 @@ def test_keep_one_against_every_pair(make_docs):
             rows.append((len(rows), " ".join(words)))
     near = [jaccard(a, b) for i, a in rows for j, b in rows[:i] if i // 8 == j // 8]
     assert sum(0.8 <= x < 0.9 for x in near) > 50 and sum(0.65 <= x < 0.8 for x in near) > 50
-    want = groups(range(len(rows)), [(i, j) for i, a in rows for j, b in rows[:i] if i // 8 == j // 8 and jaccard(a, b) >= 0.8])
+    prints = {i: slow_print(t, 5) for i, t in rows}
+    close = [(i, j) for i in prints for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= 2]
+    near = [(i, j) for i, a in rows for j, b in rows[:i] if i // 8 == j // 8 and jaccard(a, b) >= 0.8]
+    want = groups(range(len(rows)), close + near)
     kept = [r.doc_id for r in simhash.keep_one(make_docs(*rows)).select("doc_id").collect()]
     assert sorted(kept) == sorted(set(want.values()))
+
+
+@pytest.mark.parametrize("bucket", [0, 1, 8])
+def test_large_table_entries_lose_no_link(spark, monkeypatch, bucket):
+    monkeypatch.setattr(simhash, "BUCKET", bucket)
+    rng = random.Random(bucket)
+    prints = set()
+    for half in (0, 32):  # families that share one half, and their neighbours across it
+        base = rng.getrandbits(64)
+        for _ in range(150):
+            bits = rng.sample(range(32), rng.randrange(4))
+            prints.add(base ^ sum(1 << half + b for b in bits) ^ (1 << 32 - half + rng.randrange(32) if rng.random() < 0.3 else 0))
+    signed = [int(np.array(p, np.uint64).view(np.int64)) for p in prints]
+    links = simhash.close_links(spark.createDataFrame([(p,) for p in signed], "fp long")).collect()
+    assert all(((r.a ^ r.b) % 2**64).bit_count() in (1, 2) for r in links)
+    want = groups(signed, [(a, b) for a in signed for b in signed if a < b and ((a ^ b) % 2**64).bit_count() <= 2])
+    assert groups(signed, [(r.a, r.b) for r in links]) == want
+
+
+def family(n, shared, own, seed=1):
+    """Texts that have the first words in common, and as many of their own."""
+    rng = random.Random(seed)
+    head = " ".join(f"h{rng.randrange(900)}" for _ in range(shared))
+    return [(i, head + " " + " ".join(f"o{rng.randrange(10**6)}" for _ in range(own))) for i in range(n)]
+
+
+def edited(n, changes, seed=2):
+    rng = random.Random(seed)
+    base = [f"w{rng.randrange(900)}" for _ in range(150)]
+    rows = []
+    for i in range(n):
+        words = list(base)
+        for at in rng.sample(range(150), changes):
+            words[at] = f"e{rng.randrange(10**6)}"
+        rows.append((i, " ".join(words)))
+    return rows
+
+
+@pytest.mark.parametrize("rows", [lambda n: edited(n, 6), lambda n: edited(n, 12), lambda n: family(n, 120, 60)])
+def test_pairs_grow_in_proportion_to_a_group(make_docs, rows):
+    made = []
+    for n in (100, 200, 400):
+        docs = make_docs(*rows(n)).select("doc_id", "text", F.lit(0).alias("content"))
+        sets = simhash.shingle_sets(docs, 5)
+        pairs = simhash.representative_pairs(sets, 0.8).count()
+        links = simhash.close_links(sets.select("fp").distinct()).count()
+        made.append(pairs + links)
+        assert made[-1] <= 2 * simhash.ORDERS * n + 64
+    assert made[2] <= 2.6 * made[1] + 64
+
+
+def test_frequent_keys_are_looked_up_apart(spark):
+    rows = [(1 if i % 3 else i, i) for i in range(3000)] + [(None, -1)]
+    table = spark.createDataFrame([(i, f"v{i}") for i in range(0, 3000, 2)] + [(1, "one")], "k long, v string")
+    got = looked_up(spark.createDataFrame(rows, "k long, n long"), table, "k").collect()
+    want = {i: "one" if i == 1 else f"v{i}" if i % 2 == 0 else None for i in range(3000)} | {None: None}
+    assert len(got) == len(rows) and all(r.v == want[r.k] for r in got)
