@@ -25,12 +25,14 @@ from pyspark.sql import functions as F
 
 from lumenspan.llm.base import alnum_words, fresh, stored
 
-#: Fixed masks for 12 and more words, of span 6 and weight 5; each begins with two ones.
-MASKS = ("111011", "111101", "111110")
-SPAN = 6
+#: Fixed masks; each begins with two ones.  Those for 20 words span 12 and more, so that passages that share no more
+#: than a common opening of ten words have no seed in common.
+WIDE = ("110100010011", "1100100001101", "110010000000111")
+MIDDLE = ("110100011", "11100101")
 #: Masks, and by the number of words that may differ the fewest compared words for which they miss nothing.
 FAMILIES = (
-    (MASKS, {2: 12, 3: 15, 4: 20}),
+    (WIDE, {4: 20}),
+    (MIDDLE, {2: 12, 3: 15}),
     (("11101", "1111"), {2: 10}),
     (("1111", "11011"), {1: 6}),
     (("111", "1101"), {1: 5}),
@@ -91,7 +93,7 @@ def leaks(
     like any other.  Other columns of either table are not read; empty tables give no rows.  Masks that are
     given replace those that miss nothing.
     """
-    items = items.select(F.col(item_id).alias("item_id"), _hashes(text).alias("words")).where(F.size("words") >= MIN_ITEM)
+    items = items.select(F.col(f"`{item_id}`").alias("item_id"), _hashes(f"`{text}`").alias("words")).where(F.size("words") >= MIN_ITEM)
     items = stored(items.distinct().select("item_id", F.xxhash64("words").alias("item"), "words"), "items")
     need = F.least(F.size("words"), F.lit(window))
     users: dict[str, list[int]] = {}
@@ -107,7 +109,7 @@ def leaks(
     seeds = stored(seeds, "seeds")
     if seeds.count() <= BROADCAST_SEEDS:
         seeds = F.broadcast(seeds)
-    words = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where("text is not null")
+    words = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")).where("text is not null")
     words = words.select("doc_id", F.xxhash64("text").alias("content"), _hashes("text").alias("words"))
     words = words.where(F.size("words") >= MIN_ITEM)
     flags = _flags(items)
@@ -148,12 +150,15 @@ def leaks(
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """The documents that hold no passage of any item; all columns unchanged, null texts stay."""
+    """The documents that hold no passage of any item (see ``leaks``); all columns unchanged.
+
+    Null and empty texts hold nothing and stay, as do all documents where there is no item.  Of rows that repeat an
+    id only those whose text holds a passage go; rows repeated as a whole stay or go together.  A null id is a value
+    like any other.  An empty table stays empty.
+    """
     found = leaks(docs, items, doc_id=doc_id, text=text, **how)
-    found = found.select(F.col("doc_id").alias("_leak_id"), F.col("content").alias("_leak_content")).distinct()
-    own = fresh(docs, "own")
-    keyed = docs.withColumn(own, F.xxhash64(text))
-    clean = keyed.join(
-        found, F.col(doc_id).eqNullSafe(F.col("_leak_id")) & (F.col(own) == F.col("_leak_content")), "left_anti"
-    )
+    own, other, content = (fresh(docs, c) for c in ("own", "leak_id", "leak_content"))
+    found = found.select(F.col("doc_id").alias(other), F.col("content").alias(content)).distinct()
+    keyed = docs.withColumn(own, F.xxhash64(f"`{text}`"))
+    clean = keyed.join(found, F.col(f"`{doc_id}`").eqNullSafe(F.col(other)) & (F.col(own) == F.col(content)), "left_anti")
     return clean.drop(own)

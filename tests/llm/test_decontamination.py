@@ -43,7 +43,29 @@ def test_clean_documents_stay(make_docs, items, awkward):
 
 
 def test_masks_begin_alike():
-    assert all(len(m) == decontamination.SPAN and m.startswith("11") for m in decontamination.MASKS)
+    assert all(m.startswith("11") and m.endswith("1") for masks, _ in decontamination.FAMILIES for m in masks)
+    assert all(len(m) > 10 for m in decontamination.masks_for(20, 0.8))
+
+
+def test_a_common_opening_makes_no_pairs(spark, make_docs, monkeypatch):
+    """Items and documents that all begin with the same ten words and go on differently."""
+    stored, rows = decontamination.stored, {}
+
+    def counted(df, label):
+        out = stored(df, label)
+        rows[label] = out.count()
+        return out
+
+    monkeypatch.setattr(decontamination, "stored", counted)
+    rng = random.Random(6)
+    opening = [f"o{i}" for i in range(10)]
+    text = lambda n: " ".join(opening + [f"x{rng.randrange(10**7)}" for _ in range(n)])
+    hits = []
+    for n in (50, 100, 200):
+        given = spark.createDataFrame([(i, text(25)) for i in range(n)], "item_id long, text string")
+        assert decontamination.leaks(make_docs(*[(i, text(60)) for i in range(n)]), given).count() == 0
+        hits.append(rows["hits"])
+    assert hits[2] <= 200
 
 
 def test_without_broadcast(make_docs, items, monkeypatch):
