@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterable
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -106,6 +107,12 @@ def _wildcard(text: Column, pattern: str) -> Column:
     return F.lower(text).contains(F.lower(F.lit(pattern)))
 
 
+def _holds_words(text: Column, words: list[str]) -> Column:
+    """Whether every plain word is in the text: without that no token has it, and the text need not be split."""
+    plain_words = [word.lower().strip(_EDGE_MARKS) for word in words if "*" not in word and "?" not in word]
+    return reduce(lambda found, word: found & F.lower(text).contains(F.lit(word)), plain_words, F.lit(True))
+
+
 def _phrase_in_tokens(text: Column, words: list[str], slop: int) -> Column:
     """Words in order with at most ``slop`` tokens between neighbours.
 
@@ -203,7 +210,7 @@ class RecordPredicates:
         haystacks = self._haystacks(field)
         if not words:
             return any_of(hay.isNotNull() for hay in haystacks)
-        return any_of(truth(_phrase_in_tokens(hay, words, slop)) for hay in haystacks)
+        return any_of(truth(F.when(_holds_words(hay, words), _phrase_in_tokens(hay, words, slop))) for hay in haystacks)
 
     def between(
         self,

@@ -208,7 +208,7 @@ def span_positions(spans: DataFrame) -> DataFrame:
     below, a parent cycle never reach an end: they keep NULLs.
     """
     open_steps = stored(_tour(spans), "tour")
-    done = stored(open_steps.filter(F.col("then").isNull()), "toured")
+    done = open_steps.filter(F.col("then").isNull())
     open_steps = open_steps.filter(F.col("then").isNotNull())
     left = open_steps.count()
     while left:

@@ -155,11 +155,11 @@ def otlp_metric_types(spark, sf_dir):
 
 @query("export_roundtrip", f"{WITH_SPANS} SELECT trace_id, span_id, name, attributes FROM spans")
 def export_roundtrip(spark, sf_dir):
-    """Export documents written to files and read back as JSON files."""
+    """Export documents written to files and read back."""
     path = work_dir(spark, "documents")
     otlp_export.write_documents(otlp_export.export_spans(spans_of(spark, sf_dir)), path)
-    documents = spark.read.schema(otlp_json.SPAN_DOCUMENTS).json(path)
-    return otlp_json.flatten_spans(documents).select("trace_id", "span_id", "name", "attributes")
+    documents = otlp_json.read_documents(spark, path, otlp_json.SPAN_DOCUMENTS)
+    return otlp_json.flatten_spans(documents.parsed).select("trace_id", "span_id", "name", "attributes")
 
 
 # 2024-01-10 09:00 UTC: inside a date partition

@@ -347,3 +347,13 @@ def test_rejected_documents(spark):
     texts = ['{"resourceSpans":[]}', "{}", "", "  ", '{"resourceSpans":[', "[1]", "7", None, "nonsense"]
     lines = spark.createDataFrame([(t,) for t in texts], "value string")
     assert sorted(r.value for r in otlp_json.rejected_documents(lines).collect()) == sorted(['{"resourceSpans":[', "[1]", "7", "nonsense"])
+
+
+def test_folder_with_broken_documents(spark, tmp_path):
+    record = {"timeUnixNano": "3", "body": {"stringValue": "kept"}}
+    good = json.dumps({"resourceLogs": [{"scopeLogs": [{"logRecords": [record]}]}]})
+    (tmp_path / "a.json").write_text(f"{good}\n{good[:40]}\n\n")
+    (tmp_path / "b.json").write_text(f"not json\n{good}\n")
+    parsed, rejected = otlp_json.read_documents(spark, str(tmp_path), otlp_json.LOG_DOCUMENTS)
+    assert [r.body for r in otlp_json.flatten_logs(parsed).collect()] == ["kept", "kept"]
+    assert sorted(r.value for r in rejected.collect()) == ["not json", good[:40]]
