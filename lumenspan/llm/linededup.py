@@ -17,14 +17,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenspan.llm.base import WORD, fresh, stored
+from lumenspan.llm.base import WORD, fresh, looked_up, stored
 
 BLANKS = "[\\x20\\x09-\\x0D]+"
 
 
 def _lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """One row per line with a word: document key, position, hash of the trimmed line, words and words so far."""
-    own = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("content"), F.split(text, "\n").alias("lines"))
+    own = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.xxhash64(f"`{text}`").alias("content"), F.split(f"`{text}`", "\n").alias("lines"))
     each = own.select("doc_id", "content", F.posexplode("lines").alias("pos", "line"))
     each = each.withColumn("w", F.regexp_count("line", F.lit(WORD)).cast("bigint")).where("w > 0")
     trimmed = F.regexp_replace("line", f"^{BLANKS}|{BLANKS}$", "")
@@ -57,7 +57,7 @@ def repeated_lines(docs: DataFrame, min_words: int = 50, doc_id: str = "doc_id",
     ).where(F.col("total") >= min_words)
     prints = selected.select("doc_id", "content", F.col("pick.h").alias("h"), F.col("pick.col2").alias("at")).distinct()
     shared = prints.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h", F.lit(1).alias("hit"))
-    marked = lines.join(shared, "h", "left")
+    marked = looked_up(lines, shared, "h")
     run = lambda frame: F.xxhash64(F.collect_list("h").over(frame), F.collect_list("w").over(frame))
     found = lambda frame: (F.sum("w").over(frame) >= min_words) & F.max("hit").over(frame).isNotNull()
     place = lambda first, last: F.struct(first.alias("first"), last.alias("last"))
@@ -70,7 +70,7 @@ def repeated_lines(docs: DataFrame, min_words: int = 50, doc_id: str = "doc_id",
     runs = stored(runs.select("run.key", F.struct("doc_id", "content", F.col("run.at.first").alias("first")).alias("place"), F.col("run.at.last").alias("last")), "runs")
     firsts = runs.groupBy("key").agg(F.min("place").alias("earliest"), F.max("place").alias("latest"))
     firsts = firsts.where("earliest < latest").drop("latest")
-    later = runs.join(firsts, "key").where("earliest < place")
+    later = looked_up(runs, firsts, "key", "inner").where("earliest < place")
     spans = later.select("place.doc_id", "place.content", F.explode(F.sequence("place.first", "last")).alias("pos"))
     return spans.distinct()
 
@@ -98,13 +98,12 @@ def dedup_lines(docs: DataFrame, min_words: int = 50, doc_id: str = "doc_id", te
     removed = fresh(docs, removed)
     gone = repeated_lines(docs, min_words, doc_id, text)
     gone = gone.groupBy("doc_id", "content").agg(F.array_sort(F.collect_set("pos")).alias("gone"))
-    gone = gone.select(F.col("doc_id").alias("_gone_id"), F.col("content").alias("_gone_content"), "gone")
-    own, places, lines = fresh(docs, "own"), fresh(docs, "places"), fresh(docs, "lines")
-    gone = gone.withColumnRenamed("gone", places)
+    own, places, lines, other, content = (fresh(docs, c) for c in ("own", "places", "lines", "gone_id", "gone_content"))
+    gone = gone.select(F.col("doc_id").alias(other), F.col("content").alias(content), F.col("gone").alias(places))
     # The lines travel in place of the text, so that no expression splits it again for each of its lines.
     others = [F.col(f"`{c}`") for c in docs.columns if c != text]
-    keyed = docs.select(*others, F.split(text, "\n").alias(lines), F.xxhash64(text).alias(own))
-    both = keyed.join(gone, F.col(doc_id).eqNullSafe(F.col("_gone_id")) & (F.col(own) == F.col("_gone_content")), "left")
+    keyed = docs.select(*others, F.split(f"`{text}`", "\n").alias(lines), F.xxhash64(f"`{text}`").alias(own))
+    both = keyed.join(gone, F.col(f"`{doc_id}`").eqNullSafe(F.col(other)) & (F.col(own) == F.col(content)), "left")
     both = both.withColumn(places, F.when(F.col(places).isNotNull(), _worded(F.col(lines), F.col(places))))
     whole = F.array_join(lines, "\n")
     kept = F.when(F.col(places).isNull(), whole).otherwise(_kept(F.col(lines), F.col(places)))
