@@ -15,10 +15,10 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenspan.llm.base import fresh
+from lumenspan.llm.base import fresh, stored
 from lumenspan.llm.training import fit_logistic, sampled
 
 
@@ -72,25 +72,32 @@ def dictionary(samples: list[bytes], size: int) -> bytes:
 
 
 def train(
-    docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = 1500, curve_docs: int = 1500,
+    docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = 1000, curve_docs: int = 1500,
     window: int = 1024, size: int = 1 << 16, doc_id: str = "doc_id", text: str = "text",
 ) -> Model:
     """Learn from the labelled rows given (leave held-out ones out beforehand).
 
-    At most ``per_class`` documents of either class give one window of ``window`` characters each to the
-    dictionaries, at a place that a hash chooses; at most ``curve_docs`` more of either class, whole, fit the
-    curve.  With one class only, or none, every score is the share of good labels (0.5 without labels).
+    At most ``per_class`` documents of either class, and half of what it has, are cut, whole, into stretches of
+    ``window`` characters from which the dictionaries are trained; at most ``curve_docs`` more of either class, whole, fit the curve.  Which
+    ones, a hash of the id tells; of rows that repeat an id, the text of the least hash is taken.  Null ids and
+    labels are not used, null texts are empty.  With one class only, or none, every score is the share of good
+    labels (0.5 without labels).
     """
-    ids = sampled(labels, F.col(label), per_class + curve_docs, doc_id).withColumnRenamed("doc_id", "_picked")
-    picked = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    picked = picked.join(F.broadcast(ids), F.col("doc_id") == F.col("_picked"))
-    turn = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(per_class + curve_docs)) < per_class
-    start = F.pmod(F.xxhash64("doc_id", F.lit(2)), F.greatest(F.length("text") - window + 1, F.lit(1))) + 1
-    windows = picked.where(turn).select("doc_id", "class", F.substring("text", start, F.lit(window)).alias("part"))
-    rows = windows.where("part <> ''").orderBy("doc_id", "part").collect()  # at most 2 * per_class windows
-    parts = {c: [r["part"].encode("utf-8", "surrogatepass") for r in rows if r["class"] == c] for c in (0, 1)}
+    marks = labels.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{label}`").alias("mark"))
+    ids = sampled(marks, F.col("mark"), per_class + curve_docs)
+    own = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
+    first = F.min(F.struct(F.xxhash64("text").alias("content"), "text")).alias("first")
+    picked = own.join(F.broadcast(ids), "doc_id").groupBy("doc_id", "class").agg(first).select("doc_id", "class", "first.text")
+    picked = stored(picked, "labelled")
+    place = F.row_number().over(Window.partitionBy("class").orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id"))
+    half = F.ceil(F.count("*").over(Window.partitionBy("class")) / 2)
+    picked = picked.withColumn("turn", place <= F.least(F.lit(per_class), half))
+    # At most 2 * per_class texts.
+    whole = picked.where("turn").select("class", "text").where("text <> ''").collect()
+    cut = lambda t: (t[i : i + window] for i in range(0, len(t), window))
+    parts = {c: sorted(x.encode("utf-8", "surrogatepass") for r in whole if r["class"] == c for x in cut(r["text"])) for c in (0, 1)}
     good, bad = dictionary(parts[1], size), dictionary(parts[0], size)
-    measured = with_figures(picked.where(~turn), Model(good, bad, (0.0, 0.0, 0.0)), "figures", "text")
+    measured = with_figures(picked.where("not turn"), Model(good, bad, (0.0, 0.0, 0.0)), "figures", "text")
     measured = measured.select("doc_id", "class", "figures").orderBy("doc_id", "figures").collect()  # at most 2 * curve_docs pairs
     x = np.array([tuple(r["figures"]) for r in measured], float).reshape(-1, 2)
     y = np.array([r["class"] for r in measured], float)
@@ -98,7 +105,7 @@ def train(
         spread = np.where(x.std(0) > 0, x.std(0), 1.0)
         a, b, c = fit_logistic(x / spread, y)
         return Model(good, bad, (float(a), float(b / spread[0]), float(c / spread[1])))
-    share = labels.agg(F.avg(F.col(label).cast("double"))).first()[0]
+    share = marks.agg(F.avg(F.col("mark").cast("double"))).first()[0]
     share = min(max(0.5 if share is None else share, 1e-6), 1 - 1e-6)
     return Model(good, bad, (math.log(share / (1 - share)), 0.0, 0.0))
 
@@ -111,15 +118,19 @@ def with_figures(docs: DataFrame, model: Model, name: str = "figures", text: str
         for batch in batches:
             yield pd.DataFrame([model.figures(t) for t in batch], columns=["lean", "ratio"])
 
-    return docs.withColumn(fresh(docs, name), measure.asNondeterministic()(F.col(text)))
+    return docs.withColumn(fresh(docs, name), measure.asNondeterministic()(F.col(f"`{text}`")))
 
 
 def score(docs: DataFrame, model: Model, name: str = "score", text: str = "text") -> DataFrame:
-    """The documents with a probability of being good; null and empty texts get the curve's value at 0."""
+    """The documents with a probability of being good; null and empty texts get the curve's value at 0.
+
+    Equal texts get equal scores, ids are not looked at, an empty table stays empty.  All columns are carried along;
+    the new one gets underscores before its name while the documents have such a column.
+    """
 
     @F.pandas_udf("double")
     def rate(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
             yield pd.Series([model.score(t) for t in batch], dtype=float)
 
-    return docs.withColumn(fresh(docs, name), rate.asNondeterministic()(F.col(text)))
+    return docs.withColumn(fresh(docs, name), rate.asNondeterministic()(F.col(f"`{text}`")))

@@ -19,7 +19,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenspan.llm.base import fresh, pieces
@@ -190,31 +190,41 @@ def train(
     """Learn from the rows given (leave held-out ones out beforehand).
 
     Of every language, ``windows`` documents chosen by hash give ``window`` characters each, at a place that
-    the hash chooses.  Every language and every letter of its sample is learned; ``max_languages`` keeps the
-    commonest languages only.  Rows without language or text are not used.
+    the hash chooses; all languages' windows are found in one pass.  Every language and every letter of its sample
+    is learned; ``max_languages`` keeps the commonest languages only.  Rows without language or text are not used;
+    rows that repeat an id have the same rank and go by their windows.  Without any row everything is ``und``.
     """
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
+    rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").alias("lang"))
     rows = rows.where("lang is not null and text is not null")
-    found = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang")
-    found = found if max_languages is None else found.limit(max_languages)
-    languages = sorted(r["lang"] for r in found.collect())
+    start = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.greatest(F.length("text") - window + 1, F.lit(1))) + 1
+    part = F.substring("text", start, F.lit(window))
+    # Ranks that are too high are left out before the shuffle already.
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("rank", "part"))
+    ranked = rows.select("lang", F.xxhash64("doc_id", F.lit(4)).alias("rank"), part.alias("part")).withColumn("place", place)
+    ranked = ranked.where(F.col("place") <= windows)
+    if max_languages is not None:
+        commonest = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages)
+        ranked = ranked.join(F.broadcast(commonest.select("lang")), "lang", "left_semi")
     parts: dict[str, list[str]] = {}
-    for name in languages:
-        own = rows.where(F.col("lang") == name)
-        start = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.greatest(F.length("text") - window + 1, F.lit(1))) + 1
-        picked = own.select(F.xxhash64("doc_id", F.lit(4)).alias("rank"), F.substring("text", start, F.lit(window)).alias("part"))
-        parts[name] = [letters_of(r["part"]) for r in picked.orderBy("rank", "part").limit(windows).collect()]
+    for r in sorted(ranked.collect(), key=lambda r: (r["lang"], r["place"])):
+        parts.setdefault(r["lang"], []).append(letters_of(r["part"]))
+    languages = sorted(parts)
     samples = tuple(" ".join(p for p in parts[name] if p) for name in languages)
     letters = sorted(set().union(*samples) - {" "})
     return Model(tuple(languages), samples, "".join(letters))
 
 
 def predict(docs: DataFrame, model: Model, name: str = "language", text: str = "text") -> DataFrame:
-    """The documents with a struct of lang_pred and score; ``und`` and 0 for texts that are null or without letters."""
+    """The documents with a struct of lang_pred and score; ``und`` and 0 for texts that are null or without letters.
+
+    Of languages that need equally few phrases the first by name wins.  Equal texts get equal results, ids are not
+    looked at, an empty table stays empty.  All columns are carried along; the new one gets underscores before its
+    name while the documents have such a column.
+    """
 
     @F.pandas_udf("lang_pred string, score double")
     def identify(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             yield pd.DataFrame(model.predict(list(batch)), columns=["lang_pred", "score"])
 
-    return docs.withColumn(fresh(docs, name), identify.asNondeterministic()(F.col(text)))
+    return docs.withColumn(fresh(docs, name), identify.asNondeterministic()(F.col(f"`{text}`")))

@@ -13,7 +13,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenspan.llm.base import fresh, stored
+from lumenspan.llm.base import fresh, looked_up, stored
 
 #: exp(-rate) must stay a normal number: larger rates are sums of independent counts.
 RATE_STEP = 500.0
@@ -34,7 +34,7 @@ def rates(docs: DataFrame, weights: Mapping[str, float] | None, temperature: flo
     Weights name target shares by source, a source without one is left out; without weights, shares follow
     the input's counts to the power of ``temperature``.  ``size`` is the expected output over the input.
     """
-    counts = docs.groupBy(F.col(source).alias("source")).agg(F.count("*").alias("n"))
+    counts = docs.groupBy(F.col(f"`{source}`").alias("source")).agg(F.count("*").alias("n"))
     if weights is None:
         weight = F.pow(F.col("n").cast("double"), F.lit(float(temperature)))
     else:
@@ -62,6 +62,11 @@ def _distribution(rate: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), most), start, step, lambda state: state["all"])
 
 
+def _key(source: Column) -> Column:
+    """A text that tells every source, and null, apart."""
+    return F.coalesce(F.concat(F.lit("="), source.cast("string")), F.lit(""))
+
+
 def mix(
     docs: DataFrame, weights: Mapping[str, float] | None = None, temperature: float = 0.5, size: float = 1.0, seed: int = 17,
     source: str = "source", doc_id: str = "doc_id", replica: str = "replica", order: str = "shuffle_key",
@@ -72,20 +77,20 @@ def mix(
     equal counts.  Texts are carried along whole, null ones too.  An empty table stays empty.  The
     added columns get underscores before their names while the documents have such a column.
     """
-    replica, order = fresh(docs, replica), fresh(docs, order)
-    table = rates(docs, weights, temperature, size, source)
+    replica, order, key, odds, times = (fresh(docs, c) for c in (replica, order, "mix_source", "mix_odds", "times"))
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    table = rates(docs, weights, temperature, size, source).where("rate > 0")
     parts = F.greatest(F.ceil(F.col("rate") / RATE_STEP), F.lit(1)).cast("int")
-    table = table.where("rate > 0").select(F.col("source").alias("_source"), parts.alias("_parts"), (F.col("rate") / parts).alias("_rate"))
-    table = stored(table.select("_source", "_parts", _distribution(F.col("_rate")).alias("_upto")), "distributions")
-    if table.count() <= BROADCAST_SOURCES:
-        table = F.broadcast(table)
-    joined = docs.join(table, F.col(source).eqNullSafe(F.col("_source")))
-    uniform = lambda part: uniform_bits(F.lit(seed), F.col(doc_id), part) / F.lit(float(16**DIGITS))
-    draws = F.transform(F.sequence(F.lit(1), F.col("_parts")), uniform)
-    below = lambda u: F.size(F.filter("_upto", lambda c: c <= u))
+    table = table.select(_key(F.col("source")).alias(key), parts.alias("parts"), (F.col("rate") / parts).alias("part"))
+    table = stored(table.select(key, F.struct("parts", _distribution(F.col("part")).alias("upto")).alias(odds)), "distributions")
+    keyed = docs.withColumn(key, _key(F.col(f"`{source}`")))
+    few = table.count() <= BROADCAST_SOURCES
+    joined = keyed.join(F.broadcast(table), key) if few else looked_up(keyed, table, key, "inner")
+    uniform = lambda part: uniform_bits(F.lit(seed), F.col(f"`{doc_id}`"), part) / F.lit(float(16**DIGITS))
+    draws = F.transform(F.sequence(F.lit(1), F.col(f"{odds}.parts")), uniform)
+    below = lambda u: F.size(F.filter(F.col(f"{odds}.upto"), lambda c: c <= u))
     count = F.aggregate(draws, F.lit(0), lambda a, u: a + below(u))
-    times = fresh(docs, "times")
-    counted = joined.select(*[docs[f"`{c}`"] for c in docs.columns], count.alias(times)).where(F.col(times) > 0)
-    copies = counted.select(*docs.columns, F.explode(F.sequence(F.lit(0), F.col(times) - 1)).alias(replica))
-    keyed = copies.withColumn(order, uniform_bits(F.lit(seed), F.col(doc_id), F.col(replica), F.lit("order")))
-    return keyed.orderBy(order, doc_id, replica)
+    counted = joined.select(*own, count.alias(times)).where(F.col(times) > 0)
+    copies = counted.select(*own, F.explode(F.sequence(F.lit(0), F.col(times) - 1)).alias(replica))
+    again = uniform_bits(F.lit(seed), F.col(f"`{doc_id}`"), F.col(replica), F.lit("order"))
+    return copies.withColumn(order, again).orderBy(order, f"`{doc_id}`", replica)

@@ -130,7 +130,8 @@ places AS (SELECT doc_id, i - 1 AS place, label FROM (SELECT doc_id, ws, unnest(
   AND list_slice(ws, i, i + len(string_split(phrase, ' ')) - 1) = string_split(phrase, ' ')),
 base AS (SELECT doc_id, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word, list(DISTINCT label) AS labels
   FROM places GROUP BY doc_id),
-tried AS (SELECT doc_id, text, rules.* FROM d JOIN rules ON contains(text, keyword)),
+squeezed AS (SELECT *, regexp_replace(text, '[\s\x0B]+', ' ', 'g') AS plain FROM d),
+tried AS (SELECT doc_id, text, rules.* FROM squeezed JOIN rules ON contains(plain, keyword)),
 pieces AS (SELECT * EXCLUDE (text, keyword, pattern), regexp_extract_all(text, pattern) AS m, string_split_regex(text, pattern) AS b FROM tried),
 each AS (SELECT * EXCLUDE (m, b), unnest(range(1, len(m) + 1)) AS k, m, b FROM pieces WHERE len(m) > 0),
 placed AS (SELECT doc_id, rule, label, priority, confidence,

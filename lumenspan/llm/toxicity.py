@@ -13,7 +13,6 @@ toxic share of the labelled rows.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenspan.llm.base import APART, fresh, joined, pieces, word_hashes
+from lumenspan.llm.base import APART, fresh, joined, pieces, stored, word_hashes
 from lumenspan.llm.training import sampled
 
 
@@ -53,23 +52,34 @@ class Model:
         return self.intercept + float(self.weights[at[self.words[at] == own]].sum())
 
 
-def _vocabulary(positive: list[np.ndarray], unlabelled: list[np.ndarray], size: int, min_docs: int, min_z: float = 4.5) -> np.ndarray:
-    """The words that are at least twice as common, and surely commoner, among the positives; best z values first."""
-    counts = [Counter(w for own in docs for w in own.tolist()) for docs in (positive, unlabelled)]
-    words = np.array([w for w, n in counts[0].items() if n >= min_docs], np.uint64)
-    if not len(words):
-        return words
-    n, m = len(positive), len(unlabelled)
-    p, u = (np.array([c[w] for w in words.tolist()], float) for c in counts)
-    both = (p + u) / (n + m)
-    z = (p / n - u / m) / np.sqrt(both * (1 - both) * (1 / n + 1 / m) + 1e-12)
-    sure = (z >= min_z) & ((p + 1) / n >= 2 * (u / m + 1 / n))
-    order = np.lexsort((words, -z))
-    return np.sort(words[order[sure[order]][:size]])
+def _vocabulary(rows: DataFrame, n: int, m: int, size: int, min_docs: int, min_z: float = 4.5) -> np.ndarray:
+    """The words that are at least twice as common, and surely commoner, among the n positives than among the m others.
+
+    ``rows`` have class and ``words``, the different words of a document.  Best z values come first; at most
+    ``size`` words leave Spark.
+    """
+    each = rows.select("class", F.explode("words").alias("word"))
+    counts = each.groupBy("word").agg(F.sum("class").cast("double").alias("p"), F.sum(1 - F.col("class")).cast("double").alias("u"))
+    p, u, both = F.col("p"), F.col("u"), (F.col("p") + F.col("u")) / (n + m)
+    z = (p / n - u / m) / F.sqrt(both * (1 - both) * (1 / n + 1 / m) + 1e-12)
+    sure = (p >= min_docs) & (z >= min_z) & ((p + 1) / n >= 2 * (u / m + 1 / n))
+    unsigned = F.col("word").bitwiseXOR(F.lit(-(1 << 63)))
+    best = counts.select("word", z.alias("z"), sure.alias("sure")).where("sure").orderBy(F.desc("z"), unsigned).limit(size)
+    return np.sort(np.array([r["word"] for r in best.collect()], np.int64).view(np.uint64))
 
 
-def _matrix(docs: list[np.ndarray], words: np.ndarray) -> np.ndarray:
-    return np.array([np.isin(words, own, assume_unique=True) for own in docs], np.float32).reshape(len(docs), len(words))
+def _matrices(rows: DataFrame, words: np.ndarray) -> list[np.ndarray]:
+    """Presence of the words in the documents of class 1 and of class 0: a bit per word leaves Spark."""
+
+    @F.pandas_udf("binary")
+    def bits(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield pd.Series([np.packbits(np.isin(words, np.asarray(own, np.int64).view(np.uint64), assume_unique=True)).tobytes() for own in batch])
+
+    found = rows.select("class", bits.asNondeterministic()("words").alias("bits")).collect()
+    packed = [sorted(bytes(r["bits"]) for r in found if r["class"] == c) for c in (1, 0)]
+    unpack = lambda b: np.unpackbits(np.frombuffer(b, np.uint8))[: len(words)]
+    return [np.array([unpack(b) for b in own], np.float32).reshape(len(own), len(words)) for own in packed]
 
 
 def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, ridge: float = 3e-5, epochs: int = 800, rate: float = 0.05) -> tuple[np.ndarray, float]:
@@ -97,38 +107,47 @@ def train(
 ) -> Model:
     """Learn from the documents and labels given (leave held-out rows out of both beforehand).
 
-    At most ``n_positive`` confirmed documents and ``n_unlabelled`` of all documents, whole, chosen by hash,
-    are turned into word hashes where they are and gathered; the model keeps at most ``words`` words.
-    Without a confirmed document the score is 0 for all texts.
+    At most ``n_positive`` confirmed ids and ``n_unlabelled`` of all ids are chosen by hash; their documents are
+    turned into word hashes, whole.  Of rows that repeat an id, the text of the least hash is taken.  Word counts
+    stay in Spark; at most ``words`` words and, per chosen document, a bit for each of them are gathered.
+    Null ids and labels are not used, null and empty texts have no words.  Without a confirmed document, or
+    without any, the score is 0 for all texts.
     """
-    confirmed = sampled(labels.where(F.col(label) == 1), F.lit(1), n_positive, doc_id)
-    ids = confirmed.unionByName(sampled(docs, F.lit(0), n_unlabelled, doc_id, seed=1)).withColumnRenamed("doc_id", "_picked")
+    own = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    marks = labels.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{label}`").alias("mark"))
+    confirmed = sampled(marks.where(F.col("mark") == 1), F.lit(1), n_positive)
+    ids = confirmed.unionByName(sampled(own, F.lit(0), n_unlabelled, seed=1))
 
     @F.pandas_udf("array<bigint>")
     def hashed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
             yield pd.Series([own.view(np.int64) for own in distinct_words(list(batch))])
 
-    picked = docs.join(F.broadcast(ids), F.col(doc_id) == F.col("_picked"))
-    rows = picked.select(F.col("_picked").alias("id"), "class", hashed(F.col(text)).alias("words")).collect()
-    rows.sort(key=lambda r: (r["id"], r["words"]))
-    positive, unlabelled = ([np.array(r["words"], np.int64).view(np.uint64) for r in rows if r["class"] == c] for c in (1, 0))
+    picked = own.join(F.broadcast(ids), "doc_id")
+    first = F.min(F.struct(F.xxhash64("text").alias("content"), "text")).alias("first")
+    once = picked.groupBy("doc_id", "class").agg(first).select("class", F.col("first.text").alias("text"))
+    rows = stored(once.select("class", hashed.asNondeterministic()(F.col("text")).alias("words")), "words")
+    sizes = {r["class"]: r["count"] for r in rows.groupBy("class").count().collect()}
     if prior is None:
-        prior = labels.where(F.col(label).isNotNull()).agg(F.avg((F.col(label) == 1).cast("double"))).first()[0]
-    if not positive or not unlabelled or not prior:
+        prior = marks.where(F.col("mark").isNotNull()).agg(F.avg((F.col("mark") == 1).cast("double"))).first()[0]
+    if len(sizes) < 2 or not prior:
         return Model(np.zeros(0, np.uint64), np.zeros(0), -30.0)
     prior = min(max(prior, 1e-3), 1 - 1e-3)
-    chosen = _vocabulary(positive, unlabelled, words, min_docs)
-    weights, intercept = fit(_matrix(positive, chosen), _matrix(unlabelled, chosen), prior)
+    chosen = _vocabulary(rows, sizes[1], sizes[0], words, min_docs)
+    weights, intercept = fit(*_matrices(rows, chosen), prior)
     return Model(chosen, weights, intercept)
 
 
 def score(docs: DataFrame, model: Model, name: str = "score", text: str = "text") -> DataFrame:
-    """The documents with a probability of being toxic; null and empty texts have no words and get the intercept's."""
+    """The documents with a probability of being toxic; null and empty texts have no words and get the intercept's.
+
+    Equal texts get equal scores, ids are not looked at, an empty table stays empty.  All columns are carried along;
+    the new one gets underscores before its name while the documents have such a column.
+    """
 
     @F.pandas_udf("double")
     def rate(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
             yield pd.Series(model.scores(list(batch)), dtype=float)
 
-    return docs.withColumn(fresh(docs, name), rate.asNondeterministic()(F.col(text)))
+    return docs.withColumn(fresh(docs, name), rate.asNondeterministic()(F.col(f"`{text}`")))

@@ -1,7 +1,11 @@
 import pytest
 
 #: Columns that an operator might use for itself.
-CLASHING = ["content", "fingerprint", "quality", "score", "language", "figures", "removed", "replica", "shuffle_key", "own", "id", "key"]
+CLASHING = [
+    "content", "fingerprint", "quality", "score", "language", "figures", "removed", "replica", "shuffle_key", "own", "id", "key", "a.b",
+    "_upto", "_source", "_parts", "gone_id", "_gone_id", "_stay_id", "leak_id", "_leak_id", "_picked", "mix_odds", "mix_source", "told_id",
+    "class", "mark", "part", "times", "lines", "places", "digest", "first_id", "failed", "stays", "fp", "word",
+]
 
 
 @pytest.fixture(scope="session")
@@ -14,7 +18,7 @@ def make_docs(spark):
     def build(*rows, clashing=True):
         extra = CLASHING if clashing else []
         schema = "doc_id long, text string, source string, lang string, n_chars long"
-        schema += "".join(f", {name} string" for name in extra)
+        schema += "".join(f", `{name}` string" for name in extra)
         full = [(*r, *["s"] * (3 - len(r)), "en", len(r[1] or "")) + ("mine",) * len(extra) for r in rows]
         return spark.createDataFrame(full, schema)
 

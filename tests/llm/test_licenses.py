@@ -1,7 +1,15 @@
+import os
 import re
+import sys
 
+import duckdb
+import pandas as pd
 import pytest
 
+sys.path.append(os.path.join(os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))), "tools"))
+
+import compare  # noqa: E402
+
 from lumenspan.llm import licenses
 from lumenspan.llm.license_rules import rules
 
@@ -74,3 +82,20 @@ def test_names_with_any_white_space(make_docs, gap):
         beats = lambda a, b: a[2].priority > b[2].priority or a[2].priority == b[2].priority and a[1] - a[0] > b[1] - b[0]
         stay = {(b[2].rule, b[0], b[1]) for b in every if not any(a[0] <= b[0] and a[1] >= b[1] and beats(a, b) for a in every)}
         assert stay and got.get(i, set()) == stay
+
+
+def test_sql_reads_wrapped_names_alike(spark):
+    """Names with line ends, tabs and several spaces between their words, as headers have them."""
+    from lumenspan.llm.queries import ORACLES
+
+    texts = [
+        "Licensed under the GNU General\nPublic License, version 3", "the  Apache\tLicense,\n   Version 2.0", "released under the\nMIT\nlicense",
+        "Mozilla\n   Public License 2.0", "SIL Open\r\nFont License", "Permission is hereby granted, free\nof   charge, to any person", "nothing", "", None,
+    ]
+    rows = list(enumerate(texts))
+    connection = duckdb.connect()
+    connection.register("documents", pd.DataFrame(rows, columns=["doc_id", "text"]))
+    found = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"))
+    problem, _ = compare.difference(found, connection.sql(ORACLES["op9_license_scan"]))
+    assert problem is None
+    assert sum(r.labels != "" for r in found.collect()) >= 5

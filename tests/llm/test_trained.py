@@ -1,8 +1,11 @@
 """Operators that learn: held-out accuracy on texts made here, exact parses, and awkward rows."""
 
 import random
+import re
 
+import numpy as np
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from lumenspan.llm import compression, langid, toxicity
@@ -85,6 +88,57 @@ def test_quality_of_held_out_texts(labelled):
     assert right >= 0.97 * len(got) and all(0 <= r._score <= 1 for r in got)
 
 
+def test_toxicity_against_plain_numpy(labelled):
+    """Word counts, choice of words, features and scores again, without Spark."""
+    docs, labels = labelled
+    model = toxicity.train(docs, labels, words=6)
+    texts = {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}
+    words = {i: set(re.findall(r"[0-9a-z\x80-\U0010ffff]+", t.lower())) for i, t in texts.items()}
+    positive = [words[r.doc_id] for r in labels.where("toxic = 1").collect()]
+    n, m = len(positive), len(texts)  # fewer than would be sampled: all of them
+    z = {}
+    for w in set().union(*positive):
+        p, u = (sum(w in own for own in group) for group in (positive, words.values()))
+        both = (p + u) / (n + m)
+        value = (p / n - u / m) / np.sqrt(both * (1 - both) * (1 / n + 1 / m) + 1e-12)
+        if p >= 3 and value >= 4.5 and (p + 1) / n >= 2 * (u / m + 1 / n):
+            z[w] = value
+    code = {w: int(next(toxicity.distinct_words([w]))[0]) for w in z}
+    chosen = sorted(sorted(z, key=lambda w: (-z[w], code[w]))[:6], key=code.get)
+    assert [code[w] for w in chosen] == model.words.tolist() and {"vermin", "filth", "garbage"} <= set(chosen)
+    matrix = lambda group: np.array([[w in own for w in chosen] for own in group], np.float32)
+    prior = len(positive) / labels.count()
+    weights, intercept = toxicity.fit(matrix(positive), matrix(words.values()), prior)
+    assert np.allclose(weights, model.weights, atol=1e-6) and abs(intercept - model.intercept) < 1e-6
+    for r in toxicity.score(docs, model).collect():
+        logit = intercept + sum(w for w, c in zip(weights, chosen, strict=True) if c in words[r.doc_id])
+        assert abs(r._score - 1 / (1 + np.exp(-logit))) < 1e-6
+
+
+def test_compression_against_plain_zstandard(labelled):
+    docs, labels = labelled
+    model = compression.train(docs, labels, per_class=30, curve_docs=30, size=1 << 12)
+    for r in compression.score(docs, model).collect()[:60]:
+        raw, sizes = r.text.encode(), []
+        for content in (model.good, model.bad):
+            packer = zstandard.ZstdCompressor(level=model.level, dict_data=zstandard.ZstdCompressionDict(content), write_content_size=False, write_dict_id=False)
+            sizes.append(sum(len(packer.compress(raw[i : i + model.block])) for i in range(0, len(raw), model.block)))
+        lean, ratio = (sizes[1] - sizes[0]) / (sum(sizes) + compression.DAMPING), np.log(sum(sizes) / 2 / len(raw))
+        logit = model.curve[0] + model.curve[1] * lean + model.curve[2] * ratio
+        assert abs(r._score - 1 / (1 + np.exp(-np.clip(logit, -30, 30)))) < 1e-9
+
+
+def test_a_repeated_id_is_one_document_to_learn_from(make_docs, spark, labelled):
+    """5000 rows of one id: none but one is gathered, and the model is that of one row."""
+    docs, labels = labelled
+    (first,) = docs.where("doc_id = 10").select("doc_id", "text").collect()
+    again = docs.select("doc_id", "text").unionByName(spark.range(5000).select(F.lit(first.doc_id).alias("doc_id"), F.lit(first.text).alias("text")))
+    once, many = (toxicity.train(d, labels) for d in (docs, again))
+    assert (once.words == many.words).all() and np.allclose(once.weights, many.weights) and once.intercept == many.intercept
+    good, bad = (compression.train(d, labels, per_class=30, curve_docs=30) for d in (docs, again))
+    assert good == bad
+
+
 def test_awkward_rows_and_few_labels(make_docs, awkward, labelled):
     docs, labels = make_docs(*awkward), labelled[1]
     for train, score in ((toxicity.train, toxicity.score), (compression.train, compression.score)):
