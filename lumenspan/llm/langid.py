@@ -28,6 +28,8 @@ BLOCK = 512
 UNKNOWN = "und"
 #: Entries of all languages' full tables together, four bytes each; beyond that transitions are kept sorted.
 DENSE = 1 << 26
+#: Shares in which the documents of a language are ranked first.
+SHARES = 256
 _APART = re.compile(r"[\W\d_]+")
 
 
@@ -198,10 +200,12 @@ def train(
     rows = rows.where("lang is not null and text is not null")
     start = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.greatest(F.length("text") - window + 1, F.lit(1))) + 1
     part = F.substring("text", start, F.lit(window))
-    # Ranks that are too high are left out before the shuffle already.
-    place = F.row_number().over(Window.partitionBy("lang").orderBy("rank", "part"))
-    ranked = rows.select("lang", F.xxhash64("doc_id", F.lit(4)).alias("rank"), part.alias("part")).withColumn("place", place)
-    ranked = ranked.where(F.col("place") <= windows)
+    # Ranks that are too high are left out before each shuffle already; a language of very many tasks is ranked in
+    # shares first, so that few rows of it meet.
+    place = lambda *keys: F.row_number().over(Window.partitionBy(*keys).orderBy("rank", "part"))
+    ranked = rows.select("lang", F.xxhash64("doc_id", F.lit(4)).alias("rank"), part.alias("part"))
+    ranked = ranked.withColumn("share", F.pmod("rank", F.lit(SHARES))).withColumn("near", place("lang", "share"))
+    ranked = ranked.where(F.col("near") <= windows).withColumn("place", place("lang")).where(F.col("place") <= windows)
     if max_languages is not None:
         commonest = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages)
         ranked = ranked.join(F.broadcast(commonest.select("lang")), "lang", "left_semi")
