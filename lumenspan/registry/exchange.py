@@ -203,9 +203,9 @@ def _span_stream(spark, sf_dir):
     return roots.unionByName(star_tables.child_spans(_stream(spark, sf_dir, "lineitem")))
 
 
-def _collected(spark, stream, label):
-    """Run a stream over everything there is and return what it appended."""
-    path = work_dir(spark, label)
+def _collected(spark, stream, path):
+    """Run a stream over everything there is and return what it appended; in the same folder it goes on."""
+    path = path if "/" in path else work_dir(spark, path)
     started = (
         stream.writeStream.format("parquet")
         .outputMode("append")
@@ -303,15 +303,21 @@ _BY_NAME = "named AS (SELECT name || ' ' || service_name AS service_name, attrib
 
 @query(
     "live_rate",
-    f"""{with_sql(POINTS_SQL, _BY_NAME)}, {_CLOSED.format(t='time_unix_nano', d=_HOUR, s='named')}, {_steps('named', _RATE)}
-    SELECT service_name, attributes, time_unix_nano, round(value, 9) AS value FROM stepped, closed WHERE time_unix_nano <= mark""",
+    f"""{with_sql(POINTS_SQL, _BY_NAME)}, {_steps('named', _RATE)}
+    SELECT service_name, attributes, time_unix_nano, round(value, 9) AS value FROM stepped""",
 )
 def live_rate(spark, sf_dir):
     points = star_tables.event_points(_stream(spark, sf_dir, "events"))
     series = points.select(
         F.concat_ws(" ", "name", "service_name").alias("service_name"), "attributes", metrics.TIME, "value"
     )
-    return _collected(spark, live.live_rate(series, "1 hour"), "live-rate").withColumn("value", rounded("value", 9))
+    path = work_dir(spark, "live-rate")
+    ends = live.Ending(spark, f"{path}/ends")
+    rates = live.live_rate(ends.after(series), "1 hour")
+    _collected(spark, rates, path)
+    # All points are read; the end closes the times that still wait for later ones.
+    ends.close()
+    return _collected(spark, rates, path).withColumn("value", rounded("value", 9))
 
 
 @query("live_ingest", f"{WITH_LOGS} SELECT {', '.join(_LOG_COLUMNS)} FROM logs")

@@ -67,6 +67,17 @@ def test_rate_of_a_restarted_stream_and_beyond_its_delay(spark, tmp_path):
     assert sorted((r.time_unix_nano // S, r.value) for r in got) == [(101, 3.0), (102, 5.0), (200, 2 / 98)]
 
 
+def test_rate_of_an_ended_stream_has_the_newest_points(spark, tmp_path):
+    points = [("a", "{}", t * S, float(v)) for t, v in [(100, 1), (101, 4), (200, 2), (300, 5)]] + [("b", "{}", 300 * S, 1.0)]
+    df = spark.createDataFrame(points, SERIES)
+    _files(df, str(tmp_path / "in"), [[0, 1], [2], [3, 4]])
+    ends = live.Ending(spark, str(tmp_path / "ends"))
+    rates = live.live_rate(ends.after(_stream(spark, str(tmp_path / "in"), df.schema)), "1 hour")
+    assert _run(rates, tmp_path, spark) == []
+    ends.close()
+    assert _text_rows(_run(rates, tmp_path, spark)) == _text_rows(metrics.rate(df).select(*metrics.SERIES, metrics.TIME, "value").collect())
+
+
 def test_rate_forgets_silent_series(spark, tmp_path):
     points = [("a", "{}", t * S, float(t)) for t in (100, 110, 400, 410, 900)] + [("b", "{}", t * S, float(t)) for t in (100, 150, 200, 250, 300, 350, 400)]
     df = spark.createDataFrame(sorted(points, key=lambda p: p[2]), SERIES)
