@@ -5,18 +5,24 @@ from __future__ import annotations
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lumenspan.functions.filters import STATUS_ERROR, on_dates, span_filter
 from lumenspan.functions.spansets import TraceCondition, TraceFlags
 from lumenspan.operators import correlate
+from lumenspan.plans import forests
 from lumenspan.plans.checkpoints import stored
 from lumenspan.plans.limits import first_rows
 from lumenspan.plans.ordered import with_next
+from lumenspan.session import ship
 
 DEFAULT_TRACES = 20
 # Ids of a top-k are broadcast up to this many rows.
 BROADCAST_IDS = 10_000
+# Trees of up to this many spans are walked inside one task.
+SPANS_IN_TASK = 100_000
 
 SUMMARY_COLUMNS = [
     "trace_id",
@@ -234,24 +240,68 @@ def span_positions(spans: DataFrame) -> DataFrame:
     return placed.select("trace_id", "span_id", F.col("climbed").alias("depth"), (F.col("spans") - F.col("entered")).alias("position"))
 
 
+def split_by_size(spans: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Spans of traces that fit into a task, and those of larger ones (None where there are none).
+
+    Rows without a trace id belong to no trace.
+    """
+    spans = spans.filter(F.col("trace_id").isNotNull())
+    sizes = spans.groupBy("trace_id").agg(F.count("*").alias("n"))
+    large = stored(sizes.filter(F.col("n") > SPANS_IN_TASK).select("trace_id"), "large")
+    if large.isEmpty():
+        return spans, None
+    # At most one id for every SPANS_IN_TASK rows.
+    return tuple(spans.join(F.broadcast(large), "trace_id", how) for how in ("left_anti", "left_semi"))
+
+
+TREE_COLUMNS = [
+    "trace_id", "span_id", "parent_span_id", "name", "service_name", "status_code", "status_message",
+    "start_time_unix_nano", "duration_nanos",
+]
+
+
+def _placed_in_tasks(spans: DataFrame) -> DataFrame:
+    """Rows with the bounds of their trace, depth and position; the spans of a trace meet in one task."""
+    trace = W.partitionBy("trace_id")
+    rows = spans.select(
+        *TREE_COLUMNS,
+        F.min("start_time_unix_nano").over(trace).alias("__first"),
+        F.max("end_time_unix_nano").over(trace).alias("__last"),
+        F.count("*").over(trace).alias(forests.SIZE),
+        F.coalesce("parent_span_id", F.lit("")).alias(forests.PARENT),
+        # A missing start comes first.
+        F.coalesce("start_time_unix_nano", F.lit(-(2**63))).alias(forests.ORDER),
+    )
+    # The window has brought traces together in this order, so nothing is sorted again.
+    rows = rows.sortWithinPartitions("trace_id")
+    kept = [f for f in rows.schema.fields if f.name not in (forests.SIZE, forests.PARENT, forests.ORDER)]
+    places = [T.StructField(name, T.LongType()) for name in ("depth", "position")]
+    ship(spans.sparkSession)
+    return rows.mapInArrow(forests.place_batches, T.StructType([*kept, *places]))
+
+
+def _placed_in_rounds(spans: DataFrame) -> DataFrame:
+    """The same for traces of any size, each spread over the cluster."""
+    bounds = spans.groupBy("trace_id").agg(
+        F.min("start_time_unix_nano").alias("__first"), F.max("end_time_unix_nano").alias("__last")
+    )
+    return spans.select(*TREE_COLUMNS).join(span_positions(spans), ["trace_id", "span_id"], "left").join(bounds, "trace_id")
+
+
 def trace_tree(spans: DataFrame, ordered: bool = False) -> DataFrame:
     """Every span with its depth and its ``position`` in the pre-order of its trace, sorted by it if ``ordered``.
 
     Roots and orphans have depth 0, siblings are ordered by start, offsets are relative to the trace.  Spans on, or
     below, a parent cycle have neither depth nor position.
     """
-    bounds = spans.groupBy("trace_id").agg(
-        F.min("start_time_unix_nano").alias("__first"), F.max("end_time_unix_nano").alias("__last")
-    )
-    rows = spans.select(
-        "trace_id", "span_id", "parent_span_id", "name", "service_name", "status_code", "status_message",
-        "start_time_unix_nano", "duration_nanos",
-    )
-    placed = rows.join(span_positions(spans), ["trace_id", "span_id"], "left").join(bounds, "trace_id")
+    ordinary, large = split_by_size(spans)
+    placed = _placed_in_tasks(ordinary)
+    if large is not None:
+        placed = placed.unionByName(_placed_in_rounds(large))
     total = F.greatest(F.col("__last") - F.col("__first"), F.lit(1))
     offset = F.col("start_time_unix_nano") - F.col("__first")
     tree = placed.select(
-        *rows.columns,
+        *TREE_COLUMNS,
         "depth",
         offset.alias("offset_nanos"),
         (offset / total).alias("offset_share"),

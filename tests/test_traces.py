@@ -1,9 +1,11 @@
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from lumenspan.operators import correlate, services, traces
+from lumenspan.plans import forests
 from lumenspan.sources.tables import Telemetry
 
 MS = 1_000_000
@@ -125,6 +127,35 @@ def test_positions_against_a_walk(make_spans):
     assert {(r["trace_id"], r["span_id"]): (r["depth"], r["position"]) for r in found} == want and len(found) == len(want)
 
 
+def test_small_traces_meet_once_and_large_ones_are_ranked_in_rounds(make_spans, monkeypatch, capsys):
+    rng = random.Random(6)
+    rows = []
+    for trace, n in enumerate((1, 9, 60, 3, 200)):
+        spans = [(f"{trace}.{i}", f"{trace}.{rng.randrange(n)}" if rng.random() < 0.8 else rng.choice(["", "lost"])) for i in range(n)]
+        rows += [(f"t{trace}", span, parent, "s", rng.randrange(5), 99) for span, parent in spans]
+    spans = make_spans(*rows, *rows[:30])
+    capsys.readouterr()
+    tree = traces.trace_tree(spans)
+    tree.explain()
+    # Rows are moved once, to their trace.
+    assert capsys.readouterr().out.count("Exchange") == 1
+    text = lambda df: sorted(str(r) for r in df.collect())
+    at_once = text(tree)
+    for limit in (50, 0):
+        monkeypatch.setattr(traces, "SPANS_IN_TASK", limit)
+        assert text(traces.trace_tree(spans)) == at_once
+
+
+def test_batches_cut_anywhere_place_the_same():
+    rows = [(f"t{i // 7}", f"s{i}", f"s{i - 1}" if i % 7 else "", 100 - i, 7) for i in range(70)]
+    table = pa.Table.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["trace_id", "span_id", forests.PARENT, forests.ORDER, forests.SIZE])
+    for size in (1, 3, 7, 70):
+        placed = pa.Table.from_batches(forests.place_batches(iter(table.to_batches(max_chunksize=size))))
+        assert placed["depth"].to_pylist() == placed["position"].to_pylist() == [i % 7 for i in range(70)]
+    with pytest.raises(RuntimeError):
+        list(forests.place_batches(iter(table.slice(1).to_batches())))
+
+
 def test_completeness(make_spans):
     spans = make_spans(
         ("t1", "a", "", "s", 0, 1), ("t1", "b", "a", "s", 0, 1), ("t2", "c", "lost", "s", 0, 1), ("t2", "d", "lost", "s", 0, 1)
