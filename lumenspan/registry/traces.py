@@ -1,5 +1,6 @@
 """Trace search, summaries, trees and span-set conditions."""
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lumenspan.functions import records as R
@@ -135,14 +136,22 @@ chain AS (SELECT s.* REPLACE (CASE WHEN s.parent_span_id = '' OR s.name = 'line
 
 @query("trace_tree_chain", "WITH " + _TREE.format(spans=f"{_WITH}, {_CHAIN}", source="chain"))
 def trace_tree_chain(spark, sf_dir):
-    spans = spans_of(spark, sf_dir)
-    callers = spans.filter(~traces.is_root()).groupBy("trace_id", "name").agg(F.min("span_id").alias("caller"))
     number = F.regexp_extract("name", "[0-9]+$", 0).try_cast("int")
-    called = spans.withColumn("called_by", F.concat(F.lit("line "), (number - 1).cast("string")))
-    linked = called.join(callers.withColumnRenamed("name", "called_by"), ["trace_id", "called_by"], "left")
     top = traces.is_root() | (F.col("name") == "line 1")
-    parent = F.when(top, F.col("parent_span_id")).otherwise(F.coalesce("caller", F.lit("lost")))
-    return _tree(linked.withColumn("parent_span_id", parent))
+
+    def linked(spans, caller):
+        return spans.withColumn("parent_span_id", F.when(top, F.col("parent_span_id")).otherwise(F.coalesce(caller, F.lit("lost"))))
+
+    ordinary, large = traces.split_by_size(spans_of(spark, sf_dir))
+    before = W.partitionBy("trace_id").orderBy(number).rangeBetween(-1, -1)
+    called = ~traces.is_root() & (F.col("name") == F.concat(F.lit("line "), number.cast("string")))
+    chain = linked(ordinary.withColumn("caller", F.min(F.when(called, F.col("span_id"))).over(before)), F.col("caller")).drop("caller")
+    if large is not None:
+        callers = large.filter(~traces.is_root()).groupBy("trace_id", F.col("name").alias("called_by")).agg(F.min("span_id").alias("caller"))
+        spans = large.withColumn("called_by", F.concat(F.lit("line "), (number - 1).cast("string")))
+        spans = linked(spans.join(callers, ["trace_id", "called_by"], "left"), F.col("caller"))
+        chain = chain.unionByName(spans.select(*chain.columns))
+    return _tree(chain)
 
 
 _ERROR_COLUMNS = "trace_id, span_id, name, service_name, status_message, start_time_unix_nano, duration_nanos"
