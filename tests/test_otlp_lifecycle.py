@@ -5,6 +5,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
+from lumenspan.functions import otlp
 from lumenspan.operators import fields, logs, metrics, traces
 from lumenspan.sinks import otlp_export, tables
 from lumenspan.sinks.tables import append, append_all, expired_counts, keep_newest, retention_cutoff, sweep_expired
@@ -357,3 +358,18 @@ def test_folder_with_broken_documents(spark, tmp_path):
     parsed, rejected = otlp_json.read_documents(spark, str(tmp_path), otlp_json.LOG_DOCUMENTS)
     assert [r.body for r in otlp_json.flatten_logs(parsed).collect()] == ["kept", "kept"]
     assert sorted(r.value for r in rejected.collect()) == ["not json", good[:40]]
+
+
+def test_nesting_adds_no_pieces_and_values_are_read_once(spark):
+    """A chain of 60 levels stays one piece; around every container stands what belongs to it."""
+    deep = '{"k":[' * 30 + "1" + "]}" * 30
+    wide = '{"a":[],"b":{},"c":[[1,{"d":[true,null]}],"x"],"e":{"f":{"g":[{}]}}}'
+    rows = spark.createDataFrame([(1, f'{{"v":{deep}}}'), (2, wide), (3, "{}"), (4, "nope"), (5, None)], "i int, t string")
+    lists = rows.select("i", F.expr(otlp_export.key_values("t")).alias("pairs"))
+    documents = lists.select(F.concat(F.lit('{"resourceLogs":[{"scopeLogs":[{"logRecords":[{"timeUnixNano":"'), "i", F.lit('","attributes":'), "pairs", F.lit("}]}]}]}")).alias("value"))
+    logs = otlp_json.flatten_logs(otlp_json.parse_documents(documents, otlp_json.LOG_DOCUMENTS))
+    assert {r["time_unix_nano"]: r["attributes"] for r in logs.collect()} == {1: f'{{"v":{deep}}}', 2: wide, 3: "{}", 4: "{}", 5: "{}"}
+    first = "array(named_struct('t', '', 'a', true, 'v', parse_json('[[[[1]]]]'), 'u', ''))"
+    opened = lambda p: f"IF(is_variant_null({p}.v), array(), {otlp.listed(f'CAST({p}.v AS ARRAY<VARIANT>)', 'p.t', lambda x, before, after: otlp.piece(before, 'true', x, after), 'p.u')})"
+    turns = spark.range(1).select(F.expr(f"aggregate(array_repeat(0, 3), {first}, (s, n) -> flatten(transform(s, p -> {opened('p')})))").alias("s"))
+    assert turns.select(F.size("s")).first()[0] == 1
