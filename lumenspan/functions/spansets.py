@@ -106,24 +106,31 @@ class Condition:
     """A condition on one span.
 
     ``build`` combines the answers of numbered tests.  ``span_tests`` look at the span itself; ``trace_tests`` look
-    at its whole trace, through a function that reads a column of the trace aggregate.
+    at its whole trace, through a function that reads a column of the trace aggregate.  Of two conditions the one with
+    fewer ``lookups`` in documents is asked first; the other is then asked of few spans.
     """
 
     build: Callable[[Callable[[int], Answer]], Answer]
     span_tests: dict[int, Callable[[], Column]] = field(default_factory=dict)
     trace_tests: dict[int, Callable[[Trace], Column]] = field(default_factory=dict)
+    lookups: int = 0
 
     def _merged(self, other: Condition) -> tuple[dict, dict]:
         return {**self.span_tests, **other.span_tests}, {**self.trace_tests, **other.trace_tests}
 
+    def _ordered(self, other: Condition) -> list[Condition]:
+        return sorted((self, other), key=lambda c: c.lookups)
+
     def __and__(self, other: Condition) -> Condition:
-        return Condition(lambda answer: self.build(answer) & other.build(answer), *self._merged(other))
+        first, then = self._ordered(other)
+        return Condition(lambda answer: first.build(answer) & then.build(answer), *self._merged(other), self.lookups + other.lookups)
 
     def __or__(self, other: Condition) -> Condition:
-        return Condition(lambda answer: self.build(answer) | other.build(answer), *self._merged(other))
+        first, then = self._ordered(other)
+        return Condition(lambda answer: first.build(answer) | then.build(answer), *self._merged(other), self.lookups + other.lookups)
 
     def __invert__(self) -> Condition:
-        return Condition(lambda answer: ~self.build(answer), self.span_tests, self.trace_tests)
+        return Condition(lambda answer: ~self.build(answer), self.span_tests, self.trace_tests, self.lookups)
 
     def possible(self) -> Column:
         """Whether the span can satisfy the condition, whatever its trace answers."""
@@ -166,14 +173,15 @@ class Answer:
 _test_numbers = itertools.count()
 
 
-def _span_test(test: Callable[[], Column]) -> Condition:
+def _span_test(test: Callable[[], Column], lookups: int = 1) -> Condition:
     number = next(_test_numbers)
-    return Condition(lambda answer: answer(number), {number: test})
+    return Condition(lambda answer: answer(number), {number: test}, {}, lookups)
 
 
 def _condition(name: str, test: Callable[[JsonValue], Column]) -> Condition:
     if not is_trace_field(name):
-        return _span_test(lambda: truth(_field_value(name, None).let(test)))
+        plain_column = name in SPAN_INTRINSICS or name.removeprefix(".") == "service.name"
+        return _span_test(lambda: truth(_field_value(name, None).let(test)), 0 if plain_column else 1)
     number = next(_test_numbers)
     return Condition(lambda answer: answer(number), {}, {number: lambda trace: truth(test(_field_value(name, trace)))})
 

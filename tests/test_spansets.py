@@ -153,3 +153,12 @@ def test_masks_hold_more_tests_than_one_column(make_spans):
     many = reduce(operator.or_, (w("name", "=", f"n{i}") for i in range(100)))
     got = traces.matching_traces(spans, one(many & w("rootName", "!=", "n7")))
     assert [r["trace_id"] for r in got.collect()] == ["t"]
+
+
+def test_plain_columns_are_asked_before_documents():
+    document, plain = S.where("returned", ">=", 1), S.where("name", "=", "line 5")
+    for both in (document & plain, plain & document, (document & S.exists("x")) & plain):
+        text = str(both.possible())
+        assert text.index("line 5") < text.index("returned")
+    either = str((document | plain).possible())
+    assert either.index("line 5") < either.index("returned")
