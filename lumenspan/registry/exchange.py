@@ -22,6 +22,7 @@ from lumenspan.registry.base import (
     with_sql,
 )
 from lumenspan.registry.metrics import _RATE, _steps
+from lumenspan.session import settings
 from lumenspan.sinks import otlp_export
 from lumenspan.sinks.tables import append, append_all, sweep_expired
 from lumenspan.sources import otlp_json, star_tables
@@ -205,17 +206,18 @@ def _span_stream(spark, sf_dir):
     return roots.unionByName(star_tables.child_spans(_stream(spark, sf_dir, "lineitem")))
 
 
-def _collected(spark, stream, path):
+def _collected(spark, stream, path, conf=None):
     """Run a stream over everything there is and return what it appended; in the same folder it goes on."""
     path = path if "/" in path else work_dir(spark, path)
-    started = (
+    writer = (
         stream.writeStream.format("parquet")
         .outputMode("append")
         .option("path", f"{path}/rows")
         .option("checkpointLocation", f"{path}/checkpoint")
         .trigger(availableNow=True)
-        .start()
     )
+    with settings(spark, conf or {}):
+        started = writer.start()
     started.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{path}/rows")
 
@@ -282,7 +284,7 @@ _GAP = 241 * _HOUR
 )
 def session_traces(spark, sf_dir):
     closed = live.session_traces(_span_stream(spark, sf_dir), "241 hours", "1 day")
-    return _collected(spark, closed, "sessions").withColumn("services", joined("services"))
+    return _collected(spark, closed, "sessions", live.SESSIONS_CONF).withColumn("services", joined("services"))
 
 
 @query("dedup", f"{WITH_SPANS} SELECT trace_id, span_id, name FROM spans WHERE parent_span_id <> ''")

@@ -4,7 +4,9 @@ import pytest
 
 from lumenspan.functions import records as R
 from lumenspan.operators import metrics
+from lumenspan.registry import exchange
 from lumenspan.schema import LOGS, SPANS
+from lumenspan.session import settings
 from lumenspan.streaming import live
 
 S = 10**9
@@ -102,6 +104,48 @@ def test_sessions_close_after_the_gap(spark, tmp_path, make_spans):
     assert found["t1"]["services"] == ["back", "front"]
 
 
+def test_sessions_are_sorted_and_written_without_reads(spark, tmp_path, make_spans, capsys):
+    """Late and split spans over several batches give the sessions of the table; the end closes them all."""
+    rng = random.Random(8)
+    rows = [
+        (f"t{rng.randrange(6)}", f"s{k}", rng.choice(["", "p"]), rng.choice("abc"), t * S + k, (t + rng.randrange(9)) * S, {"status_code": rng.randrange(3)})
+        for k, t in enumerate(rng.choices(range(1000, 3000), k=150))
+    ]
+    spans, far = make_spans(*rows), make_spans(("far", "z", "", "c", 90_000 * S, 90_000 * S))
+    folder, key = str(tmp_path / "in"), "spark.sql.execution.useObjectHashAggregateExec"
+    _files(spans, folder, [range(k, k + 30) for k in range(0, 150, 30)])
+    far.coalesce(1).write.mode("append").parquet(folder)
+    closed, before = live.session_traces(_stream(spark, folder, SPANS), "30 seconds", "1 hour"), spark.conf.get(key)
+    with settings(spark, live.SESSIONS_CONF):
+        query = (
+            closed.writeStream.format("parquet").option("path", str(tmp_path / "out"))
+            .option("checkpointLocation", str(tmp_path / "checkpoint")).trigger(availableNow=True).start()
+        )
+    assert spark.conf.get(key) == before
+    query.awaitTermination()
+    got = spark.read.schema(closed.schema).parquet(str(tmp_path / "out"))
+    assert got.count() > 50 and _text_rows(got.collect()) == _text_rows(live.session_traces(spans, "30 seconds").collect())
+    stores = [p["stateOperators"][0]["customMetrics"] for p in query.recentProgress]
+    assert sum(s["rocksdbPutCount"] for s in stores) > 0 and sum(s["rocksdbGetCount"] for s in stores) == 0
+    query.explain()
+    plan = capsys.readouterr().out
+    assert "SortAggregate" in plan and "ObjectHashAggregate" not in plan
+
+
+def test_the_query_of_sessions_starts_under_their_settings(spark, tmp_path, monkeypatch):
+    seen = []
+    monkeypatch.setattr(exchange, "settings", lambda session, conf: seen.append(conf) or settings(session, conf))
+    key, price = "spark.sql.execution.useObjectHashAggregateExec", "100.0D"
+    orders = f"SELECT id AS o_orderkey, id AS o_custkey, 'F' AS o_orderstatus, {price} AS o_totalprice, timestamp_ntz'2000-01-01' + make_dt_interval(CAST(id * 100 AS INT)) AS o_orderdate, 'HIGH' AS o_orderpriority FROM range(3)"
+    lines = "SELECT id AS l_orderkey, id AS l_partkey, id AS l_suppkey, 1 AS l_linenumber, 2.0D AS l_quantity, 1.0D AS l_extendedprice, 0.0D AS l_discount, 0.0D AS l_tax, 'N' AS l_returnflag, 'O' AS l_linestatus, timestamp_ntz'2000-01-02' + make_dt_interval(CAST(id * 100 AS INT)) AS l_shipdate FROM range(3)"
+    for name, sql in (("orders", orders), ("lineitem", lines)):
+        spark.sql(sql).toPandas().to_parquet(str(tmp_path / f"{name}.parquet"), coerce_timestamps="us")
+    before = spark.conf.get(key)
+    found = {r["trace_id"]: (r["span_count"], r["services"]) for r in exchange.session_traces(spark, str(tmp_path)).collect()}
+    assert found == {"0": (2, "HIGH,NO"), "1": (2, "HIGH,NO")}
+    assert seen == [live.SESSIONS_CONF] and spark.conf.get(key) == before
+
+
 def test_duplicates_across_batches(spark, tmp_path, make_spans):
     spans = make_spans(("t", "a", "", "s", S, S), ("t", "b", "", "s", 2 * S, 2 * S))
     folder = str(tmp_path / "in")
