@@ -7,7 +7,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from lumenspan.llm import simhash
-from lumenspan.llm.base import looked_up
+from lumenspan.llm.base import looked_up, prepare
 from lumenspan.llm.components import components
 
 
@@ -131,6 +131,21 @@ def test_keep_one_against_every_pair(make_docs):
     assert sorted(kept) == sorted(set(want.values()))
 
 
+def test_exploded_tables_are_not_broadcast(spark, monkeypatch):
+    prepare(spark)
+    # A quarter of a megabyte of fingerprints: 1.1 million rows once their balls are enumerated.
+    prints = simhash.stored(spark.range(1 << 15).select(F.xxhash64("id").alias("fp")), "prints")
+    plans, write = [], simhash.stored
+
+    def watched(df, label):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, label)
+
+    monkeypatch.setattr(simhash, "stored", watched)
+    simhash.close_links(prints)
+    assert len(plans) == 1 and "Generate" in plans[0] and "BroadcastExchange" not in plans[0]
+
+
 @pytest.mark.parametrize("bucket", [0, 1, 8])
 def test_large_table_entries_lose_no_link(spark, monkeypatch, bucket):
     monkeypatch.setattr(simhash, "BUCKET", bucket)
