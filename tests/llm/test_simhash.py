@@ -146,6 +146,14 @@ def test_exploded_tables_are_not_broadcast(spark, monkeypatch):
     assert len(plans) == 1 and "Generate" in plans[0] and "BroadcastExchange" not in plans[0]
 
 
+def test_bands_are_not_broadcast(spark):
+    prepare(spark)
+    keys = F.transform(F.sequence(F.lit(1), F.lit(simhash.BANDS)), lambda i: F.xxhash64("id", i))
+    sets = simhash.stored(spark.range(1 << 12).select("id", F.lit(9).alias("size"), keys.alias("keys")), "sets")
+    plan = simhash.representative_pairs(sets, 0.8)._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" in plan and "BroadcastExchange" not in plan
+
+
 @pytest.mark.parametrize("bucket", [0, 1, 8])
 def test_large_table_entries_lose_no_link(spark, monkeypatch, bucket):
     monkeypatch.setattr(simhash, "BUCKET", bucket)
