@@ -373,3 +373,16 @@ def test_nesting_adds_no_pieces_and_values_are_read_once(spark):
     opened = lambda p: f"IF(is_variant_null({p}.v), array(), {otlp.listed(f'CAST({p}.v AS ARRAY<VARIANT>)', 'p.t', lambda x, before, after: otlp.piece(before, 'true', x, after), 'p.u')})"
     turns = spark.range(1).select(F.expr(f"aggregate(array_repeat(0, 3), {first}, (s, n) -> flatten(transform(s, p -> {opened('p')})))").alias("s"))
     assert turns.select(F.size("s")).first()[0] == 1
+
+
+def test_written_documents_are_compressed(spark, make_spans, tmp_path):
+    spans = make_spans(*[("t", f"{i:04x}", "", "svc", i, i + 1) for i in range(3000)]).coalesce(1)
+    documents = otlp_export.export_spans(spans, records=5)
+    otlp_export.write_documents(documents, str(tmp_path / "d"))
+    files = [f for f in (tmp_path / "d").iterdir() if f.name.startswith("part-")]
+    size = documents.select(F.sum(F.length("value") + 1)).first()[0]
+    assert 10 * sum(f.stat().st_size for f in files) < size and len(files) > 1
+    parsed, rejected = otlp_json.read_documents(spark, str(tmp_path / "d"), otlp_json.SPAN_DOCUMENTS)
+    assert rejected.count() == 0
+    names = ("trace_id", "span_id", "name", "attributes")
+    assert sorted(otlp_json.flatten_spans(parsed).select(*names).collect()) == sorted(spans.select(*names).collect())
