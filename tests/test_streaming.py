@@ -1,4 +1,5 @@
 import random
+import zipfile
 
 import pytest
 
@@ -146,6 +147,17 @@ def test_the_query_of_sessions_starts_under_their_settings(spark, tmp_path, monk
     assert seen == [live.SESSIONS_CONF] and spark.conf.get(key) == before
 
 
+def test_open_sessions_are_kept_compressed(spark, tmp_path, make_spans):
+    """The options stored with the state name the compression its files were written with."""
+    folder = str(tmp_path / "in")
+    make_spans(("t", "a", "", "s", S, S)).coalesce(1).write.parquet(folder)
+    with settings(spark, live.SESSIONS_CONF):
+        _run(live.session_traces(_stream(spark, folder, SPANS), "30 seconds", "1 hour"), tmp_path, spark)
+    states = list((tmp_path / "checkpoint" / "state").rglob("*.zip"))
+    options = [z.read(n).decode() for z in map(zipfile.ZipFile, states) for n in z.namelist() if "OPTIONS" in n]
+    assert options and all("compression=kZSTD" in text for text in options)
+
+
 def test_duplicates_across_batches(spark, tmp_path, make_spans):
     spans = make_spans(("t", "a", "", "s", S, S), ("t", "b", "", "s", 2 * S, 2 * S))
     folder = str(tmp_path / "in")
